@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import embed, packing, quality, secrets, simhash, spm, tokenbin
+from evidentia.llm import embed, packing, quality, secrets, simhash, spm, suffix, tokenbin
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -42,4 +46,4 @@ def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_table(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_near_dedup, op3_quality_rules, op4_simhash_near_dedup, op5_secret_scans, op6_best_fit_packing, op8_sentencepiece, op9_token_id_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_near_dedup, op3_quality_rules, op4_simhash_near_dedup, op5_secret_scans, op6_best_fit_packing, op7_suffix_array_dedup, op8_sentencepiece, op9_token_id_output)}
