@@ -248,56 +248,74 @@ def _unpack_run(data: bytes, unit: int) -> Run:
     return Run(_wide48(raw[: 6 * n].reshape(n, 6)), _wide48(raw[6 * n : 12 * n].reshape(n, 6)), raw[12 * n : 14 * n].view("<u2"), raw[14 * n :].view("<u2"), np.cumsum(doc), np.full(n, unit), np.cumsum(index.astype(np.int64)))
 
 
-def units_of(docs: DataFrame, id_col: str, text_col: str, unit_bytes: int = UNIT_BYTES) -> DataFrame:
-    """(unit, rows, data): documents packed into units; rows lists (doc order, position in the scan's partition)."""
+def units_of(docs: DataFrame, id_col: str, text_col: str, unit_bytes: int = UNIT_BYTES, carry: bool = False) -> DataFrame:
+    """(unit, rows, data, rest): documents packed into units.
+
+    rows holds ids, lengths and which ids are null; rest all columns of the rows as
+    an Arrow stream if `carry` is set.
+    """
     small_batches(docs.sparkSession)
+    more = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col] + [F.col(text_col).isNull().alias("null")] if carry else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, texts, ids, size = TaskContext.get().partitionId(), 0, [], [], 0
+        others: list[pa.RecordBatch] = []
         squeeze = zstandard.ZstdCompressor(level=1)
 
         def flush() -> pa.RecordBatch:
             nulls = [i is None for i in ids]
             head = np.array([[LAST if i is None else i for i in ids], list(map(len, texts)), nulls], dtype="<i8")
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made]), pa.array([head.tobytes()]), pa.array([squeeze.compress(b"".join(texts))])], ["unit", "rows", "data"])
+            rest = _stream(others) if carry else None
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made]), pa.array([head.tobytes()]), pa.array([squeeze.compress(b"".join(texts))]), pa.array([rest], pa.binary())], ["unit", "rows", "data", "rest"])
 
         for batch in by_size(batches, "t", unit_bytes):
+            if carry:
+                others.append(pa.RecordBatch.from_arrays(batch.columns[2:], batch.schema.names[2:]))
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(i)
                 texts.append(t or b"")
                 size += len(texts[-1])
-                if size >= unit_bytes:
-                    yield flush()
-                    texts, ids, size, made = [], [], 0, made + 1
+            if size >= unit_bytes:
+                yield flush()
+                texts, ids, others, size, made = [], [], [], 0, made + 1
         if ids:
             yield flush()
 
-    return stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "unit long, rows binary, data binary"), "suffix-units")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"), *more)
+    return stored(rows.mapInArrow(run, "unit long, rows binary, data binary, rest binary"), "suffix-units")
+
 
+def _stream(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for b in batches:
+            out.write_batch(b)
+    return sink.getvalue().to_pybytes()
 
-def _unit(rows: bytes, data: bytes) -> tuple[Unit, np.ndarray]:
+
+def _unit(rows: bytes, data: bytes, rest: bytes | None) -> tuple[Unit, np.ndarray, bytes | None]:
     head = np.frombuffer(rows, dtype="<i8").reshape(3, -1)
     buf = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
-    return Unit(buf, np.cumsum(head[1]), head[0]), head[2].astype(bool)
+    return Unit(buf, np.cumsum(head[1]), head[0]), head[2].astype(bool), rest
 
 
-def _each_unit(units: DataFrame, results: DataFrame | None, work: Callable, schema: T.StructType | str) -> DataFrame:
-    """work(unit id, unit, null ids, results) for every unit; results (unit, kind, payload) are brought to it."""
-    texts = units.select("unit", F.lit(0).alias("kind"), "rows", "data")
+def _each_unit(units: DataFrame, results: DataFrame | None, work: Callable, schema: T.StructType | str, carry: bool = False) -> DataFrame:
+    """work(unit id, unit, null ids, other columns, results) for every unit; results (unit, kind, payload) are brought to it."""
+    texts = units.select("unit", F.lit(0).alias("kind"), "rows", "data", F.col("rest") if carry else F.lit(None).cast("binary").alias("rest"))
     if results is None:
         met = texts
     else:
-        more = results.select("unit", "kind", F.lit(None).cast("binary").alias("rows"), F.col("payload").alias("data"))
+        more = results.select("unit", "kind", F.lit(None).cast("binary").alias("rows"), F.col("payload").alias("data"), F.lit(None).cast("binary").alias("rest"))
         met = texts.unionByName(more).repartition(partitions(units.sparkSession), "unit").sortWithinPartitions("unit", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, found = None, []
         for batch in batches:
-            for unit, kind, rows, data in zip(*(c for c in batch.columns), strict=True):
+            for unit, kind, rows, data, rest in zip(*batch.columns, strict=True):
                 if kind.as_py() == 0:
                     if now is not None:
                         yield from work(now[0], *_unit(*now[1:]), found)
-                    now, found = (unit.as_py(), rows.as_py(), data.as_py()), []
+                    now, found = (unit.as_py(), rows.as_py(), data.as_py(), rest.as_py()), []
                 else:
                     found.append((kind.as_py(), data.as_py()))
         if now is not None:
@@ -309,7 +327,7 @@ def _each_unit(units: DataFrame, results: DataFrame | None, work: Callable, sche
 def _index(units: DataFrame, least: int, bits: int) -> DataFrame:
     """(unit, bucket, payload): each unit's runs."""
 
-    def work(name: int, unit: Unit, nulls: np.ndarray, found: list) -> Iterator[pa.RecordBatch]:
+    def work(name: int, unit: Unit, nulls: np.ndarray, rest: bytes | None, found: list) -> Iterator[pa.RecordBatch]:
         a = anchors(unit, least)
         own = np.flatnonzero(local_owners(unit, a))
         bucket = (a.head[own] >> np.uint64(64 - bits)).astype(np.int64)
@@ -379,7 +397,7 @@ def _indices(found: list[tuple[int, bytes]], kind: int) -> np.ndarray:
 def _edges(units: DataFrame, results: DataFrame, least: int, bits: int) -> DataFrame:
     """(unit, bucket, payload): the covers of edges, to the buckets of their heads."""
 
-    def work(name: int, unit: Unit, nulls: np.ndarray, found: list) -> Iterator[pa.RecordBatch]:
+    def work(name: int, unit: Unit, nulls: np.ndarray, rest: bytes | None, found: list) -> Iterator[pa.RecordBatch]:
         i = np.sort(_indices(found, 2))
         if not len(i):
             return
@@ -448,10 +466,10 @@ def removed(unit: Unit, least: int, found: list[tuple[int, bytes]]) -> np.ndarra
     return np.cumsum(edge[:-1]) > 0
 
 
-def find_repeats(docs: DataFrame, id_col: str, text_col: str, least: int) -> tuple[DataFrame, DataFrame]:
+def find_repeats(docs: DataFrame, id_col: str, text_col: str, least: int, carry: bool = False) -> tuple[DataFrame, DataFrame]:
     """(units, results): results (unit, kind, payload) say what to remove."""
     assert least >= HEAD + 8
-    units = units_of(docs, id_col, text_col)
+    units = units_of(docs, id_col, text_col, carry=carry)
     bits = max(1, (3 * partitions(docs.sparkSession) - 1).bit_length())
     first = stored(_per_bucket(_index(units, least, bits), "bucket", _resolve, "unit long, kind int, payload binary"), "suffix-matches")
     close = _per_bucket(_edges(units, first, least, bits), "bucket", _windows(least), "unit long, kind int, payload binary")
@@ -470,7 +488,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     """
     units, results = find_repeats(docs, id_col, text_col, least)
 
-    def work(name: int, unit: Unit, nulls: np.ndarray, found: list) -> Iterator[pa.RecordBatch]:
+    def work(name: int, unit: Unit, nulls: np.ndarray, rest: bytes | None, found: list) -> Iterator[pa.RecordBatch]:
         gone = removed(unit, least, found)
         rows, start = [], 0
         for doc, end, null in zip(unit.docs.tolist(), unit.ends.tolist(), nulls.tolist(), strict=True):
@@ -481,3 +499,32 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [*[pa.int64()] * 4, pa.string()], strict=True)], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return _each_unit(units, results, work, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def trim(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50) -> DataFrame:
+    """docs with the characters removed from text_col whose bytes dedup() removes, all of them.
+
+    Characters that are removed in part stay whole.  A null text stays null; rows,
+    other columns and their order stay as they are.
+    """
+    units, results = find_repeats(docs, id_col, text_col, least, carry=True)
+    place, columns = docs.columns.index(text_col), docs.columns
+    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]
+
+    def work(name: int, unit: Unit, nulls: np.ndarray, rest: bytes | None, found: list) -> Iterator[pa.RecordBatch]:
+        gone, texts, start = removed(unit, least, found), [], 0
+        for end in unit.ends.tolist():
+            own, flags = unit.buf[start:end], gone[start:end]
+            heads = np.flatnonzero((own & 0xC0) != 0x80)
+            if len(heads):
+                flags = np.repeat(np.logical_and.reduceat(flags, heads), np.diff(np.r_[heads, len(own)]))
+            texts.append(own[~flags].tobytes().decode())
+            start = end
+        others = pa.ipc.open_stream(rest).read_all().combine_chunks()
+        by_name = {n: others.column(n).combine_chunks() for n in others.schema.names}
+        is_null = by_name.pop("null")
+        text = pa.array([None if z else t for t, z in zip(texts, is_null.to_pylist(), strict=True)], pa.string())
+        yield pa.RecordBatch.from_arrays([text if i == place else by_name[f.name] for i, f in enumerate(fields)], [f.name for f in fields])
+
+    out = _each_unit(units, results, work, T.StructType(fields), carry=True)
+    return out.toDF(*columns)
