@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import embed, packing, quality, secrets, simhash, spm, suffix, tokenbin
+from evidentia.llm import embed, licenses, packing, quality, secrets, simhash, spm, suffix, tokenbin, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"), path=licenses.made_up_path())
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -46,4 +50,22 @@ def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_table(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_near_dedup, op3_quality_rules, op4_simhash_near_dedup, op5_secret_scans, op6_best_fit_packing, op7_suffix_array_dedup, op8_sentencepiece, op9_token_id_output)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_embedding_near_dedup,
+        op2_license_scans,
+        op3_quality_rules,
+        op4_simhash_near_dedup,
+        op5_secret_scans,
+        op6_best_fit_packing,
+        op7_suffix_array_dedup,
+        op8_sentencepiece,
+        op9_token_id_output,
+        op10_token_counts,
+    )
+}
