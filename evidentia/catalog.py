@@ -1,10 +1,485 @@
-"""Queries of the engine by name, and their SQL twins."""
+"""Queries of the engine by name over the driver's tables, and their SQL twins.
+
+The tables hold no specifications, so each operator runs on an analogue: events of
+a user stand for the items of a document, parts for products, and so on.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from evidentia.functions import predicates as P
+from evidentia.functions import text as X
+from evidentia.operators import chunks, evidence, export, grounding, packaging, regions, sections, vector
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a query under its function's name, with its SQL twin."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# How both sides normalise a text that is in NFKC already: dashes, quotes, white space.
+_FROM, _TO = X.DASHES + X.SINGLE_QUOTES + X.DOUBLE_QUOTES, "-" * len(X.DASHES) + "'" * len(X.SINGLE_QUOTES) + '"' * len(X.DOUBLE_QUOTES)
+_SQL_NORMAL = r"trim(regexp_replace(translate({x}, '" + _FROM + "', '" + _TO.replace("'", "''") + r"'), '[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+', ' ', 'g'))"
+_SQL_KEY = r"trim(regexp_replace(regexp_replace(replace(lower(" + _SQL_NORMAL + r"), '-', ' '), '[^\pL\pN_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, pos, {_SQL_NORMAL.format(x='line')} AS n FROM ({_LINES})),
+h AS (SELECT doc_id, pos, pos // 40 + 1 AS page_number, length(n) AS n_chars, sha256(n) AS text_hash FROM l WHERE n <> '')
+SELECT doc_id, pos::INT AS pos, page_number::BIGINT AS page_number, n_chars::INT AS n_chars, text_hash,
+  'ev_' || substr(sha256(doc_id::VARCHAR || chr(0) || page_number::VARCHAR || chr(0) || text_hash), 1, 16) AS evidence_id FROM h""")
+def evidence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as evidence with content ids."""
+    rows = _lines(spark, sf_dir).withColumn("n", X.normalize("line", unicode=False)).where("n <> ''")
+    rows = rows.select("doc_id", "pos", F.floor(F.col("pos") / 40 + 1).alias("page_number"), F.length("n").alias("n_chars"), F.sha2("n", 256).alias("text_hash"))
+    return rows.withColumn("evidence_id", evidence.evidence_id(F.col("doc_id").cast("string"), F.lit(None).cast("string"), F.col("page_number"), F.col("text_hash")))
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS rn FROM ({_LINES}) WHERE trim(line) <> '')
+SELECT doc_id, count(*) FILTER (rn = 1) AS n_first, count(*) FILTER (rn > 1) AS n_later, sum(CASE WHEN rn = 1 THEN pos ELSE 0 END)::BIGINT AS first_pos_sum FROM l GROUP BY doc_id""")
+def evidence_dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of equal lines of a document, and how many follow."""
+    rows = _lines(spark, sf_dir).where(F.trim("line") != "")
+    first, later = evidence.dedupe_first(rows, ["doc_id", "line"], ["pos"])
+    both = first.withColumn("first", F.lit(True)).unionByName(later.withColumn("first", F.lit(False)))
+    return both.groupBy("doc_id").agg(F.count_if("first").alias("n_first"), F.count_if(~F.col("first")).alias("n_later"), F.sum(F.when(F.col("first"), F.col("pos")).otherwise(0)).alias("first_pos_sum"))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of users, numbered in order."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    return rows.withColumn("idx", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
+
+
+_EVENTS = "SELECT event_id, user_id, ts, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events"
+
+
+@query(f"""
+WITH e AS ({_EVENTS}),
+a AS (SELECT *, CASE WHEN event_type = 'signup' THEN event_id::VARCHAR END AS a, CASE WHEN event_type = 'view' THEN event_id::VARCHAR END AS l,
+  CASE WHEN event_type = 'click' THEN event_id::VARCHAR END AS n, CASE WHEN event_type = 'purchase' THEN event_id::VARCHAR END AS s FROM e),
+b AS (SELECT *, last_value(a IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY idx) AS av, count(a) OVER (PARTITION BY user_id ORDER BY idx) AS ag FROM a),
+c AS (SELECT *, last_value(CASE WHEN av IS NOT NULL THEN l END IGNORE NULLS) OVER (PARTITION BY user_id, ag ORDER BY idx) AS lv, count(CASE WHEN av IS NOT NULL THEN l END) OVER (PARTITION BY user_id, ag ORDER BY idx) AS lg FROM b),
+d AS (SELECT *, last_value(CASE WHEN lv IS NOT NULL THEN n END IGNORE NULLS) OVER (PARTITION BY user_id, ag, lg ORDER BY idx) AS nv, count(CASE WHEN lv IS NOT NULL THEN n END) OVER (PARTITION BY user_id, ag, lg ORDER BY idx) AS ng FROM c),
+f AS (SELECT *, last_value(CASE WHEN nv IS NOT NULL THEN s END IGNORE NULLS) OVER (PARTITION BY user_id, ag, lg, ng ORDER BY idx) AS sv FROM d)
+SELECT event_id, user_id, CASE WHEN av IS NOT NULL THEN concat_ws('.', av, lv, nv, sv) END AS clause FROM f""")
+def clause_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clause numbers built from four levels of markers."""
+    of = lambda kind: F.when(F.col("event_type") == kind, F.col("event_id").cast("string"))
+    rows = evidence.clause_cascade(_events(spark, sf_dir), "user_id", "idx", of("signup"), of("view"), of("click"), of("purchase"))
+    return rows.select("event_id", "user_id", "clause")
+
+
+@query()
+def heading_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heading paths as a fold; the state decides what is accepted, so SQL has no short form."""
+    rank = F.create_map(*[F.lit(x) for x in ("signup", 20, "view", 10, "click", 30, "purchase", 40)])
+    text = F.concat_ws(" ", "event_type", F.pmod("event_id", F.lit(7)))
+    heads = _events(spark, sf_dir).where("event_type <> 'error'").select("user_id", "idx", rank[F.col("event_type")].alias("rank"), text.alias("t"))
+    return evidence.fold_paths(heads, "user_id", "idx").select("user_id", "idx", F.array_join("path", " > ").alias("path"))
+
+
+@query(f"""
+WITH e AS (SELECT *, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY idx) AS span FROM ({_EVENTS}))
+SELECT user_id, span, min(idx)::INT AS start_idx, max(idx)::INT AS end_idx, count(*) AS n_rows, min(ts) AS start_ts, max(ts) AS end_ts, min(event_id) FILTER (event_type = 'signup') AS heading_id,
+  arg_min(event_type, idx) AS first_type FROM e WHERE span > 0 GROUP BY user_id, span""")
+def section_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans from one boundary to the next, with the range that they cover."""
+    start = F.col("event_type") == "signup"
+    rows = _events(spark, sf_dir).withColumn("span", F.count_if(start).over(Window.partitionBy("user_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))).where("span > 0")
+    return rows.groupBy("user_id", "span").agg(
+        F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx"), F.count("*").alias("n_rows"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"),
+        F.min(F.when(start, F.col("event_id"))).alias("heading_id"), F.min_by("event_type", "idx").alias("first_type"),
+    )
+
+
+@query(f"""
+WITH e AS (SELECT *, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY idx) AS span FROM ({_EVENTS}))
+SELECT user_id, count(*) AS total_evidence, count(*) FILTER (span > 0) AS assigned_evidence, count(*) FILTER (span = 0) AS evidence_unassigned,
+  coalesce(string_agg(CASE WHEN span = 0 THEN event_id::VARCHAR END, ',' ORDER BY idx), '') AS unassigned_ids FROM e GROUP BY user_id""")
+def span_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document its spans cover, and what lies before the first."""
+    rows = _events(spark, sf_dir).select(F.col("user_id").alias("document_id"), F.col("event_id").cast("string").alias("id"), F.col("idx").alias("pos"), "event_type")
+    w = Window.partitionBy("document_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    spans = rows.withColumn("no", F.count_if(F.col("event_type") == "signup").over(w)).where("no > 0").groupBy("document_id", "no").agg(F.min_by("id", "pos").alias("start_evidence_id"), F.min("pos").alias("start_index"), F.collect_list("id").alias("evidence_ids"))
+    out = sections.coverage(rows, spans)
+    return out.select(F.col("document_id").alias("user_id"), "total_evidence", "assigned_evidence", "evidence_unassigned", F.array_join("unassigned_evidence_ids", ",").alias("unassigned_ids"))
+
+
+@query(f"""
+WITH e AS ({_EVENTS}), w AS (SELECT *, min(CASE WHEN event_type = 'click' THEN idx END) OVER a AS body, min(CASE WHEN event_type = 'signup' THEN idx END) OVER a AS stop FROM e
+  WINDOW a AS (PARTITION BY user_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 49 FOLLOWING))
+SELECT event_id, user_id, coalesce(body < coalesce(stop, 1000000000), FALSE) AS confirmed FROM w WHERE event_type = 'signup'""")
+def lookahead_confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a body follows a heading within 49 rows, before the next heading."""
+    kind = F.col("event_type")
+    seen = sections.look_ahead(kind == "click", kind == "signup", Window.partitionBy("user_id").orderBy("idx"))
+    return _events(spark, sf_dir).withColumn("confirmed", seen).where(kind == "signup").select("event_id", "user_id", "confirmed")
+
+
+@query(f"""
+SELECT event_id, n_distinct, n_distinct >= 3 AS clustered FROM (
+  SELECT event_id, count(DISTINCT event_type) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS n_distinct FROM ({_EVENTS}))""")
+def cluster_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct values near a row: the table-of-contents test."""
+    near = F.size(F.collect_set("event_type").over(Window.partitionBy("user_id").orderBy("idx").rowsBetween(-2, 2)))
+    return _events(spark, sf_dir).select("event_id", near.cast("long").alias("n_distinct")).withColumn("clustered", F.col("n_distinct") >= sections.CLUSTER_NUMBERS)
+
+
+@query(f"""
+WITH e AS (SELECT *, lead(event_type, 1) OVER w AS t1, lead(event_type, 2) OVER w AS t2, lead(event_id, 1) OVER w AS i1, lead(event_id, 2) OVER w AS i2 FROM ({_EVENTS}) WINDOW w AS (PARTITION BY user_id ORDER BY idx))
+SELECT event_id, CASE WHEN t1 = 'view' THEN i1 WHEN t1 NOT IN ('signup', 'click') AND t2 = 'view' THEN i2 END AS title_id FROM e WHERE event_type = 'signup'""")
+def title_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The title among the next two rows, unless something else starts before."""
+    w = Window.partitionBy("user_id").orderBy("idx")
+    at = lambda c, n: F.lead(c, n).over(w)
+    rows = _events(spark, sf_dir).select("event_id", "event_type", *(at(c, n).alias(f"{c}{n}") for c in ("event_type", "event_id") for n in (1, 2)))
+    title = F.when(F.col("event_type1") == "view", F.col("event_id1")).when(~F.col("event_type1").isin("signup", "click") & (F.col("event_type2") == "view"), F.col("event_id2"))
+    return rows.where("event_type = 'signup'").select("event_id", title.alias("title_id"))
+
+
+_SPANS = "SELECT c_nationkey, o_custkey, min(o_orderkey) AS start_index, max(o_orderkey) AS end_index, count(*) AS priority FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL"
+
+
+def _customer_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    spans = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("start_index"), F.max("o_orderkey").alias("end_index"), F.count("*").alias("priority"))
+    return spans.join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).drop("c_custkey")
+
+
+@query(f"""
+WITH s AS ({_SPANS})
+SELECT a.o_custkey, count(*) AS n_contained, min(b.o_custkey) AS first_contained FROM s a JOIN s b ON a.c_nationkey = b.c_nationkey AND a.o_custkey <> b.o_custkey AND a.start_index <= b.start_index AND a.end_index >= b.end_index
+GROUP BY a.o_custkey""")
+def region_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans and those that they contain, within a group."""
+    a = _customer_spans(spark, sf_dir)
+    b = a.select(F.col("c_nationkey").alias("n"), F.col("o_custkey").alias("inner"), F.col("start_index").alias("s"), F.col("end_index").alias("e"))
+    met = a.join(b, (F.col("c_nationkey") == F.col("n")) & (F.col("o_custkey") != F.col("inner")) & (F.col("start_index") <= F.col("s")) & (F.col("end_index") >= F.col("e")))
+    return met.groupBy("o_custkey").agg(F.count("*").alias("n_contained"), F.min("inner").alias("first_contained"))
+
+
+@query()
+def region_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greedy choice of spans that do not overlap; each choice depends on those before."""
+    return regions.greedy_spans(_customer_spans(spark, sf_dir), "c_nationkey")
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_SQL_KEY.format(x='text')} AS h FROM documents), b AS (SELECT item_id, {_SQL_KEY.format(x='text')} AS n FROM benchmark)
+SELECT doc_id, item_id FROM d JOIN b ON n <> '' AND contains(h, n)""")
+def grounding_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages that documents contain, as match keys."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), X.match_key("text", unicode=False).alias("hay"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("needle_id"), X.match_key("text", unicode=False).alias("needle"))
+    return grounding.contained(docs, items).select(F.col("text_id").alias("doc_id"), F.col("needle_id").alias("item_id")).distinct()
+
+
+_PARTS = f"SELECT DISTINCT {_SQL_KEY.format(x='p_name')} AS n FROM part"
+
+
+def _part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(X.match_key("p_name", unicode=False).alias("needle")).distinct().select("needle", F.col("needle").alias("needle_id"))
+
+
+@query(f"""
+WITH p AS ({_PARTS}), h AS (SELECT n AS hay_of, array_to_string(list_reverse(string_split(n, ' ')), ' ') AS h FROM p), t AS (SELECT n, list_filter(string_split(n, ' '), lambda w: length(w) > 2) AS ws FROM p)
+SELECT h AS hay, n AS needle FROM h JOIN t ON contains(h, n) OR contains(regexp_replace(h, '[^a-z0-9]', '', 'g'), regexp_replace(n, '[^a-z0-9]', '', 'g')) OR (len(ws) >= 2 AND len(list_filter(ws, lambda w: NOT contains(h, w))) = 0)""")
+def grounding_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containment word by word: names with their words turned round."""
+    needles = _part_names(spark, sf_dir)
+    texts = needles.select(F.array_join(F.reverse(F.split("needle", " ")), " ").alias("hay")).withColumn("text_id", F.col("hay"))
+    return grounding.contained_tiers(texts, needles).select(F.col("text_id").alias("hay"), F.col("needle_id").alias("needle"))
+
+
+@query(f"""
+WITH p AS ({_PARTS}), h AS (SELECT replace(n, ' ', '') AS h FROM p)
+SELECT h AS hay, n AS needle FROM (SELECT DISTINCT h FROM h) JOIN p ON contains(h, n) OR contains(regexp_replace(h, '[^a-z0-9]', '', 'g'), regexp_replace(n, '[^a-z0-9]', '', 'g'))
+  OR (len(list_filter(string_split(n, ' '), lambda w: length(w) > 2)) >= 2 AND len(list_filter(list_filter(string_split(n, ' '), lambda w: length(w) > 2), lambda w: NOT contains(h, w))) = 0)""")
+def grounding_glue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containment without spaces: names run together."""
+    needles = _part_names(spark, sf_dir)
+    texts = needles.select(F.replace("needle", F.lit(" "), F.lit("")).alias("hay")).distinct().withColumn("text_id", F.col("hay"))
+    return grounding.contained_tiers(texts, needles).select(F.col("text_id").alias("hay"), F.col("needle_id").alias("needle"))
+
+
+@query("""
+WITH c AS (SELECT DISTINCT p_brand || '.' || replace(p_type, ' ', '.') || '.' || p_size AS clause FROM part),
+r AS (SELECT DISTINCT p_brand AS required FROM part UNION SELECT DISTINCT p_brand || '.' || split_part(p_type, ' ', 1) FROM part)
+SELECT required, count(*) AS n_clauses FROM c JOIN r ON clause = required OR starts_with(clause, required || '.') GROUP BY required""")
+def clause_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses under required ones."""
+    part = table(spark, sf_dir, "part")
+    clauses = part.select(F.concat_ws(".", "p_brand", F.replace("p_type", F.lit(" "), F.lit(".")), "p_size").alias("clause")).distinct()
+    required = part.select(F.col("p_brand").alias("required")).union(part.select(F.concat_ws(".", "p_brand", F.split_part("p_type", F.lit(" "), F.lit(1))))).distinct()
+    return grounding.below(clauses, required).groupBy("required").agg(F.count("*").alias("n_clauses"))
+
+
+_DANGLING = """
+SELECT l_orderkey, l_linenumber, CASE WHEN o.o_orderkey IS NULL THEN 'dangling_requirement_id' WHEN p.p_partkey IS NULL THEN 'dangling_product_id' END AS code
+FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_totalprice >= 20000) o ON o.o_orderkey = l_orderkey LEFT JOIN (SELECT p_partkey FROM part WHERE p_size <= 45) p ON p.p_partkey = l_partkey"""
+
+
+def _dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links whose requirement, or else whose product, did not survive."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    orders = table(spark, sf_dir, "orders").where("o_totalprice >= 20000").select("o_orderkey")
+    part = table(spark, sf_dir, "part").where("p_size <= 45").select("p_partkey")
+    met = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+    code = F.when(F.col("o_orderkey").isNull(), "dangling_requirement_id").when(F.col("p_partkey").isNull(), "dangling_product_id")
+    return met.select("l_orderkey", "l_linenumber", code.alias("code")).where("code is not null")
+
+
+@query(f"SELECT * FROM ({_DANGLING}) WHERE code IS NOT NULL")
+def ref_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dangling(spark, sf_dir)
+
+
+@query(f"SELECT code, 'error' AS severity, count(*) AS n, count(DISTINCT l_orderkey) AS n_entities FROM ({_DANGLING}) WHERE code IS NOT NULL GROUP BY code")
+def issue_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues by severity and code."""
+    return _dangling(spark, sf_dir).groupBy("code").agg(F.lit("error").alias("severity"), F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("n_entities"))
+
+
+@query("""
+WITH m AS (SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'explicit' WHEN quality = 1 OR toxic = 1 THEN 'normalized' ELSE 'inferred' END AS method, quality = 1 AS req_side, toxic = 0 AS prod_side FROM labels),
+d AS (SELECT *, CASE WHEN method = 'normalized' AND NOT (req_side AND prod_side) THEN CASE WHEN req_side OR prod_side THEN 'downgrade' ELSE 'reject' END ELSE 'keep' END AS fate FROM m)
+SELECT method, fate, CASE WHEN fate = 'downgrade' THEN 'inferred' ELSE method END AS final_method, count(*) AS n, min(doc_id) AS first_id FROM d GROUP BY ALL""")
+def mapping_downgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cascade from a claimed mapping to the one that its support allows."""
+    q, t = F.col("quality") == 1, F.col("toxic") == 0
+    rows = table(spark, sf_dir, "labels").select("doc_id", q.alias("req"), t.alias("prod"), F.when(q & t, "explicit").when(q | ~t, "normalized").otherwise("inferred").alias("method"))
+    fate = F.when((F.col("method") == "normalized") & ~(F.col("req") & F.col("prod")), F.when(F.col("req") | F.col("prod"), "downgrade").otherwise("reject")).otherwise("keep")
+    rows = rows.withColumn("fate", fate).withColumn("final_method", F.when(F.col("fate") == "downgrade", "inferred").otherwise(F.col("method")))
+    return rows.groupBy("method", "fate", "final_method").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+
+
+@query("""
+WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), v AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM u),
+d AS (SELECT q.vec_id AS query_id, b.vec_id, list_distance(q.e, b.e) ** 2 AS distance FROM v q, v b WHERE q.vec_id % 50 = 0)
+SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), vec_id)::INT AS rank FROM d) WHERE rank <= 8""")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight nearest vectors of every fiftieth one."""
+    base = table(spark, sf_dir, "embeddings")
+    queries = base.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    hits = vector.top_k(base, queries, 8, "vec_id")
+    return hits.select("query_id", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"), "rank")
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, list(text) FILTER (length(text) < 100) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM conversations)
+SELECT conv_id, turn, coalesce(array_to_string(p[-5:], chr(10)), '') AS context, coalesce(len(p[-5:]), 0)::INT AS n_lines FROM c""")
+def chunk_rolling_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last five short texts before each one."""
+    held = chunks.recent_short(F.col("text"), Window.partitionBy("conv_id").orderBy("turn"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", held.alias("p"))
+    return rows.select("conv_id", "turn", F.array_join("p", "\n").alias("context"), F.size("p").alias("n_lines"))
+
+
+@query("""
+SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN substr(text, 1, 40) END IGNORE NULLS) OVER w AS heading, count(CASE WHEN role = 'user' THEN 1 END) OVER w AS section
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def heading_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last known heading, carried on."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    mine = F.col("role") == "user"
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", F.last(F.when(mine, F.substring("text", 1, 40)), ignorenulls=True).over(w).alias("heading"), F.count(F.when(mine, 1)).over(w).alias("section"))
+
+
+@query()
+def chunk_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as chunks with headings carried, repaired and put into the text; a fold, so without SQL."""
+    turns = table(spark, sf_dir, "conversations")
+    head = F.when(F.col("role") == "user", F.array(F.concat_ws(" ", F.concat_ws(".", F.lit("1"), F.lpad(F.col("turn").cast("string"), 2, "0")), F.substring("text", 1, 20))))
+    rows = turns.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("pos"), F.col("text").alias("raw_text"), head.alias("headings"), F.col("text").alias("contextualized"))
+    out = chunks.fold_chunks(rows)
+    return out.select(F.col("document_id").alias("conv_id"), F.col("pos").alias("turn"), F.array_join("effective", " > ").alias("path"), "was_enriched", F.length("page_content").alias("n_chars"), "supporting_context")
+
+
+@query("""
+WITH links AS (SELECT DISTINCT s_nationkey, l_suppkey, l_partkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+cat AS (SELECT s_nationkey, count(DISTINCT l_partkey) AS available FROM links GROUP BY s_nationkey)
+SELECT s.s_nationkey, s_suppkey, coalesce(max(available), 0) AS available_product_count, count(l_partkey) AS suggested_product_count, coalesce(max(available), 0) - count(l_partkey) AS not_suggested_count
+FROM supplier s LEFT JOIN links ON l_suppkey = s_suppkey LEFT JOIN cat ON cat.s_nationkey = s.s_nationkey GROUP BY s.s_nationkey, s_suppkey""")
+def catalog_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier against all products of its nation: how many there are, and how many it is linked with.
+
+    Both counts come from groups; the pairs are not made.
+    """
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    links = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct().join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    mine = links.groupBy("l_suppkey").agg(F.count("*").alias("mine"))
+    available = links.groupBy("s_nationkey").agg(F.count_distinct("l_partkey").alias("available"))
+    out = supplier.join(mine, F.col("s_suppkey") == F.col("l_suppkey"), "left").join(available, "s_nationkey", "left")
+    n = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return out.select("s_nationkey", "s_suppkey", n(F.col("available")).alias("available_product_count"), n(F.col("mine")).alias("suggested_product_count"), (n(F.col("available")) - n(F.col("mine"))).alias("not_suggested_count"))
+
+
+@query("""
+WITH n AS (SELECT n_nationkey, n_name, min(s_suppkey) FILTER (s_acctbal > 0) AS first_key FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL),
+g AS (SELECT n_name AS group_name, n_nationkey, coalesce(first_key, 1000000000) AS first_key FROM n UNION ALL SELECT 'Other / Ungrouped', NULL, 2000000000)
+SELECT group_name, n_nationkey, first_key, row_number() OVER (ORDER BY first_key, n_nationkey NULLS LAST)::INT AS place FROM g""")
+def group_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups by their first member, those without one and the ungrouped bucket last."""
+    nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    first = supplier.where("s_acctbal > 0").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("first_key"))
+    named = nation.join(first, F.col("n_nationkey") == F.col("s_nationkey"), "left").select(F.col("n_name").alias("group_name"), "n_nationkey", F.coalesce("first_key", F.lit(10**9)).alias("first_key"))
+    bucket = spark.range(1).select(F.lit("Other / Ungrouped").alias("group_name"), F.lit(None).cast("int").alias("n_nationkey"), F.lit(2 * 10**9).cast("long").alias("first_key"))
+    rows = named.unionByName(bucket)
+    return rows.withColumn("place", F.row_number().over(Window.orderBy("first_key", F.asc_nulls_last("n_nationkey"))))
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS ids FROM lineitem GROUP BY l_orderkey),
+r AS (SELECT o_orderkey, o_orderpriority, coalesce(ids, []::BIGINT[]) AS ids FROM orders LEFT JOIN s ON l_orderkey = o_orderkey),
+one AS (SELECT o_orderkey, o_orderpriority, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS item FROM r)
+SELECT o_orderkey, 'combined' AS packaging_mode, 0 AS item, len(ids)::INT AS n_products, o_orderpriority AS title,
+  'draft_' || substr(sha1('|' || o_orderkey || '|combined' || coalesce('|' || nullif(array_to_string(list_sort(list_transform(ids, lambda x: x::VARCHAR)), '|'), ''), '')), 1, 12) AS id FROM r
+UNION ALL SELECT o_orderkey, 'one_per_product', item::INT, 1, o_orderpriority || ' - ' || id, 'draft_' || substr(sha1('|' || o_orderkey || '|one_per_product|' || id), 1, 12) FROM one""")
+def draft_packaging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders packaged as one draft each, and as one per line."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"].cast("string")).alias("ids"))
+    none = F.array().cast("array<string>")
+    rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    chosen = rows.select(F.lit("").alias("key"), F.col("o_orderkey").cast("string").alias("requirement_id"), F.lit("").alias("spec_section_id"), F.lit("").alias("source_clause"), F.lit("other").alias("submittal_type"), none.alias("evidence_ids"), F.col("o_orderpriority").alias("title"), F.coalesce("ids", none).alias("ids"), F.coalesce("ids", none).alias("names"))
+    both = packaging.drafts(chosen, "combined").unionByName(packaging.drafts(chosen, "one_per_product"))
+    return both.select(F.col("requirement_id").cast("long").alias("o_orderkey"), "packaging_mode", "item", F.size("product_ids").alias("n_products"), "title", "id")
+
+
+@query("""
+WITH rows AS (
+  SELECT r_regionkey AS doc_rank, 0 AS kind, n_nationkey::BIGINT AS ord, r_name AS source_file, n_name AS title, 'Extracted Requirement' AS row_kind, n_name || ' — ' || r_name AS label FROM nation JOIN region ON r_regionkey = n_regionkey
+  UNION ALL SELECT r_regionkey, 1, c_custkey, r_name, c_name, 'Created Submittal', n_name || ' — ' || coalesce(c_mktsegment, 'Untitled') FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)
+SELECT doc_rank, kind, ord, source_file, title, row_kind, label, row_number() OVER (PARTITION BY doc_rank ORDER BY kind, ord)::INT AS place FROM rows""")
+def register_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracted and created rows of a register in export order."""
+    region, nation, customer = (table(spark, sf_dir, n) for n in ("region", "nation", "customer"))
+    base = F.broadcast(nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")))  # 25 rows at any scale
+    own = ["r_regionkey", "r_name", "n_name"]
+    extracted = base.select(*own, F.lit(0).alias("kind"), F.col("n_nationkey").cast("long").alias("ord"), F.col("n_name").alias("title"), F.lit(export.EXTRACTED).alias("row_kind"), X.section_label("n_name", "r_name").alias("label"))
+    created = customer.join(base, F.col("c_nationkey") == F.col("n_nationkey")).select(*own, F.lit(1).alias("kind"), F.col("c_custkey").alias("ord"), F.col("c_name").alias("title"), F.lit(export.CREATED).alias("row_kind"), X.section_label("n_name", "c_mktsegment").alias("label"))
+    rows = extracted.unionByName(created).select(F.col("r_regionkey").alias("doc_rank"), "kind", "ord", F.col("r_name").alias("source_file"), "title", "row_kind", "label")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_rank").orderBy("kind", "ord")))
+
+
+@query("""
+SELECT o_orderpriority, count(*) AS detected_section_count, count(*) FILTER (o_orderstatus IN ('F', 'P')) AS processed_section_count, count(*) FILTER (o_orderstatus = 'F') AS completed_count,
+  count(*) FILTER (o_orderstatus = 'O') AS not_processed_count, count(DISTINCT o_custkey) AS uploaded_file_count FROM orders GROUP BY o_orderpriority""")
+def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections by status."""
+    s = F.col("o_orderstatus")
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("detected_section_count"), F.count_if(s.isin("F", "P")).alias("processed_section_count"), F.count_if(s == "F").alias("completed_count"), F.count_if(s == "O").alias("not_processed_count"), F.count_distinct("o_custkey").alias("uploaded_file_count"))
+
+
+@query("""
+WITH i AS (SELECT l_partkey, l_suppkey, list_sort(list(DISTINCT l_returnflag)) AS runs FROM lineitem GROUP BY ALL), t AS (SELECT count(DISTINCT l_returnflag) AS total FROM lineitem)
+SELECT array_to_string(runs, ',') AS runs, len(runs)::INT AS n_runs, len(runs) = total AS always, count(*) AS n_items, min(l_partkey) AS first_part FROM i, t GROUP BY ALL""")
+def run_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In which of several runs the items were found."""
+    line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag")
+    total = F.broadcast(line.agg(F.count_distinct("l_returnflag").alias("total")))
+    items = line.groupBy("l_partkey", "l_suppkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("r")).crossJoin(total)
+    return items.groupBy(F.array_join("r", ",").alias("runs"), F.size("r").alias("n_runs"), (F.size("r") == F.col("total")).alias("always")).agg(F.count("*").alias("n_items"), F.min("l_partkey").alias("first_part"))
+
+
+@query("""
+SELECT p_partkey, p_name FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type, p_size::VARCHAR)), 'gear brand#1')""")
+def search_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search over several fields at once."""
+    part = table(spark, sf_dir, "part")
+    return part.where(P.search(["p_name", "p_brand", "p_type", F.col("p_size").cast("string")], " Gear Brand#1")).select("p_partkey", "p_name")
+
+
+@query("""
+WITH b AS (SELECT p_partkey, p_size * 10.0 AS l, p_retailprice / 2 AS t, p_size * 10.0 + p_partkey % 40 AS r, p_retailprice / 2 - p_partkey % 300 AS b, CASE p_partkey % 4 WHEN 0 THEN 'TOPLEFT' WHEN 1 THEN 'CENTER' WHEN 2 THEN 'BOTTOMLEFT' END AS o FROM part),
+s AS (SELECT p_partkey, o, l * 1.5 AS xa, r * 1.5 AS xb, (CASE WHEN coalesce(o, 'BOTTOMLEFT') = 'TOPLEFT' THEN t ELSE 792 - t END) * 1.5 AS ya, (CASE WHEN coalesce(o, 'BOTTOMLEFT') = 'TOPLEFT' THEN b ELSE 792 - b END) * 1.5 AS yb FROM b),
+c AS (SELECT p_partkey, o, greatest(0, least(least(xa, xb), 918)) AS x0, greatest(0, least(greatest(xa, xb), 918)) AS x1, greatest(0, least(least(ya, yb), 1188)) AS y0, greatest(0, least(greatest(ya, yb), 1188)) AS y1 FROM s)
+SELECT p_partkey, ok AS shown, CASE WHEN ok THEN round(x0, 3) END AS x0, CASE WHEN ok THEN round(y0, 3) END AS y0, CASE WHEN ok THEN round(x1, 3) END AS x1, CASE WHEN ok THEN round(y1, 3) END AS y1
+FROM (SELECT *, coalesce(o, 'BOTTOMLEFT') <> 'CENTER' AND x1 - x0 >= 1 AND y1 - y0 >= 1 AS ok FROM c)""")
+def bbox_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes on pages of 612 x 792 in images of 918 x 1188."""
+    key, size, price = F.col("p_partkey"), F.col("p_size") * 10.0, F.col("p_retailprice")
+    origin = F.when(key % 4 == 0, "TOPLEFT").when(key % 4 == 1, "CENTER").when(key % 4 == 2, "BOTTOMLEFT")
+    box = F.struct(size.alias("l"), (price / 2).alias("t"), (size + key % 40).alias("r"), (price / 2 - key % 300).alias("b"), origin.alias("coord_origin"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", box.alias("box")).withColumn("px", X.pixel_rect("box", F.lit(612.0), F.lit(792.0), F.lit(918), F.lit(1188)))
+    return rows.select("p_partkey", F.col("px").isNotNull().alias("shown"), *(F.round(F.col(f"px.{c}"), 3).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
+@query("""
+SELECT page_id, len(regexp_extract_all(html, '<p[ >]'))::INT AS paragraphs, len(regexp_extract_all(html, '<a '))::INT AS links, len(regexp_extract_all(html, '<h[1-6][ >]'))::INT AS headings,
+  len(regexp_extract_all(html, '<table[ >]'))::INT AS tables, len(regexp_extract_all(html, '<img '))::INT AS pictures FROM pages""")
+def doc_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the parts of a page."""
+    count = lambda p: F.size(F.regexp_extract_all("html", F.lit(p), F.lit(0)))
+    return table(spark, sf_dir, "pages").select("page_id", count("<p[ >]").alias("paragraphs"), count("<a ").alias("links"), count("<h[1-6][ >]").alias("headings"), count("<table[ >]").alias("tables"), count("<img ").alias("pictures"))
+
+
+@query("""
+SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 200000) AS resolved FROM customer""")
+def scope_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that resolve and those that do not."""
+    ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("evidence_id"), F.col("c_custkey").alias("ord"))
+    known = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 200000").select(F.col("o_custkey").alias("id"))
+    resolved, missing = evidence.resolve(ids, known)
+    named = resolved.select(F.col("id").alias("c_custkey")).distinct().withColumn("resolved", F.lit(True))
+    return named.unionByName(missing.select(F.col("evidence_id").alias("c_custkey"), F.lit(False).alias("resolved")))
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, pos, {_SQL_NORMAL.format(x='line')} AS n FROM ({_LINES})), k AS (SELECT doc_id, n, {_SQL_KEY.format(x='n')} AS k FROM l WHERE n <> '')
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (length(regexp_replace(n, '[^\\pL]', '', 'g')) >= 3 AND length(n) <= 120) AS n_title_like, count(*) FILTER (length(n) <= 40 AND upper(n) = n AND contains(n, ' ')) AS n_shouting,
+  sum(length(k))::BIGINT AS key_chars, count(*) FILTER (regexp_matches(n, '(?i)^(part|section|division)\\b')) AS n_heads FROM k GROUP BY doc_id""")
+def line_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicates on lines, counted by document."""
+    n, k = X.normalize("line", unicode=False), X.match_key("line", unicode=False)
+    rows = _lines(spark, sf_dir).select("doc_id", n.alias("n"), k.alias("k")).where("n <> ''")
+    t = F.col("n")
+    letters = F.length(F.regexp_replace(t, r"\P{L}", ""))
+    return rows.groupBy("doc_id").agg(
+        F.count("*").alias("n_lines"), F.count_if((letters >= 3) & (F.length(t) <= 120)).alias("n_title_like"), F.count_if((F.length(t) <= 40) & (F.upper(t) == t) & t.contains(" ")).alias("n_shouting"),
+        F.sum(F.length("k")).alias("key_chars"), F.count_if(t.rlike(r"(?i)^(part|section|division)\b")).alias("n_heads"),
+    )
+
+
+def _modes() -> Column:
+    qualified = F.concat("p_name", F.lit(" ("), "p_type", F.lit(")"))
+    return P.name_support(qualified, F.concat("p_brand", F.lit(" (indoor use)")), F.col("blob"), unicode=False)["mode"]
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, {_SQL_KEY.format(x='p_name')} AS core, lower(p_type) AS q, lower(replace(p_brand, '#', ' ')) AS brand, CASE WHEN p_size <= 25 THEN {_SQL_KEY.format(x='p_name')} || ' ' || lower(p_type) WHEN p_size <= 40 THEN {_SQL_KEY.format(x='p_name')} ELSE lower(replace(p_brand, '#', ' ')) END AS blob FROM part),
+f AS (SELECT *, list_filter(string_split(core || ' ' || q, ' '), lambda w: length(w) > 2) AS ws FROM p)
+SELECT CASE WHEN contains(blob, core || ' ' || q) OR (len(ws) >= 2 AND len(list_filter(ws, lambda w: NOT contains(blob, w))) = 0) THEN 'name'
+  WHEN contains(blob, brand) THEN 'core_fallback' ELSE 'unsupported' END AS mode, count(*) AS n, min(p_partkey) AS first_part FROM f GROUP BY 1""")
+def name_support_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the name of a product with a qualifier is supported by its evidence."""
+    key = X.match_key("p_name", unicode=False)
+    blob = F.when(F.col("p_size") <= 25, F.concat_ws(" ", key, F.lower("p_type"))).when(F.col("p_size") <= 40, key).otherwise(F.lower(F.replace("p_brand", F.lit("#"), F.lit(" "))))
+    rows = table(spark, sf_dir, "part").withColumn("blob", blob).select("p_partkey", _modes().alias("mode"))
+    return rows.groupBy("mode").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_part"))

@@ -1,0 +1,67 @@
+"""Ordered folds: the one place where rows are walked one by one.
+
+Rows are dealt by key and sorted, and Python walks each partition as a stream of
+Arrow batches; a key's rows are held only by group_walk(), which is for the few
+candidate rows of a document.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from typing import Any
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+Row = dict[str, Any]
+BATCH = 4096
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Row]:
+    for batch in batches:
+        yield from batch.to_pylist()
+
+
+def _batches(rows: Iterator[Row], names: list[str], kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held: list[Row] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == BATCH:
+            yield pa.RecordBatch.from_pylist(held, schema=kinds)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=kinds)
+
+
+def _walk(df: DataFrame, key: list[str], order: list, walk: Callable[[Iterator[Row]], Iterator[Row]], schema: T.StructType) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds, names = to_arrow_schema(schema), schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[Row]:
+            for _, rows in groupby(_rows(batches), key=lambda r: tuple(r[k] for k in key)):
+                yield from walk(rows)
+
+        yield from _batches(out(), names, kinds)
+
+    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
+
+
+def ordered_fold(df: DataFrame, key: list[str], order: list, start: Callable[[], Any], step: Callable[[Any, Row], tuple[Any, Row]], schema: T.StructType) -> DataFrame:
+    """A state per key, carried along the rows in order; step gives the next state and the output row."""
+
+    def walk(rows: Iterator[Row]) -> Iterator[Row]:
+        state = start()
+        for row in rows:
+            state, made = step(state, row)
+            yield made
+
+    return _walk(df, key, order, walk, schema)
+
+
+def group_walk(df: DataFrame, key: list[str], order: list, work: Callable[[list[Row]], list[Row]], schema: T.StructType) -> DataFrame:
+    """work() on the rows of each key as a list, for groups that are small by nature."""
+    return _walk(df, key, order, lambda rows: iter(work(list(rows))), schema)
