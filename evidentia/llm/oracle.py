@@ -1,5 +1,51 @@
-"""DuckDB twins of the queries that SQL can express."""
+"""DuckDB twins of the queries that SQL can express.
+
+The others need a tokenizer, XXH64 or a fitted model; they are tested against
+brute force.
+"""
 
 from __future__ import annotations
 
+from evidentia.llm import secrets
+
 ORACLES: dict[str, str] = {}
+
+ORACLES["op1_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a), c AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, least(vec_id, coalesce(c.least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c.least, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_MATCHES = " UNION ALL ".join(
+    f"SELECT doc_id, {i} AS kind_no, {_quoted(r.kind)} AS kind, unnest(list_transform(string_split_regex(t, {_quoted(r.pattern)}), lambda x: length(x))[:len(regexp_extract_all(t, {_quoted(r.pattern)}))]) AS gap, "
+    f"unnest(list_transform(regexp_extract_all(t, {_quoted(r.pattern)}), lambda x: length(x))) AS size, unnest(list_transform(regexp_extract_all(t, {_quoted(r.pattern)}, {r.group}), lambda x: length(x))) AS own, "
+    f"generate_subscripts(regexp_extract_all(t, {_quoted(r.pattern)}), 1) AS i, {r.least} AS least FROM d"
+    for i, r in enumerate(secrets.RULES)
+)
+ORACLES["op5_secret_scans"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({_MATCHES}),
+p AS (SELECT *, sum(gap + size) OVER (PARTITION BY doc_id, kind_no ORDER BY i) AS e FROM m),
+f AS (SELECT doc_id, kind_no, kind, (e - size)::BIGINT AS s, e::BIGINT AS e FROM p WHERE own >= least),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kind_no) FILTER (kind_no < {len(secrets.BASE)}), '') AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kind_no) AS spans FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN g USING (doc_id)"""
+
+ORACLES["op7_suffix_array_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+r AS (SELECT doc_id, p FROM w JOIN f USING (s) WHERE first < doc_id),
+b AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM r),
+i AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM b),
+sp AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS z FROM i GROUP BY ALL),
+g AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS y FROM sp),
+q AS (SELECT doc_id, any_value(h) AS h, max(z) AS z, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * y + 1, 2 * (a - y)), '' ORDER BY a) AS head FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head || substr(q.h, 2 * z + 1), d.h))) AS kept_sha256 FROM d LEFT JOIN q USING (doc_id)"""
