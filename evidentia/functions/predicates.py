@@ -92,7 +92,7 @@ def title_line(normal: Column, parsed: Column) -> Column:
 def contains_key(hay: Column, needle: Column) -> Column:
     """Containment of match keys in three tiers: as it is, without what is not a-z0-9, and word by word.
 
-    The third needs two words or more of over two characters, each found anywhere.
+    hay must be a column, not an expression with nfkc(), as it goes into a lambda.  The third tier needs two words or more of over two characters, each found anywhere.
     """
     glue = lambda x: F.regexp_replace(x, "[^a-z0-9]", "")
     words = F.filter(F.split(needle, " "), lambda w: F.length(w) > 2)

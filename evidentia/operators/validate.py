@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from evidentia.functions import predicates as P
 from evidentia.functions import text as X
+from evidentia.plans.lineage import cut
 
 KEY = "project_section_key"
 ENTITIES = ("requirement", "product_group", "product", "link")
@@ -73,16 +74,16 @@ def _cite(rows: DataFrame, evidence: DataFrame, entity: str, phase: int, log: _L
     """rows with evidence_ids known and unique, blob_key and clauses of what they cite; rows that cite nothing known go."""
     cited = rows.select(KEY, "ord", "id", F.posexplode("evidence_ids").alias("item", "_eid"))
     known = evidence.select(F.col(KEY).alias("_k"), F.col("id").alias("_e"), "raw_text", "heading_path", "source_clause")
-    met = cited.join(known, (F.col(KEY) == F.col("_k")) & (F.col("_eid") == F.col("_e")), "left")
+    met = cut(cited.join(known, (F.col(KEY) == F.col("_k")) & (F.col("_eid") == F.col("_e")), "left"))
     log.issue(met.where("_e is null"), "error", entity, "unknown_evidence_id", F.concat(F.lit("Unknown evidence ID '"), F.col("_eid"), F.lit("' stripped.")), phase, 0, F.array("_eid"), F.col("item"))
     lines = F.array_join(F.concat(F.array(F.coalesce("raw_text", F.lit(""))), F.coalesce("heading_path", F.array().cast("array<string>")), F.when(F.coalesce("source_clause", F.lit("")) != "", F.array("source_clause")).otherwise(F.array().cast("array<string>"))), "\n")
     first = met.where("_e is not null").groupBy(KEY, "ord", "_eid").agg(F.min("item").alias("item"), F.first(lines).alias("said"), F.first("source_clause").alias("clause"))
     held = first.groupBy(KEY, "ord").agg(F.array_sort(F.collect_list(F.struct("item", "_eid", "said", "clause"))).alias("x"))
     got = held.select(KEY, "ord", F.transform("x", lambda c: c["_eid"]).alias("kept"), F.array_join(F.transform("x", lambda c: c["said"]), "\n").alias("blob"), F.filter(F.transform("x", lambda c: c["clause"]), lambda c: c.isNotNull()).alias("clauses"))
-    joined = rows.join(got, [KEY, "ord"], "left")
+    joined = cut(rows.join(got, [KEY, "ord"], "left").withColumn("blob_key", X.match_key("blob", unicode)))
     shown = {"requirement": "Requirement", "product_group": "ProductGroup", "product": "Product", "link": "Link"}[entity]
     log.reject(joined.where("kept is null"), entity, "no_valid_evidence", f"{shown} rejected: no valid evidence IDs remain.", phase, 1)
-    return joined.where("kept is not null").withColumn("evidence_ids", F.col("kept")).withColumn("blob_key", X.match_key("blob", unicode)).drop("kept", "blob")
+    return joined.where("kept is not null").withColumn("evidence_ids", F.col("kept")).drop("kept", "blob")
 
 
 def _quoted(before: str, name: str, after: str) -> Column:
@@ -97,6 +98,7 @@ def _groups(rows: DataFrame, log: _Log, unicode: bool) -> DataFrame:
 
 def _products(rows: DataFrame, groups: DataFrame, log: _Log, unicode: bool) -> DataFrame:
     judged = rows.withColumn("support", P.name_support("name", "normalized_name", F.col("blob_key"), unicode))
+    judged = cut(judged)
     ids = F.col("evidence_ids")
     log.reject(judged.where("support.mode = 'unsupported'"), "product", "unsupported_product_name", _quoted("Product name/normalized_name not supported by cited evidence (name='", "name", "')."), 3, 2, ids)
     kept = judged.where("support.mode <> 'unsupported'")
@@ -121,7 +123,7 @@ def _requirements(rows: DataFrame, log: _Log, unicode: bool) -> tuple[DataFrame,
     log.issue(rows.where("_strip"), "warning", "requirement", "unsupported_condition", _quoted("condition '", "condition", "' not supported by cited evidence; cleared to None."), 4, 3, ids)
     conditions = rows.where("_strip").select(KEY, F.col("id").alias("requirement_id"), "condition", "ord")
     refs = rows.select(KEY, "ord", "id", "evidence_ids", "blob_key", F.posexplode("cross_references").alias("item", "ref"))
-    refs = refs.withColumn("_ok", P.cross_reference_supported("ref", F.col("blob_key"), unicode))
+    refs = cut(refs.withColumn("_ok", P.cross_reference_supported("ref", F.col("blob_key"), unicode)))
     gone = refs.where("not _ok")
     log.issue(gone, "warning", "requirement", "unsupported_cross_reference", _quoted("cross_reference '", "ref", "' not found in cited evidence; stripped."), 4, 4, ids, F.col("item"))
     kept = refs.where("_ok").groupBy(KEY, "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("item", "ref"))), lambda x: x["ref"]).alias("_refs"))
@@ -134,6 +136,7 @@ def _links(rows: DataFrame, requirements: DataFrame, products: DataFrame, log: _
     req = requirements.select(F.col(KEY).alias("_rk"), F.col("id").alias("_r"), F.col("blob_key").alias("req_key"))
     prod = products.select(F.col(KEY).alias("_pk"), F.col("id").alias("_p"), F.col("blob_key").alias("prod_key"), F.col("name").alias("_name"), F.col("normalized_name").alias("_normal"))
     met = rows.join(req, (F.col(KEY) == F.col("_rk")) & (F.col("requirement_id") == F.col("_r")), "left").join(prod, (F.col(KEY) == F.col("_pk")) & (F.col("product_id") == F.col("_p")), "left")
+    met = cut(met)
     log.reject(met.where("_r is null"), "link", "dangling_requirement_id", _quoted("Link rejected: requirement_id '", "requirement_id", "' does not exist in surviving requirements."), 5, 2)
     log.reject(met.where("_r is not null and _p is null"), "link", "dangling_product_id", _quoted("Link rejected: product_id '", "product_id", "' does not exist in surviving products."), 5, 3)
     met = met.where("_r is not null and _p is not null")
@@ -151,7 +154,7 @@ def _links(rows: DataFrame, requirements: DataFrame, products: DataFrame, log: _
         .when((method == "normalized") & ~F.col("a_req"), F.lit("downgrade"))  # the product side always holds here
         .otherwise("keep")
     )
-    met = met.withColumn("fate", fate)
+    met = cut(met.withColumn("fate", fate))
     explicit = met.where("fate = 'downgrade' and mapping_method = 'explicit'")
     normal = met.where("fate = 'downgrade' and mapping_method = 'normalized'")
     log.issue(explicit, "warning", "link", "mapping_downgraded", "explicit unsupported; downgraded to inferred with review_required=True.", 5, 5, ids)
@@ -185,7 +188,8 @@ def validate(found: Extraction, evidence: DataFrame, unicode: bool = True) -> Va
     requirements, refs, conditions = _requirements(requirements, log, unicode)
     links, downgrades = _links(_cite(unique[3], evidence, "link", 5, log, unicode), requirements, products, log, unicode)
     kept = Extraction(*(df.select(*c) for df, c in zip((requirements, groups, products, links), columns, strict=True)))
-    return Validated(kept, _union(log.issues), _union(log.rejected), downgrades, refs, conditions)
+    kept = Extraction(*map(cut, kept))
+    return Validated(kept, cut(_union(log.issues)), cut(_union(log.rejected)), downgrades, refs, conditions)
 
 
 ISSUE_ORDER = ["phase", "ord", "rule", "item"]
@@ -199,7 +203,7 @@ def tally(issues: DataFrame) -> DataFrame:
 def report(v: Validated, sections: DataFrame) -> DataFrame:
     """One row per section: valid, accepted and rejected counts by entity, tallies as warning:code and error:code."""
     names = dict(zip(ENTITIES, ("requirements", "product_groups", "products", "links"), strict=True))
-    count = lambda parts: _union(parts).groupBy(KEY).pivot("entity_type", list(ENTITIES)).agg(F.count("*"))
+    count = lambda parts: _union(parts).groupBy(KEY).pivot("entity_type", list(ENTITIES)).agg(F.count(F.lit(1)))
     accepted = count([df.select(KEY, F.lit(n).alias("entity_type")) for n, df in zip(ENTITIES, v.extraction, strict=True)])
     rejected = count([v.rejected.select(KEY, "entity_type")])
     as_map = lambda name: F.create_map(*[x for e in ENTITIES for x in (F.lit(names[e]), F.coalesce(F.col(f"`{e}`"), F.lit(0)))]).alias(name)
