@@ -6,6 +6,7 @@ of the batch operators is kept over micro-batches.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -36,11 +37,10 @@ def append_new(stream: DataFrame, path: str, checkpoint: str, id_col: str = "id"
         spark = batch.sparkSession
         fresh = batch.dropDuplicates([id_col])
         try:
-            known = spark.read.parquet(path).select(id_col)
-        except Exception:  # noqa: BLE001  the table is made by the first batch
-            known = None
-        if known is not None:
-            fresh = fresh.join(known, id_col, "left_anti")
+            fresh = fresh.join(spark.read.parquet(path).select(id_col), id_col, "left_anti")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # the first batch makes the table
+                raise
         fresh.write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

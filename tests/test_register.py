@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from evidentia import catalog, schemas
 from evidentia.operators import chunks, export, grounding, packaging, present, project, validate, vector
+from evidentia.operators.sections import discover
+from evidentia.plans.register import run_sections, section_evidence
 from evidentia.sources import files, plugins
 from evidentia.streaming import drafts as streams
 
@@ -227,6 +229,35 @@ def test_files(spark, tmp_path):
     assert good.first()["items"][0]["text"] == "a.pdf" and bad.first()["error"].startswith("c.HTML: ")
 
 
+def test_a_whole_run(spark):
+    rows = [
+        ("SECTION 15891 - METAL DUCTS", "section_header"), ("PART 1 GENERAL", "section_header"), ("1.04 SUBMITTALS", "section_header"), ("A. Product data for metal ductwork", "list_item"), ("PART 2 PRODUCTS", "section_header"),
+        ("2.01 METAL DUCTWORK", "section_header"), ("galvanized steel", "text"), ("PART 3 EXECUTION", "section_header"),
+    ]
+    items = [{"self_ref": f"#{i}", "label": label, "orig": None, "text": t, "marker": None, "prov": [{"page_no": 1, "bbox": None}]} for i, (t, label) in enumerate(rows)]
+    item = "array<struct<self_ref:string,label:string,orig:string,text:string,marker:string,prov:array<struct<page_no:int,bbox:struct<l:double,t:double,r:double,b:double,coord_origin:string>>>>>"
+    uploads = spark.createDataFrame([(0, "a.pdf", bytearray(b"x"), items), (1, "b.pdf", bytearray(b"y"), items[:2] + items[4:])], f"ord int, filename string, content binary, items {item}")
+    documents, evidence, sections, warnings = project.build(uploads)
+    assert sections.count() == 2 and warnings.count() == 0
+    found = discover(evidence).withColumn("key", project.section_key(F.col("document_id"), F.col("id")))
+
+    def extractor(prompt: str) -> dict:
+        ids = {line.split(": ")[1][:-1]: prompt.split(line)[1][:200] for line in prompt.splitlines() if line.startswith("[EVIDENCE ID")}
+        data, duct = (next(i for i, t in ids.items() if word in t) for word in ("Product data", "METAL DUCTWORK"))
+        return {
+            "requirements": [{"id": "r1", "submittal_type": "product_data", "title": "Data", "source_clause": "1.04", "cross_references": [], "evidence_ids": [data]}],
+            "products": [{"id": "p1", "name": "Metal Ductwork", "evidence_ids": [duct]}],
+            "links": [{"id": "l1", "requirement_id": "r1", "product_id": "p1", "mapping_method": "explicit", "source_phrase": "metal ductwork", "evidence_ids": [data], "review_required": False}],
+        }
+
+    run = run_sections(section_evidence(found, evidence), extractor)
+    view = run.views.collect()
+    assert len(view) == 1 and view[0]["suggested_product_ids"] == ["p1"]
+    report = {r["project_section_key"]: r["accepted_counts"]["links"] for r in run.report.collect()}
+    assert sorted(report.values()) == [0, 1]
+    assert "no_submittal_regions_found" in {r["warning"] for r in run.warnings.collect()}
+
+
 def test_streams(spark, tmp_path):
     source = tmp_path / "in"
     spark.createDataFrame([(1, "a\nb"), (1, "a\nb"), (2, "c")], "doc_id int, text string").write.parquet(str(source))
