@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evidentia.functions.predicates import search
+from evidentia.functions.text import type_title
 from evidentia.operators.validate import KEY, Extraction
 
 UNGROUPED_ID, UNGROUPED_NAME = "__ungrouped__", "Other / Ungrouped"
@@ -100,3 +102,38 @@ def toggle_group(selection: Column, visible: Column, on: Column) -> Column:
 
 def status_label(is_suggested: Column, is_selected: Column) -> Column:
     return F.when(is_suggested, "AI Suggested").when(is_selected, "Selected manually").otherwise("Available")
+
+
+def search_products(pairs: DataFrame, query: str) -> DataFrame:
+    """Rows of catalogue() that a search shows: a hit on the group keeps all its members."""
+    q = query.strip().lower()
+    if not q:
+        return pairs
+    return pairs.where(F.lower(F.coalesce("group_name", F.lit(""))).contains(q) | F.lower(F.coalesce("name", F.lit(""))).contains(q))
+
+
+def search_requirements(requirements: DataFrame, query: str) -> DataFrame:
+    said = [F.coalesce(c, F.lit("")) for c in ("title", "source_clause", type_title("submittal_type"), "requirement_text", "source_category")]
+    return requirements.where(search(said, query))
+
+
+def search_chunks(chunks: DataFrame, query: str = "", enriched_only: bool = False) -> DataFrame:
+    """Chunks whose raw or enriched text holds the query."""
+    q = query.lower()
+    rows = chunks.where("was_enriched") if enriched_only else chunks
+    return rows.where(F.lower("raw_text").contains(q) | F.lower("page_content").contains(q)) if q else rows
+
+
+def per_clause(requirements: DataFrame) -> DataFrame:
+    return requirements.groupBy(KEY, F.coalesce(F.nullif("source_clause", F.lit("")), F.lit("(none)")).alias("clause")).agg(F.count("*").alias("n"))
+
+
+def review_targets(x: Extraction, evidence: DataFrame) -> DataFrame:
+    """What a review opens for each entity: title, evidence ids, and the clauses of that evidence in first-seen order."""
+    one = lambda df, kind, title: df.select(KEY, F.lit(kind).alias("entity_type"), F.col("id").alias("entity_id"), F.col(title).alias("title"), "evidence_ids")
+    rows = one(x.requirements, "requirement", "title").unionByName(one(x.products, "product", "name")).unionByName(one(x.product_groups, "product_group", "name"))
+    cited = rows.select(KEY, "entity_type", "entity_id", F.posexplode("evidence_ids").alias("i", "_e"))
+    known = evidence.select(F.col(KEY).alias("_k"), F.col("id").alias("_id"), "source_clause")
+    met = cited.join(known, (F.col(KEY) == F.col("_k")) & (F.col("_e") == F.col("_id"))).where("source_clause <> ''")
+    clauses = met.groupBy(KEY, "entity_type", "entity_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("i", "source_clause"))), lambda c: c["source_clause"])).alias("clauses"))
+    return rows.join(clauses, [KEY, "entity_type", "entity_id"], "left").withColumn("clauses", F.coalesce("clauses", F.array().cast("array<string>")))

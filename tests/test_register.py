@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 import io
+import json
 import subprocess
 import sys
 import zipfile
@@ -100,6 +101,26 @@ def test_view_and_consistency(validated, extraction):
     assert {r["failure"] for r in present.consistency(kept, broken).collect()} == {"available_product_count mismatch"}
 
 
+def test_searches_and_review(validated, extraction, spark):
+    kept, evidence = validated.extraction, extraction[1]
+    pairs = present.catalogue(kept, evidence)
+    assert {r["product_id"] for r in present.search_products(pairs, " SEALANT ").collect()} == {"p1"}
+    assert present.search_products(pairs, "").count() == 2
+    assert present.search_requirements(kept.requirements, "product data").count() == 1
+    assert [(r["clause"], r["n"]) for r in present.per_clause(kept.requirements).collect()] == [("1.04", 1)]
+    targets = {r["entity_id"]: r["clauses"] for r in present.review_targets(kept, evidence).collect()}
+    assert targets == {"r1": ["1.04.A"], "g1": ["1.04.A"], "p1": ["1.04.A"], "p2": ["2.01"]}
+    chunk = spark.createDataFrame([("Body A", "raw", True), ("Body B", "Raw x", False)], "page_content string, raw_text string, was_enriched boolean")
+    assert present.search_chunks(chunk, "RAW X").count() == 1 and present.search_chunks(chunk, enriched_only=True).count() == 1
+
+
+def test_json_artifact(spark):
+    docs = spark.createDataFrame([('a"b',), ("c",)], "document_id string")
+    rows = spark.createDataFrame([('a"b', 1, "x"), ('a"b', 2, None)], "document_id string, n int, t string")
+    out = {r["document_id"]: json.loads(r["json"]) for r in export.json_artifact(docs, regions=rows).collect()}
+    assert out == {'a"b': {"document_id": 'a"b', "regions": [{"document_id": 'a"b', "n": 1, "t": "x"}, {"document_id": 'a"b', "n": 2}]}, "c": {"document_id": "c", "regions": []}}
+
+
 def register(spark, order=None, uploaded=None):
     sections = spark.createDataFrame(
         [("d1::s", "d1", "a.pdf", "s", "15891", "DUCTS", 1, 3, 9, 0), ("d2::s", "d2", "b.pdf", "s", "23 31 13", None, 1, 2, 5, 1), ("d3::s", "d3", "c.pdf", "s", "00001", "X", 1, 1, 1, 2)],
