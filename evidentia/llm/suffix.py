@@ -13,18 +13,21 @@ cover, and the document.
    Anchors whose whole cover stands in a smaller document are decided there;
    anchors that share a head but not the cover are edges of a repeat.
 3. Edges return to their units, and their covers, 85 bytes at most, are compared
-   window by window in the buckets of their heads.
+   window by window in the buckets of their heads.  A head with very many covers
+   (the border of a passage that a large part of all documents has) would fill one
+   bucket: its windows are dealt by their own hash instead, the smallest document
+   of each unit only.
 4. Units cut out what was found.
 
-Hashes decide equality with 100 bits or more.  Nothing leaves a task that is larger
-than the anchors of its texts, and a head found many times in a unit is one row
-per different cover.
+Hashes decide equality with 96 bits or more.  Nothing leaves a task that is larger
+than the anchors of its texts.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import partial
 from typing import NamedTuple
 
 import numpy as np
@@ -39,6 +42,8 @@ from evidentia.llm.common import by_size, mix, partitions, small_batches, stored
 
 HEAD = 16
 UNIT_BYTES = 2 << 20
+#: Covers of a head from which on its windows are dealt by their own hash.
+MANY_COVERS = 64
 #: Order of a null id: after every other.
 LAST = np.iinfo(np.int64).max
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -376,15 +381,19 @@ def _answers(parts: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(kinds, pa.int32()), pa.array(payloads, pa.binary())], ["unit", "kind", "payload"])
 
 
-def _resolve(bucket: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    """Kind 1: anchors whose cover is removed; kind 2: edges to look at closely."""
+def _resolve(bucket: list[tuple[int, bytes]], most: int = MANY_COVERS) -> Iterator[pa.RecordBatch]:
+    """Kind 1: anchors whose cover is removed; kind 2: edges to look at closely; kind 4: those of heads with many covers."""
     family = Family()
     for unit, payload in bucket:
         run = _unpack_run(payload, unit)
         family.add(run.take(groups(run.head, run.cover)[0]))
     run, edge = family.finish()
-    parts = []
-    for kind, unit, index in ((1, *(np.concatenate(x) for x in zip(*family.decided, strict=True))) if family.decided else (1, run.unit[:0], run.index[:0]), (2, run.unit[edge], run.index[edge])):
+    parts, edge = [], np.flatnonzero(edge)
+    order, start = groups(run.head[edge])
+    covers = np.empty(len(edge), dtype=np.int64)
+    covers[order] = np.repeat(np.diff(np.r_[start, len(order)]), np.diff(np.r_[start, len(order)]))
+    few, many = edge[covers <= most], edge[covers > most]
+    for kind, unit, index in ((1, *(np.concatenate(x) for x in zip(*family.decided, strict=True))) if family.decided else (1, run.unit[:0], run.index[:0]), (2, run.unit[few], run.index[few]), (4, run.unit[many], run.index[many])):
         parts += [(u, kind, _pack(np.diff(i, prepend=0).astype("<i4"))) for u, (i,) in _by_unit(unit, index)]
     yield _answers(parts)
 
@@ -398,31 +407,72 @@ def _edges(units: DataFrame, results: DataFrame, least: int, bits: int) -> DataF
     """(unit, bucket, payload): the covers of edges, to the buckets of their heads."""
 
     def work(name: int, unit: Unit, nulls: np.ndarray, rest: bytes | None, found: list) -> Iterator[pa.RecordBatch]:
-        i = np.sort(_indices(found, 2))
-        if not len(i):
+        i, many = np.sort(_indices(found, 2)), np.sort(_indices(found, 4))
+        if not len(i) + len(many):
             return
         a = anchors(unit, least)
-        bucket = (a.head[i] >> np.uint64(64 - bits)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
         names, payload = [], []
-        cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0, True])
-        for x, y in zip(cuts, cuts[1:], strict=False):
-            k = i[order[x:y]]
+        for x, k in _dealt(a.head[i], bits):
+            k = i[k]
             size = a.hi[k] + least - a.lo[k]
             text = unit.buf[np.repeat(a.lo[k] - np.cumsum(size) + size, size) + np.arange(size.sum())]
             meta = _pack(unit.docs[a.doc[k]], a.lo[k].astype("<i4"), size.astype("<i2"), (a.at[k] - a.lo[k]).astype("<i2"))
-            names.append(int(bucket[order[x]]))
-            payload.append(len(meta).to_bytes(4, "little") + meta + zstandard.ZstdCompressor(level=1).compress(text.tobytes()))
+            names.append(x)
+            payload.append(b"C" + len(meta).to_bytes(4, "little") + meta + zstandard.ZstdCompressor(level=1).compress(text.tobytes()))
+        at, doc, key, more = own_windows(unit, a, many, least)
+        first = doc == least_of(doc, *groups(key, more))
+        at, doc, key, more = at[first], doc[first], key[first], more[first]
+        for x, k in _dealt(key, bits):
+            names.append(x + (1 << bits))
+            payload.append(b"W" + _pack(key[k], more[k], doc[k], at[k].astype("<i4")))
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(names), pa.int64()), pa.array(names, pa.int64()), pa.array(payload, pa.binary())], ["unit", "bucket", "payload"])
 
-    return _each_unit(units, results.where("kind = 2"), work, "unit long, bucket long, payload binary")
+    return _each_unit(units, results.where("kind in (2, 4)"), work, "unit long, bucket long, payload binary")
+
+
+def _dealt(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, positions) by the top bits."""
+    if not len(hashes):
+        return
+    bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0])
+    for x, y in zip(cuts, np.r_[cuts[1:], len(order)], strict=True):
+        yield int(bucket[order[x]]), order[x:y]
+
+
+def own_windows(unit: Unit, a: Anchors, index: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(position, document, hash, further hash) of every window of some anchors."""
+    many = a.hi[index] - a.lo[index] + 1
+    at = np.repeat(a.lo[index] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    w = words8(unit.buf) if len(index) else np.zeros(1, dtype="<u8")
+    more = (mix(np.repeat(a.head[index], many) + w[at] * _M2) >> np.uint64(32)).astype("<u4")
+    return at, np.repeat(unit.docs[a.doc[index]], many), range_hash(w, at, at + least, least), more
+
+
+def _runs_of(gone: np.ndarray, at: np.ndarray, same: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first flags, starts, ends) of runs of removed windows; same says that a row goes on where the one before was."""
+    begins = gone & ~np.r_[False, gone[:-1] & same]
+    stops = gone & ~np.r_[gone[1:] & same, False]
+    return begins, at[begins], at[stops] + least
 
 
 def _windows(least: int) -> Callable:
+    def by_hash(bucket: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        """The same for windows dealt by their hash."""
+        parts = [(np.full(len(c[0]), u), *c) for u, c in ((u, _unpack(p[1:], "<u8", "<u4", "<i8", "<i4")) for u, p in bucket)]
+        unit, key, more, doc, at = (np.concatenate(c) for c in zip(*parts, strict=True))
+        gone = doc > least_of(doc, *groups(key, more))
+        yield _answers([(u, 3, _pack(x.astype("<i4"), (x + least).astype("<i4"))) for u, (x,) in _by_unit(unit[gone], at[gone].astype(np.int64))])
+
     def work(bucket: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         """Kind 3: ranges (start, end) of a unit that a smaller document holds."""
+        if bucket[0][1][:1] == b"W":
+            yield from by_hash(bucket)
+            return
         columns, texts = [], []
         for unit, payload in bucket:
+            payload = payload[1:]
             n = int.from_bytes(payload[:4], "little")
             doc, lo, size, back = _unpack(payload[4 : 4 + n], "<i8", "<i4", "<i2", "<i2")
             columns.append((np.full(len(doc), unit), doc, lo.astype(np.int64), size.astype(np.int64), back.astype(np.int64)))
@@ -440,10 +490,7 @@ def _windows(least: int) -> Callable:
         order, first = groups(key, head)
         gone = owner > least_of(owner, order, first)
         at = lo[row] + shift
-        # runs of removed windows of one cover
-        begins = gone & ~np.r_[False, gone[:-1] & (row[1:] == row[:-1])]
-        stops = gone & ~np.r_[gone[1:] & (row[1:] == row[:-1]), False]
-        a, b = at[begins], at[stops] + least
+        begins, a, b = _runs_of(gone, at, row[1:] == row[:-1], least)
         yield _answers([(u, 3, _pack(x.astype("<i4"), y.astype("<i4"))) for u, (x, y) in _by_unit(unit[row][begins], a, b)])
 
     return work
@@ -455,6 +502,10 @@ def removed(unit: Unit, least: int, found: list[tuple[int, bytes]]) -> np.ndarra
     gone = ~local_owners(unit, a)
     gone[_indices(found, 1)] = True
     starts, ends = [a.lo[gone]], [a.hi[gone] + least]
+    at, doc, key, more = own_windows(unit, a, _indices(found, 4), least)
+    repeated = at[doc > least_of(doc, *groups(key, more))]
+    starts.append(repeated)
+    ends.append(repeated + least)
     for kind, data in found:
         if kind == 3:
             x, y = _unpack(data, "<i4", "<i4")
@@ -466,18 +517,18 @@ def removed(unit: Unit, least: int, found: list[tuple[int, bytes]]) -> np.ndarra
     return np.cumsum(edge[:-1]) > 0
 
 
-def find_repeats(docs: DataFrame, id_col: str, text_col: str, least: int, carry: bool = False) -> tuple[DataFrame, DataFrame]:
+def find_repeats(docs: DataFrame, id_col: str, text_col: str, least: int, carry: bool = False, most: int = MANY_COVERS) -> tuple[DataFrame, DataFrame]:
     """(units, results): results (unit, kind, payload) say what to remove."""
     assert least >= HEAD + 8
     units = units_of(docs, id_col, text_col, carry=carry)
     bits = max(1, (3 * partitions(docs.sparkSession) - 1).bit_length())
-    first = stored(_per_bucket(_index(units, least, bits), "bucket", _resolve, "unit long, kind int, payload binary"), "suffix-matches")
+    first = stored(_per_bucket(_index(units, least, bits), "bucket", partial(_resolve, most=most), "unit long, kind int, payload binary"), "suffix-matches")
     close = _per_bucket(_edges(units, first, least, bits), "bucket", _windows(least), "unit long, kind int, payload binary")
     second = stored(close, "suffix-edges")
-    return units, first.where("kind = 1").unionByName(second)
+    return units, first.where("kind in (1, 4)").unionByName(second)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, most: int = MANY_COVERS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per row of docs.
 
     A byte is removed if it lies in a string of `least` bytes that also starts in a
@@ -486,7 +537,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     so rows with the same id keep what only they share.  Null and empty texts have
     no bytes.  Other columns are ignored.
     """
-    units, results = find_repeats(docs, id_col, text_col, least)
+    units, results = find_repeats(docs, id_col, text_col, least, most=most)
 
     def work(name: int, unit: Unit, nulls: np.ndarray, rest: bytes | None, found: list) -> Iterator[pa.RecordBatch]:
         gone = removed(unit, least, found)

@@ -368,12 +368,13 @@ def test_suffix(spark, monkeypatch, unit):
     assert got(suffix.dedup(empty(spark))) == []
 
 
-def test_suffix_on_shared_pieces(spark):
+@pytest.mark.parametrize("many", [0, 2, 64])
+def test_suffix_on_shared_pieces(spark, many):
     r = np.random.default_rng(8)
     stock = ["".join(r.choice(list("abcd "), r.integers(20, 120))) for _ in range(30)]
     data = [(int(i), "".join(stock[k] for k in r.integers(0, 30, 6))) for i in r.permutation(60)]
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
-    assert Counter(got(suffix.dedup(df))) == want_removed(data)
+    assert Counter(got(suffix.dedup(df, most=many))) == want_removed(data)
 
 
 def test_suffix_trim(spark):
