@@ -241,8 +241,8 @@ def _wide48(x: np.ndarray) -> np.ndarray:
 
 
 def _pack_run(head: np.ndarray, cover: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, index: np.ndarray) -> bytes:
-    """Hashes as they are, at 48 bits; documents and positions as differences, compressed."""
-    hashes = _low48(head).tobytes() + _low48(cover).tobytes() + left.tobytes() + right.tobytes()
+    """Hashes at 48 bits (of a head the high ones, its bucket has the low ones); documents and positions as differences, compressed."""
+    hashes = _low48(head >> np.uint64(16)).tobytes() + _low48(cover).tobytes() + left.tobytes() + right.tobytes()
     return len(head).to_bytes(4, "little") + hashes + _pack(np.diff(doc, prepend=0), np.diff(index, prepend=0).astype("<i4"))
 
 
@@ -335,12 +335,9 @@ def _index(units: DataFrame, least: int, bits: int) -> DataFrame:
     def work(name: int, unit: Unit, nulls: np.ndarray, rest: bytes | None, found: list) -> Iterator[pa.RecordBatch]:
         a = anchors(unit, least)
         own = np.flatnonzero(local_owners(unit, a))
-        bucket = (a.head[own] >> np.uint64(64 - bits)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
         docs, payload, names = unit.docs[a.doc], [], []
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            i = own[order[cuts[b] : cuts[b + 1]]]
+        for b, i in _dealt(a.head[own], bits):
+            i = own[i]
             names.append(b)
             payload.append(_pack_run(a.head[i], a.cover[i], a.left[i], a.right[i], docs[i], i))
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(names), pa.int64()), pa.array(names, pa.int64()), pa.array(payload, pa.binary())], ["unit", "bucket", "payload"])
@@ -431,10 +428,10 @@ def _edges(units: DataFrame, results: DataFrame, least: int, bits: int) -> DataF
 
 
 def _dealt(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, positions) by the top bits."""
+    """(bucket, positions) by the low bits: anchors are chosen for small heads, so the top bits of those are mostly zero."""
     if not len(hashes):
         return
-    bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    bucket = (hashes & np.uint64((1 << bits) - 1)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0])
     for x, y in zip(cuts, np.r_[cuts[1:], len(order)], strict=True):
