@@ -29,9 +29,14 @@ BITS = 64
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def words_of(text: str | None) -> list[str]:
+    """The words of a text, A-Z lowered."""
+    return [w for w in (text or "").translate(_SPACES | _LOWER).split(" ") if w]
+
+
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """The fingerprint of one text; null, empty and blank texts have 0."""
-    words = [w for w in (text or "").translate(_SPACES | _LOWER).split(" ") if w]
+    words = words_of(text)
     if not words:
         return 0
     spans = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words]

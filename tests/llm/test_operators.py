@@ -15,8 +15,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from evidentia.llm import components, embed, licenses, packing, quality, secrets, simhash, spm, suffix, tokenbin, tokencount, tokens
-from tests.llm.fixtures import crowded, documents, empty, rows
+import corpus_pipeline
+from evidentia.llm import components, copies, embed, licenses, packing, quality, secrets, simhash, spm, suffix, tokenbin, tokencount, tokens
+from tests.llm.fixtures import crowded, documents, empty, prose, rows
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -184,6 +185,32 @@ def test_simhash(spark):
     assert got(simhash.near_duplicates(empty(spark))) == []
 
 
+@pytest.mark.parametrize("tile", [(2, 1 << 18), copies.TILE])
+def test_near_copies(spark, monkeypatch, tile):
+    monkeypatch.setattr(copies, "TILE", tile)
+    data = [(r[0], r[1]) for r in ROWS]
+    base = prose(30, 150).split()
+    edited = lambda r, n: " ".join("edit" if k in set(r.choice(len(base), n, replace=False)) else w for k, w in enumerate(base))
+    r = np.random.default_rng(9)
+    data += [(100 + i, edited(r, n)) for i, n in enumerate([0, 1, 1, 2, 2, 3, 3, 4, 4, 5, 6, 8, 12])]
+    data += [(200 + i, prose(31 + i, 90) + " " + prose(30, 40)) for i in range(6)]
+    sets = [frozenset(zip(*(w[k:] for k in range(5)))) if len(w) >= 5 else frozenset([tuple(w)] if w else []) for w in (simhash.words_of(t) for _, t in data)]
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    label = closure({i: {j for j in range(len(data)) if alike(sets[i], sets[j])} for i in range(len(data))})
+    near = [(i, j) for i in range(len(data)) for j in range(i) if sets[i] != sets[j] and alike(sets[i], sets[j])]
+    prints = [simhash.fingerprint(t) for _, t in data]
+    assert any((prints[i] ^ prints[j]).bit_count() > 4 for i, j in near)
+    least = defaultdict(list)
+    for k, (i, _) in enumerate(data):
+        least[label[k]].append(i)
+    want = [(i, min((x for x in least[label[k]] if x is not None), default=None)) for k, (i, _) in enumerate(data)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    found = [(r["doc_id"], r["component_id"], r["kept"]) for r in copies.near_copies(crowded(df)).collect()]
+    assert sorted(map(str, found)) == sorted(str((i, c, i == c)) for i, c in want)
+    assert sorted(map(str, (r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, df, "").collect()))) == sorted(str(i) for i, c in want if i == c)  # of rows without an id, only those of groups without ids
+    assert got(copies.near_copies(empty(spark))) == []
+
+
 def test_bit_sliced_links_find_all_and_only():
     r = np.random.default_rng(2)
     fps = r.integers(0, 1 << 63, 300, dtype=np.uint64)
