@@ -1,7 +1,7 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance along paths.
 
-Every line of a file, and the file as a whole, is a vector over words; weights
-come from the document frequencies of the templates' words in the whole corpus.
+Every line of a file, every run of words or lines as long as a template, and the
+file as a whole, is a vector over words; weights come from the document frequencies of the templates' words in the whole corpus.
 A file without a licence of its own takes that of the nearest directory above it
 that has a licence file.
 """
@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 from math import log, sqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,9 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
+    # whole notices, without which they are closest to the one of GPL-3.0
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
 )
 #: Base names of licence files.
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
@@ -61,6 +65,10 @@ class Model:
             vector = {w: n * self.weight[w] for w, n in Counter(words(text)).items()}
             norm = sqrt(sum(x * x for x in vector.values()))
             self.templates.append((name, {w: x / norm for w, x in vector.items()}))
+        self.size = [len(words(text)) for _, text in TEMPLATES]
+        self.number = {w: i for i, w in enumerate(sorted(VOCABULARY))}
+        self.square = np.array([self.weight[w] ** 2 for w in self.number] + [self.other**2])
+        self.gain = np.array([[t.get(w, 0.0) * self.weight[w] for w in self.number] + [0.0] for _, t in self.templates])
         # words so common that they alone cannot reach `least` with any template: lines with no other need no product
         self.common: set[str] = set()
         for w in sorted(VOCABULARY, key=lambda x: (self.weight[x], x)):
@@ -82,6 +90,61 @@ class Model:
         return (top, cosine.index(top)) if top >= self.least else None
 
 
+    def passage(self, text: str) -> tuple[float, int, int] | None:
+        """(cosine, template, start of line) of the closest run of words as long as a template, or run of lines about as long.
+
+        Every run is looked at: its cosine is at most the one with each repeated
+        other word counted by itself, and only runs that this does not rule out
+        are weighed in full.
+        """
+        lines = text.split("\n")
+        found = [words(line) for line in lines]
+        flat = [w for line in found for w in line]
+        if self.telling.isdisjoint(flat):
+            return None
+        ends = np.cumsum([len(x) for x in found])
+        begins = ends - [len(x) for x in found]
+        ids = np.array([self.number.get(w, -1) for w in flat])
+        squares = np.r_[0.0, np.cumsum(self.square[ids])]
+        best: tuple[float, int, int, int] | None = None
+        for k, size in enumerate(self.size):
+            gains = np.r_[0.0, np.cumsum(self.gain[k][ids])]
+            at = np.searchsorted(ends, begins + size)
+            some = begins[at < len(ends)]
+            reach = at[at < len(ends)]
+            start = np.r_[np.arange(max(0, len(flat) - size + 1)), some, begins[at > 0]]
+            end = np.r_[np.arange(size, len(flat) + 1), ends[reach], ends[at[at > 0] - 1]]
+            start, end = start[end > start], end[end > start]
+            bound = (gains[end] - gains[start]) / np.sqrt(squares[end] - squares[start])
+            for i in np.argsort(-bound, kind="stable"):
+                if bound[i] < max(self.least, best[0] if best else 0.0) - 1e-9:
+                    break
+                counts = Counter(flat[start[i] : end[i]])
+                norm = sqrt(sum((n * self.weight.get(w, self.other)) ** 2 for w, n in counts.items()))
+                cosine = sum(x * counts[w] * self.weight[w] for w, x in self.templates[k][1].items()) / norm
+                if cosine >= self.least and (best is None or (round(cosine, 9), size) > (round(best[0], 9), best[1])):
+                    best = (cosine, size, k, int(start[i]))
+        if best is None:
+            return None
+        line = int(np.searchsorted(ends, best[3], "right"))
+        return best[0], best[2], sum(len(x) + 1 for x in lines[:line])
+
+    def closest(self, text: str) -> tuple[float, int, int, bool] | None:
+        """(cosine, template, start, whole) of the best of the text as a whole, its lines and its passages; of equals the longest template."""
+        whole = self.best(text)
+        made = [(*whole, 0)] if whole else []
+        at = 0
+        for line in text.split("\n"):
+            if own := self.best(line):
+                made.append((*own, at))
+            at += len(line) + 1
+        if own := self.passage(text):
+            made.append(own)
+        if not made:
+            return None
+        return (*max(made, key=lambda x: (round(x[0], 9), self.size[x[1]], -x[1])), whole is not None)
+
+
 def fit(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> Model:
     """Document frequencies of the templates' words over all of docs."""
     small_batches(docs.sparkSession)
@@ -100,7 +163,7 @@ def fit(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> Model:
 
 
 def match(docs: DataFrame, model: Model, id_col: str, path: Column, text_col: str) -> DataFrame:
-    """(id, path, license, score, start, whole) per row of docs: its best line, or itself as a whole."""
+    """(id, path, license, score, start, whole) per row of docs: its best line or passage, or itself as a whole."""
     small_batches(docs.sparkSession)
     fields = [("id", docs.schema[id_col].dataType), ("path", T.StringType()), ("license", T.StringType()), ("score", T.DoubleType()), ("start", T.LongType()), ("whole", T.BooleanType())]
 
@@ -108,16 +171,8 @@ def match(docs: DataFrame, model: Model, id_col: str, path: Column, text_col: st
         for batch in by_size(batches, "t", 4 << 20):
             rows = []
             for text in texts_of(batch.column(2)):
-                best, at = (0.0, 0, None, False), 0
-                whole = model.best(text)
-                if whole:
-                    best = (whole[0], -whole[1], 0, True)
-                for line in text.split("\n"):
-                    found = model.best(line)
-                    if found and (found[0], -found[1]) > best[:2]:
-                        best = (found[0], -found[1], at, best[3])
-                    at += len(line) + 1
-                rows.append((model.templates[-best[1]][0], best[0], best[2], best[3]) if best[2] is not None else (None, None, None, False))
+                best = model.closest(text)
+                rows.append((model.templates[best[1]][0], best[0], best[2], best[3]) if best else (None, None, None, False))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.float64(), pa.int64(), pa.bool_()), strict=True))], [f[0] for f in fields])
 
     return docs.select(F.col(id_col).alias("id"), path.alias("p"), F.col(text_col).alias("t")).mapInArrow(run, T.StructType([T.StructField(*f) for f in fields]))
@@ -150,7 +205,8 @@ def inherit(files: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, id_col: str = "doc_id", path: Column | str = "path", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """(doc_id, path, own_license, score, start, inherited_license, inherited_from, license) per row of docs.
 
-    start is where the best line begins, in characters.  A null or empty text has
+    start is where the best line, or the line in which the best passage begins,
+    begins, in characters.  A null or empty text has
     no licence of its own; a null path inherits nothing.  Ids may repeat or be
     null; other columns are ignored.
     """

@@ -106,6 +106,30 @@ def test_licences(spark):
     assert got(licenses.scan(empty(spark), path=F.lit("a/b"))) == []
 
 
+@pytest.mark.parametrize(
+    "want, text",
+    [
+        ("MIT", "Released under the MIT License. Copyright 2020 Jane Doe and the other authors."),
+        ("Apache-2.0", "Some words come first, and then we say that it is licensed under the Apache License, Version 2.0."),
+        ("BSD", "Copyright (c) 2020, Jane Doe\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice."),
+        ("LGPL-2.1", "# This library is free software; you can redistribute it and/or\n# modify it under the terms of the GNU Lesser General Public\n# License as published by the Free Software Foundation; either\n# version 2.1 of the License, or (at your option) any later version."),
+        ("GPL-2.0", "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or"),
+        ("GPL-3.0", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or"),
+        (None, "a license to do as the public wants, under the terms of the authors, and the source of it all"),
+    ],
+)
+def test_wrapped_and_embedded_notices(want, text):
+    model = licenses.Model({w: 900 for w in ("the", "of", "and", "to")}, 1000)
+    around = prose(51, 60) + "\n" + text + "\n" + prose(52, 60)
+    for whole in (text, around):
+        found = model.closest(whole)
+        assert (model.templates[found[1]][0] if found else None) == want
+    if want:
+        flat = licenses.words(around)
+        brute = max(c[0] for k in set(model.size) for i in range(len(flat) - k + 1) if (c := model.best(" ".join(flat[i : i + k]))))
+        assert model.closest(around)[0] >= brute - 1e-9
+
+
 def test_licence_inheritance_takes_the_nearest(spark):
     files = [(1, "a/LICENSE", "MIT"), (2, "a/b/LICENSE", "BSD"), (3, "a/b/c/x.txt", None), (4, "a/y.txt", None), (5, "z.txt", None), (6, "a/b/own.txt", "GPL-3.0"), (7, None, None)]
     df = spark.createDataFrame([(i, p, x, 1.0 if x else None, 0 if x else None, False) for i, p, x in files], "id long, path string, license string, score double, start long, whole boolean")
