@@ -43,6 +43,8 @@ TEMPLATES = (
 )
 #: Base names of licence files.
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
+#: What a line that speaks of a licence has.
+SPEAKS = r"(?i)\blicen[cs]ed?\b|permission is hereby granted|redistribution and use in source|dedicated to the public domain"
 LEAST = 0.75
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
@@ -217,5 +219,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", path: Column | str = "path", t
 def made_up_path() -> Column:
     """A path for the rows of documents: source/language/id, LICENSE.id if the first or last line speaks of a licence."""
     edge = F.concat_ws("\n", F.substring_index("text", "\n", 1), F.substring_index("text", "\n", -1))
-    name = F.when(edge.rlike("(?i)licen[cs]ed? "), F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    name = F.when(edge.rlike(SPEAKS), F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
     return F.concat_ws("/", "source", "lang", name)

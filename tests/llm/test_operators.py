@@ -130,6 +130,12 @@ def test_wrapped_and_embedded_notices(want, text):
         assert model.closest(around)[0] >= brute - 1e-9
 
 
+def test_made_up_path_knows_every_template(spark):
+    data = [(i, "x\n" + t, "en", "s") for i, (_, t) in enumerate(licenses.TEMPLATES)] + [(-1, "no notice\nhere", "en", "s")]
+    paths = spark.createDataFrame(data, "doc_id long, text string, lang string, source string").select("doc_id", licenses.made_up_path().alias("p"))
+    assert {i for i, p in got(paths) if "LICENSE." in p} == set(range(len(licenses.TEMPLATES)))
+
+
 def test_licence_inheritance_takes_the_nearest(spark):
     files = [(1, "a/LICENSE", "MIT"), (2, "a/b/LICENSE", "BSD"), (3, "a/b/c/x.txt", None), (4, "a/y.txt", None), (5, "z.txt", None), (6, "a/b/own.txt", "GPL-3.0"), (7, None, None)]
     df = spark.createDataFrame([(i, p, x, 1.0 if x else None, 0 if x else None, False) for i, p, x in files], "id long, path string, license string, score double, start long, whole boolean")
