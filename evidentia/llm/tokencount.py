@@ -24,6 +24,12 @@ from evidentia.llm.common import by_size, small_batches, texts_of
 #: byte, or the one that holds most of its bytes (the earliest of those).
 RULES = ("start", "end", "largest")
 _SENTENCE = re.compile(rb"[.!?]\s+")
+#: Characters of a run of white space from which on the library's pattern, which keeps a state for each, is not asked.
+LONG_RUN = 100_000
+#: White space as Unicode has it (fixed values).
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: How a pattern ends that takes a run of white space, but for the last character before a word, as one piece (fixed values).
+_RUNS = r"|\s+(?!\S)|\s+"
 Sections = Callable[[bytes], np.ndarray]
 
 
@@ -52,10 +58,27 @@ class Counter:
         self.sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
         for token, rank in ranks.items():
             self.sizes[rank] = len(token)
+        self.runs = re.compile(f"[{_SPACE}]{{{LONG_RUN},}}") if pattern.endswith(_RUNS) else None
+
+    def ids(self, text: str) -> np.ndarray:
+        """The ids that encode_ordinary() gives, also for runs of white space on which it gives up.
+
+        Such a run is one piece of the pattern, up to its last character where a
+        word follows; so it goes to the library as a piece, and what is around it as
+        texts of their own.
+        """
+        found: list[int] = []
+        at = 0
+        for run in self.runs.finditer(text) if self.runs else ():
+            end = run.end() - (run.end() < len(text))
+            found += self.library.encode_ordinary(text[at : run.start()])
+            found += self.library._encode_single_piece(text[run.start() : end].encode())
+            at = end
+        return np.array(found + self.library.encode_ordinary(text[at:]), dtype=np.int64)
 
     def ends(self, text: str) -> np.ndarray:
         """The end of every token in the text's UTF-8 bytes."""
-        return np.cumsum(self.sizes[np.array(self.library.encode_ordinary(text), dtype=np.int64)])
+        return np.cumsum(self.sizes[self.ids(text)])
 
 
 _COUNTERS: dict[str, Counter] = {}
