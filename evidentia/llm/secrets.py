@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -46,8 +46,10 @@ BASE = (
 MORE = (
     Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", "-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
+    # the first part is bounded: without that, every eyJ of a run that holds many would be followed to its end
+    Rule("jwt", "eyJ[A-Za-z0-9_-]{8,1000}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}"),
+    # to the END line, or else the lines of base64 that follow
+    Rule("private_key", "-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[A-Za-z0-9+/=:,.\\x20\\r\\n\\t-]*?-----END [A-Z ]{0,24}PRIVATE KEY-----|(?:\\r?\\n[A-Za-z0-9+/=]{16,}){0,400})"),
 )
 RULES = BASE + MORE
 #: Patterns that match exactly the passing matches of a rule, where one exists; scanning them is faster.
@@ -104,7 +106,7 @@ def update(docs: DataFrame, ledger: Ledger | None = None, id_col: str = "doc_id"
         first = first.withColumn("done", F.array().cast("array<string>"))
     first = cut(first)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("b", blob_of("text"))
-    unseen = texts.join(first.hint("shuffle_hash"), (F.col("b") == F.col("blob")) & F.col("id").eqNullSafe(F.col("least"))).select("blob", "text", "done")
+    unseen = texts.join(first, (F.col("b") == F.col("blob")) & F.col("id").eqNullSafe(F.col("least"))).select("blob", "text", "done")
     findings = stored(scan(unseen, rules), "findings")
     scanned = first.select("blob", F.explode(F.array_except(keys, "done")).alias("rule"))
     if ledger is not None:
@@ -145,13 +147,24 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
     A null text stays null; rows without findings stay as they are.
     """
     _, after = update(docs, None, id_col, text_col, rules)
-    found = cut(by_blob(after.findings, rules)).select(F.col("blob").alias("__b"), F.col("spans").alias("__spans"))
-    text = F.col(text_col)
+    found = cut(by_blob(after.findings, rules))
+    text = F.col("row")[text_col]
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     step = lambda acc, x: F.when(x["end"] <= acc["at"], acc).when((x["start"] <= acc["at"]) & (acc["at"] > 0), F.struct(acc["out"].alias("out"), x["end"].alias("at"))).otherwise(
         F.struct(F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(mask)).alias("out"), x["end"].alias("at"))
     )
-    done = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    columns = docs.columns
-    joined = docs.withColumn("__k", blob_of(text_col)).join(found, F.col("__k") == F.col("__b"), "left")
-    return joined.select(*(F.when(F.col("__spans").isNull(), text).otherwise(done).alias(c) if c == text_col else F.col(f"`{c}`") for c in columns))
+    done = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    # the columns travel as one, so that none can clash
+    joined = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), blob_of(text_col).alias("own")).join(found, F.col("own") == F.col("blob"), "left")
+    return joined.select(*(F.when(F.col("spans").isNull(), text).otherwise(done).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def save(ledger: Ledger, path: str) -> None:
+    """Write the ledger as two tables under path, which must not hold one yet."""
+    ledger.scanned.write.parquet(f"{path}/scanned")
+    ledger.findings.write.parquet(f"{path}/findings")
+
+
+def load(spark: SparkSession, path: str) -> Ledger:
+    """The ledger that save() wrote."""
+    return Ledger(spark.read.schema("blob string, rule string").parquet(f"{path}/scanned"), spark.read.schema(FINDINGS).parquet(f"{path}/findings"))
