@@ -120,8 +120,9 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    # the texts are dealt out, not the ids: sampling for the ranges must not encode everything once more
-    rows = rows.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id", "t")
+    # the texts are dealt out, not the ids: sampling for the ranges must not encode everything once more;
+    # the start of the text splits an id that very many rows have
+    rows = rows.repartitionByRange(partitions(spark), "id", F.substring("t", 1, 32)).sortWithinPartitions("id", "t")
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +169,7 @@ def read_ids(images: DataFrame, id_col: str = "doc_id") -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 image = Image(batch.column(2)[k].as_py())
-                ends = image.ends.values().astype(np.int64)
+                ends = np.array([image.ends.select(i) for i in range(image.n)], dtype=np.int64)
                 starts = np.r_[0, ends[:-1]]
                 data = memoryview(image.ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
