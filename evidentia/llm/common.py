@@ -43,15 +43,21 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder as Parquet and read again."""
+    """df written to the shared folder as Parquet and read again; the copy goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Lower the session's Arrow batch size to `rows`, so that a batch of texts stays small."""
+    """Lower the session's Arrow batch size to `rows`, so that a batch of texts stays small.
+
+    Spark reads the setting when a job runs, so it cannot be put back here: it
+    stays for the session's later queries.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
