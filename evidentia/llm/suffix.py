@@ -1,26 +1,32 @@
-"""Removal of passages that an earlier document holds, by a family of sparse suffix arrays.
+"""Removal of passages that an earlier document holds, by a logarithmic family of sparse suffix arrays.
 
-A suffix is indexed if its head, HEAD bytes long, has the smallest hash among the
+A suffix is sampled if its head, HEAD bytes long, has the smallest hash among the
 heads of some window of `least` bytes (an anchor).  Equal windows choose equal
-anchors, so every repeat of `least` bytes or more shows at an anchor.  For each
-anchor the index holds the hash of its head, the hash of everything its windows
-cover, and the document.
-
-1. Units of about two megabytes of text make suffix arrays: anchors in order of
-   hash, one run per bucket of hashes.
-2. A bucket's runs enter a logarithmic family: a new run is merged with the
-   levels that are not larger, and each merge scans the neighbours for long matches.
-   Anchors whose whole cover stands in a smaller document are decided there;
-   anchors that share a head but not the cover are edges of a repeat.
-3. Edges return to their units, and their covers, 85 bytes at most, are compared
-   window by window in the buckets of their heads.  A head with very many covers
-   (the border of a passage that a large part of all documents has) would fill one
-   bucket: its windows are dealt by their own hash instead, the smallest document
-   of each unit only.
+anchors, so every repeat of `least` bytes or more runs through a sampled suffix.
+An entry of the index is such a suffix, up to the end of the anchor's last window,
+and the bytes before it, backwards, to the start of the first one.
+
+1. Units of about two megabytes of text are the batches.  Every unit says which
+   heads it has; heads that only one document has can start no match, and their
+   suffixes are not indexed.
+2. A unit's remaining entries are sorted: its suffix array, one run per bucket of
+   heads.  In its bucket a run enters a logarithmic family of levels: it is
+   merge-scanned with the levels that are not larger, neighbours in suffix order
+   that are equal throughout are decided for the smallest document, and the merged
+   run is the new level.
+3. In the last array of a bucket, the longest common prefixes of neighbours say
+   which suffixes agree on how many bytes, and those of the entries in order of
+   what stands before them on how many bytes before; together they give, for each
+   window of an entry, the entries that hold it too.
 4. Units cut out what was found.
 
-Hashes decide equality with 96 bits or more.  Nothing leaves a task that is larger
-than the anchors of its texts.
+A head with very many entries (the border of a passage that a large part of all
+documents has) would fill one bucket: each of its windows is an entry of its own
+then, dealt by its own hash; the result is the same.  Hashes only deal and sample:
+what counts as equal was compared byte by byte.  Nothing leaves a task that is
+larger than the entries of its texts.
+
+Index keeps the levels as tables, so that later batches meet earlier ones.
 """
 
 from __future__ import annotations
@@ -42,11 +48,13 @@ from evidentia.llm.common import by_size, mix, partitions, small_batches, stored
 
 HEAD = 16
 UNIT_BYTES = 2 << 20
-#: Covers of a head from which on its windows are dealt by their own hash.
-MANY_COVERS = 64
-#: Order of a null id: after every other.
-LAST = np.iinfo(np.int64).max
+#: Entries of a head from which on its windows are dealt by their own hash.
+MANY = 4096
+#: Order of a null id: after every other; and of what an earlier batch holds: before every other.
+LAST, EARLIER = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: What an answer to a unit says: entries gone, parts of entries gone, windows gone, heads that others share.
+GONE, PART, WINDOW, SHARED = 1, 2, 3, 4
 
 
 class Unit(NamedTuple):
@@ -61,11 +69,10 @@ class Anchors(NamedTuple):
     at: np.ndarray
     lo: np.ndarray  # first window
     hi: np.ndarray  # last window
-    doc: np.ndarray  # index into the unit's docs
+    doc: np.ndarray  # the document's id
     head: np.ndarray
-    cover: np.ndarray
-    left: np.ndarray  # 16 bits of the shorter half covers: two anchors share no window unless one of them agrees
-    right: np.ndarray
+    cover: np.ndarray  # hash of all that the windows cover
+    first: np.ndarray  # the anchor with the same cover in the smallest document of the unit, the first of those
 
 
 def words8(buf: np.ndarray) -> np.ndarray:
@@ -99,6 +106,28 @@ def range_hash(w: np.ndarray, start: np.ndarray, end: np.ndarray, most: int) ->
     return h
 
 
+def firsts(buf: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray, doc: np.ndarray, most: int) -> np.ndarray:
+    """For each range of buf the row with the same bytes in the smallest document, the first of those.
+
+    key is a hash of the range; rows that it brings together are compared byte by
+    byte, and one that differs from its group's first stands for itself.
+    """
+    order = np.lexsort((doc, key))
+    if not len(order):
+        return order
+    new = np.r_[True, key[order][1:] != key[order][:-1]]
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    rows = np.flatnonzero(out != np.arange(len(out)))
+    view = np.lib.stride_tricks.sliding_window_view(np.r_[buf, np.zeros(most, dtype=np.uint8)], most)
+    for at in range(0, len(rows), 1 << 15):
+        part = rows[at : at + (1 << 15)]
+        other = out[part]
+        same = (size[part] == size[other]) & ((view[start[part]] == view[start[other]]) | (np.arange(most) >= size[part][:, None])).all(axis=1)
+        out[part[~same]] = part[~same]
+    return out
+
+
 def anchors(unit: Unit, least: int) -> Anchors:
     """All anchors of a unit's documents, in order of position."""
     span = least - HEAD + 1
@@ -109,7 +138,7 @@ def anchors(unit: Unit, least: int) -> Anchors:
     starts = np.r_[0, unit.ends[:-1]] if len(unit.ends) else np.zeros(0, dtype=np.int64)
     if count <= 0:
         none = np.zeros(0, dtype=np.int64)
-        return Anchors(none, none, none, none, *(none.astype(np.uint64),) * 2, *(none.astype("<u2"),) * 2)
+        return Anchors(none, none, none, none, none.astype(np.uint64), none.astype(np.uint64), none)
     best = head & np.uint64(0xFFFFFFFF00000000) | np.arange(len(head), dtype=np.uint64)
     wide = 1
     while wide * 2 <= span:
@@ -132,48 +161,45 @@ def anchors(unit: Unit, least: int) -> Anchors:
     at = at[lo]
     end = hi + least
     cover = range_hash(w, lo, end, 2 * least) ^ mix((at - lo).astype(np.uint64))
-    half = (least - HEAD) // 2
-    left, right = np.maximum(at - half, lo), np.minimum(at + HEAD + half, end)
-    left_hash, right_hash = (mix(h) >> np.uint64(48) for h in (range_hash(w, left, at + HEAD, least), range_hash(w, at, right, least)))
-    return Anchors(at, lo, hi, np.searchsorted(unit.ends, lo, "right"), head[at], cover, left_hash.astype("<u2"), right_hash.astype("<u2"))
+    doc = unit.docs[np.searchsorted(unit.ends, lo, "right")]
+    same = firsts(unit.buf, lo, end - lo, cover, doc, 2 * least)
+    same = np.where(at - lo == (at - lo)[same], same, np.arange(len(at)))
+    return Anchors(at, lo, hi, doc, head[at], cover, same)
 
 
-def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, start): rows in order of the keys, and where each group of equal keys starts."""
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
-    if not len(order):
-        return order, order
-    new = np.zeros(len(order), dtype=bool)
-    new[0] = True
-    for k in keys:
-        ordered = k[order]
-        new[1:] |= ordered[1:] != ordered[:-1]
-    return order, np.flatnonzero(new)
+def own_windows(unit: Unit, a: Anchors, index: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(position, document, hash, first) of every window of some anchors; first is the row that stands for equal ones."""
+    many = a.hi[index] - a.lo[index] + 1
+    at = np.repeat(a.lo[index] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    doc = np.repeat(a.doc[index], many)
+    key = range_hash(words8(unit.buf), at, at + least, least) if len(at) else np.zeros(0, dtype=np.uint64)
+    return at, doc, key, firsts(unit.buf, at, np.full(len(at), least), key, doc, least)
 
 
-def least_of(values: np.ndarray, order: np.ndarray, start: np.ndarray, with_max: bool = False) -> np.ndarray:
-    """Per row, the smallest (or largest) value of its group."""
-    if not len(order):
-        return values
-    found = (np.maximum if with_max else np.minimum).reduceat(values[order], start)
-    out = np.empty_like(values)
-    out[order] = np.repeat(found, np.diff(np.r_[start, len(order)]))
-    return out
+# --- suffix arrays
 
 
-def local_owners(unit: Unit, a: Anchors) -> np.ndarray:
-    """Anchors that no smaller document of the unit holds with the same cover."""
-    docs = unit.docs[a.doc]
-    return docs == least_of(docs, *groups(mix(a.head) ^ a.cover))
+def records(buf: np.ndarray, at: np.ndarray, forward: np.ndarray, backward: np.ndarray, least: int) -> np.ndarray:
+    """Entries as byte strings that sort in suffix order: `forward` bytes from `at` on, then `backward` bytes before it, the last first.
+
+    Bytes are one higher than in the text, as zero is what follows an end.
+    """
+    width, back = least, least - HEAD
+    padded = np.r_[np.zeros(back, dtype=np.uint8), buf, np.zeros(width, dtype=np.uint8)]
+    out = np.empty((len(at), width + back), dtype=np.uint8)
+    ahead = np.lib.stride_tricks.sliding_window_view(padded[back:], width)
+    before = np.lib.stride_tricks.sliding_window_view(padded, back)
+    for k in range(0, len(at), 1 << 16):
+        s = slice(k, k + (1 << 16))
+        out[s, :width] = (ahead[at[s]] + 1) * (np.arange(width) < forward[s][:, None])
+        out[s, width:] = (before[at[s]][:, ::-1] + 1) * (np.arange(back) < backward[s][:, None])
+    return out.view(f"S{width + back}").reshape(-1)
 
 
 class Run(NamedTuple):
-    """A sorted piece of the index."""
+    """A suffix array: entries in suffix order."""
 
-    head: np.ndarray
-    cover: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
+    key: np.ndarray
     doc: np.ndarray
     unit: np.ndarray
     index: np.ndarray
@@ -182,36 +208,91 @@ class Run(NamedTuple):
         return Run(*(x[i] for x in self))
 
 
+def as_bytes(key: np.ndarray) -> np.ndarray:
+    return key.view(np.uint8).reshape(len(key), key.dtype.itemsize)
+
+
+def common(rows: np.ndarray) -> np.ndarray:
+    """The longest common prefix of each row of bytes with the one before it; of the first, zero."""
+    if not len(rows):
+        return np.zeros(0, dtype=np.int64)
+    differ = rows[1:] != rows[:-1]
+    return np.r_[0, np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])]
+
+
+def merged(a: Run, b: Run) -> Run:
+    """Two suffix arrays as one; of equal entries those of `a` come first."""
+    to_b = np.searchsorted(a.key, b.key, "right") + np.arange(len(b.key))
+    of_a = np.ones(len(a.key) + len(b.key), dtype=bool)
+    of_a[to_b] = False
+    out = []
+    for x, y in zip(a, b, strict=True):
+        both = np.empty(len(of_a), dtype=x.dtype)
+        both[of_a], both[to_b] = x, y
+        out.append(both)
+    return Run(*out)
+
+
 class Family:
-    """Levels of sorted runs; each level is more than twice as long as the one above."""
+    """Levels of suffix arrays; each level is more than twice as long as the one after it."""
 
     def __init__(self) -> None:
         self.levels: list[Run] = []
         self.decided: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, run: Run) -> None:
-        while self.levels and len(self.levels[-1].head) <= 2 * len(run.head):
-            run = self._merged(self.levels.pop(), run)
+        while self.levels and len(self.levels[-1].key) <= 2 * len(run.key):
+            run = self._scanned(merged(self.levels.pop(), run))
         self.levels.append(run)
 
-    def _merged(self, a: Run, b: Run) -> Run:
-        """Both in order; entries whose cover a smaller document holds are decided and leave."""
-        both = Run(*(np.concatenate(x) for x in zip(a, b, strict=True)))
-        order, start = groups(both.head, both.cover)
-        owner = both.doc == least_of(both.doc, order, start)
-        self.decided.append((both.unit[~owner], both.index[~owner]))
-        return both.take(order[owner[order]])
-
-    def finish(self) -> tuple[Run, np.ndarray]:
-        """What is left of all levels, and which entries are edges of repeats across documents."""
+    def _scanned(self, run: Run) -> Run:
+        """Neighbours that are equal throughout: where a smaller document holds the entry, the others are decided and leave."""
+        if len(run.key) < 2:
+            return run
+        new = np.r_[True, run.key[1:] != run.key[:-1]]
+        start = np.flatnonzero(new)
+        least = np.minimum.reduceat(run.doc, start)[np.cumsum(new) - 1]
+        owner = run.doc == least
+        if owner.all():
+            return run
+        self.decided.append((run.unit[~owner], run.index[~owner]))
+        return run.take(owner)
+
+    def finish(self) -> Run:
+        """One array of all levels."""
         while len(self.levels) > 1:
-            self.levels.append(self._merged(self.levels.pop(), self.levels.pop()))
-        run = self.levels[0]
-        edge = np.zeros(len(run.head), dtype=bool)
-        for side in (run.left, run.right):
-            order, start = groups(run.head, side)
-            edge |= least_of(run.doc, order, start) != least_of(run.doc, order, start, True)
-        return run, edge
+            self.levels.append(self._scanned(merged(self.levels.pop(), self.levels.pop())))
+        return self.levels[0]
+
+
+def partly(run: Run, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, first, last): the windows, by how many bytes before the suffix they start, of entries that a smaller document holds."""
+    rows = as_bytes(run.key)
+    ahead, before = rows[:, :least], rows[:, least:]
+    forward, backward = (ahead > 0).sum(axis=1), (before > 0).sum(axis=1)
+    agree = common(ahead)
+    order = np.argsort(np.ascontiguousarray(before).view(f"S{before.shape[1]}").reshape(-1), kind="stable")
+    agree_before = common(before[order])
+    gone = np.zeros((len(rows), before.shape[1] + 2), dtype=np.int8)
+    place = np.empty(len(rows), dtype=np.int64)
+    for k in range(before.shape[1] + 1):
+        has = np.flatnonzero((forward >= least - k) & (backward >= k))
+        if len(has) < 2:
+            continue
+        place[order] = np.cumsum(agree_before < k)
+        both = np.cumsum(agree < least - k)[has] * (len(rows) + 1) + place[has]
+        by = np.argsort(both, kind="stable")
+        new = np.r_[True, np.diff(both[by]) != 0]
+        doc = run.doc[has][by]
+        smallest = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
+        gone[has[by[doc > smallest]], k + 1] = 1
+    turn = np.diff(gone, axis=1, append=0)
+    row, first = np.nonzero(turn == 1)
+    last = np.nonzero(turn == -1)[1]
+    return row, first, last - 1
+
+
+# --- what travels
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -230,27 +311,16 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _low48(x: np.ndarray) -> np.ndarray:
-    return x.view(np.uint8).reshape(-1, 8)[:, :6]
-
-
-def _wide48(x: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(x), 8), dtype=np.uint8)
-    out[:, :6] = x
-    return out.view("<u8").reshape(-1)
+def _pack_run(key: np.ndarray, doc: np.ndarray, index: np.ndarray) -> bytes:
+    text = zstandard.ZstdCompressor(level=3).compress(key.tobytes())
+    return len(text).to_bytes(4, "little") + text + _pack(doc, index.astype("<i4"))
 
 
-def _pack_run(head: np.ndarray, cover: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, index: np.ndarray) -> bytes:
-    """Hashes at 48 bits (of a head the high ones, its bucket has the low ones); documents and positions as differences, compressed."""
-    hashes = _low48(head >> np.uint64(16)).tobytes() + _low48(cover).tobytes() + left.tobytes() + right.tobytes()
-    return len(head).to_bytes(4, "little") + hashes + _pack(np.diff(doc, prepend=0), np.diff(index, prepend=0).astype("<i4"))
-
-
-def _unpack_run(data: bytes, unit: int) -> Run:
-    n = int.from_bytes(data[:4], "little")
-    raw = np.frombuffer(data, dtype=np.uint8, offset=4, count=16 * n)
-    doc, index = _unpack(data[4 + 16 * n :], "<i8", "<i4")
-    return Run(_wide48(raw[: 6 * n].reshape(n, 6)), _wide48(raw[6 * n : 12 * n].reshape(n, 6)), raw[12 * n : 14 * n].view("<u2"), raw[14 * n :].view("<u2"), np.cumsum(doc), np.full(n, unit), np.cumsum(index.astype(np.int64)))
+def _unpack_run(data: bytes, unit: int, least: int) -> Run:
+    size = int.from_bytes(data[:4], "little")
+    key = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[4 : 4 + size]), dtype=f"S{2 * least - HEAD}")
+    doc, index = _unpack(data[4 + size :], "<i8", "<i4")
+    return Run(key, doc, np.full(len(key), unit), index.astype(np.int64))
 
 
 def units_of(docs: DataFrame, id_col: str, text_col: str, unit_bytes: int = UNIT_BYTES, carry: bool = False) -> DataFrame:
@@ -329,215 +399,216 @@ def _each_unit(units: DataFrame, results: DataFrame | None, work: Callable, sche
     return met.mapInArrow(run, schema)
 
 
-def _index(units: DataFrame, least: int, bits: int) -> DataFrame:
-    """(unit, bucket, payload): each unit's runs."""
-
-    def work(name: int, unit: Unit, nulls: np.ndarray, rest: bytes | None, found: list) -> Iterator[pa.RecordBatch]:
-        a = anchors(unit, least)
-        own = np.flatnonzero(local_owners(unit, a))
-        docs, payload, names = unit.docs[a.doc], [], []
-        for b, i in _dealt(a.head[own], bits):
-            i = own[i]
-            names.append(b)
-            payload.append(_pack_run(a.head[i], a.cover[i], a.left[i], a.right[i], docs[i], i))
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(names), pa.int64()), pa.array(names, pa.int64()), pa.array(payload, pa.binary())], ["unit", "bucket", "payload"])
-
-    return _each_unit(units, None, work, "unit long, bucket long, payload binary")
-
-
-def _by_unit(unit: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-    order, start = groups(unit)
-    if not len(order):
-        return
-    for a, b in zip(start, np.r_[start[1:], len(order)], strict=True):
-        i = np.sort(order[a:b])
-        yield int(unit[i[0]]), [c[i] for c in columns]
+_TO_BUCKETS, _TO_UNITS = "unit long, bucket long, payload binary", "unit long, kind int, payload binary"
 
 
-def _per_bucket(rows: DataFrame, key: str, work: Callable, schema: str) -> DataFrame:
-    """work(list of (unit, payload)) for every bucket; buckets are spread over all partitions."""
-    dealt = rows.repartition(partitions(rows.sparkSession), key).sortWithinPartitions(key, "unit")
+def _per_bucket(rows: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """work(bucket, list of (unit, payload)) for every bucket; buckets are spread over all partitions."""
+    dealt = rows.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "unit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            for unit, bucket, payload in zip(batch.column("unit").to_pylist(), batch.column(key).to_pylist(), batch.column("payload"), strict=True):
+            for unit, bucket, payload in zip(batch.column("unit").to_pylist(), batch.column("bucket").to_pylist(), batch.column("payload"), strict=True):
                 if bucket != now and held:
-                    yield from work(held)
+                    yield from work(now, held)
                     held = []
                 now = bucket
                 held.append((unit, payload.as_py()))
         if held:
-            yield from work(held)
+            yield from work(now, held)
 
     return dealt.mapInArrow(run, schema)
 
 
+def _dealt(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, positions) by the low bits: anchors are chosen for small heads, so the top bits of those are mostly zero."""
+    if not len(hashes):
+        return
+    bucket = (hashes & np.uint64((1 << bits) - 1)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0])
+    for x, y in zip(cuts, np.r_[cuts[1:], len(order)], strict=True):
+        yield int(bucket[order[x]]), order[x:y]
+
+
+def _rows(name: int, buckets: list[int], payload: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([name] * len(buckets), pa.int64()), pa.array(buckets, pa.int64()), pa.array(payload, pa.binary())], ["unit", "bucket", "payload"])
+
+
 def _answers(parts: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     units, kinds, payloads = zip(*parts, strict=True) if parts else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(kinds, pa.int32()), pa.array(payloads, pa.binary())], ["unit", "kind", "payload"])
 
 
-def _resolve(bucket: list[tuple[int, bytes]], most: int = MANY_COVERS) -> Iterator[pa.RecordBatch]:
-    """Kind 1: anchors whose cover is removed; kind 2: edges to look at closely; kind 4: those of heads with many covers."""
-    family = Family()
-    for unit, payload in bucket:
-        run = _unpack_run(payload, unit)
-        family.add(run.take(groups(run.head, run.cover)[0]))
-    run, edge = family.finish()
-    parts, edge = [], np.flatnonzero(edge)
-    order, start = groups(run.head[edge])
-    covers = np.empty(len(edge), dtype=np.int64)
-    covers[order] = np.repeat(np.diff(np.r_[start, len(order)]), np.diff(np.r_[start, len(order)]))
-    few, many = edge[covers <= most], edge[covers > most]
-    for kind, unit, index in ((1, *(np.concatenate(x) for x in zip(*family.decided, strict=True))) if family.decided else (1, run.unit[:0], run.index[:0]), (2, run.unit[few], run.index[few]), (4, run.unit[many], run.index[many])):
-        parts += [(u, kind, _pack(np.diff(i, prepend=0).astype("<i4"))) for u, (i,) in _by_unit(unit, index)]
-    yield _answers(parts)
+def _by_unit(unit: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    order = np.argsort(unit, kind="stable")
+    start = np.flatnonzero(np.r_[True, np.diff(unit[order]) != 0]) if len(order) else []
+    for a, b in zip(start, np.r_[start[1:], len(order)], strict=True) if len(order) else ():
+        yield int(unit[order[a]]), [c[order[a:b]] for c in columns]
 
 
-def _indices(found: list[tuple[int, bytes]], kind: int) -> np.ndarray:
-    parts = [np.cumsum(_unpack(data, "<i4")[0].astype(np.int64)) for k, data in found if k == kind]
-    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+# --- heads
 
 
-def _edges(units: DataFrame, results: DataFrame, least: int, bits: int) -> DataFrame:
-    """(unit, bucket, payload): the covers of edges, to the buckets of their heads."""
+def _heads_of(a: Anchors) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(heads in order, how many entries each has, whether of several documents, place of each entry's head) of a unit's entries."""
+    own = np.flatnonzero(a.first == np.arange(len(a.at)))
+    order = own[np.argsort(a.head[own], kind="stable")]
+    if not len(order):
+        return a.head[:0], own, own.astype(bool), own
+    new = np.r_[True, np.diff(a.head[order]) != 0]
+    start = np.flatnonzero(new)
+    several = np.minimum.reduceat(a.doc[order], start) != np.maximum.reduceat(a.doc[order], start)
+    place = np.full(len(a.at), -1, dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    # anchors that another one stands for have its head
+    return a.head[order][start], np.diff(np.r_[start, len(order)]), several, place[a.first]
+
+
+def _heads(units: DataFrame, least: int, bits: int) -> DataFrame:
+    """(unit, bucket, payload): the heads of each unit."""
+
+    def work(name: int, unit: Unit, nulls: np.ndarray, rest: bytes | None, found: list) -> Iterator[pa.RecordBatch]:
+        heads, times, several, _ = _heads_of(anchors(unit, least))
+        buckets, payload = [], []
+        for b, i in _dealt(heads, bits):
+            buckets.append(b)
+            payload.append(_pack(np.diff(heads[i] >> np.uint64(16), prepend=np.uint64(0)), np.minimum(times[i], 0xFFFF).astype("<u2"), several[i].astype("u1")))
+        yield _rows(name, buckets, payload)
+
+    return _each_unit(units, None, work, _TO_BUCKETS)
+
+
+def _shared(bucket: int, held: list[tuple[int, bytes]], most: int) -> Iterator[pa.RecordBatch]:
+    """To each unit, which of its heads are of several documents, and which of those have very many entries."""
+    parts = [_unpack(p, "<u8", "<u2", "u1") for _, p in held]
+    head = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+    times, several = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (1, 2))
+    order = np.argsort(head, kind="stable")
+    new = np.r_[True, np.diff(head[order]) != 0]
+    start, group = np.flatnonzero(new), np.cumsum(new) - 1
+    many = np.diff(np.r_[start, len(order)])
+    shared = (many > 1) | (np.add.reduceat(several[order], start) > 0)
+    hot = shared & (np.add.reduceat(times[order], start) > most)
+    flag = np.empty(len(order), dtype=np.uint8)
+    flag[order] = (shared + hot)[group]
+    cuts = np.cumsum([len(p[0]) for p in parts])
+    yield _answers([(unit, SHARED, bucket.to_bytes(8, "little") + _pack(f)) for (unit, _), f in zip(held, np.split(flag, cuts[:-1]), strict=True)])
+
+
+def _flags(a: Anchors, found: list[tuple[int, bytes]], bits: int) -> np.ndarray:
+    """Per anchor: 0 if its head is of one document, else 1, or 2 if it has very many entries."""
+    heads, _, _, place = _heads_of(a)
+    told = {int.from_bytes(p[:8], "little"): _unpack(p[8:], "u1")[0] for kind, p in found if kind == SHARED}
+    flag = np.zeros(len(heads), dtype=np.uint8)
+    for b, i in _dealt(heads, bits):
+        flag[i] = told[b]
+    return flag[place] if len(heads) else np.zeros(len(a.at), dtype=np.uint8)
+
+
+# --- entries
+
+
+def _entries(units: DataFrame, shared: DataFrame | None, least: int, bits: int) -> DataFrame:
+    """(unit, bucket, payload): the suffix array of each unit, by buckets of heads; all of its suffixes if `shared` is not given."""
+    every = shared is None
 
     def work(name: int, unit: Unit, nulls: np.ndarray, rest: bytes | None, found: list) -> Iterator[pa.RecordBatch]:
-        i, many = np.sort(_indices(found, 2)), np.sort(_indices(found, 4))
-        if not len(i) + len(many):
-            return
         a = anchors(unit, least)
-        names, payload = [], []
-        for x, k in _dealt(a.head[i], bits):
-            k = i[k]
-            size = a.hi[k] + least - a.lo[k]
-            text = unit.buf[np.repeat(a.lo[k] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-            meta = _pack(unit.docs[a.doc[k]], a.lo[k].astype("<i4"), size.astype("<i2"), (a.at[k] - a.lo[k]).astype("<i2"))
-            names.append(x)
-            payload.append(b"C" + len(meta).to_bytes(4, "little") + meta + zstandard.ZstdCompressor(level=1).compress(text.tobytes()))
-        at, doc, key, more = own_windows(unit, a, many, least)
-        first = doc == least_of(doc, *groups(key, more))
-        at, doc, key, more = at[first], doc[first], key[first], more[first]
-        for x, k in _dealt(key, bits):
-            names.append(x + (1 << bits))
-            payload.append(b"W" + _pack(key[k], more[k], doc[k], at[k].astype("<i4")))
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(names), pa.int64()), pa.array(names, pa.int64()), pa.array(payload, pa.binary())], ["unit", "bucket", "payload"])
-
-    return _each_unit(units, results.where("kind in (2, 4)"), work, "unit long, bucket long, payload binary")
+        flag = np.ones(len(a.at), dtype=np.uint8) if every else _flags(a, found, bits)
+        own = np.flatnonzero((a.first == np.arange(len(a.at))) & (flag == 1))
+        buckets, payload = [], []
 
+        def deal(key: np.ndarray, doc: np.ndarray, index: np.ndarray, hashes: np.ndarray, base: int) -> None:
+            order = np.argsort(key, kind="stable")
+            for b, i in _dealt(hashes[order], bits):
+                i = order[i]
+                buckets.append(base + b)
+                payload.append(_pack_run(key[i], doc[i], index[i]))
 
-def _dealt(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, positions) by the low bits: anchors are chosen for small heads, so the top bits of those are mostly zero."""
-    if not len(hashes):
-        return
-    bucket = (hashes & np.uint64((1 << bits) - 1)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0])
-    for x, y in zip(cuts, np.r_[cuts[1:], len(order)], strict=True):
-        yield int(bucket[order[x]]), order[x:y]
+        deal(records(unit.buf, a.at[own], a.hi[own] + least - a.at[own], a.at[own] - a.lo[own], least), a.doc[own], own, a.head[own], 0)
+        at, doc, key, first = own_windows(unit, a, np.flatnonzero((flag == 2) & (a.doc == a.doc[a.first])), least)
+        one = np.flatnonzero(first == np.arange(len(at)))
+        deal(records(unit.buf, at[one], np.full(len(one), least), np.zeros(len(one), dtype=np.int64), least), doc[one], one, key[one], 1 << bits)
+        yield _rows(name, buckets, payload)
 
+    return _each_unit(units, shared, work, _TO_BUCKETS)
 
-def own_windows(unit: Unit, a: Anchors, index: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """(position, document, hash, further hash) of every window of some anchors."""
-    many = a.hi[index] - a.lo[index] + 1
-    at = np.repeat(a.lo[index] - np.cumsum(many) + many, many) + np.arange(many.sum())
-    w = words8(unit.buf) if len(index) else np.zeros(1, dtype="<u8")
-    more = (mix(np.repeat(a.head[index], many) + w[at] * _M2) >> np.uint64(32)).astype("<u4")
-    return at, np.repeat(unit.docs[a.doc[index]], many), range_hash(w, at, at + least, least), more
-
-
-def _runs_of(gone: np.ndarray, at: np.ndarray, same: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first flags, starts, ends) of runs of removed windows; same says that a row goes on where the one before was."""
-    begins = gone & ~np.r_[False, gone[:-1] & same]
-    stops = gone & ~np.r_[gone[1:] & same, False]
-    return begins, at[begins], at[stops] + least
-
-
-def _windows(least: int) -> Callable:
-    def by_hash(bucket: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        """The same for windows dealt by their hash."""
-        parts = [(np.full(len(c[0]), u), *c) for u, c in ((u, _unpack(p[1:], "<u8", "<u4", "<i8", "<i4")) for u, p in bucket)]
-        unit, key, more, doc, at = (np.concatenate(c) for c in zip(*parts, strict=True))
-        gone = doc > least_of(doc, *groups(key, more))
-        yield _answers([(u, 3, _pack(x.astype("<i4"), (x + least).astype("<i4"))) for u, (x,) in _by_unit(unit[gone], at[gone].astype(np.int64))])
-
-    def work(bucket: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        """Kind 3: ranges (start, end) of a unit that a smaller document holds."""
-        if bucket[0][1][:1] == b"W":
-            yield from by_hash(bucket)
-            return
-        columns, texts = [], []
-        for unit, payload in bucket:
-            payload = payload[1:]
-            n = int.from_bytes(payload[:4], "little")
-            doc, lo, size, back = _unpack(payload[4 : 4 + n], "<i8", "<i4", "<i2", "<i2")
-            columns.append((np.full(len(doc), unit), doc, lo.astype(np.int64), size.astype(np.int64), back.astype(np.int64)))
-            texts.append(zstandard.ZstdDecompressor().decompress(payload[4 + n :]))
-        unit, doc, lo, size, back = (np.concatenate(c) for c in zip(*columns, strict=True))
-        w = words8(np.frombuffer(b"".join(texts), dtype=np.uint8))
-        many = size - least + 1
-        row = np.repeat(np.arange(len(doc)), many)
-        shift = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        start = (np.cumsum(size) - size)[row] + shift
-        key = range_hash(w, start, start + least, least)
-        owner = doc[row]
-        at_head = start + back[row] - shift
-        head = head_hash(w[at_head], w[at_head + 8])
-        order, first = groups(key, head)
-        gone = owner > least_of(owner, order, first)
-        at = lo[row] + shift
-        begins, a, b = _runs_of(gone, at, row[1:] == row[:-1], least)
-        yield _answers([(u, 3, _pack(x.astype("<i4"), y.astype("<i4"))) for u, (x, y) in _by_unit(unit[row][begins], a, b)])
-
-    return work
-
-
-def removed(unit: Unit, least: int, found: list[tuple[int, bytes]]) -> np.ndarray:
+
+def _family(held: list[tuple[int, bytes]], least: int) -> tuple[Family, Run]:
+    family = Family()
+    for unit, payload in held:
+        run = _unpack_run(payload, unit, least)
+        family.add(run._replace(doc=np.full(len(run.doc), EARLIER)) if unit < 0 else run)
+    return family, family.finish()
+
+
+def _resolve(bucket: int, held: list[tuple[int, bytes]], least: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """To each unit, what smaller documents hold of its entries."""
+    family, run = _family(held, least)
+    window = bucket >= 1 << bits
+    parts = []
+    if family.decided:
+        unit, index = (np.concatenate(x) for x in zip(*family.decided, strict=True))
+        parts += [(u, WINDOW if window else GONE, _pack(np.sort(i).astype("<i4"))) for u, (i,) in _by_unit(unit, index)]
+    if not window:
+        row, first, last = partly(run, least)
+        parts += [(u, PART, _pack(i.astype("<i4"), x.astype("u1"), y.astype("u1"))) for u, (i, x, y) in _by_unit(run.unit[row], run.index[row], first, last)]
+    yield _answers(parts)
+
+
+def _told(found: list[tuple[int, bytes]], kind: int, *kinds: str) -> list[np.ndarray]:
+    parts = [_unpack(data, *kinds) for k, data in found if k == kind]
+    return [np.concatenate([p[i] for p in parts]).astype(np.int64) if parts else np.zeros(0, dtype=np.int64) for i in range(len(kinds))]
+
+
+def removed(unit: Unit, least: int, bits: int, found: list[tuple[int, bytes]], all_heads: bool = False) -> np.ndarray:
     """A flag for every byte of the unit."""
     a = anchors(unit, least)
-    gone = ~local_owners(unit, a)
-    gone[_indices(found, 1)] = True
+    gone = np.zeros(len(a.at), dtype=bool)
+    gone[_told(found, GONE, "<i4")[0]] = True
+    gone = gone[a.first] | (a.doc > a.doc[a.first])
     starts, ends = [a.lo[gone]], [a.hi[gone] + least]
-    at, doc, key, more = own_windows(unit, a, _indices(found, 4), least)
-    repeated = at[doc > least_of(doc, *groups(key, more))]
-    starts.append(repeated)
-    ends.append(repeated + least)
-    for kind, data in found:
-        if kind == 3:
-            x, y = _unpack(data, "<i4", "<i4")
-            starts.append(x.astype(np.int64))
-            ends.append(y.astype(np.int64))
-    edge = np.zeros(len(unit.buf) + 1, dtype=np.int64)
-    np.add.at(edge, np.concatenate(starts), 1)
-    np.add.at(edge, np.concatenate(ends), -1)
+    # parts: of the entry, and of the anchors of the same document for which it stands
+    index, first, last = _told(found, PART, "<i4", "u1", "u1")
+    order = np.argsort(a.first, kind="stable")
+    x, y = (np.searchsorted(a.first[order], index, side) for side in ("left", "right"))
+    many = y - x
+    of = np.repeat(np.arange(len(index)), many)
+    member = order[np.repeat(x - np.cumsum(many) + many, many) + np.arange(many.sum())]
+    starts.append(a.at[member] - last[of])
+    ends.append(a.at[member] - first[of] + least)
+    if not all_heads:
+        flag = _flags(a, found, bits)
+        at, doc, _, one = own_windows(unit, a, np.flatnonzero((flag == 2) & (a.doc == a.doc[a.first])), least)
+        out = np.zeros(len(at), dtype=bool)
+        out[_told(found, WINDOW, "<i4")[0]] = True
+        repeated = at[out[one] | (doc > doc[one])]
+        starts.append(repeated)
+        ends.append(repeated + least)
+    edge = np.bincount(np.concatenate(starts), minlength=len(unit.buf) + 1) - np.bincount(np.concatenate(ends), minlength=len(unit.buf) + 1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def find_repeats(docs: DataFrame, id_col: str, text_col: str, least: int, carry: bool = False, most: int = MANY_COVERS) -> tuple[DataFrame, DataFrame]:
-    """(units, results): results (unit, kind, payload) say what to remove."""
-    assert least >= HEAD + 8
-    units = units_of(docs, id_col, text_col, carry=carry)
-    bits = max(1, (3 * partitions(docs.sparkSession) - 1).bit_length())
-    first = stored(_per_bucket(_index(units, least, bits), "bucket", partial(_resolve, most=most), "unit long, kind int, payload binary"), "suffix-matches")
-    close = _per_bucket(_edges(units, first, least, bits), "bucket", _windows(least), "unit long, kind int, payload binary")
-    second = stored(close, "suffix-edges")
-    return units, first.where("kind in (1, 4)").unionByName(second)
+def _bits(units: DataFrame) -> int:
+    """Bits of buckets: enough that each has the entries of a few units only, and all partitions work."""
+    return max(1, (max(3 * partitions(units.sparkSession), units.count() // 2) - 1).bit_length())
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, most: int = MANY_COVERS) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per row of docs.
+def find_repeats(docs: DataFrame, id_col: str, text_col: str, least: int, carry: bool = False, most: int = MANY) -> tuple[DataFrame, DataFrame, int]:
+    """(units, results, bits): results (unit, kind, payload) say what to remove."""
+    assert least >= HEAD + 8
+    units = units_of(docs, id_col, text_col, carry=carry)
+    bits = _bits(units)
+    shared = stored(_per_bucket(_heads(units, least, bits), partial(_shared, most=most), _TO_UNITS), "suffix-heads")
+    found = stored(_per_bucket(_entries(units, shared, least, bits), partial(_resolve, least=least, bits=bits), _TO_UNITS), "suffix-matches")
+    return units, shared.unionByName(found), bits
 
-    A byte is removed if it lies in a string of `least` bytes that also starts in a
-    document with a smaller id; all is judged on the input.  Ids are integers; null
-    ids are larger than all others and equal to each other, as are repeated ids,
-    so rows with the same id keep what only they share.  Null and empty texts have
-    no bytes.  Other columns are ignored.
-    """
-    units, results = find_repeats(docs, id_col, text_col, least, most=most)
 
+def _digests(units: DataFrame, results: DataFrame, least: int, bits: int, id_col: str, all_heads: bool = False) -> DataFrame:
     def work(name: int, unit: Unit, nulls: np.ndarray, rest: bytes | None, found: list) -> Iterator[pa.RecordBatch]:
-        gone = removed(unit, least, found)
+        gone = removed(unit, least, bits, found, all_heads)
         rows, start = [], 0
         for doc, end, null in zip(unit.docs.tolist(), unit.ends.tolist(), nulls.tolist(), strict=True):
             flags = gone[start:end]
@@ -549,18 +620,31 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     return _each_unit(units, results, work, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, most: int = MANY) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per row of docs.
+
+    A byte is removed if it lies in a string of `least` bytes that also starts in a
+    document with a smaller id; all is judged on the input.  Ids are integers; null
+    ids are larger than all others and equal to each other, as are repeated ids,
+    so rows with the same id keep what only they share.  Texts are UTF-8; null and
+    empty ones have no bytes.  Other columns are ignored.
+    """
+    units, results, bits = find_repeats(docs, id_col, text_col, least, most=most)
+    return _digests(units, results, least, bits, id_col)
+
+
 def trim(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50) -> DataFrame:
     """docs with the characters removed from text_col whose bytes dedup() removes, all of them.
 
     Characters that are removed in part stay whole.  A null text stays null; rows,
     other columns and their order stay as they are.
     """
-    units, results = find_repeats(docs, id_col, text_col, least, carry=True)
+    units, results, bits = find_repeats(docs, id_col, text_col, least, carry=True)
     place, columns = docs.columns.index(text_col), docs.columns
     fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]
 
     def work(name: int, unit: Unit, nulls: np.ndarray, rest: bytes | None, found: list) -> Iterator[pa.RecordBatch]:
-        gone, texts, start = removed(unit, least, found), [], 0
+        gone, texts, start = removed(unit, least, bits, found), [], 0
         for end in unit.ends.tolist():
             own, flags = unit.buf[start:end], gone[start:end]
             heads = np.flatnonzero((own & 0xC0) != 0x80)
@@ -576,3 +660,49 @@ def trim(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
 
     out = _each_unit(units, results, work, T.StructType(fields), carry=True)
     return out.toDF(*columns)
+
+
+class Index:
+    """Suffix arrays of the batches so far, in levels that are tables (bucket, payload) of the shared folder.
+
+    A batch is judged against itself and all earlier batches, whose documents come
+    before its own whatever their ids.  Its suffix arrays are merge-scanned against
+    the levels; then they become a level, and while the level above is not more
+    than twice as long, the two are merged.  As a later batch may repeat anything,
+    all sampled suffixes stay: about 3.7 bytes for each byte of text, compressed.
+    """
+
+    def __init__(self, bits: int, least: int = 50) -> None:
+        self.bits, self.least = bits, least
+        self.levels: list[tuple[int, DataFrame]] = []
+
+    def _merged(self, runs: DataFrame) -> tuple[int, DataFrame]:
+        """One run per bucket of (unit, bucket, payload), and how many entries there are; of equal entries one stays."""
+        least = self.least
+
+        def work(bucket: int, held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+            family = Family()
+            for _, payload in held:
+                family.add(_unpack_run(payload, 0, least))
+            key = np.unique(family.finish().key)
+            none = np.zeros(len(key), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([len(key)]), pa.array([_pack_run(key, none, none)], pa.binary())], ["bucket", "n", "payload"])
+
+        made = stored(_per_bucket(runs, work, "bucket long, n long, payload binary"), "suffix-level")
+        return made.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], made
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """What dedup() gives for the rows of a batch, and the batch joins the index."""
+        least, bits = self.least, self.bits
+        units = units_of(docs, id_col, text_col)
+        runs = stored(_entries(units, None, least, bits), "suffix-runs")
+        met = runs
+        for i, (_, level) in enumerate(self.levels):
+            met = met.unionByName(level.select(F.lit(-1 - i).cast("long").alias("unit"), "bucket", "payload"))
+        found = stored(_per_bucket(met, partial(_resolve, least=least, bits=bits), _TO_UNITS), "suffix-matches").where("unit >= 0")
+        n, made = self._merged(runs)
+        while self.levels and self.levels[-1][0] <= 2 * n:
+            both = [level.select(F.lit(i).cast("long").alias("unit"), "bucket", "payload") for i, level in enumerate((self.levels.pop()[1], made))]
+            n, made = self._merged(both[0].unionByName(both[1]))
+        self.levels.append((n, made))
+        return _digests(units, found, least, bits, id_col, all_heads=True)

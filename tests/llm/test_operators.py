@@ -425,7 +425,7 @@ def test_suffix(spark, monkeypatch, unit):
     assert got(suffix.dedup(empty(spark))) == []
 
 
-@pytest.mark.parametrize("many", [0, 2, 64])
+@pytest.mark.parametrize("many", [0, 2, 64, suffix.MANY])
 def test_suffix_on_shared_pieces(spark, many):
     r = np.random.default_rng(8)
     stock = ["".join(r.choice(list("abcd "), r.integers(20, 120))) for _ in range(30)]
@@ -434,6 +434,39 @@ def test_suffix_on_shared_pieces(spark, many):
     assert Counter(got(suffix.dedup(df, most=many))) == want_removed(data)
 
 
+def test_suffix_index_of_three_batches_is_that_of_one(spark):
+    r = np.random.default_rng(12)
+    stock = ["".join(r.choice(list("abcd "), r.integers(20, 120))) for _ in range(30)]
+    data = [(i, "".join(stock[k] for k in r.integers(0, 30, 6))) for i in range(70)]
+    index, found = suffix.Index(3), Counter()
+    for lo, hi in ((0, 40), (40, 45), (45, 70)):
+        df = spark.createDataFrame(data[lo:hi], "doc_id long, text string").repartition(3)
+        found += Counter(got(index.add(df)))
+    assert found == want_removed(data)
+    sizes = [n for n, _ in index.levels]
+    assert all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+    more = spark.createDataFrame([(-5, data[0][1]), (None, None)], "doc_id long, text string")  # earlier batches come first
+    again = {r["doc_id"]: r for r in index.add(more).collect()}
+    assert again[-5]["n_removed"] == again[-5]["n_bytes"] and again[None]["n_bytes"] == 0
+
+
+def test_suffix_arrays_are_in_suffix_order():
+    r = np.random.default_rng(5)
+    text = bytes(r.choice(list(b"ab\x00c"), 3000).tolist())
+    unit = suffix.Unit(np.frombuffer(text, dtype=np.uint8), np.array([3000]), np.array([1]))
+    a = suffix.anchors(unit, 50)
+    key = suffix.records(unit.buf, a.at, a.hi + 50 - a.at, a.at - a.lo, 50)
+    own = [(text[p : h + 50], text[lo:p][::-1]) for p, lo, h in zip(a.at, a.lo, a.hi, strict=True)]
+    assert [own[i] for i in np.argsort(key, kind="stable")] == sorted(own)
+    one, two = (np.sort(key[i::2]) for i in (0, 1))
+    runs = [suffix.Run(k, np.arange(len(k)), np.zeros(len(k), dtype=int), np.arange(len(k))) for k in (one, two)]
+    both = suffix.merged(*runs)
+    assert (both.key == np.sort(key)).all()
+    rows = suffix.as_bytes(both.key)[:, :50]
+    want = [0] + [next((i for i in range(50) if x[i] != y[i]), 50) for x, y in zip(rows[:-1], rows[1:], strict=True)]
+    assert suffix.common(rows).tolist() == want
+
+
 def test_suffix_trim(spark):
     out = suffix.trim(documents(spark))
     assert out.columns == documents(spark).columns
