@@ -95,13 +95,19 @@ def clause_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "user_id", "clause")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE h AS (SELECT user_id, idx, CASE event_type WHEN 'signup' THEN 20 WHEN 'view' THEN 10 WHEN 'click' THEN 30 ELSE 40 END AS rank, event_type || ' ' || event_id % 7 AS t, row_number() OVER (PARTITION BY user_id ORDER BY idx) AS n
+  FROM ({_EVENTS}) WHERE event_type <> 'error'),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS n, -1::BIGINT AS idx, []::STRUCT(r INT, t VARCHAR)[] AS p FROM h UNION ALL
+  SELECT f.user_id, h.n, h.idx, CASE WHEN h.rank <= 15 AND len(list_filter(p, lambda e: e.r >= 30 OR e.t = h.t)) > 0 THEN p ELSE list_append(list_filter(p, lambda e: e.r < h.rank), {{'r': h.rank, 't': h.t}}) END
+  FROM f JOIN h ON h.user_id = f.user_id AND h.n = f.n + 1)
+SELECT user_id, idx::INT AS idx, array_to_string(list_transform(p, lambda e: e.t), ' > ') AS path FROM f WHERE n > 0""")
 def heading_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Heading paths as a fold; the state decides what is accepted, so SQL has no short form."""
+    """Heading paths; the twin runs through the rows of each user one by one."""
     rank = F.create_map(*[F.lit(x) for x in ("signup", 20, "view", 10, "click", 30, "purchase", 40)])
     text = F.concat_ws(" ", "event_type", F.pmod("event_id", F.lit(7)))
     heads = _events(spark, sf_dir).where("event_type <> 'error'").select("user_id", "idx", rank[F.col("event_type")].alias("rank"), text.alias("t"))
-    return evidence.fold_paths(heads, "user_id", "idx").select("user_id", "idx", F.array_join("path", " > ").alias("path"))
+    return evidence.heading_paths(heads, "user_id", "idx").select("user_id", "idx", F.array_join("path", " > ").alias("path"))
 
 
 @query(f"""
@@ -163,31 +169,40 @@ def title_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("event_type = 'signup'").select("event_id", title.alias("title_id"))
 
 
-_SPANS = "SELECT c_nationkey, o_custkey, min(o_orderkey) AS start_index, max(o_orderkey) AS end_index, count(*) AS priority FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL"
+_SPANS = """SELECT o_custkey, o_orderkey, date_diff('day', DATE '1990-01-01', min(l_shipdate)::DATE) AS start_index, date_diff('day', DATE '1990-01-01', max(l_shipdate)::DATE) AS end_index, count(*) AS priority
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL"""
 
 
-def _customer_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    spans = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("start_index"), F.max("o_orderkey").alias("end_index"), F.count("*").alias("priority"))
-    return spans.join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).drop("c_custkey")
+def _order_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer as spans of days, from the first shipment to the last."""
+    day = F.date_diff(F.to_date("l_shipdate"), F.lit("1990-01-01").cast("date")).cast("long")
+    spans = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min(day).alias("start_index"), F.max(day).alias("end_index"), F.count("*").alias("priority"))
+    return spans.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "o_orderkey", "start_index", "end_index", "priority")
 
 
 @query(f"""
 WITH s AS ({_SPANS})
-SELECT a.o_custkey, count(*) AS n_contained, min(b.o_custkey) AS first_contained FROM s a JOIN s b ON a.c_nationkey = b.c_nationkey AND a.o_custkey <> b.o_custkey AND a.start_index <= b.start_index AND a.end_index >= b.end_index
-GROUP BY a.o_custkey""")
+SELECT a.o_custkey, a.o_orderkey AS "outer", b.o_orderkey AS "inner", a.start_index <= b.start_index AND a.end_index >= b.end_index AS contains
+FROM s a JOIN s b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey AND a.start_index <= b.end_index AND b.start_index <= a.end_index""")
 def region_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans and those that they contain, within a group."""
-    a = _customer_spans(spark, sf_dir)
-    b = a.select(F.col("c_nationkey").alias("n"), F.col("o_custkey").alias("inner"), F.col("start_index").alias("s"), F.col("end_index").alias("e"))
-    met = a.join(b, (F.col("c_nationkey") == F.col("n")) & (F.col("o_custkey") != F.col("inner")) & (F.col("start_index") <= F.col("s")) & (F.col("end_index") >= F.col("e")))
-    return met.groupBy("o_custkey").agg(F.count("*").alias("n_contained"), F.min("inner").alias("first_contained"))
+    """Spans of a key that overlap, and which of them contain the other."""
+    return regions.overlaps(_order_spans(spark, sf_dir), "o_custkey", "o_orderkey")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY priority DESC, start_index, end_index DESC, o_orderkey) AS n FROM ({_SPANS})),
+p AS (SELECT DISTINCT o_custkey, 0::BIGINT AS n, []::STRUCT(k BIGINT, a BIGINT, z BIGINT, p BIGINT)[] AS held FROM s UNION ALL
+  SELECT p.o_custkey, s.n, CASE WHEN len(list_filter(held, lambda h: h.a <= s.start_index AND h.z >= s.end_index)) > 0 THEN held
+    ELSE list_append(list_filter(held, lambda h: NOT (s.start_index <= h.a AND s.end_index >= h.z)), {{'k': s.o_orderkey, 'a': s.start_index, 'z': s.end_index, 'p': s.priority}}) END
+  FROM p JOIN s ON s.o_custkey = p.o_custkey AND s.n = p.n + 1),
+h AS (SELECT o_custkey, unnest(arg_max(held, n)) AS x FROM p GROUP BY o_custkey),
+o AS (SELECT o_custkey, x, row_number() OVER (PARTITION BY o_custkey ORDER BY x.a) AS n FROM h),
+c AS (SELECT o_custkey, n, x, x.z AS far, TRUE AS kept FROM o WHERE n = 1 UNION ALL
+  SELECT c.o_custkey, o.n, o.x, greatest(far, CASE WHEN o.x.a > far THEN o.x.z ELSE far END), o.x.a > far FROM c JOIN o ON o.o_custkey = c.o_custkey AND o.n = c.n + 1)
+SELECT o_custkey, x.a AS start_index, x.z AS end_index, x.p AS priority FROM c WHERE kept""")
 def region_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The greedy choice of spans that do not overlap; each choice depends on those before."""
-    return regions.greedy_spans(_customer_spans(spark, sf_dir), "c_nationkey")
+    """The greedy choice of spans that do not overlap; the twin takes them one by one in order of priority."""
+    return regions.greedy_spans(_order_spans(spark, sf_dir), "o_custkey").select("o_custkey", "start_index", "end_index", "priority")
 
 
 @query(f"""
@@ -296,8 +311,7 @@ WITH c AS (SELECT conv_id, turn, list(text) FILTER (length(text) < 100) OVER (PA
 SELECT conv_id, turn, coalesce(array_to_string(p[-5:], chr(10)), '') AS context, coalesce(len(p[-5:]), 0)::INT AS n_lines FROM c""")
 def chunk_rolling_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last five short texts before each one."""
-    held = chunks.recent_short(F.col("text"), Window.partitionBy("conv_id").orderBy("turn"))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", held.alias("p"))
+    rows = chunks.recent_short(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text", "p")
     return rows.select("conv_id", "turn", F.array_join("p", "\n").alias("context"), F.size("p").alias("n_lines"))
 
 
@@ -318,7 +332,7 @@ def chunk_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     head = F.when(F.col("role") == "user", F.array(F.concat_ws(" ", F.concat_ws(".", F.lit("1"), F.lpad(F.col("turn").cast("string"), 2, "0")), F.substring("text", 1, 20))))
     rows = turns.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("pos"), F.col("text").alias("raw_text"), head.alias("headings"), F.col("text").alias("contextualized"))
-    out = chunks.fold_chunks(rows)
+    out = chunks.enrich(rows)
     return out.select(F.col("document_id").alias("conv_id"), F.col("pos").alias("turn"), F.array_join("effective", " > ").alias("path"), "was_enriched", F.length("page_content").alias("n_chars"), "supporting_context")
 
 

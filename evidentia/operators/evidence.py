@@ -1,20 +1,18 @@
 """Parsed items to ordered, content-addressed evidence.
 
-All ordered state but the heading path is windows on one key, document_id, so the
-cascade shares an exchange.  The heading path depends on what it accepted before
-and is folded over heading rows alone.
+Ordered state is windows on one key, document_id, so the cascade shares an
+exchange.  Of the heading path, only titles and PARTs depend on what was accepted
+before; those rows alone are run through in an array per document.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from evidentia.functions import predicates as P
 from evidentia.functions import text as X
-from evidentia.plans.fold import ordered_fold
 
 
 def explode_items(documents: DataFrame, items: str = "items") -> DataFrame:
@@ -77,41 +75,79 @@ def add_clauses(df: DataFrame) -> DataFrame:
     return made.withColumnRenamed("clause", "source_clause")
 
 
-def _push(path: list[tuple[int, str]], rank: int, text: str) -> list[tuple[int, str]]:
-    if rank <= 15 and (any(r >= 30 for r, _ in path) or any(t == text for _, t in path)):
-        return path
-    return [*(e for e in path if e[0] < rank), (rank, text)]
+#: Ranks of headings: those up to NAMES are titles and section names, those from ARTICLES on articles and what is in them.
+RANKS, NAMES, PART, ARTICLES = (10, 15, 20, 30, 40, 50), 15, 20, 30
 
 
-def fold_paths(heads: DataFrame, key: str, order: str, first: list[tuple[int, str]] | None = None) -> DataFrame:
-    """(key, order, path) after each heading row (key, order, rank, t)."""
-    path = first or []
-    schema = T.StructType([heads.schema[key], heads.schema[order], T.StructField("path", T.ArrayType(T.StringType()))])
+def heading_paths(heads: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order, path) after each heading row (key, order, rank, t); rank is one of RANKS.
 
-    def step(state: list, row: dict) -> tuple[list, dict]:
-        state = _push(state, row["rank"], row["t"])
-        return state, {key: row[key], order: row[order], "path": [t for _, t in state]}
-
-    return ordered_fold(heads, [key], [order], lambda: path, step, schema)
+    A heading replaces those of its rank and below.  A name counts only if no
+    article is open, which is so exactly if the last heading that is no name is a
+    PART, and if the path does not have it.  Only the names that may count, and the
+    PARTs, depend on each other: those few are run through per key; the ranks
+    below are windows, as a PART or a higher article clears them.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_name = F.col("rank") <= NAMES
+    open_ = F.last(F.when(~is_name, F.col("rank")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) >= ARTICLES
+    rows = heads.select(key, order, "rank", "t").withColumn("top", (F.col("rank") == PART) | (is_name & ~F.coalesce(open_, F.lit(False))))
+    tops = _top_paths(rows.where("top"), key, order).select(F.col(key).alias("_k"), F.col(order).alias("_o"), "names")
+    rows = rows.join(tops, F.col(key).eqNullSafe(F.col("_k")) & (F.col(order) == F.col("_o")), "left").drop("_k", "_o")
+    rows = rows.withColumn("names", F.last("names", ignorenulls=True).over(upto))
+    groups, below = [key], []
+    for rank in (PART, *(r for r in RANKS if r >= ARTICLES)):
+        frame = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        mine = F.col("rank") == rank
+        if rank >= ARTICLES:
+            rows = rows.withColumn(f"t{rank}", F.last(F.when(mine, F.col("t")), ignorenulls=True).over(frame))
+            below.append(f"t{rank}")
+        if rank != RANKS[-1]:
+            rows = rows.withColumn(f"g{rank}", F.count_if(mine).over(frame))
+            groups.append(f"g{rank}")
+    return rows.select(key, order, F.array_compact(F.concat(F.coalesce("names", F.array().cast("array<string>")), F.array(*below))).alias("path"))
+
+
+def _top_paths(top: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order, names): the title, section name and PART after each row."""
+    text = F.lit(None).cast("string")
+    kind = dict(top.dtypes)[order]
+    start = F.struct(text.alias("a"), text.alias("b"), text.alias("c"), F.array().cast(f"array<struct<o:{kind},names:array<string>>>").alias("out"))
+
+    def step(at: Column, x: Column) -> Column:
+        known = F.array_contains(F.array(*(F.coalesce(at[c], F.lit("")) for c in "abc")), x["t"])
+        stays = (x["rank"] <= NAMES) & known
+        a = F.when((x["rank"] == RANKS[0]) & ~known, x["t"]).otherwise(at["a"])
+        b = F.when(stays | (x["rank"] == PART), at["b"]).when(x["rank"] == NAMES, x["t"])
+        c = F.when(x["rank"] == PART, x["t"]).when(stays, at["c"])
+        after = F.struct(x["o"].alias("o"), F.array_compact(F.array(a, b, c)).alias("names"))
+        return F.struct(a.alias("a"), b.alias("b"), c.alias("c"), F.concat(at["out"], F.array(after)).alias("out"))
+
+    held = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "rank", "t")))
+    run = top.groupBy(key).agg(held.alias("x")).select(key, F.inline(F.aggregate("x", start, step, lambda at: at["out"])))
+    return run.withColumnRenamed("o", order)
 
 
 def add_heading_paths(df: DataFrame, initial: list[str] | None = None) -> DataFrame:
     """df (document_id, pos, raw_text, heading, label) with heading_path.
 
-    A heading replaces those of its rank and below.  Titles and section names (rank
-    15 and less) are page headers once an article is open, and are left out then,
-    as are those in the path already.  `initial` headings count as section headers.
+    Rows see the path of heading_paths().  `initial` headings count as section
+    headers that stand before the first row of every document.
     """
-    first = [] if not initial else [(r["rank"], r["t"]) for r in _ranked_texts(df, initial)]
-    path: list[tuple[int, str]] = []
-    for rank, text in first:
-        path = _push(path, rank, text)
+    first = _ranked_texts(df, initial) if initial else []
     heads = df.where(F.col("heading") & (X.strip("raw_text") != "")).select("document_id", "pos", X.strip("raw_text").alias("t"), X.heading_rank("raw_text", "label").alias("rank"))
-    folded = fold_paths(heads, "document_id", "pos", path).select(F.col("document_id").alias("_d"), F.col("pos").alias("_p"), F.col("path").alias("_path"))
-    joined = df.join(folded, df["document_id"].eqNullSafe(F.col("_d")) & (F.col("pos") == F.col("_p")), "left").drop("_d", "_p")
+    if first:
+        ahead = F.array(*[F.struct(F.lit(i - len(first) - 1).cast(df.schema["pos"].dataType).alias("pos"), F.lit(r["t"]).alias("t"), F.lit(r["rank"]).alias("rank")) for i, r in enumerate(first)])
+        heads = df.select("document_id").distinct().select("document_id", F.inline(ahead)).unionByName(heads)
+    paths = heading_paths(heads, "document_id", "pos").select(F.col("document_id").alias("_d"), F.col("pos").alias("_p"), F.col("path").alias("_path"))
+    start = F.array().cast("array<string>")
+    if first:
+        before = paths.where("_p < 0").groupBy("_d").agg(F.max_by("_path", "_p").alias("_start"))
+        df, start = df.join(before, df["document_id"].eqNullSafe(F.col("_d")), "left").drop("_d"), F.col("_start")
+    joined = df.join(paths, df["document_id"].eqNullSafe(F.col("_d")) & (F.col("pos") == F.col("_p")), "left").drop("_d", "_p")
     frame = Window.partitionBy("document_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    start = F.array(*[F.lit(t) for _, t in path]).cast("array<string>")
-    return joined.withColumn("heading_path", F.coalesce(F.last("_path", ignorenulls=True).over(frame), start)).drop("_path")
+    return joined.withColumn("heading_path", F.coalesce(F.last("_path", ignorenulls=True).over(frame), start)).drop("_path", "_start")
 
 
 def _ranked_texts(df: DataFrame, texts: list[str]) -> list:

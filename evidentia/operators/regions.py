@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 
 from evidentia.functions import predicates as P
 from evidentia.functions import text as X
-from evidentia.plans.fold import group_walk
 
 _EXACT = r"^\d+\.\d+$"
 
@@ -60,23 +59,49 @@ def candidates(evidence: DataFrame, unicode: bool = True) -> DataFrame:
     )
 
 
-def choose(rows: list[dict]) -> list[dict]:
-    """Of spans in order of preference: those in none before them, less those that a later one contains; then earlier before overlapping."""
-    held: list[dict] = []
-    for r in rows:
-        if any(h["start_index"] <= r["start_index"] and h["end_index"] >= r["end_index"] for h in held):
-            continue
-        held = [h for h in held if not (r["start_index"] <= h["start_index"] and r["end_index"] >= h["end_index"])] + [r]
-    out: list[dict] = []
-    for r in sorted(held, key=lambda h: h["start_index"]):
-        if not out or all(r["end_index"] < o["start_index"] or r["start_index"] > o["end_index"] for o in out):
-            out.append(r)
-    return out
+def outermost(spans: DataFrame, key: str) -> DataFrame:
+    """Spans that no other of their key contains; of equal ones that of the highest priority.
+
+    In order of start, the longest first, a span lies in an earlier one exactly if
+    the furthest end so far reaches its own.
+    """
+    before = Window.partitionBy(key).orderBy("start_index", F.desc("end_index"), F.desc("priority")).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max("end_index").over(before)
+    return spans.withColumn("_reach", reach).where("_reach is null or _reach < end_index").drop("_reach")
 
 
 def greedy_spans(spans: DataFrame, key: str) -> DataFrame:
-    """choose() for every key; spans has start_index, end_index and priority, the highest first."""
-    return group_walk(spans, [key], [F.desc("priority"), "start_index", F.desc("end_index")], choose, spans.schema)
+    """The outermost spans (start_index, end_index, priority, ...) of every key, less those that overlap an earlier chosen one.
+
+    Outermost spans end in the order in which they start, so one overlaps a chosen
+    span exactly if it starts before the last chosen one has ended.  Where a span
+    starts after all before it, an island begins that has nothing to do with the
+    others; the choice runs along each island.
+    """
+    before = Window.partitionBy(key).orderBy("start_index").rowsBetween(Window.unboundedPreceding, -1)
+    rows = outermost(spans, key).withColumn("_opens", F.coalesce(F.col("start_index") > F.max("end_index").over(before), F.lit(True)))
+    rows = rows.withColumn("_island", F.count_if("_opens").over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rest = [c for c in spans.columns if c not in ("start_index", "end_index", key)]
+    held = F.array_sort(F.collect_list(F.struct("start_index", "end_index", *rest)))
+    islands = rows.groupBy(key, "_island").agg(held.alias("_spans"))
+    take = lambda out, x: F.when((F.size(out) == 0) | (F.element_at(out, -1)["end_index"] < x["start_index"]), F.concat(out, F.array(x))).otherwise(out)
+    chosen = F.aggregate("_spans", F.slice("_spans", 1, 0), take)
+    return islands.select(key, F.inline(chosen)).select(*spans.columns)
+
+
+def overlaps(spans: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, outer, inner, contains): pairs of a key's spans that overlap; contains says that the first holds the second whole.
+
+    Spans meet in the blocks of positions that both reach, and count in the first
+    of those, so that a key with very many spans is split.
+    """
+    size = spans.agg(F.greatest(F.ceil(F.percentile_approx(F.col("end_index") - F.col("start_index"), F.lit(0.5))), F.lit(1)).cast("long").alias("_size"))
+    block = lambda c: F.floor(F.col(c) / F.col("_size")).cast("long")
+    rows = spans.crossJoin(F.broadcast(size)).select(key, F.col(name).alias("a"), F.col("start_index").alias("s"), F.col("end_index").alias("e"), F.explode(F.sequence(block("start_index"), block("end_index"))).alias("block"), "_size")
+    other = rows.select(F.col(key).alias("_k"), F.col("a").alias("b"), F.col("s").alias("_s"), F.col("e").alias("_e"), F.col("block").alias("_block"))
+    met = rows.join(other, (F.col(key) == F.col("_k")) & (F.col("block") == F.col("_block")) & (F.col("a") != F.col("b")) & (F.col("s") <= F.col("_e")) & (F.col("_s") <= F.col("e")))
+    first = F.floor(F.greatest("s", "_s") / F.col("_size")).cast("long") == F.col("block")
+    return met.where(first).select(key, F.col("a").alias("outer"), F.col("b").alias("inner"), ((F.col("s") <= F.col("_s")) & (F.col("e") >= F.col("_e"))).alias("contains"))
 
 
 def locate(evidence: DataFrame, unicode: bool = True) -> DataFrame:

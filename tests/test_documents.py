@@ -98,9 +98,41 @@ def test_regions(spark):
     assert out[0]["evidence_ids"] == [f"d-{i}" for i in range(1, 6)]
 
 
-def test_greedy_choice():
-    span = lambda a, b: {"start_index": a, "end_index": b}
-    assert regions.choose([span(2, 3), span(0, 5), span(4, 8), span(9, 9)]) == [span(0, 5), span(9, 9)]
+def greedy(rows):
+    """The choice as it is defined, one span after the other."""
+    held = []
+    for _, a, b in sorted(rows, key=lambda r: (-r[0], r[1], -r[2])):
+        if not any(x <= a and y >= b for x, y in held):
+            held = [(x, y) for x, y in held if not (a <= x and b >= y)] + [(a, b)]
+    out = []
+    for a, b in sorted(held):
+        if all(b < x or a > y for x, y in out):
+            out.append((a, b))
+    return out
+
+
+def test_greedy_choice(spark):
+    r = random.Random(3)
+    data = {k: [(r.randrange(4), a, a + r.randrange(12)) for a in (r.randrange(60) for _ in range(r.randrange(1, 25)))] for k in range(60)}
+    df = spark.createDataFrame([(k, *x) for k, rows in data.items() for x in rows], "k int, priority int, start_index int, end_index int")
+    found = {k: [] for k in data}
+    for x in regions.greedy_spans(df, "k").collect():
+        found[x["k"]].append((x["start_index"], x["end_index"]))
+    assert {k: sorted(v) for k, v in found.items()} == {k: greedy(v) for k, v in data.items()}
+
+
+def test_heading_paths_are_the_stack(spark):
+    r = random.Random(4)
+    data = {k: [(r.choice(evidence.RANKS), r.choice("abcd")) for _ in range(r.randrange(1, 40))] for k in range(80)}
+    want = {}
+    for k, rows in data.items():
+        path = []
+        for i, (rank, t) in enumerate(rows):
+            if rank > 15 or not (any(x >= 30 for x, _ in path) or any(y == t for _, y in path)):
+                path = [e for e in path if e[0] < rank] + [(rank, t)]
+            want[k, i] = [t for _, t in path]
+    heads = spark.createDataFrame([(k, i, *x) for k, rows in data.items() for i, x in enumerate(rows)], "k int, i int, rank int, t string")
+    assert {(x["k"], x["i"]): x["path"] for x in evidence.heading_paths(heads, "k", "i").collect()} == want
 
 
 def test_candidates(spark):

@@ -186,12 +186,12 @@ def test_register_and_project(spark):
     assert tuple(key.select(project.parse_key(F.col("k")).alias("p")).first()["p"]) == ("d", "s::t")
 
 
-def test_chunk_fold(spark):
+def test_chunks(spark):
     rows = [
         ("d", 0, "2.05 FANS intro text that is rather long " + "x" * 80, ["2.05 FANS"], "2.05 FANS\n2.05 FANS intro"), ("d", 1, "short line", [], "short line"), ("d", 2, "H. Makers", ["H. Makers"], "H. Makers\nH. Makers"),
         ("d", 3, " ", [], ""), ("d", 4, "3.01 NEXT", ["3.01 NEXT"], "3.01 NEXT\n3.01 NEXT"),
     ]
-    out = chunks.fold_chunks(spark.createDataFrame(rows, "document_id string, pos int, raw_text string, headings array<string>, contextualized string")).orderBy("pos").collect()
+    out = chunks.enrich(spark.createDataFrame(rows, "document_id string, pos int, raw_text string, headings array<string>, contextualized string")).orderBy("pos").collect()
     assert [r["effective"] for r in out] == [["2.05 FANS"], ["2.05 FANS"], ["2.05 FANS", "H. Makers"], ["3.01 NEXT"]]
     assert out[1]["page_content"] == "2.05 FANS\nshort line" and out[1]["was_enriched"]
     assert out[2]["supporting_context"] == "short line" and out[3]["preceding"] == []
