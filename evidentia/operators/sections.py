@@ -81,6 +81,10 @@ def accept(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return accepted.drop("passes", "first"), skipped
 
 
+def section_id(document: Column, number: Column, heading_id: Column) -> Column:
+    return X.content_id("sec", document, number, heading_id)
+
+
 def discover(evidence: DataFrame, unicode: bool = True) -> DataFrame:
     """One row per section: number, title, span, pages, ids, division, warnings.
 
@@ -107,7 +111,7 @@ def discover(evidence: DataFrame, unicode: bool = True) -> DataFrame:
     none = F.array().cast("array<string>")
     more = F.when(F.col("no") == 1, F.concat(F.when(F.col("extended"), F.array(F.lit("start_extended_before_heading"))).otherwise(none), F.coalesce("skipped", none))).otherwise(none)
     return out.select(
-        X.content_id("sec", F.col("document_id"), F.col("number"), F.col("id")).alias("id"), "document_id", F.col("number").alias("section_number"), "title", "start_evidence_id", "end_evidence_id", "evidence_ids",
+        section_id(F.col("document_id"), F.col("number"), F.col("id")).alias("id"), "document_id", F.col("number").alias("section_number"), "title", "start_evidence_id", "end_evidence_id", "evidence_ids",
         "start_page", "end_page", F.col("heading_ids").alias("heading_evidence_ids"), F.col("div.number").alias("division_number"), F.col("div.title").alias("division_title"),
         F.col("method").alias("detection_method"), F.concat("warnings", more).alias("warnings"), "start_index", "end_index",
     )

@@ -37,6 +37,50 @@ CHUNK = _of(
     page_content=_S, filename=_S, source=_S, file_type=_S, chunk_id=_I, raw_text=_S, supporting_context=_S, headings=_S, labels=_S,
     was_enriched=_B, contextualized_preview=_S, page=_I,
 )
+SPEC_SECTION = _of(
+    id=_S, document_id=_S, section_number=_S, title=_S, start_evidence_id=_S, end_evidence_id=_S, evidence_ids=_IDS, start_page=_I, end_page=_I,
+    heading_evidence_ids=_IDS, division_number=_S, division_title=_S, detection_method=_S, warnings=_IDS, start_index=_I, end_index=_I,
+)
+REGION = _of(
+    document_id=_S, start_index=_I, end_index=_I, start_evidence_id=_S, heading=_S, source_clause=_S, priority=_I, detection_method=_S,
+    warnings=_IDS, evidence_ids=_IDS, end_evidence_id=_S,
+)
+CANDIDATE = _of(document_id=_S, heading_evidence_id=_S, heading=_S, source_clause=_S, evidence_ids=_IDS, start_index=_I, end_index=_I, chars=_L, detection_method=_S)
+CANDIDATE_TOTALS = _of(document_id=_S, total_regions=_L, total_evidence=_L, approx_char_count=_L)
+COVERAGE = _of(
+    document_id=_S, total_evidence=_L, assigned_evidence=_L, evidence_before_first_section=_L, evidence_unassigned=_L,
+    unassigned_evidence_ids=_IDS, duplicate_assignment_ids=_IDS,
+)
+DOCUMENT = _of(document_id=_S, filename=_S, content=T.BinaryType(), items=T.ArrayType(_of(**{f.name: f.dataType for f in ITEM.fields[2:]})))
+PRODUCT_VIEW = _of(
+    product_ord=_I, product_id=_S, name=_S, normalized_name=_S, group_id=_S, group_name=_S, evidence_ids=_IDS, suggested_for_requirement=_B,
+    mapping_method=_S, review_required=_B, confidence=_D,
+)
+GROUP_VIEW = _of(place=_I, group_id=_S, name=_S, code=_S, evidence_ids=_IDS, products=T.ArrayType(PRODUCT_VIEW), total_products=_L, suggested_products=_L)
+REQUIREMENT_VIEW = T.StructType([
+    *(T.StructField("requirement_id" if f.name == "id" else f.name, f.dataType) for f in REQUIREMENT.fields),
+    *_of(product_groups=T.ArrayType(GROUP_VIEW), suggested_product_ids=_IDS, available_product_count=_L, suggested_product_count=_I).fields,
+])
+SECTION_VIEW = T.ArrayType(REQUIREMENT_VIEW)
+REGISTER_ROW = _of(
+    project_section_key=_S, document_id=_S, filename=_S, section_number=_S, section_title=_S, requirement_id=_S, submittal_type=_S, title=_S,
+    source_clause=_S, available_product_count=_L, suggested_product_count=_I, confirmed_product_count=_I,
+)
+PROJECT_VIEW = T.ArrayType(REGISTER_ROW)
+DRAFT = _of(
+    id=_S, requirement_id=_S, spec_section_id=_S, project_section_key=_S, source_clause=_S, submittal_type=_S, title=_S, product_ids=_IDS,
+    product_names=_IDS, requirement_evidence_ids=_IDS, packaging_mode=_S, item=_I,
+)
+EXPORT_ROW = _of(
+    source_file=_S, spec_section=_S, spec_title=_S, source_clause=_S, submittal_type=_S, submittal_title=_S, products=_IDS, product_count=_I,
+    products_status=_S, row_kind=_S, requirement_id=_S, draft_id=_S, project_section_key=_S,
+)
+EXPORT_SUMMARY = _of(
+    uploaded_file_count=_L, detected_section_count=_L, processed_section_count=_L, completed_count=_L, no_submittals_count=_L, failed_count=_L,
+    not_processed_count=_L, exported_register_row_count=_L,
+)
+HIGHLIGHT = _of(evidence_id=_S, page_number=_I, bbox=BBOX, raw_text=_S, source_clause=_S, heading_path=_IDS, missing=_B)
+REVIEW = _of(entity_type=_S, entity_id=_S, title=_S, evidence_ids=_IDS, highlights=T.ArrayType(HIGHLIGHT), missing_evidence_ids=_IDS)
 
 # Values of the enumerated columns (fixed values).
 MAPPING_METHODS = ("explicit", "normalized", "inferred")

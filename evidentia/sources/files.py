@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidentia import schemas
+from evidentia.plans.lineage import cut
 
 # Suffixes that are taken in (fixed values).
 SUFFIXES = ("pdf", "docx", "pptx", "xlsx", "html", "htm", "png", "jpg", "jpeg")
@@ -23,8 +24,16 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return found.select(name.alias("filename"), F.lower(F.element_at(F.split(name, r"\."), -1)).alias("file_type"), "content")
 
 
-def parse(files: DataFrame, parser: Callable[[str, bytes], list[dict]]) -> tuple[DataFrame, DataFrame]:
-    """(documents, errors): parser(filename, content) gives schemas.ITEM rows; a file that fails is an error row, others go on."""
+# What a parser is asked for unless told otherwise (fixed values).
+PARSER_OPTIONS = {"do_ocr": True, "do_table_structure": True, "generate_picture_images": True, "images_scale": 2.0}
+
+
+def parse(files: DataFrame, parser: Callable[..., list[dict]], options: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, errors): parser(filename, content) gives schemas.ITEM rows; a file that fails is an error row, others go on.
+
+    `options`, PARSER_OPTIONS or others, go to the parser by name.  The parser runs
+    once for each file: what it gives is checkpointed before errors are told apart.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     item = T.StructType([f for f in schemas.ITEM.fields if f.name not in ("document_id", "pos")])
@@ -35,12 +44,12 @@ def parse(files: DataFrame, parser: Callable[[str, bytes], list[dict]]) -> tuple
         for batch in batches:
             for row in batch.to_pylist():
                 try:
-                    made, error = parser(row["filename"], row["content"]), None
+                    made, error = parser(row["filename"], row["content"], **(options or {})), None
                 except Exception as e:  # noqa: BLE001  one file's failure is its own
                     made, error = None, f"{row['filename']}: {e}"
                 yield pa.RecordBatch.from_pylist([row | {"items": made, "error": error}], schema=kinds)
 
-    done = files.select("filename", "file_type", "content").mapInArrow(run, schema)
+    done = cut(files.select("filename", "file_type", "content").mapInArrow(run, schema))
     return done.where("error is null").drop("error"), done.where("error is not null").select("filename", "error")
 
 
@@ -51,6 +60,25 @@ def read_cached(spark: SparkSession, path: str, schema: T.StructType = schemas.I
     return both.where(good).select(*(F.col(f"x.{f.name}") for f in schema.fields)), both.where(~good).select("value")
 
 
+def read_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Parsed documents, one JSON object of any number of lines per file, with the file's name."""
+    found = spark.read.schema(schema).json(path, multiLine=True).select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("_name"))
+    return found.withColumnRenamed("_name", "filename") if "filename" not in schema.names else found.withColumn("filename", F.coalesce("filename", "_name")).drop("_name")
+
+
+def downloads(documents: DataFrame, items: str = "items") -> DataFrame:
+    """(document_id, json, markdown): what is offered to save of each parsed document.
+
+    In the Markdown, headings have as many signs as their level says, list items a
+    dash, other texts a paragraph.
+    """
+    label = lambda x: F.lower(F.trim(F.coalesce(x["label"], F.lit(""))))
+    said = lambda x: F.coalesce(x["text"], x["orig"], F.lit(""))
+    sign = lambda x: F.when(label(x).isin("title", "section_header", "page_header") | label(x).contains("header"), F.concat(F.repeat(F.lit("#"), heading_level(label(x))), F.lit(" "))).when(label(x) == "list_item", "- ").otherwise("")
+    lines = F.transform(F.filter(items, lambda x: F.trim(said(x)) != ""), lambda x: F.concat(sign(x), said(x)))
+    return documents.select("document_id", F.to_json(F.struct("document_id", items)).alias("json"), F.array_join(lines, "\n\n").alias("markdown"))
+
+
 def summary(documents: DataFrame) -> DataFrame:
     """Counts of the parts of parsed documents (pages, texts, tables, pictures as arrays)."""
     size = lambda c: F.coalesce(F.size(F.col(c)), F.lit(0))

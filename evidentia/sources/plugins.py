@@ -6,6 +6,7 @@ recorded results, so a pipeline runs the same without a network.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 
@@ -17,9 +18,12 @@ from pyspark.sql import types as T
 from evidentia import schemas
 from evidentia.functions.predicates import is_rate_limit
 from evidentia.operators.validate import Extraction
+from evidentia.plans.lineage import cut
 
 #: Texts in a call, tries, and the first pause in seconds, doubled every time.
 BATCH, TRIES, PAUSE = 100, 4, 1.5
+#: Further calls for a prompt whose answer is no JSON object.
+RETRIES = 2
 
 
 def with_retries(call: Callable, tries: int = TRIES, pause: float = PAUSE, sleep: Callable[[float], None] = time.sleep) -> object:
@@ -74,8 +78,30 @@ def replay(results: DataFrame) -> Extraction:
     return Extraction(rows("requirements", schemas.REQUIREMENT), rows("product_groups", schemas.PRODUCT_GROUP), rows("products", schemas.PRODUCT), rows("links", schemas.LINK))
 
 
-def extract(prompts: DataFrame, extractor: Callable[[str], dict]) -> Extraction:
-    """extractor(prompt) for each (project_section_key, prompt): a dict of four lists."""
+def answer(call: Callable[[], dict | str], retries: int = RETRIES) -> dict:
+    """What an extractor says, as a dict; JSON text is read, and asked for again if it is none."""
+    for n in range(retries + 1):
+        made = call()
+        if isinstance(made, dict):
+            return made
+        try:
+            read = json.loads(made)
+        except (TypeError, ValueError):
+            read = None
+        if isinstance(read, dict):
+            return read
+        if n == retries:
+            raise ValueError(f"no JSON object after {retries + 1} calls")
+    raise AssertionError("retries must not be negative")
+
+
+def extract(prompts: DataFrame, extractor: Callable[[str], dict | str]) -> Extraction:
+    """extractor(prompt) for each (project_section_key, prompt): a dict of four lists, or its JSON.
+
+    The answers are checkpointed before they are taken apart, so that all four
+    tables come from one call for each prompt.  Settings of a model, such as its
+    temperature, are the extractor's own.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     parts = {"requirements": schemas.REQUIREMENT, "product_groups": schemas.PRODUCT_GROUP, "products": schemas.PRODUCT, "links": schemas.LINK}
@@ -86,14 +112,17 @@ def extract(prompts: DataFrame, extractor: Callable[[str], dict]) -> Extraction:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                made = with_retries(lambda row=row: extractor(row["prompt"]))
+                made = answer(lambda row=row: with_retries(lambda: extractor(row["prompt"])))
                 yield pa.RecordBatch.from_pylist([{"project_section_key": row["project_section_key"]} | {k: made.get(k) or [] for k in own}], schema=kinds)
 
-    return replay(prompts.select("project_section_key", "prompt").mapInArrow(run, schema))
+    return replay(cut(prompts.select("project_section_key", "prompt").mapInArrow(run, schema)))
+
 
+def prompts(sections: DataFrame, region: DataFrame, candidates: DataFrame, system: str = "") -> DataFrame:
+    """(project_section_key, prompt, n_chars): sections with the evidence blocks of their regions and candidates.
 
-def prompts(sections: DataFrame, region: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(project_section_key, prompt, n_chars): sections with the evidence blocks of their regions and candidates."""
+    n_chars counts the extractor's system prompt too.
+    """
     from evidentia.functions.text import prompt_block
 
     def block(df: DataFrame, name: str) -> DataFrame:
@@ -107,4 +136,4 @@ def prompts(sections: DataFrame, region: DataFrame, candidates: DataFrame) -> Da
         F.lit("SECTION METADATA\n\nsection_number: "), told("section_number"), F.lit("\nsection_title: "), told("section_title"), F.lit("\n\nSUBMITTAL EVIDENCE\n\n"), F.coalesce("a", F.lit("(none)")),
         F.lit("\n\nPRODUCT EVIDENCE\n\n"), F.coalesce("b", F.lit("(none)")), F.lit("\n"),
     )
-    return rows.select("project_section_key", text.alias("prompt")).withColumn("n_chars", F.length("prompt"))
+    return rows.select("project_section_key", text.alias("prompt")).withColumn("n_chars", F.length("prompt") + len(system))

@@ -240,6 +240,53 @@ def test_plugins(spark, tmp_path):
     assert [r["name"] for r in found.products.collect()] == ["p"] and found.links.count() == 0
 
 
+def test_one_call_for_each_prompt_and_file(spark, tmp_path):
+    log = tmp_path / "log"
+
+    def said(what):
+        with log.open("a") as f:
+            f.write(what + "\n")
+
+    def extractor(prompt):
+        said(prompt)
+        n = log.read_text().split().count(prompt)
+        return "no json" if prompt == "b" and n == 1 else json.dumps({"products": [{"id": prompt, "name": str(n)}], "links": [{"id": "l", "product_id": prompt}]})
+
+    prompts = spark.createDataFrame([("k1", "a"), ("k2", "b")], "project_section_key string, prompt string")
+    found = plugins.extract(prompts, extractor)
+    for df in found:
+        df.collect()
+    assert {r["name"] for r in found.products.collect()} == {"1", "2"}
+    assert sorted(log.read_text().split()) == ["a", "b", "b"]
+    with pytest.raises(ValueError):
+        plugins.answer(lambda: "[1]")
+    log.unlink()
+    uploads = spark.createDataFrame([("x.pdf", "pdf", b"1"), ("y.pdf", "pdf", b"")], "filename string, file_type string, content binary")
+    good, bad = files.parse(uploads, lambda name, content, do_ocr: said(name) or [{"text": str(do_ocr), "page": content[0]}], {"do_ocr": True})
+    assert (good.count(), bad.count(), good.first()["items"][0]["text"]) == (1, 1, "True")
+    assert sorted(log.read_text().split()) == ["x.pdf", "y.pdf"]
+
+
+def test_cached_documents_and_downloads(spark, tmp_path):
+    (tmp_path / "d.json").write_text(json.dumps({"document_id": "d", "items": [{"text": "A title", "label": "title"}, {"text": "one", "label": "list_item"}, {"text": " "}, {"orig": "body"}]}, indent=1))
+    schema = "document_id string, items array<struct<text:string,orig:string,label:string>>"
+    from pyspark.sql import types as T
+
+    docs = files.read_documents(spark, str(tmp_path), T.StructType.fromDDL(schema))
+    assert docs.first()["filename"] == "d.json"
+    row = files.downloads(docs).first()
+    assert row["markdown"] == "# A title\n\n- one\n\nbody" and json.loads(row["json"])["items"][3]["orig"] == "body"
+
+
+def test_public_names():
+    import evidentia
+
+    assert len(dir(evidentia)) == 71 and all(getattr(evidentia, n) is not None for n in dir(evidentia))
+    assert evidentia.export_markdown_bytes is not evidentia.export_markdown
+    with pytest.raises(AttributeError):
+        evidentia.no_such_name  # noqa: B018
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"x")
     (tmp_path / "b.txt").write_bytes(b"y")
