@@ -110,20 +110,6 @@ def heading_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.heading_paths(heads, "user_id", "idx").select("user_id", "idx", F.array_join("path", " > ").alias("path"))
 
 
-@query(f"""
-WITH e AS (SELECT *, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY idx) AS span FROM ({_EVENTS}))
-SELECT user_id, span, min(idx)::INT AS start_idx, max(idx)::INT AS end_idx, count(*) AS n_rows, min(ts) AS start_ts, max(ts) AS end_ts, min(event_id) FILTER (event_type = 'signup') AS heading_id,
-  arg_min(event_type, idx) AS first_type FROM e WHERE span > 0 GROUP BY user_id, span""")
-def section_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans from one boundary to the next, with the range that they cover."""
-    start = F.col("event_type") == "signup"
-    rows = _events(spark, sf_dir).withColumn("span", F.count_if(start).over(Window.partitionBy("user_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))).where("span > 0")
-    return rows.groupBy("user_id", "span").agg(
-        F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx"), F.count("*").alias("n_rows"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"),
-        F.min(F.when(start, F.col("event_id"))).alias("heading_id"), F.min_by("event_type", "idx").alias("first_type"),
-    )
-
-
 @query(f"""
 WITH e AS (SELECT *, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY idx) AS span FROM ({_EVENTS}))
 SELECT user_id, count(*) AS total_evidence, count(*) FILTER (span > 0) AS assigned_evidence, count(*) FILTER (span = 0) AS evidence_unassigned,
@@ -148,27 +134,6 @@ def lookahead_confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).withColumn("confirmed", seen).where(kind == "signup").select("event_id", "user_id", "confirmed")
 
 
-@query(f"""
-SELECT event_id, n_distinct, n_distinct >= 3 AS clustered FROM (
-  SELECT event_id, count(DISTINCT event_type) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS n_distinct FROM ({_EVENTS}))""")
-def cluster_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct values near a row: the table-of-contents test."""
-    near = F.size(F.collect_set("event_type").over(Window.partitionBy("user_id").orderBy("idx").rowsBetween(-2, 2)))
-    return _events(spark, sf_dir).select("event_id", near.cast("long").alias("n_distinct")).withColumn("clustered", F.col("n_distinct") >= sections.CLUSTER_NUMBERS)
-
-
-@query(f"""
-WITH e AS (SELECT *, lead(event_type, 1) OVER w AS t1, lead(event_type, 2) OVER w AS t2, lead(event_id, 1) OVER w AS i1, lead(event_id, 2) OVER w AS i2 FROM ({_EVENTS}) WINDOW w AS (PARTITION BY user_id ORDER BY idx))
-SELECT event_id, CASE WHEN t1 = 'view' THEN i1 WHEN t1 NOT IN ('signup', 'click') AND t2 = 'view' THEN i2 END AS title_id FROM e WHERE event_type = 'signup'""")
-def title_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The title among the next two rows, unless something else starts before."""
-    w = Window.partitionBy("user_id").orderBy("idx")
-    at = lambda c, n: F.lead(c, n).over(w)
-    rows = _events(spark, sf_dir).select("event_id", "event_type", *(at(c, n).alias(f"{c}{n}") for c in ("event_type", "event_id") for n in (1, 2)))
-    title = F.when(F.col("event_type1") == "view", F.col("event_id1")).when(~F.col("event_type1").isin("signup", "click") & (F.col("event_type2") == "view"), F.col("event_id2"))
-    return rows.where("event_type = 'signup'").select("event_id", title.alias("title_id"))
-
-
 _SPANS = """SELECT o_custkey, o_orderkey, date_diff('day', DATE '1990-01-01', min(l_shipdate)::DATE) AS start_index, date_diff('day', DATE '1990-01-01', max(l_shipdate)::DATE) AS end_index, count(*) AS priority
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL"""
 
@@ -255,45 +220,6 @@ def clause_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.below(clauses, required).groupBy("required").agg(F.count("*").alias("n_clauses"))
 
 
-_DANGLING = """
-SELECT l_orderkey, l_linenumber, CASE WHEN o.o_orderkey IS NULL THEN 'dangling_requirement_id' WHEN p.p_partkey IS NULL THEN 'dangling_product_id' END AS code
-FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_totalprice >= 20000) o ON o.o_orderkey = l_orderkey LEFT JOIN (SELECT p_partkey FROM part WHERE p_size <= 45) p ON p.p_partkey = l_partkey"""
-
-
-def _dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links whose requirement, or else whose product, did not survive."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    orders = table(spark, sf_dir, "orders").where("o_totalprice >= 20000").select("o_orderkey")
-    part = table(spark, sf_dir, "part").where("p_size <= 45").select("p_partkey")
-    met = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
-    code = F.when(F.col("o_orderkey").isNull(), "dangling_requirement_id").when(F.col("p_partkey").isNull(), "dangling_product_id")
-    return met.select("l_orderkey", "l_linenumber", code.alias("code")).where("code is not null")
-
-
-@query(f"SELECT * FROM ({_DANGLING}) WHERE code IS NOT NULL")
-def ref_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dangling(spark, sf_dir)
-
-
-@query(f"SELECT code, 'error' AS severity, count(*) AS n, count(DISTINCT l_orderkey) AS n_entities FROM ({_DANGLING}) WHERE code IS NOT NULL GROUP BY code")
-def issue_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues by severity and code."""
-    return _dangling(spark, sf_dir).groupBy("code").agg(F.lit("error").alias("severity"), F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("n_entities"))
-
-
-@query("""
-WITH m AS (SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'explicit' WHEN quality = 1 OR toxic = 1 THEN 'normalized' ELSE 'inferred' END AS method, quality = 1 AS req_side, toxic = 0 AS prod_side FROM labels),
-d AS (SELECT *, CASE WHEN method = 'normalized' AND NOT (req_side AND prod_side) THEN CASE WHEN req_side OR prod_side THEN 'downgrade' ELSE 'reject' END ELSE 'keep' END AS fate FROM m)
-SELECT method, fate, CASE WHEN fate = 'downgrade' THEN 'inferred' ELSE method END AS final_method, count(*) AS n, min(doc_id) AS first_id FROM d GROUP BY ALL""")
-def mapping_downgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cascade from a claimed mapping to the one that its support allows."""
-    q, t = F.col("quality") == 1, F.col("toxic") == 0
-    rows = table(spark, sf_dir, "labels").select("doc_id", q.alias("req"), t.alias("prod"), F.when(q & t, "explicit").when(q | ~t, "normalized").otherwise("inferred").alias("method"))
-    fate = F.when((F.col("method") == "normalized") & ~(F.col("req") & F.col("prod")), F.when(F.col("req") | F.col("prod"), "downgrade").otherwise("reject")).otherwise("keep")
-    rows = rows.withColumn("fate", fate).withColumn("final_method", F.when(F.col("fate") == "downgrade", "inferred").otherwise(F.col("method")))
-    return rows.groupBy("method", "fate", "final_method").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
-
-
 @query("""
 WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), v AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM u),
 d AS (SELECT q.vec_id AS query_id, b.vec_id, list_distance(q.e, b.e) ** 2 AS distance FROM v q, v b WHERE q.vec_id % 50 = 0)
@@ -336,39 +262,6 @@ def chunk_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("document_id").alias("conv_id"), F.col("pos").alias("turn"), F.array_join("effective", " > ").alias("path"), "was_enriched", F.length("page_content").alias("n_chars"), "supporting_context")
 
 
-@query("""
-WITH links AS (SELECT DISTINCT s_nationkey, l_suppkey, l_partkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
-cat AS (SELECT s_nationkey, count(DISTINCT l_partkey) AS available FROM links GROUP BY s_nationkey)
-SELECT s.s_nationkey, s_suppkey, coalesce(max(available), 0) AS available_product_count, count(l_partkey) AS suggested_product_count, coalesce(max(available), 0) - count(l_partkey) AS not_suggested_count
-FROM supplier s LEFT JOIN links ON l_suppkey = s_suppkey LEFT JOIN cat ON cat.s_nationkey = s.s_nationkey GROUP BY s.s_nationkey, s_suppkey""")
-def catalog_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each supplier against all products of its nation: how many there are, and how many it is linked with.
-
-    Both counts come from groups; the pairs are not made.
-    """
-    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    links = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct().join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    mine = links.groupBy("l_suppkey").agg(F.count("*").alias("mine"))
-    available = links.groupBy("s_nationkey").agg(F.count_distinct("l_partkey").alias("available"))
-    out = supplier.join(mine, F.col("s_suppkey") == F.col("l_suppkey"), "left").join(available, "s_nationkey", "left")
-    n = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    return out.select("s_nationkey", "s_suppkey", n(F.col("available")).alias("available_product_count"), n(F.col("mine")).alias("suggested_product_count"), (n(F.col("available")) - n(F.col("mine"))).alias("not_suggested_count"))
-
-
-@query("""
-WITH n AS (SELECT n_nationkey, n_name, min(s_suppkey) FILTER (s_acctbal > 0) AS first_key FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL),
-g AS (SELECT n_name AS group_name, n_nationkey, coalesce(first_key, 1000000000) AS first_key FROM n UNION ALL SELECT 'Other / Ungrouped', NULL, 2000000000)
-SELECT group_name, n_nationkey, first_key, row_number() OVER (ORDER BY first_key, n_nationkey NULLS LAST)::INT AS place FROM g""")
-def group_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups by their first member, those without one and the ungrouped bucket last."""
-    nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
-    first = supplier.where("s_acctbal > 0").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("first_key"))
-    named = nation.join(first, F.col("n_nationkey") == F.col("s_nationkey"), "left").select(F.col("n_name").alias("group_name"), "n_nationkey", F.coalesce("first_key", F.lit(10**9)).alias("first_key"))
-    bucket = spark.range(1).select(F.lit("Other / Ungrouped").alias("group_name"), F.lit(None).cast("int").alias("n_nationkey"), F.lit(2 * 10**9).cast("long").alias("first_key"))
-    rows = named.unionByName(bucket)
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("first_key", F.asc_nulls_last("n_nationkey"))))
-
-
 @query("""
 WITH s AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS ids FROM lineitem GROUP BY l_orderkey),
 r AS (SELECT o_orderkey, o_orderpriority, coalesce(ids, []::BIGINT[]) AS ids FROM orders LEFT JOIN s ON l_orderkey = o_orderkey),
@@ -386,42 +279,6 @@ def draft_packaging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("requirement_id").cast("long").alias("o_orderkey"), "packaging_mode", "item", F.size("product_ids").alias("n_products"), "title", "id")
 
 
-@query("""
-WITH rows AS (
-  SELECT r_regionkey AS doc_rank, 0 AS kind, n_nationkey::BIGINT AS ord, r_name AS source_file, n_name AS title, 'Extracted Requirement' AS row_kind, n_name || ' — ' || r_name AS label FROM nation JOIN region ON r_regionkey = n_regionkey
-  UNION ALL SELECT r_regionkey, 1, c_custkey, r_name, c_name, 'Created Submittal', n_name || ' — ' || coalesce(c_mktsegment, 'Untitled') FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)
-SELECT doc_rank, kind, ord, source_file, title, row_kind, label, row_number() OVER (PARTITION BY doc_rank ORDER BY kind, ord)::INT AS place FROM rows""")
-def register_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extracted and created rows of a register in export order."""
-    region, nation, customer = (table(spark, sf_dir, n) for n in ("region", "nation", "customer"))
-    base = F.broadcast(nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")))  # 25 rows at any scale
-    own = ["r_regionkey", "r_name", "n_name"]
-    extracted = base.select(*own, F.lit(0).alias("kind"), F.col("n_nationkey").cast("long").alias("ord"), F.col("n_name").alias("title"), F.lit(export.EXTRACTED).alias("row_kind"), X.section_label("n_name", "r_name").alias("label"))
-    created = customer.join(base, F.col("c_nationkey") == F.col("n_nationkey")).select(*own, F.lit(1).alias("kind"), F.col("c_custkey").alias("ord"), F.col("c_name").alias("title"), F.lit(export.CREATED).alias("row_kind"), X.section_label("n_name", "c_mktsegment").alias("label"))
-    rows = extracted.unionByName(created).select(F.col("r_regionkey").alias("doc_rank"), "kind", "ord", F.col("r_name").alias("source_file"), "title", "row_kind", "label")
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_rank").orderBy("kind", "ord")))
-
-
-@query("""
-SELECT o_orderpriority, count(*) AS detected_section_count, count(*) FILTER (o_orderstatus IN ('F', 'P')) AS processed_section_count, count(*) FILTER (o_orderstatus = 'F') AS completed_count,
-  count(*) FILTER (o_orderstatus = 'O') AS not_processed_count, count(DISTINCT o_custkey) AS uploaded_file_count FROM orders GROUP BY o_orderpriority""")
-def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections by status."""
-    s = F.col("o_orderstatus")
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("detected_section_count"), F.count_if(s.isin("F", "P")).alias("processed_section_count"), F.count_if(s == "F").alias("completed_count"), F.count_if(s == "O").alias("not_processed_count"), F.count_distinct("o_custkey").alias("uploaded_file_count"))
-
-
-@query("""
-WITH i AS (SELECT l_partkey, l_suppkey, list_sort(list(DISTINCT l_returnflag)) AS runs FROM lineitem GROUP BY ALL), t AS (SELECT count(DISTINCT l_returnflag) AS total FROM lineitem)
-SELECT array_to_string(runs, ',') AS runs, len(runs)::INT AS n_runs, len(runs) = total AS always, count(*) AS n_items, min(l_partkey) AS first_part FROM i, t GROUP BY ALL""")
-def run_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In which of several runs the items were found."""
-    line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag")
-    total = F.broadcast(line.agg(F.count_distinct("l_returnflag").alias("total")))
-    items = line.groupBy("l_partkey", "l_suppkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("r")).crossJoin(total)
-    return items.groupBy(F.array_join("r", ",").alias("runs"), F.size("r").alias("n_runs"), (F.size("r") == F.col("total")).alias("always")).agg(F.count("*").alias("n_items"), F.min("l_partkey").alias("first_part"))
-
-
 @query("""
 SELECT p_partkey, p_name FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type, p_size::VARCHAR)), 'gear brand#1')""")
 def search_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
