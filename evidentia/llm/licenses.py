@@ -21,7 +21,17 @@ from pyspark.sql import types as T
 
 from evidentia.llm.common import by_size, cut, small_batches, stored, texts_of
 
-#: Licence names and notices (fixed values).
+#: Licence names, and notices or whole texts as they are published (fixed values).
+_GPL = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation{} either version {} of the License"
+_NO_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_END = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_2 = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_SPDX = ("MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "ISC", "Unlicense", "Zlib", "BSL-1.0", "EPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
@@ -29,22 +39,35 @@ TEMPLATES = (
     ("Apache-2.0", "you may not use this file except in compliance with the License"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("LGPL-2.1", "licensed under the GNU Lesser General Public License, version 2.1"),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD", _BSD),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
-    # whole notices, without which they are closest to the one of GPL-3.0
-    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
-    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    # whole notices and texts: of several that fit, the longest decides
+    ("GPL-2.0", _GPL.format(";", "", ";", "2")),
+    ("GPL-3.0", _GPL.format(":", "", ",", "3")),
+    ("AGPL-3.0", _GPL.format(":", "Affero ", ",", "3")),
+    ("LGPL-2.1", _GPL.replace("program", "library").format(";", "Lesser ", ";", "2.1")),
+    ("LGPL-3.0", _GPL.replace("program", "library").format(":", "Lesser ", ",", "3")),
+    ("MIT", f"{_MIT} {_NO_WARRANTY}"),
+    ("ISC", _ISC),
+    ("ISC", f"{_ISC} {_ISC_END}"),
+    ("BSD-2-Clause", f"{_BSD}: {_BSD_2} {_BSD_END}"),
+    ("BSD-3-Clause", f"{_BSD}: {_BSD_2} {_BSD_3} {_BSD_END}"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    # the name twice, so that it decides
+    *((name, f"SPDX-License-Identifier: {name} {name}") for name in _SPDX),
 )
 #: Base names of licence files.
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 #: What a line that speaks of a licence has.
-SPEAKS = r"(?i)\blicen[cs]ed?\b|permission is hereby granted|redistribution and use in source|dedicated to the public domain"
+SPEAKS = r"(?i)\blicen[cs]ed?\b|permission is hereby granted|permission to use, copy|redistribution and use in source|to the public domain|into the public domain|provided 'as-is', without any"
 LEAST = 0.75
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
@@ -67,7 +90,7 @@ class Model:
             vector = {w: n * self.weight[w] for w, n in Counter(words(text)).items()}
             norm = sqrt(sum(x * x for x in vector.values()))
             self.templates.append((name, {w: x / norm for w, x in vector.items()}))
-        self.size = [len(words(text)) for _, text in TEMPLATES]
+        self.size = [len(words(text)) - (len(words(name)) if text.startswith("SPDX") else 0) for name, text in TEMPLATES]  # as long as what it is compared with
         self.number = {w: i for i, w in enumerate(sorted(VOCABULARY))}
         self.square = np.array([self.weight[w] ** 2 for w in self.number] + [self.other**2])
         self.gain = np.array([[t.get(w, 0.0) * self.weight[w] for w in self.number] + [0.0] for _, t in self.templates])
@@ -217,7 +240,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", path: Column | str = "path", t
 
 
 def made_up_path() -> Column:
-    """A path for the rows of documents: source/language/id, LICENSE.id if the first or last line speaks of a licence."""
+    """A path for the rows of documents: source, language, one or two folders by a hash of the id, and the id as a name.
+
+    A text whose first or last line speaks of a licence is called LICENSE and the
+    id, and stands in one of the three folders above.  A null id, source or
+    language counts as "none".
+    """
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    digest = F.xxhash64(part("doc_id"))
+    folders = [part("source"), part("lang"), F.concat(F.lit("a"), F.pmod(digest, F.lit(16))), F.concat(F.lit("b"), F.pmod(F.shiftright(digest, 4), F.lit(8)))]
     edge = F.concat_ws("\n", F.substring_index("text", "\n", 1), F.substring_index("text", "\n", -1))
-    name = F.when(edge.rlike(SPEAKS), F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
-    return F.concat_ws("/", "source", "lang", name)
+    depth = F.pmod(F.shiftright(digest, 8), F.lit(3)).cast("int") + 2
+    notice = F.concat_ws("/", F.slice(F.array(*folders), F.lit(1), depth), F.concat(F.lit("LICENSE."), part("doc_id")))
+    return F.when(edge.rlike(SPEAKS), notice).otherwise(F.concat_ws("/", *folders, F.concat(part("doc_id"), F.lit(".txt"))))

@@ -115,6 +115,11 @@ def test_licences(spark):
         ("LGPL-2.1", "# This library is free software; you can redistribute it and/or\n# modify it under the terms of the GNU Lesser General Public\n# License as published by the Free Software Foundation; either\n# version 2.1 of the License, or (at your option) any later version."),
         ("GPL-2.0", "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or"),
         ("GPL-3.0", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or"),
+        ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General\nPublic License as published by the Free Software Foundation, either version 3 of the License, or"),
+        ("ISC", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."),
+        ("GPL-2.0", "// SPDX-License-Identifier: GPL-2.0-only"),
+        ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0"),
+        (None, "SPDX-License-Identifier: Some-Own-License-7"),
         (None, "a license to do as the public wants, under the terms of the authors, and the source of it all"),
     ],
 )
@@ -136,6 +141,58 @@ def test_made_up_path_knows_every_template(spark):
     assert {i for i, p in got(paths) if "LICENSE." in p} == set(range(len(licenses.TEMPLATES)))
 
 
+def brute_licence(text, model):
+    """The best cosine over the whole text, its lines, and all runs of words or lines, and the licences that have it."""
+    def cosine(words, template):
+        counts = Counter(words)
+        own = {w: n * model.weight.get(w, model.other) for w, n in counts.items()}
+        parts = {w: n * model.weight[w] for w, n in Counter(template).items()}
+        norm = (sum(x * x for x in own.values()) * sum(x * x for x in parts.values())) ** 0.5
+        return sum(x * own.get(w, 0.0) for w, x in parts.items()) / norm if norm else 0.0
+
+    lines = [licenses.words(line) for line in text.split("\n")]
+    flat = [w for line in lines for w in line]
+    ends = np.cumsum([len(x) for x in lines]).tolist()
+    found = []
+    for (name, t), size in zip(licenses.TEMPLATES, model.size, strict=True):
+        t = licenses.words(t)
+        runs = [flat, *lines, *(flat[i : i + size] for i in range(len(flat) - size + 1))]
+        for b in {0, *ends}:
+            reach = [e for e in ends if e >= b + size]
+            runs += [flat[b : reach[0]]] if reach else []
+            runs += [flat[b : max([e for e in ends if e < b + size], default=b)]]
+        found += [(round(c, 9), name) for c in (cosine(r, t) for r in runs if r) if c >= model.least]
+    top = max((c for c, _ in found), default=None)
+    return top, {n for c, n in found if c == top}
+
+
+def test_licences_are_those_of_brute_force(spark):
+    texts = [(i, t) for i, (_, t) in enumerate(licenses.TEMPLATES)]
+    texts += [(100 + i, prose(60 + i, 20) + "\n" + "\n".join(t.split(" and ")) + " " + prose(80 + i, 15)) for i, (_, t) in enumerate(licenses.TEMPLATES) if i % 3 == 0 and len(t) < 300]
+    texts += [(200, None), (201, ""), (202, "the software license of the authors " * 5), (203, prose(3, 300)), (None, texts[0][1]), (0, texts[1][1])]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    model = licenses.fit(df)
+    counts = Counter(w for _, t in texts for w in licenses.VOCABULARY.intersection(licenses.words(t or "")))
+    assert model.weight == licenses.Model(counts, len(texts)).weight
+    want = Counter()
+    for i, t in texts:
+        top, names = brute_licence(t or "", model)
+        want[i, top] += 1
+    out = licenses.scan(crowded(df), path=F.concat(F.lit("x/"), F.col("doc_id"))).collect()
+    assert Counter((r["doc_id"], None if r["score"] is None else round(r["score"], 9)) for r in out) == want
+    said = defaultdict(set)
+    for i, t in texts:
+        said[i] |= brute_licence(t or "", model)[1]
+    assert all(r["own_license"] in said[r["doc_id"]] for r in out if r["own_license"])
+
+
+def test_made_up_paths_have_folders_and_names(spark):
+    data = [(None, "MIT License", None, None), (1, "x", None, "web"), (None, "y", "en", "web")] + [(i, "Released under the MIT License.", "en", "web") for i in range(40)]
+    paths = [p for p, in got(spark.createDataFrame(data, "doc_id long, text string, lang string, source string").select(licenses.made_up_path().alias("p")))]
+    assert all(p.split("/")[0] in ("none", "web") and p.rsplit("/", 1)[1] for p in paths) and paths[2].endswith("/none.txt")
+    assert {p.count("/") for p in paths[3:]} == {2, 3, 4} and paths[1].count("/") == 4
+
+
 def test_licence_inheritance_takes_the_nearest(spark):
     files = [(1, "a/LICENSE", "MIT"), (2, "a/b/LICENSE", "BSD"), (3, "a/b/c/x.txt", None), (4, "a/y.txt", None), (5, "z.txt", None), (6, "a/b/own.txt", "GPL-3.0"), (7, None, None)]
     df = spark.createDataFrame([(i, p, x, 1.0 if x else None, 0 if x else None, False) for i, p, x in files], "id long, path string, license string, score double, start long, whole boolean")
