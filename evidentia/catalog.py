@@ -54,7 +54,7 @@ SELECT doc_id, pos::INT AS pos, page_number::BIGINT AS page_number, n_chars::INT
   'ev_' || substr(sha256(doc_id::VARCHAR || chr(0) || page_number::VARCHAR || chr(0) || text_hash), 1, 16) AS evidence_id FROM h""")
 def evidence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as evidence with content ids."""
-    rows = _lines(spark, sf_dir).withColumn("n", X.normalize("line", unicode=False)).where("n <> ''")
+    rows = _lines(spark, sf_dir).where(X.has_text("line")).withColumn("n", X.normalize("line"))
     rows = rows.select("doc_id", "pos", F.floor(F.col("pos") / 40 + 1).alias("page_number"), F.length("n").alias("n_chars"), F.sha2("n", 256).alias("text_hash"))
     return rows.withColumn("evidence_id", evidence.evidence_id(F.col("doc_id").cast("string"), F.lit(None).cast("string"), F.col("page_number"), F.col("text_hash")))
 
@@ -65,9 +65,7 @@ SELECT doc_id, count(*) FILTER (rn = 1) AS n_first, count(*) FILTER (rn > 1) AS
 def evidence_dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of equal lines of a document, and how many follow."""
     rows = _lines(spark, sf_dir).where(F.trim("line") != "")
-    first, later = evidence.dedupe_first(rows, ["doc_id", "line"], ["pos"])
-    both = first.withColumn("first", F.lit(True)).unionByName(later.withColumn("first", F.lit(False)))
-    return both.groupBy("doc_id").agg(F.count_if("first").alias("n_first"), F.count_if(~F.col("first")).alias("n_later"), F.sum(F.when(F.col("first"), F.col("pos")).otherwise(0)).alias("first_pos_sum"))
+    return evidence.first_of(rows, ["doc_id", "line"], ["pos"]).groupBy("doc_id").agg(F.count_if("first").alias("n_first"), F.count_if(~F.col("first")).alias("n_later"), F.sum(F.when(F.col("first"), F.col("pos")).otherwise(0)).alias("first_pos_sum"))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,19 +108,6 @@ def heading_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.heading_paths(heads, "user_id", "idx").select("user_id", "idx", F.array_join("path", " > ").alias("path"))
 
 
-@query(f"""
-WITH e AS (SELECT *, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY idx) AS span FROM ({_EVENTS}))
-SELECT user_id, count(*) AS total_evidence, count(*) FILTER (span > 0) AS assigned_evidence, count(*) FILTER (span = 0) AS evidence_unassigned,
-  coalesce(string_agg(CASE WHEN span = 0 THEN event_id::VARCHAR END, ',' ORDER BY idx), '') AS unassigned_ids FROM e GROUP BY user_id""")
-def span_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of each document its spans cover, and what lies before the first."""
-    rows = _events(spark, sf_dir).select(F.col("user_id").alias("document_id"), F.col("event_id").cast("string").alias("id"), F.col("idx").alias("pos"), "event_type")
-    w = Window.partitionBy("document_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    spans = rows.withColumn("no", F.count_if(F.col("event_type") == "signup").over(w)).where("no > 0").groupBy("document_id", "no").agg(F.min_by("id", "pos").alias("start_evidence_id"), F.min("pos").alias("start_index"), F.collect_list("id").alias("evidence_ids"))
-    out = sections.coverage(rows, spans)
-    return out.select(F.col("document_id").alias("user_id"), "total_evidence", "assigned_evidence", "evidence_unassigned", F.array_join("unassigned_evidence_ids", ",").alias("unassigned_ids"))
-
-
 @query(f"""
 WITH e AS ({_EVENTS}), w AS (SELECT *, min(CASE WHEN event_type = 'click' THEN idx END) OVER a AS body, min(CASE WHEN event_type = 'signup' THEN idx END) OVER a AS stop FROM e
   WINDOW a AS (PARTITION BY user_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 49 FOLLOWING))
@@ -175,8 +160,8 @@ WITH d AS (SELECT doc_id, {_SQL_KEY.format(x='text')} AS h FROM documents), b AS
 SELECT doc_id, item_id FROM d JOIN b ON n <> '' AND contains(h, n)""")
 def grounding_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages that documents contain, as match keys."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), X.match_key("text", unicode=False).alias("hay"))
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("needle_id"), X.match_key("text", unicode=False).alias("needle"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), X.match_key("text").alias("hay"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("needle_id"), X.match_key("text").alias("needle"))
     return grounding.contained(docs, items).select(F.col("text_id").alias("doc_id"), F.col("needle_id").alias("item_id")).distinct()
 
 
@@ -275,8 +260,7 @@ def draft_packaging(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.array().cast("array<string>")
     rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     chosen = rows.select(F.lit("").alias("key"), F.col("o_orderkey").cast("string").alias("requirement_id"), F.lit("").alias("spec_section_id"), F.lit("").alias("source_clause"), F.lit("other").alias("submittal_type"), none.alias("evidence_ids"), F.col("o_orderpriority").alias("title"), F.coalesce("ids", none).alias("ids"), F.coalesce("ids", none).alias("names"))
-    both = packaging.drafts(chosen, "combined").unionByName(packaging.drafts(chosen, "one_per_product"))
-    return both.select(F.col("requirement_id").cast("long").alias("o_orderkey"), "packaging_mode", "item", F.size("product_ids").alias("n_products"), "title", "id")
+    return packaging.drafts(chosen, "combined", "one_per_product").select(F.col("requirement_id").cast("long").alias("o_orderkey"), "packaging_mode", "item", F.size("product_ids").alias("n_products"), "title", "id")
 
 
 @query("""
@@ -328,8 +312,7 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (length(regexp_replace(n, '[
   sum(length(k))::BIGINT AS key_chars, count(*) FILTER (regexp_matches(n, '(?i)^(part|section|division)\\b')) AS n_heads FROM k GROUP BY doc_id""")
 def line_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicates on lines, counted by document."""
-    n, k = X.normalize("line", unicode=False), X.match_key("line", unicode=False)
-    rows = _lines(spark, sf_dir).select("doc_id", n.alias("n"), k.alias("k")).where("n <> ''")
+    rows = _lines(spark, sf_dir).where(X.has_text("line")).select("doc_id", X.normalize("line").alias("n")).withColumn("k", X.key_of("n"))
     t = F.col("n")
     letters = F.length(F.regexp_replace(t, r"\P{L}", ""))
     return rows.groupBy("doc_id").agg(

@@ -36,6 +36,9 @@ PRODUCT_CONCEPT = (
 # Words that a qualifier in brackets may have, and cores that say too little alone (fixed values).
 BENIGN_WORDS = ("indoor", "outdoor", "corrosive", "area", "finish", "finishes", "use", "application", "and", "or", "for", "in", "the", "a", "an", "of", "to")
 GENERIC_WORDS = ("system", "systems", "product", "products", "material", "materials", "item", "items", "equipment", "assembly", "assemblies", "component", "components")
+# What text that refers to a section holds, and what no title line starts with (fixed values).
+CROSS_REFERENCE = r"(?iU)\b(?:refer\s+to\s+)?section\s+\d"
+NO_TITLE = r"(?iU)^(?:PART\s+\d+|SECTION\b|DIVISION\b|\d+\.\d+\b|[A-Z]\.\s)"
 # What a rate-limit message holds (fixed values).
 RATE_LIMIT_MARKERS = ("429", "rate limit", "resource exhausted", "quota", "too many requests")
 
@@ -79,14 +82,13 @@ def page_chrome(heading: Column, stripped: Column) -> Column:
 
 
 def body_cross_reference(heading: Column, stripped: Column) -> Column:
-    return ~heading & stripped.rlike(r"(?iU)\b(?:refer\s+to\s+)?section\s+\d")
+    return ~heading & stripped.rlike(CROSS_REFERENCE)
 
 
 def title_line(normal: Column, parsed: Column) -> Column:
     """A short line of letters that is no heading of another kind; parsed is its parse_section()."""
-    reject = r"(?iU)^(?:PART\s+\d+|SECTION\b|DIVISION\b|\d+\.\d+\b|[A-Z]\.\s)"
     letters = F.length(F.regexp_replace(normal, r"\P{L}", ""))
-    return (normal != "") & (F.length(normal) <= 120) & ~normal.rlike(reject) & parsed.isNull() & (letters >= 3)
+    return (normal != "") & (F.length(normal) <= 120) & ~normal.rlike(NO_TITLE) & parsed.isNull() & (letters >= 3)
 
 
 def contains_key(hay: Column, needle: Column) -> Column:

@@ -1,8 +1,7 @@
 """Text functions as column expressions.
 
-All but one run in the JVM.  nfkc() needs Python: Spark has no Unicode
-normalisation; texts are passed to it in Arrow batches, and ASCII ones come back
-untouched.
+All but one run in the JVM.  nfkc() needs Python, as Spark has no Unicode
+normalisation: the texts that it may change go there in Arrow batches.
 """
 
 from __future__ import annotations
@@ -21,8 +20,10 @@ DOUBLE_QUOTES = "“”„‟″«»"
 
 #: White space as Unicode has it, with the four information separators.
 SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
+NOT_SPACE = r"[^\s\x0B\x1C-\x1F\x85\p{Z}]"
 #: What match keys drop: all but letters, numbers, underscores and white space.
 NO_WORD = r"[^\p{L}\p{N}_\s]"
+# Patterns of headings, clauses and markers (fixed values).
 NUMBER = r"(?:\d{2}\s+\d{2}\s+\d{2}|\d{5,6})"
 ARTICLE = r"(?U)^(\d+\.\d+)\b"
 PART = r"(?i)^PART\b"
@@ -30,6 +31,12 @@ PART_NUMBER = r"(?iU)^PART\s+(\d+)\b"
 SECTION = r"(?i)^SECTION\b"
 DIVISION = r"(?iU)^DIVISION\s+(\d+)\s*(?:[-–—:]\s*(.+))?$"
 LETTERED = r"^([A-Z])\.\s+\S"
+SECTION_KEYWORD = rf"(?iU)^SECTION\s+({NUMBER})\b(?:\s*[-–—:]\s*(.+))?$"
+SECTION_BARE = rf"(?iU)^({NUMBER})\s*(?:[-–—:]\s*|\s+)(.+)$"
+SECTION_ALONE = rf"(?iU)^({NUMBER})$"
+PART_HEADING = r"(?iU)^PART\s+\d+\b"
+MARKER = r"(?U)^([A-Z]\.|[a-z]\.|\d+\.)\s"
+PARENTHETICAL = r"(?sU)^(.*?)\s*\(([^()]+)\)\s*$"
 
 ColumnOrName = Column | str
 
@@ -47,9 +54,18 @@ def found(x: ColumnOrName, pattern: str, group: int = 1) -> Column:
     return blank_to_null(F.regexp_extract(col(x), pattern, group))
 
 
+#: What NFKC may change: all but ASCII, the C1 controls and the characters of Latin-1 that it leaves alone.
+NFKC_CHANGES = "[^\\x00-\\x9F¡-§©«-®°±¶·»¿-ÿ]"
+
+
 @F.pandas_udf(T.StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(x: ColumnOrName) -> Column:
+    """The text in NFKC; only texts that it may change go to Python."""
+    return F.coalesce(_nfkc(F.when(col(x).rlike(NFKC_CHANGES), col(x))), col(x))
 
 
 def strip(x: ColumnOrName) -> Column:
@@ -73,9 +89,19 @@ def text_hash(x: ColumnOrName, unicode: bool = True) -> Column:
     return F.sha2(normalize(x, unicode), 256)
 
 
+def has_text(x: ColumnOrName) -> Column:
+    """Whether normalize() leaves anything; without normalising, as filters go below projections and would do it again."""
+    return F.coalesce(col(x).rlike(NOT_SPACE), F.lit(False))
+
+
 def match_key(x: ColumnOrName, unicode: bool = True) -> Column:
     """normalize(), in lower case, hyphens and punctuation as single spaces."""
-    lowered = F.replace(F.lower(normalize(x, unicode)), F.lit("-"), F.lit(" "))
+    return key_of(normalize(x, unicode))
+
+
+def key_of(normal: ColumnOrName) -> Column:
+    """The match key of a normalised text."""
+    lowered = F.replace(F.lower(col(normal)), F.lit("-"), F.lit(" "))
     return F.btrim(F.regexp_replace(F.regexp_replace(lowered, NO_WORD, " "), SPACE, " "))
 
 
@@ -106,15 +132,12 @@ def part_number(x: ColumnOrName) -> Column:
 
 def parse_section(normal: Column) -> Column:
     """(number, title, method) of a normalised heading line; null if it is none."""
-    keyword = rf"(?iU)^SECTION\s+({NUMBER})\b(?:\s*[-–—:]\s*(.+))?$"
-    bare = rf"(?iU)^({NUMBER})\s*(?:[-–—:]\s*|\s+)(.+)$"
-    alone = rf"(?iU)^({NUMBER})$"
     spaced = lambda pattern: F.regexp_replace(F.regexp_extract(normal, pattern, 1), SPACE, " ")
     made = lambda pattern, titled, method: F.when(
         normal.rlike(pattern), F.struct(spaced(pattern).alias("number"), (blank_to_null(F.btrim(F.regexp_extract(normal, pattern, 2))) if titled else F.lit(None).cast("string")).alias("title"), F.lit(method).alias("method"))
     )
-    other = normal.rlike(ARTICLE) | normal.rlike(r"(?iU)^PART\s+\d+\b") | normal.rlike(DIVISION)
-    return F.when(~other, F.coalesce(made(keyword, True, "explicit_section_heading"), made(bare, True, "numbered_heading"), made(alone, False, "numbered_heading")))
+    other = normal.rlike(ARTICLE) | normal.rlike(PART_HEADING) | normal.rlike(DIVISION)
+    return F.when(~other, F.coalesce(made(SECTION_KEYWORD, True, "explicit_section_heading"), made(SECTION_BARE, True, "numbered_heading"), made(SECTION_ALONE, False, "numbered_heading")))
 
 
 def heading_rank(text: ColumnOrName, label: ColumnOrName) -> Column:
@@ -130,7 +153,7 @@ def heading_rank(text: ColumnOrName, label: ColumnOrName) -> Column:
 
 
 def marker_token(marker: ColumnOrName, text: ColumnOrName) -> Column:
-    return F.coalesce(blank_to_null(strip(marker)), found(strip(text), r"(?U)^([A-Z]\.|[a-z]\.|\d+\.)\s"))
+    return F.coalesce(blank_to_null(strip(marker)), found(strip(text), MARKER))
 
 
 def raw_text(orig: ColumnOrName, text: ColumnOrName) -> Column:
@@ -170,8 +193,7 @@ def context_lines(parts: ColumnOrName) -> Column:
 def trailing_parenthetical(x: ColumnOrName) -> Column:
     """(core, qualifier) of 'Core (qualifier)'; else (text, null)."""
     t = F.coalesce(strip(x), F.lit(""))
-    pattern = r"(?sU)^(.*?)\s*\(([^()]+)\)\s*$"
-    core, inside = strip(F.regexp_extract(t, pattern, 1)), strip(F.regexp_extract(t, pattern, 2))
+    core, inside = strip(F.regexp_extract(t, PARENTHETICAL, 1)), strip(F.regexp_extract(t, PARENTHETICAL, 2))
     both = (core != "") & (inside != "")
     return F.struct(F.when(both, core).otherwise(t).alias("core"), F.when(both, inside).alias("qualifier"))
 

@@ -182,10 +182,15 @@ def resolve(ids: DataFrame, evidence: DataFrame, id_col: str = "evidence_id") ->
 
 
 def dedupe_first(df: DataFrame, key: list[str], order: list) -> tuple[DataFrame, DataFrame]:
-    """(first, later) of the rows with the same key; rows with a null in the last key column are all first."""
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
-    first = F.col(key[-1]).isNull() | (F.col("_rn") == 1)
-    return ranked.where(first).drop("_rn"), ranked.where(~first).drop("_rn")
+    """(first, later) of the rows with the same key, as first_of() tells them."""
+    ranked = first_of(df, key, order, "_first")
+    return ranked.where("_first").drop("_first"), ranked.where("not _first").drop("_first")
+
+
+def first_of(df: DataFrame, key: list[str], order: list, name: str = "first") -> DataFrame:
+    """df with whether a row is the first with its key; rows with a null in the last key column are all first."""
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    return df.withColumn(name, rank == 1).withColumn(name, F.col(key[-1]).isNull() | F.col(name))
 
 
 def pages(evidence: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import islice
 from typing import NamedTuple
 from xml.sax.saxutils import escape
 
@@ -24,7 +25,7 @@ MARKDOWN_HEADERS = ("Source File", "Spec Section", "Type", "Submittal Title", "P
 INCLUDED, AVAILABLE = "Included", "Available / Not Reviewed"
 EXTRACTED, CREATED = "Extracted Requirement", "Created Submittal"
 LATE = 10_000
-#: Rows that a workbook or a Markdown text may have: both are made on the driver.
+#: Rows of a workbook; it is made on the driver, and more rows go into further ones.
 MOST_ROWS = 100_000
 ORDER = ["doc_rank", "start_page", "spec_section", "project_section_key", "kind", "ord", "item"]
 
@@ -39,7 +40,7 @@ def ranked(sections: DataFrame, document_order: list[str] | None = None) -> Data
     """sections with doc_rank: by the given order of documents, the rest late; else by first appearance (`ord`)."""
     if document_order:
         order = sections.sparkSession.createDataFrame([(d, i) for i, d in enumerate(document_order)], "document_id string, doc_rank int")
-        return sections.join(F.broadcast(order), "document_id", "left").withColumn("doc_rank", F.coalesce("doc_rank", F.lit(LATE)))
+        return sections.join(order, "document_id", "left").withColumn("doc_rank", F.coalesce("doc_rank", F.lit(LATE)))
     first = sections.groupBy("document_id").agg(F.min("ord").cast("int").alias("doc_rank"))
     return sections.join(first, "document_id")
 
@@ -71,13 +72,6 @@ def build(sections: DataFrame, views: DataFrame, products: DataFrame, statuses:
     return Bundle(rows, summary.select(*(c for _, c in METRICS)), lines)
 
 
-def _bounded(df: DataFrame, order: list[str], what: str) -> list:
-    rows = df.orderBy(*order).limit(MOST_ROWS + 1).collect()
-    if len(rows) > MOST_ROWS:
-        raise ValueError(f"{what} has more than {MOST_ROWS} rows; write the rows as a table instead")
-    return rows
-
-
 def _column(i: int) -> str:
     return chr(65 + i)
 
@@ -113,11 +107,29 @@ _STYLES = (
 
 
 def workbook(bundle: Bundle) -> bytes:
-    """The bundle as an .xlsx of three sheets; the same bundle gives the same bytes."""
-    rows = _bounded(bundle.rows, ORDER, "the register")
-    table = [(r.source_file, r.spec_section, r.spec_title, r.source_clause, r.submittal_type, r.submittal_title, "\n".join(r.products), r.product_count, r.products_status, r.row_kind) for r in rows]
+    """The bundle as an .xlsx of three sheets; more than MOST_ROWS rows are an error, and need workbooks()."""
+    made = list(islice(workbooks(bundle), 2))
+    if len(made) > 1:
+        raise ValueError(f"the register has more than {MOST_ROWS} rows: take workbooks()")
+    return made[0]
+
+
+def workbooks(bundle: Bundle, most: int | None = None) -> Iterator[bytes]:
+    """The bundle as .xlsx files of `most` register and status rows each, one after the other as rows come in; the same bundle gives the same bytes."""
+    most = most or MOST_ROWS
+    rows, lines = (iter(df.orderBy(*order).toLocalIterator()) for df, order in ((bundle.rows, ORDER), (bundle.status_lines, ORDER[:4])))
     summary = bundle.summary.first()
-    lines = [r.line for r in _bounded(bundle.status_lines, ORDER[:4], "the status")]
+    part = list(islice(rows, most)), list(islice(lines, most))
+    while True:
+        yield _workbook(part[0], part[1], summary)
+        part = list(islice(rows, most)), list(islice(lines, most))
+        if not part[0] and not part[1]:
+            return
+
+
+def _workbook(rows: list, status: list, summary: object) -> bytes:
+    table = [(r.source_file, r.spec_section, r.spec_title, r.source_clause, r.submittal_type, r.submittal_title, "\n".join(r.products), r.product_count, r.products_status, r.row_kind) for r in rows]
+    lines = [r.line for r in status]
     notes = [tuple(x.split(" — ", 1)) if " — " in x else (x, "") for x in lines]
     sheets = (
         ("Submittal Register", _sheet([HEADERS, *table], WIDTHS, frozenset({5, 6}), False)),
@@ -150,25 +162,31 @@ def markdown_rows(rows: DataFrame) -> DataFrame:
     return rows.select(*ORDER, "spec_title", "source_file", F.concat(F.lit("| "), F.concat_ws(" | ", *(X.markdown_cell(c) for c in cells)), F.lit(" |")).alias("line"))
 
 
-def markdown(bundle: Bundle) -> str:
-    """The bundle as Markdown: summary, status, a table per section."""
+def markdown_lines(bundle: Bundle) -> Iterator[str]:
+    """The lines of the bundle as Markdown, as its rows come in: summary, status, a table per section."""
     s = bundle.summary.first()
-    lines = ["# Submittal Register", "", "## Project Summary", "", *(f"- {name}: **{s[c]}**" for name, c in METRICS), ""]
-    status = [r.line for r in _bounded(bundle.status_lines, ORDER[:4], "the status")]
-    if status:
-        lines += ["### Processing Status", "", *(f"- {x}" for x in status), ""]
-    lines += ["## Register", ""]
-    rows = _bounded(markdown_rows(bundle.rows), ORDER, "the register")
-    if not rows:
-        return "\n".join([*lines, "_No register rows to export from completed sections._", ""])
+    yield from ("# Submittal Register", "", "## Project Summary", "", *(f"- {name}: **{s[c]}**" for name, c in METRICS), "")
+    first = True
+    for r in bundle.status_lines.orderBy(*ORDER[:4]).toLocalIterator():
+        yield from ("### Processing Status", "") if first else ()
+        yield f"- {r.line}"
+        first = False
+    yield from ("## Register", "") if first else ("", "## Register", "")
     seen = None
-    for r in rows:
+    for r in markdown_rows(bundle.rows).orderBy(*ORDER).toLocalIterator():
         if r.project_section_key != seen:
-            lines += [""] * (seen is not None)
+            yield from () if seen is None else ("",)
             seen = r.project_section_key
-            lines += [f"## {r.spec_section} — {r.spec_title or 'Untitled'}", "", f"_Source file: `{r.source_file}`_", "", f"| {' | '.join(MARKDOWN_HEADERS)} |", "|" + "---|" * len(MARKDOWN_HEADERS)]
-        lines.append(r.line)
-    return "\n".join([*lines, ""])
+            yield from (f"## {r.spec_section} — {r.spec_title or 'Untitled'}", "", f"_Source file: `{r.source_file}`_", "", f"| {' | '.join(MARKDOWN_HEADERS)} |", "|" + "---|" * len(MARKDOWN_HEADERS))
+        yield r.line
+    if seen is None:
+        yield "_No register rows to export from completed sections._"
+    yield ""
+
+
+def markdown(bundle: Bundle) -> str:
+    """markdown_lines() as one text."""
+    return "\n".join(markdown_lines(bundle))
 
 
 def json_artifact(document: DataFrame, **parts: DataFrame) -> DataFrame:

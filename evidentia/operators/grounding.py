@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions import predicates as P
+from evidentia.operators.vector import blocks
 
 #: Needles of fewer words than this have no whole words inside, and are compared with every text.
 LEAST_WORDS = 5
-#: Most needles that are compared with every text.
-MOST_SHORT = 10_000
+#: Most needles that go to every task at once; more go in blocks, or are joined by shuffling.
+MOST_NEEDLES = 10_000
 
 
 def _triples(words: Column) -> Column:
@@ -21,36 +22,39 @@ def _triples(words: Column) -> Column:
     return F.filter(F.transform(threes, lambda w: F.when(w["c"].isNotNull(), F.xxhash64(F.array(w["a"], w["b"], w["c"])))), lambda h: h.isNotNull())
 
 
-def contained(texts: DataFrame, needles: DataFrame) -> DataFrame:
+def contained(texts: DataFrame, needles: DataFrame, most: int = MOST_NEEDLES) -> DataFrame:
     """(text_id, needle_id): needles (needle_id, needle) inside texts (text_id, hay); both are match keys.
 
     Inside a needle only its first and last word can be parts of words of the
     text, so its second to fourth word must stand in the text as they are: an
-    equi-join on their hash finds the candidates.  Shorter needles, few by
-    nature, are checked against all texts, a bounded number at a time.
+    equi-join on their hash finds the candidates.  Up to `most` needles go to the
+    tasks, and a text is checked where it is; more are joined by their ids first.
+    Shorter needles are checked against all texts, `most` at a time.
     """
-    words = F.split("needle", " ")
-    needles = needles.where("needle <> ''").withColumn("w", words)
+    needles = needles.where("needle <> ''").withColumn("w", F.split("needle", " "))
     long = needles.where(F.size("w") >= LEAST_WORDS).select("needle_id", "needle", F.xxhash64(F.slice("w", 2, 3)).alias("h"))
-    seen = texts.select("text_id", F.explode(F.array_distinct(_triples(F.split("hay", " ")))).alias("h"))
-    pairs = seen.join(long.select("h", "needle_id"), "h").select("text_id", "needle_id").distinct()
-    met = pairs.join(long.select("needle_id", "needle").distinct(), "needle_id").join(texts, "text_id")
-    found = met.where(F.col("hay").contains(F.col("needle"))).select("text_id", "needle_id")
+    threes = F.explode(F.array_distinct(_triples(F.split("hay", " ")))).alias("h")
+    if long.limit(most + 1).count() <= most:
+        met = texts.select("text_id", "hay", threes).join(F.broadcast(long), "h")
+    else:
+        pairs = texts.select("text_id", threes).join(long.select("h", "needle_id"), "h").select("text_id", "needle_id").distinct()
+        met = pairs.join(long.select("needle_id", "needle").distinct(), "needle_id").join(texts, "text_id")
+    found = met.where(F.col("hay").contains(F.col("needle"))).select("text_id", "needle_id").distinct()
     short = needles.where(F.size("w") < LEAST_WORDS).select("needle_id", "needle")
-    n = short.limit(MOST_SHORT + 1).count()
-    if not n:
+    if short.isEmpty():
         return found
-    if n > MOST_SHORT:
-        raise ValueError(f"more than {MOST_SHORT} needles have under {LEAST_WORDS} words")
-    return found.unionByName(texts.join(F.broadcast(short), F.col("hay").contains(F.col("needle"))).select("text_id", "needle_id"))
+    for block in blocks(short, "needle_id", most):
+        found = found.unionByName(texts.join(F.broadcast(block), F.col("hay").contains(F.col("needle"))).select("text_id", "needle_id"))
+    return found
 
 
-def contained_tiers(texts: DataFrame, needles: DataFrame) -> DataFrame:
-    """Like contained(), by all three tiers of P.contains_key; for needles of a bounded number."""
-    n = needles.limit(MOST_SHORT + 1).count()
-    if n > MOST_SHORT:
-        raise ValueError(f"more than {MOST_SHORT} needles")
-    return texts.join(F.broadcast(needles), P.contains_key(F.col("hay"), F.col("needle"))).select("text_id", "needle_id")
+def contained_tiers(texts: DataFrame, needles: DataFrame, most: int = MOST_NEEDLES) -> DataFrame:
+    """Like contained(), by all three tiers of P.contains_key; the needles are compared with every text, `most` at a time."""
+    found = None
+    for block in blocks(needles, "needle_id", most):
+        part = texts.join(F.broadcast(block), P.contains_key(F.col("hay"), F.col("needle"))).select("text_id", "needle_id")
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def below(clauses: DataFrame, required: DataFrame) -> DataFrame:

@@ -27,17 +27,18 @@ def choose(requirements: DataFrame, selections: DataFrame, products: DataFrame)
     return joined.withColumns({"ids": F.coalesce(F.transform("x", lambda p: p["product_id"]), none), "names": F.coalesce(F.transform("x", lambda p: p["name"]), none)}).drop("x")
 
 
-def drafts(chosen: DataFrame, mode: str) -> DataFrame:
-    """Draft rows of choose(): one for all products (also for none), or one for each."""
-    base = ["key", "requirement_id", "spec_section_id", "source_clause", "submittal_type", F.col("evidence_ids").alias("requirement_evidence_ids"), F.lit(mode).alias("packaging_mode")]
-    if mode == "combined":
-        rows = chosen.select(*base, F.col("title").alias("title"), F.col("ids").alias("product_ids"), F.col("names").alias("product_names"), F.lit(0).alias("item"))
-    elif mode == "one_per_product":
-        each = chosen.select("*", F.posexplode(F.arrays_zip("ids", "names")).alias("item", "p"))
-        rows = each.select(*base, F.concat("title", F.lit(" - "), F.col("p.names")).alias("title"), F.array("p.ids").alias("product_ids"), F.array("p.names").alias("product_names"), "item")
-    else:
-        raise ValueError(f"unknown packaging mode: {mode}")
-    return rows.withColumn("id", draft_id(F.col("key"), F.col("requirement_id"), F.lit(mode), F.col("product_ids"))).withColumn("project_section_key", F.col("key"))
+def drafts(chosen: DataFrame, *modes: str) -> DataFrame:
+    """Draft rows of choose() under one or more modes: one for all products (also for none), or one for each."""
+    one = lambda mode, title, ids, names, item: F.struct(F.lit(mode).alias("packaging_mode"), title.alias("title"), ids.alias("product_ids"), names.alias("product_names"), item.cast("int").alias("item"))
+    made = {
+        "combined": F.array(one("combined", F.col("title"), F.col("ids"), F.col("names"), F.lit(0))),
+        "one_per_product": F.transform("ids", lambda p, i: one("one_per_product", F.concat(F.col("title"), F.lit(" - "), F.get("names", i)), F.array(p), F.array(F.get("names", i)), i)),
+    }
+    if unknown := set(modes) - made.keys():
+        raise ValueError(f"unknown packaging mode: {', '.join(sorted(unknown))}")
+    base = ["key", "requirement_id", "spec_section_id", "source_clause", "submittal_type", F.col("evidence_ids").alias("requirement_evidence_ids")]
+    rows = chosen.select(*base, F.inline(F.concat(*(made[m] for m in modes))))
+    return rows.withColumn("id", draft_id(F.col("key"), F.col("requirement_id"), F.col("packaging_mode"), F.col("product_ids"))).withColumn("project_section_key", F.col("key"))
 
 
 def merge(existing: DataFrame, new: DataFrame, order: str = "item") -> tuple[DataFrame, DataFrame]:

@@ -6,13 +6,19 @@ they are broadcast, and beyond the bound they are joined in blocks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from evidentia.functions import text as X
 
-#: Most queries that are broadcast at once (768 doubles each: about 6 MB).
+#: Most queries that go to the tasks at once (768 doubles each: about 6 MB).
 MOST_QUERIES = 1000
 
 
@@ -24,29 +30,70 @@ def doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
 
-def top_k(base: DataFrame, queries: DataFrame, k: int = 8, id_col: str = "id", vector: str = "embedding", distance: Column | None = None, unit: bool = True) -> DataFrame:
+def blocks(rows: DataFrame, key: str, most: int) -> list[DataFrame]:
+    """rows in parts of about `most` rows by a hash of the key; one part if there are no more."""
+    n = rows.limit(most + 1).count()
+    if n <= most:
+        return [rows]
+    parts = -(-rows.count() // most) * 2
+    dealt = rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(parts)))
+    return [dealt.where(F.col("_b") == i).drop("_b") for i in range(parts)]
+
+
+def top_k(base: DataFrame, queries: DataFrame, k: int = 8, id_col: str = "id", vector: str = "embedding", unit: bool = True) -> DataFrame:
     """(query_id, id, distance, rank): the k nearest rows of base for each row of queries (query_id, query).
 
-    Distance is squared L2 between unit vectors; equal distances go by id.  Rows
-    are ranked within the tasks first (a group limit), so only k per query and
-    task are shuffled.
+    Distance is squared L2, between unit vectors if `unit`; equal distances go by
+    id.  Vectors that are null or of another length than the query are no
+    neighbours.  A block of at most MOST_QUERIES queries goes to the tasks; there a
+    matrix product says which rows of a batch can be among the k nearest, and only
+    those are measured, so a task sends about k rows per query and batch.
     """
-    n = queries.limit(MOST_QUERIES + 1).count()
-    if n > MOST_QUERIES:
-        parts = -(-queries.count() // MOST_QUERIES)
-        blocks = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
-        out = [top_k(base, blocks.where(F.col("_b") == i).drop("_b"), k, id_col, vector, distance, unit) for i in range(parts)]
-        for more in out[1:]:
-            out[0] = out[0].unionByName(more)
-        return out[0]
-    shape = X.l2_normalize if unit else doubles
-    q = F.broadcast(queries.select("query_id", shape(F.col("query")).alias("_q")))
-    rows = base.select(F.col(id_col).alias("id"), shape(F.col(vector)).alias("_v")).where("_v is not null")
-    near = rows.crossJoin(q).select("query_id", "id", squared_l2(F.col("_v"), F.col("_q")).alias("distance"))
+    near = None
+    for part in blocks(queries, "query_id", MOST_QUERIES):
+        found = _nearest(base, part, k, id_col, vector, unit)
+        near = found if near is None else near.unionByName(found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _matrix(column: pa.Array, unit: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, vectors) of the lists that are not null and have the most common length."""
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(column), -1))
+    size = int(np.bincount(lengths[lengths >= 0]).argmax()) if (lengths >= 0).any() else 0
+    rows = np.flatnonzero(lengths == size) if size else np.zeros(0, dtype=np.int64)
+    flat = pc.list_flatten(column.take(pa.array(rows))).cast(pa.float64())
+    made = flat.to_numpy(zero_copy_only=False).reshape(len(rows), size)
+    if unit:
+        norm = np.sqrt(np.einsum("ij,ij->i", made, made))[:, None]
+        made = np.divide(made, norm, out=made.copy(), where=norm > 0)
+    return rows, made
+
+
+def _nearest(base: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str, unit: bool) -> DataFrame:
+    asked = queries.select("query_id", "query").toPandas()  # MOST_QUERIES at most, or nearly so
+    schema = T.StructType([queries.schema["query_id"], T.StructField("id", base.schema[id_col].dataType), T.StructField("distance", T.DoubleType())])
+    names = pa.array(asked["query_id"].tolist(), pa.Table.from_pandas(asked[["query_id"]]).schema.field(0).type) if len(asked) else pa.array([], pa.int64())
+    own, wanted = _matrix(pa.array([None if v is None else [float(x) for x in v] for v in asked["query"]], pa.list_(pa.float64())), unit)
+    squares = np.einsum("ij,ij->i", wanted, wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, v = _matrix(batch.column(1), unit)
+            if not len(rows) or v.shape[1] != wanted.shape[1]:
+                continue
+            at_all = np.einsum("ij,ij->i", v, v)
+            rough = squares[:, None] + at_all - 2 * (wanted @ v.T)
+            # rough distances are off by rounding alone: whatever is within that of the k-th stays
+            slack = 1e-12 * v.shape[1] * (squares.max() + at_all.max())
+            least = np.partition(rough, min(k, len(rows)) - 1, axis=1)[:, min(k, len(rows)) - 1]
+            q, r = np.nonzero(rough <= least[:, None] + slack)
+            exact = np.square(wanted[q] - v[r]).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(own[q])), batch.column(0).take(pa.array(rows[r])), pa.array(exact)], ["query_id", "id", "distance"])
+
+    return base.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).mapInArrow(run, schema)
+
+
 def format_results(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, text): hits (query_id, id, distance, rank) on chunks (chunk_id, ...), as the search tool shows them."""
     rows = hits.join(chunks, hits["id"] == chunks["chunk_id"])
