@@ -226,27 +226,6 @@ def chunk_rolling_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.array_join("p", "\n").alias("context"), F.size("p").alias("n_lines"))
 
 
-@query("""
-SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN substr(text, 1, 40) END IGNORE NULLS) OVER w AS heading, count(CASE WHEN role = 'user' THEN 1 END) OVER w AS section
-FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
-def heading_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last known heading, carried on."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    mine = F.col("role") == "user"
-    rows = table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", F.last(F.when(mine, F.substring("text", 1, 40)), ignorenulls=True).over(w).alias("heading"), F.count(F.when(mine, 1)).over(w).alias("section"))
-
-
-@query()
-def chunk_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as chunks with headings carried, repaired and put into the text; a fold, so without SQL."""
-    turns = table(spark, sf_dir, "conversations")
-    head = F.when(F.col("role") == "user", F.array(F.concat_ws(" ", F.concat_ws(".", F.lit("1"), F.lpad(F.col("turn").cast("string"), 2, "0")), F.substring("text", 1, 20))))
-    rows = turns.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("pos"), F.col("text").alias("raw_text"), head.alias("headings"), F.col("text").alias("contextualized"))
-    out = chunks.enrich(rows)
-    return out.select(F.col("document_id").alias("conv_id"), F.col("pos").alias("turn"), F.array_join("effective", " > ").alias("path"), "was_enriched", F.length("page_content").alias("n_chars"), "supporting_context")
-
-
 @query("""
 WITH s AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS ids FROM lineitem GROUP BY l_orderkey),
 r AS (SELECT o_orderkey, o_orderpriority, coalesce(ids, []::BIGINT[]) AS ids FROM orders LEFT JOIN s ON l_orderkey = o_orderkey),
@@ -286,15 +265,6 @@ def bbox_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.col("px").isNotNull().alias("shown"), *(F.round(F.col(f"px.{c}"), 3).alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 
-@query("""
-SELECT page_id, len(regexp_extract_all(html, '<p[ >]'))::INT AS paragraphs, len(regexp_extract_all(html, '<a '))::INT AS links, len(regexp_extract_all(html, '<h[1-6][ >]'))::INT AS headings,
-  len(regexp_extract_all(html, '<table[ >]'))::INT AS tables, len(regexp_extract_all(html, '<img '))::INT AS pictures FROM pages""")
-def doc_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of the parts of a page."""
-    count = lambda p: F.size(F.regexp_extract_all("html", F.lit(p), F.lit(0)))
-    return table(spark, sf_dir, "pages").select("page_id", count("<p[ >]").alias("paragraphs"), count("<a ").alias("links"), count("<h[1-6][ >]").alias("headings"), count("<table[ >]").alias("tables"), count("<img ").alias("pictures"))
-
-
 @query("""
 SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 200000) AS resolved FROM customer""")
 def scope_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
