@@ -354,6 +354,45 @@ def test_secret_ledger_scans_only_what_is_new(spark):
     assert after.findings.where("rule = 'assign:2'").count() == first.findings.where("rule = 'assign:1'").count() + 1
 
 
+def test_stored_ledger_scans_nothing_twice(spark, tmp_path):
+    docs = documents(spark)
+    _, first = secrets.update(docs)
+    secrets.save(first, str(tmp_path / "ledger"))
+    read = secrets.load(spark, str(tmp_path / "ledger"))
+    rows, again = secrets.update(docs, read)
+    assert again.scanned.count() == first.scanned.count() and again.findings.count() == first.findings.count()
+    found = secrets.digest(secrets.scan_documents(docs, read))
+    assert Counter(got(found)) == Counter(got(secrets.digest(secrets.scan_documents(docs))))
+
+
+def test_private_keys_go_to_their_end(spark):
+    body = "\n".join("QUJDRA+/" * 8 for _ in range(20))
+    texts = [f"a -----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{body}\n-----END RSA PRIVATE KEY----- b", f"a -----BEGIN PRIVATE KEY-----\n{body}\nand words follow", "eyJ" * 400_000 + " x"]
+    out = secrets.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rules=secrets.MORE).collect()
+    assert {r["doc_id"]: r["text"] for r in out} == {0: "a [SECRET] b", 1: "a [SECRET]\nand words follow", 2: texts[2]}
+
+
+def test_redaction_keeps_what_it_is_given(spark):
+    names = ("row", "own", "blob", "spans", "__k", "__b", "start")
+    df = crowded(documents(spark)).drop("start", "blob").select("*", *(F.lit(n).alias(n) for n in names))
+    out = secrets.redact(df)
+    assert out.columns == df.columns
+    mask = lambda t: None if t is None else mask_spans(t, brute_spans(t))
+    want = Counter((i, mask(t), *names) for i, t, *_ in ROWS)
+    assert Counter(got(out.select("doc_id", "text", *(f"`{n}`" for n in names)))) == want
+    assert got(secrets.redact(empty(spark))) == []
+
+
+def mask_spans(text, spans):
+    out, at = "", 0
+    for a, _, _, b in spans:
+        if b <= at:
+            continue
+        out += text[at:a] + "[SECRET]" if not (a <= at and at) else ""
+        at = b
+    return out + text[at:]
+
+
 def test_further_secrets_and_redaction(spark):
     text = f"x ghp_{'A' * 36} y\n-----BEGIN RSA PRIVATE KEY----- é xoxb-1234567890-abc"
     docs = spark.createDataFrame([(1, text), (2, None), (3, "clean"), (4, "secret=abcdefgh0123456789abcdef0123456789")], "doc_id long, text string")
@@ -401,6 +440,8 @@ def test_packing(spark):
             assert offset == at
             at += length
         assert at <= 256
+    # no pieces could be packed in fewer sequences than their tokens need; best fit comes near
+    assert len(by) <= 1.2 * sum(n for held in by.values() for _, n in held) / 256 + 2
     assert got(packing.pack(empty(spark), WORDS)) == []
 
 
@@ -543,7 +584,10 @@ def test_suffix_trim(spark):
 # --- 8
 def test_sentencepiece(spark):
     own = spm.model(PIECES).library
-    out = Counter(tuple(r)[:4] for r in spm.round_trip(crowded(documents(spark)), PIECES).collect())
+    full = spm.round_trip(crowded(documents(spark)), PIECES).collect()
+    out = Counter(tuple(r)[:4] for r in full)
+    ends = lambda t: spm.model(PIECES).ends(t or "", [*own.encode(t or ""), 2])
+    assert Counter((r["doc_id"], r["spans_crc32"]) for r in full) == Counter((i, zlib.crc32(ends(t).astype("<u4").tobytes())) for i, t, *_ in ROWS)
     want = Counter()
     for i, t, *_ in ROWS:
         ids = [*own.encode(t or ""), 2]
@@ -587,15 +631,103 @@ def test_token_counts(spark, rule):
     own, want = tokencount.counter(path, public_tokenizers.PATTERN), Counter()
     for i, t, *_ in ROWS:
         data = (t or "").encode()
-        starts = tokencount.lead_and_lines(data).tolist()
+        lead = re.search(rb"[.!?]\s+", data)
+        starts = sorted({0, *(m.end() for m in re.finditer(rb"\n+", data) if m.end() < len(data)), *([lead.end()] if lead and lead.end() < len(data) else [])})
         stops = [*starts[1:], len(data)]
-        n, at = [0] * len(starts), 0
+        n, across, at = [0] * len(starts), [0] * len(starts), 0
         for token in own.library.encode_ordinary(t or ""):
             end = at + len(own.library.decode_single_token_bytes(token))
             inside = range(bisect_right(starts, at) - 1, bisect_right(starts, end - 1))
-            n[{"start": inside[0], "end": inside[-1], "largest": max(inside, key=lambda k: min(stops[k], end) - max(starts[k], at))}[rule]] += 1
+            to = {"start": inside[0], "end": inside[-1], "largest": max(inside, key=lambda k: min(stops[k], end) - max(starts[k], at))}[rule]
+            n[to] += 1
+            across[to] += len(inside) > 1
             at = end
         for k, (a, b) in enumerate(zip(starts, stops, strict=True)):
-            want[(i, k, len(data[:a].decode()), len(data[:b].decode()), n[k], sum(n))] += 1
-    assert Counter((r["doc_id"], r["section"], r["start"], r["end"], r["n_tokens"], r["doc_tokens"]) for r in out) == want
+            want[(i, k, len(data[:a].decode()), len(data[:b].decode()), n[k], across[k], sum(n))] += 1
+    assert Counter((r["doc_id"], r["section"], r["start"], r["end"], r["n_tokens"], r["n_crossing"], r["doc_tokens"]) for r in out) == want
     assert got(tokencount.count_tokens(empty(spark), path, public_tokenizers.PATTERN)) == []
+
+
+@pytest.mark.parametrize("run", [3, 50])
+def test_runs_of_white_space_are_one_piece(monkeypatch, run):
+    monkeypatch.setattr(tokencount, "LONG_RUN", run)
+    own = tokencount.Counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for space in (" ", "\n", "\t", "\u3000", " \n", "\r\n \t"):
+        for n in (1, 2, 3, 4, 49, 50, 51, 120):
+            for text in (f"a{space * n}b", f"{space * n}b.", f"a{space * n}", space * n, f"a{space * n}'s{space * n}9{space * n}!"):
+                assert own.ids(text).tolist() == own.library.encode_ordinary(text)
+
+
+def test_very_long_runs():
+    """Five million characters of one kind."""
+    n = 5_000_000
+    own = tokencount.counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    pieces, words = spm.model(PIECES), tokens.encoder(WORDS)
+    for c in ("a", " ", "\n", "\t"):
+        text = f"x {c * n} y"
+        assert own.ends(text)[-1] == len(text)
+        ids = pieces.encode([text])[0]
+        assert pieces.ends(text, ids)[-1] == len(text)
+        if c != "a":
+            assert words.encode([text])[0].tolist() == ids_of("x y")
+    assert len(words.encode(["a" * n])[0]) > n / 100
+
+
+# --- the pipeline
+def brute_pipeline(data, labels_kept):
+    """The stages on (doc_id, text) rows, by definition; labels_kept tells which rows the quality rules keep."""
+    rows = [(i, t) for k, (i, t) in enumerate(data) if labels_kept[k]]
+    shingles = lambda t: (lambda w: frozenset(zip(*(w[k:] for k in range(5)))) if len(w) >= 5 else frozenset([tuple(w)] if w else []))(simhash.words_of(t))
+    sets = [shingles(t) for _, t in rows]
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    group = closure({k: {j for j in range(len(rows)) if alike(sets[k], sets[j])} for k in range(len(rows))})
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[group[k]] = min(least.get(group[k], i), i)
+    rows = [(i, t) for k, (i, t) in enumerate(rows) if i == least.get(group[k])]
+    trimmed = []
+    for (i, t), mask in zip(rows, brute_removed([(i, t) for i, t in rows]), strict=True):
+        chars, at = [], 0
+        for c in t:
+            size = len(c.encode())
+            chars += [c] if not all(mask[at : at + size]) else []
+            at += size
+        trimmed.append((i, "".join(chars)))
+    return rows, trimmed, [(i, mask_spans(t, brute_spans(t))) for i, t in trimmed]
+
+
+def test_pipeline_is_its_stages_by_brute_force(spark, tmp_path):
+    docs = crowded(documents(spark))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(4, 1, 0), (7, 1, 0), (8, 1, 0), (9, 1, 0), (15, 0, 0), (10, 0, 0), (None, 1, 0), (11, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    sf = str(tmp_path)
+    at = spark.read.parquet(f"{sf}/documents.parquet")
+    verdict = {(r["doc_id"], r["n_words"], r["word_chars"]): r["kept"] for r in quality.quality(at, labels).collect()}
+    data = [(i, t) for i, t, *_ in ROWS]
+    kept = [verdict[(i, *brute_quality(t)[:2])] for i, t in data]
+    near, trimmed, masked = brute_pipeline(data, kept)
+    stages = dict(corpus_pipeline.STAGES)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "suffix_array_dedup", "secret_scans", "best_fit_packing"]
+    pairs = lambda df: Counter(map(str, got(df.select("doc_id", "text"))))
+    told = lambda rows: Counter(str((i, t)) for i, t in rows)
+    for name, want in (("quality_rules", [x for x, k in zip(data, kept, strict=True) if k]), ("simhash_near_dedup", near), ("suffix_array_dedup", trimmed), ("secret_scans", masked)):
+        at = stages[name](spark, at, sf)
+        assert at.columns == docs.columns and pairs(at) == told(want), name
+        at = spark.createDataFrame(at.collect(), at.schema)
+    assert all(r["n_chars"] == len(r["text"]) for r in at.collect())
+    out = corpus_pipeline.run(spark, sf).collect()
+    pieces = Counter()
+    for i, t in masked:
+        ids = np.array([*ids_of(t), 1], dtype="<u4")
+        pieces.update((i, p, a, len(ids[a : a + 4096]), zlib.crc32(ids[a : a + 4096].tobytes())) for p, a in enumerate(range(0, len(ids), 4096)))
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == pieces
+
+
+def test_pipeline_stages_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty(spark), str(tmp_path))
+        assert out.collect() == [], name
+        assert name == "best_fit_packing" or out.columns == empty(spark).columns
