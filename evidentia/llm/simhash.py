@@ -62,7 +62,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind.simpleString()}, fp long")
 
 
-def blocks_for(radius: int, bits: int = 20) -> tuple[int, int]:
+#: Equal bits of a bucket at least, and fingerprints in one that chance may bring together.
+LEAST_BITS, CHANCE = 20, 256
+
+
+def bits_for(n: int) -> int:
+    """Equal bits with which n fingerprints, were they random, come CHANCE to a bucket at most."""
+    return max(LEAST_BITS, (n // CHANCE).bit_length())
+
+
+def blocks_for(radius: int, bits: int = LEAST_BITS) -> tuple[int, int]:
     """(blocks, equal): the fewest blocks of which `equal` agree within the radius, with at least `bits` equal bits."""
     for n in range(radius + 1, BITS + 1):
         if (n - radius) * (BITS // n) >= bits:
@@ -70,8 +79,9 @@ def blocks_for(radius: int, bits: int = 20) -> tuple[int, int]:
     return BITS, BITS - radius
 
 
-def bucket_masks(radius: int) -> list[int]:
-    n, equal = blocks_for(radius)
+def bucket_masks(radius: int, bits: int = LEAST_BITS) -> list[int]:
+    """The bits that a bucket has in common, one mask for each choice of blocks."""
+    n, equal = blocks_for(radius, bits)
     edges = [BITS * i // n for i in range(n + 1)]
     one = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
     return [sum(c) for c in combinations(one, equal)]
@@ -159,11 +169,12 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, tile: int = 1024) -> Data
     """(a, b): edges between different fingerprints of column fp that connect whatever lies within the radius.
 
     Every link within the radius has a path of returned edges, and each returned
-    edge joins fingerprints connected by such links.
+    edge joins fingerprints connected by such links.  Buckets share more bits the
+    more fingerprints there are, so that chance does not fill them.
     """
     spark = fps.sparkSession
     parts = partitions(spark)
-    masks = bucket_masks(radius)
+    masks = bucket_masks(radius, bits_for(fps.count()))
     keys = F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(x - (1 << 64) if x >> 63 else x)).alias("k")) for i, x in enumerate(masks)])
     dealt = fps.select("fp", F.inline(keys))
     shared = dealt.groupBy("m", "k").agg(F.count("*").alias("n")).where("n > 1").select(F.col("m").alias("m_"), F.col("k").alias("k_"), F.ceil(F.col("n") / tile).cast("int").alias("tiles"))

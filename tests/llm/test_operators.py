@@ -8,6 +8,7 @@ import zlib
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from functools import cache
+from math import comb
 
 import numpy as np
 import public_tokenizers
@@ -322,6 +323,17 @@ def test_fingerprint_links_connect(spark, tile):
     assert closure(made) == closure({x: {y for y in fps if x != y and (x ^ y).bit_count() <= 4} for x in fps})
 
 
+def test_buckets_share_more_bits_in_larger_tables():
+    assert [simhash.bits_for(n) for n in (0, 10**6, 2**28, 10**10)] == [20, 20, 21, 26]
+    r = np.random.default_rng(7)
+    for bits in (20, 27, 33):
+        masks = simhash.bucket_masks(4, bits)
+        assert all(m.bit_count() >= bits for m in masks) and len(masks) == comb(*simhash.blocks_for(4, bits))
+        for _ in range(200):
+            differ = sum(1 << int(b) for b in r.choice(64, 4, replace=False))
+            assert any(not m & differ for m in masks)
+
+
 # --- 5
 def brute_spans(text):
     text = text or ""
