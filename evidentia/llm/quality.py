@@ -3,8 +3,8 @@
 Every document gets the mean, over its word unigrams and bigrams, of
 log p_target - log p_raw.  Both are multinomials over hash buckets: p_raw counts
 every document and adds one, p_target counts the documents of a bounded labelled
-sample that are labelled good, with p_raw as its prior.  One threshold, set from the labelled
-scores alone, decides every document.
+sample that are labelled good, with p_raw as its prior.  One threshold, set from the
+scores of all other labelled documents, decides every document.
 """
 
 from __future__ import annotations
@@ -23,9 +23,11 @@ from evidentia.llm.common import by_size, mix, small_batches, stored
 
 #: log2 of the number of hash buckets; the model on the driver has that many rows.
 BUCKET_BITS = 14
-#: Labelled documents of either class that the model and the threshold use at most.
+#: Good labelled documents that the model is fitted on at most; the threshold is set from all that it is not fitted on.
 MAX_LABELLED = 20_000
-#: Share of the good sample that the threshold may reject before the margin is taken off.
+#: Step of the scores of which the threshold's quantiles are told.
+STEP = 0.001
+#: Share of the good documents that the threshold may reject before the margin is taken off.
 LOWEST = 0.001
 #: Part of the distance between the good and bad medians that is left as a margin.
 MARGIN = 0.1
@@ -86,22 +88,22 @@ def grams(words: Words, bits: int = BUCKET_BITS) -> np.ndarray:
     return (np.r_[h, pairs] >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def labelled(labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """(l_id, good, fitted): up to `most` documents of either class, the first by hash of the id.
+def labelled(labels: DataFrame, most: int = MAX_LABELLED) -> tuple[DataFrame, DataFrame]:
+    """(sample, rest): good documents (l_id) for the model, `most` at most, and all labelled ones (l_id, good) of the other half of ids.
 
-    A document is good if all its labels are 1, bad if all are 0; others and null
-    ids are left out.  The model uses the fitted half, the threshold the other.
+    The halves are by a hash of the id; ids that are null or have labels of both
+    kinds, or other ones, count as unlabelled.
     """
     one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi"))
     one = one.where("lo = hi and lo in (0, 1)").select(F.col("doc_id").alias("l_id"), (F.col("lo") == 1).alias("good"), (F.xxhash64("doc_id", F.lit("fold")) % 2 == 0).alias("fitted"))
-    first = [one.where(c).orderBy(F.xxhash64("l_id"), "l_id").limit(most) for c in ("good", "not good")]
-    return stored(first[0].unionByName(first[1]), "labelled")
+    one = stored(one, "labelled")
+    return one.where("good and fitted").orderBy(F.xxhash64("l_id"), "l_id").limit(most).select("l_id"), one.where("not fitted").select("l_id", "good")
 
 
 def fit(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str, bits: int = BUCKET_BITS) -> np.ndarray:
     """log p_target - log p_raw for every bucket; zeros without a good document."""
     small_batches(docs.sparkSession)
-    good = F.broadcast(sample.where("good and fitted").select("l_id", F.lit(True).alias("target")))  # MAX_LABELLED rows at most
+    good = F.broadcast(sample.select("l_id", F.lit(True).alias("target")))  # MAX_LABELLED rows at most
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).join(good, F.col("id") == F.col("l_id"), "left").select("t", F.coalesce("target", F.lit(False)).alias("target"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,25 +153,35 @@ def score(docs: DataFrame, ratio: np.ndarray, id_col: str, text_col: str, bits:
     return rows.mapInArrow(run, schema)
 
 
-def threshold(scored: DataFrame, sample: DataFrame) -> float | None:
-    """The score below which a document is rejected; None without both classes.
+def threshold(scored: DataFrame, rest: DataFrame) -> float | None:
+    """The score below which a document is rejected; None if there are none of a class, or the good ones don't score higher.
 
     The LOWEST quantile of the good scores, less a MARGIN of the distance between
-    the medians, so that clean documents unlike the sample still pass.
+    the medians, so that clean documents unlike the sample still pass.  Quantiles
+    are over all of `rest`, to a step of STEP: counts of steps come to the driver,
+    as many as scores, which are logarithms of ratios of shares, can have.
     """
-    found = scored.join(F.broadcast(sample.where("not fitted")), F.col("id") == F.col("l_id")).where("llr is not null").agg(
-        *(F.expr(f"percentile(llr, {q}) filter (where {c})").alias(n) for n, q, c in (("low", LOWEST, "good"), ("mid", 0.5, "good"), ("bad", 0.5, "not good"))),
-    ).first()
-    if found["low"] is None or found["bad"] is None or found["mid"] <= found["bad"]:
+    met = scored.select("id", F.floor(F.col("llr") / STEP).cast("long").alias("step")).where("step is not null").join(rest, F.col("id") == F.col("l_id"))
+    steps: dict[bool, list[tuple[int, int]]] = {True: [], False: []}
+    for r in met.groupBy("good", "step").agg(F.count("*").alias("n")).orderBy("step").collect():
+        steps[r["good"]].append((r["step"], r["n"]))
+    if not steps[True] or not steps[False]:
         return None
-    return found["low"] - MARGIN * (found["mid"] - found["bad"])
+
+    def quantile(good: bool, share: float) -> float:
+        at, ends = zip(*steps[good], strict=True)
+        ends = np.cumsum(ends)
+        return at[int(np.searchsorted(ends, share * ends[-1], "left"))] * STEP
+
+    middle, bad = quantile(True, 0.5), quantile(False, 0.5)
+    return quantile(True, LOWEST) - MARGIN * (middle - bad) if middle > bad else None
 
 
 def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rules: Rules, carry: bool) -> DataFrame:
-    sample = labelled(labels)
+    sample, rest = labelled(labels)
     ratio = fit(docs, sample, id_col, text_col)
     scored = stored(score(docs, ratio, id_col, text_col, carry=carry), "quality")
-    least = threshold(scored, sample)
+    least = threshold(scored, rest)
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     verdict = ~failed if least is None else ~failed & (F.col("llr") >= F.lit(least))
     return scored.withColumns({"base_failed": failed, "kept": verdict, "min_llr": F.lit(least).cast("double")})
