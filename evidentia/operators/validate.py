@@ -53,7 +53,8 @@ class _Log:
 
     def reject(self, rows: DataFrame, entity: str, code: str, message: Column | str, phase: int, rule: int, ids: Column | None = None) -> None:
         self.issue(rows, "error", entity, code, message, phase, rule, ids)
-        self.rejected.append(rows.select(KEY, F.lit(entity).alias("entity_type"), F.col("id").alias("entity_id"), F.lit(code).alias("reason"), F.lit(phase).alias("phase"), "ord"))
+        ends = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("requirement_id", "product_id")]  # of links
+        self.rejected.append(rows.select(KEY, F.lit(entity).alias("entity_type"), F.col("id").alias("entity_id"), F.lit(code).alias("reason"), F.lit(phase).alias("phase"), "ord", *ends))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

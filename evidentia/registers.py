@@ -218,6 +218,13 @@ def mapping_downgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checked(spark, sf_dir)[0].downgrades.drop("ord")
 
 
+@query(f"""
+WITH {_VALID}, i AS ({_ISSUES}) SELECT i.k AS project_section_key, entity_type, entity_id, code AS reason, rid AS requirement_id, pid AS product_id FROM i LEFT JOIN l0 ON entity_type = 'link' AND l0.k = i.k AND l0.id = entity_id WHERE severity = 'error' AND code <> 'unknown_evidence_id'""")
+def validation_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities that go, and why; links with their ends."""
+    return _checked(spark, sf_dir)[0].rejected.drop("phase", "ord")
+
+
 # --- views
 
 _VIEW = f"""{_VALID},

@@ -15,7 +15,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia import catalog, schemas
+from evidentia import catalog, passages, registers, schemas, specs  # noqa: F401  the queries of all of them
 from evidentia.operators import chunks, export, grounding, packaging, present, project, validate, vector
 from evidentia.operators.sections import discover
 from evidentia.plans.register import run_sections, section_evidence
@@ -80,6 +80,11 @@ def test_validation_cascade(validated):
     assert {(x["id"], x["mapping_method"], x["confidence"], x["review_required"]) for x in kept.links.collect()} == {("l1", "explicit", None, False), ("l2", "inferred", 0.5, True), ("l7", "normalized", 0.9, False)}
 
 
+def test_rejected_links_tell_their_ends(validated):
+    rows = {r["entity_id"]: (r["requirement_id"], r["product_id"]) for r in validated.rejected.collect() if r["entity_type"] == "link"}
+    assert rows and all(None not in ends for ends in rows.values())
+
+
 def test_report(validated, spark):
     report = validate.report(validated, spark.createDataFrame([("k",), ("empty",)], "project_section_key string")).collect()
     by = {r["project_section_key"]: r for r in report}
@@ -339,7 +344,7 @@ def test_streams(spark, tmp_path):
 
 
 def _canonical(df: pd.DataFrame) -> list:
-    shown = lambda v: "NULL" if v is None or v is pd.NaT or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
+    shown = lambda v: "NULL" if v is None or v is pd.NaT or v is pd.NA or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
     out = df[sorted(df.columns)].map(shown)
     return sorted(map(tuple, out.replace(r"\.000000$", "", regex=True).to_numpy().tolist()))
 
