@@ -76,16 +76,13 @@ def vectors(table: DataFrame, id_col: str, vector_col: str, label_col: str) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels, column = batch.column(1).to_pylist(), batch.column(2)
-            keys, kept = [], []
-            for label, row in zip(labels, column.to_pylist(), strict=True):
-                good = label is not None and bool(row) and None not in row
-                x = np.array(row if good else [0.0], dtype="<f8") + 0.0
-                if good and np.isfinite(x).all() and x.any():
-                    kept.append(data := x.tobytes())
-                    keys.append(hashlib.blake2b(f"{label}:".encode() + data, digest_size=16).digest())
-                else:
-                    keys.append(None)
-                    kept.append(None)
+            at = column.offsets.to_numpy()
+            x = column.values.to_numpy(zero_copy_only=False).astype("<f8") + 0.0  # null components are NaN, and there is one zero
+            bad, some = (np.r_[0, np.cumsum(c)] for c in (~np.isfinite(x), x != 0))
+            good = np.asarray(column.is_valid()) & (bad[at[1:]] == bad[at[:-1]]) & (some[at[1:]] > some[at[:-1]])
+            data = memoryview(x.tobytes())
+            kept = [bytes(data[8 * a : 8 * b]) if ok and label is not None else None for a, b, ok, label in zip(at[:-1].tolist(), at[1:].tolist(), good.tolist(), labels, strict=True)]
+            keys = [None if v is None else hashlib.blake2b(f"{label}:".encode() + v, digest_size=16).digest() for v, label in zip(kept, labels, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else str(x) for x in labels], pa.string()), pa.array(keys, pa.binary()), pa.array(kept, pa.binary())], ["id", "label", "key", "v"])
 
     schema = T.StructType([T.StructField("id", kind), T.StructField("label", T.StringType()), T.StructField("key", T.BinaryType()), T.StructField("v", T.BinaryType())])
