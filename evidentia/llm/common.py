@@ -7,12 +7,13 @@ import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch that carries whole texts to Python.
 TEXT_ROWS = 512
@@ -44,19 +45,33 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder as Parquet and read again; the copy goes when the application ends.
-
-    The shuffle files behind it are of no more use, but Spark drops them only when
-    the driver's collector meets their handles; so it is asked to run.
-    """
+    """df written to the shared folder as Parquet and read again; the copy goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Drop the shuffle files of DataFrames that are out of use.
+
+    Spark drops them when the driver's collector meets their handles, which may be
+    long after; so it is asked to run once what they led to is stored, and the
+    caller has let go of them.
+    """
     gc.collect()
     spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a few longs that are broadcast at most (about 30 MB as a hash table).
+FEW = 500_000
+
+
+def broadcast_few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """df, to be broadcast if a count says that it has `most` rows at most; more are left to a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
@@ -70,6 +85,26 @@ def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: What this worker process keeps from one task to the next: by operator, how to let go of it.
+KEPT: dict[str, Callable[[], None]] = {}
+_serving = [""]
+
+
+def serve(operator: str) -> None:
+    """Tell a worker process which operator's task begins: what others keep goes, and freed memory returns to the system.
+
+    Workers outlive the jobs of an application, so the caches of one operator would
+    otherwise stay beside the arrays of the next.
+    """
+    if _serving[0] != operator:
+        for other, forget in KEPT.items():
+            if other != operator:
+                forget()
+        _serving[0] = operator
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

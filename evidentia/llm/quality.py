@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidentia.llm.common import by_size, mix, small_batches, stored
+from evidentia.llm.common import broadcast_few, by_size, mix, serve, small_batches, stored
 
 #: log2 of the number of hash buckets; the model on the driver has that many rows.
 BUCKET_BITS = 14
@@ -137,6 +137,7 @@ def score(docs: DataFrame, ratio: np.ndarray, id_col: str, text_col: str, bits:
     table = spark.sparkContext.broadcast(ratio)  # 2**bits doubles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("quality")
         for batch in by_size(batches, "t", 4 << 20):
             rows = []
             for data in batch.column(1).to_pylist():
@@ -177,11 +178,7 @@ def threshold(scored: DataFrame, rest: DataFrame) -> float | None:
     return quantile(True, LOWEST) - MARGIN * (middle - bad) if middle > bad else None
 
 
-def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rules: Rules, carry: bool) -> DataFrame:
-    sample, rest = labelled(labels)
-    ratio = fit(docs, sample, id_col, text_col)
-    scored = stored(score(docs, ratio, id_col, text_col, carry=carry), "quality")
-    least = threshold(scored, rest)
+def _verdict(scored: DataFrame, least: float | None, rules: Rules) -> DataFrame:
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     verdict = ~failed if least is None else ~failed & (F.col("llr") >= F.lit(least))
     return scored.withColumns({"base_failed": failed, "kept": verdict, "min_llr": F.lit(least).cast("double")})
@@ -195,11 +192,22 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     id are judged one by one; a null id never counts as labelled.  Other columns
     are ignored.
     """
-    judged = _judged(docs, labels, id_col, text_col, rules, False)
+    sample, rest = labelled(labels)
+    scored = stored(score(docs, fit(docs, sample, id_col, text_col), id_col, text_col), "quality")
+    judged = _verdict(scored, threshold(scored, rest), rules)
     return judged.select(F.col("id").alias(id_col), *(x.split()[0] for x in BASE.split(", ")), "base_failed", "kept", "llr", "min_llr")
 
 
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """The rows of docs that quality() keeps, with all their columns."""
-    judged = _judged(docs, labels, id_col, text_col, rules, True).where("kept")
-    return judged.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    """The rows of docs that quality() keeps, with all their columns.
+
+    The labelled documents that set the threshold are scored ahead, so that no
+    text is stored.
+    """
+    sample, rest = labelled(labels)
+    ratio = fit(docs, sample, id_col, text_col)
+    asked = broadcast_few(rest.select(F.col("l_id").alias("_asked")))
+    ahead = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(asked, F.col("id") == F.col("_asked"), "left_semi")
+    least = threshold(stored(score(ahead, ratio, "id", "t"), "quality"), rest)
+    kept = _verdict(score(docs, ratio, id_col, text_col, carry=True), least, rules).where("kept")
+    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

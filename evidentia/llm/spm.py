@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidentia.llm.common import by_size, small_batches, texts_of
+from evidentia.llm.common import KEPT, by_size, serve, small_batches, texts_of
 
 SPACE = "▁"
 #: Words kept in a worker's cache.
@@ -174,10 +174,12 @@ class Pieces:
 
 
 _MODELS: dict[str, Pieces] = {}
+KEPT["spm"] = _MODELS.clear
 
 
 def model(path: str) -> Pieces:
     """This process's model for the file."""
+    serve("spm")
     if path not in _MODELS:
         _MODELS[path] = Pieces(path)
     return _MODELS[path]

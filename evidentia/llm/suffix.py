@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidentia.llm.common import by_size, mix, partitions, small_batches, stored
+from evidentia.llm.common import by_size, mix, partitions, serve, small_batches, stored, sweep
 
 HEAD = 16
 UNIT_BYTES = 2 << 20
@@ -333,6 +333,7 @@ def units_of(docs: DataFrame, id_col: str, text_col: str, unit_bytes: int = UNIT
     more = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col] + [F.col(text_col).isNull().alias("null")] if carry else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("suffix")
         part, made, texts, ids, size = TaskContext.get().partitionId(), 0, [], [], 0
         others: list[pa.RecordBatch] = []
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -384,6 +385,7 @@ def _each_unit(units: DataFrame, results: DataFrame | None, work: Callable, sche
         met = texts.unionByName(more).repartition(partitions(units.sparkSession), "unit").sortWithinPartitions("unit", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("suffix")
         now, found = None, []
         for batch in batches:
             for unit, kind, rows, data, rest in zip(*batch.columns, strict=True):
@@ -407,6 +409,7 @@ def _per_bucket(rows: DataFrame, work: Callable, schema: str) -> DataFrame:
     dealt = rows.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "unit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("suffix")
         now, held = None, []
         for batch in batches:
             for unit, bucket, payload in zip(batch.column("unit").to_pylist(), batch.column("bucket").to_pylist(), batch.column("payload"), strict=True):
@@ -602,7 +605,9 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, least: int, carry:
     units = units_of(docs, id_col, text_col, carry=carry)
     bits = _bits(units)
     shared = stored(_per_bucket(_heads(units, least, bits), partial(_shared, most=most), _TO_UNITS), "suffix-heads")
+    sweep(docs.sparkSession)
     found = stored(_per_bucket(_entries(units, shared, least, bits), partial(_resolve, least=least, bits=bits), _TO_UNITS), "suffix-matches")
+    sweep(docs.sparkSession)
     return units, shared.unionByName(found), bits
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidentia.llm.common import by_size, small_batches, texts_of
+from evidentia.llm.common import KEPT, by_size, serve, small_batches, texts_of
 
 #: Where a token across a boundary goes: the section of its first byte, of its last
 #: byte, or the one that holds most of its bytes (the earliest of those).
@@ -82,9 +82,12 @@ class Counter:
 
 
 _COUNTERS: dict[str, Counter] = {}
+KEPT["tokencount"] = _COUNTERS.clear
 
 
 def counter(path: str, pattern: str) -> Counter:
+    """This process's vocabulary for the file."""
+    serve("tokencount")
     if path not in _COUNTERS:
         _COUNTERS[path] = Counter(path, pattern)
     return _COUNTERS[path]

@@ -17,6 +17,8 @@ from array import array
 import numpy as np
 import regex
 
+from evidentia.llm.common import KEPT, serve
+
 #: What str.split() takes for white space besides space, tab and line ends, and what tokenizers may see otherwise.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 #: Latin-1 without white space.
@@ -129,10 +131,12 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+KEPT["tokens"] = _ENCODERS.clear
 
 
 def encoder(path: str) -> Encoder:
     """This process's encoder for the file."""
+    serve("tokens")
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
