@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch that carries whole texts to Python.
@@ -150,3 +150,22 @@ def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         while not np.array_equal(up := label[label], label):
             label = up
     return label
+
+
+#: Characters beyond ASCII that lower() leaves as they are: Latin-1 signs and small letters, punctuation, CJK.
+_CASELESS = "\\x{80}-\\x{BF}\\x{DF}-\\x{FF}\\x{2010}-\\x{206F}\\x{3000}-\\x{9FFF}"
+
+
+def lower_a_to_z(text: str) -> Column:
+    """The text column with A to Z in lower case and all else as it is.
+
+    translate() looks up each character, so it is left to texts in which lower()
+    could change others.
+    """
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(F.col(text).rlike(f"[^\\x00-\\x7F{_CASELESS}]"), F.translate(text, upper, upper.lower())).otherwise(F.lower(text))
+
+
+def words(text: str, pattern: str) -> Column:
+    """All matches of the pattern in the lower-cased text; none in a null text."""
+    return F.coalesce(F.regexp_extract_all(lower_a_to_z(text), F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))

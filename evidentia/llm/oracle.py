@@ -6,7 +6,7 @@ brute force.
 
 from __future__ import annotations
 
-from evidentia.llm import secrets
+from evidentia.llm import decontaminate, divergence, secrets
 
 ORACLES: dict[str, str] = {}
 
@@ -49,3 +49,34 @@ sp AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS z FROM i GROUP BY ALL),
 g AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS y FROM sp),
 q AS (SELECT doc_id, any_value(h) AS h, max(z) AS z, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * y + 1, 2 * (a - y)), '' ORDER BY a) AS head FROM g JOIN d USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head || substr(q.h, 2 * z + 1), d.h))) AS kept_sha256 FROM d LEFT JOIN q USING (doc_id)"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op12_benchmark_decontamination"] = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({_LOWER}, {_quoted(decontaminate.WORD)}) AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all({_LOWER}, {_quoted(decontaminate.WORD)}) AS w FROM benchmark),
+x AS (SELECT item, w, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS i FROM b WHERE len(w) > 0),
+n AS (SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(w[i + 1:i + 10], ' ') AS t FROM x),
+s AS (SELECT DISTINCT size FROM n),
+g AS (SELECT k, size, unnest(range(0, len(w) - size + 1)) AS i, w FROM d, s WHERE len(w) >= size),
+m AS (SELECT k, i, size, array_to_string(w[i + 1:i + size], ' ') AS t FROM g),
+h AS (SELECT DISTINCT k, item, i, size FROM m JOIN n USING (size, t)),
+c AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT k, i, size FROM h)) GROUP BY k),
+e AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, item FROM h) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (k) LEFT JOIN e USING (k)"""
+
+ORACLES["op13_source_divergence"] = f"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, {_quoted(divergence.TERM)}) AS w FROM documents),
+t AS (SELECT k, lang, source, term, count(*) AS n FROM (SELECT k, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+v AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(*) >= {divergence.audit.__defaults__[0]}),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, sum(n)::HUGEINT AS n FROM t JOIN v USING (lang, term) GROUP BY ALL),
+a AS (SELECT lang, source, term, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY lang, source) AS total, count(*) OVER (PARTITION BY lang, source) AS kept FROM g JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 5)::HUGEINT // (total + 5 * kept)::HUGEINT AS p FROM a),
+l AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 5)::HUGEINT // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang))::HUGEINT AS q FROM l),
+s AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+o AS (SELECT lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value FROM g x JOIN g y USING (lang) LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source WHERE x.source <> y.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM o)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= {divergence.audit.__defaults__[1]}"""
