@@ -14,7 +14,8 @@ from pyspark.sql.window import Window
 
 from evidentia.functions import predicates as P
 from evidentia.functions import text as X
-from evidentia.operators import chunks, evidence, export, grounding, packaging, regions, sections, vector
+from evidentia.operators import chunks, evidence, export, grounding, index, packaging, regions, sections, vector
+from evidentia.plans.lineage import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -205,10 +206,13 @@ def clause_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.below(clauses, required).groupBy("required").agg(F.count("*").alias("n_clauses"))
 
 
-@query("""
+_NEAREST = """
 WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), v AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM u),
 d AS (SELECT q.vec_id AS query_id, b.vec_id, list_distance(q.e, b.e) ** 2 AS distance FROM v q, v b WHERE q.vec_id % 50 = 0)
-SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), vec_id)::INT AS rank FROM d) WHERE rank <= 8""")
+SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), vec_id)::INT AS rank FROM d) WHERE rank <= 8"""
+
+
+@query(_NEAREST)
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight nearest vectors of every fiftieth one."""
     base = table(spark, sf_dir, "embeddings")
@@ -217,6 +221,18 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"), "rank")
 
 
+@query(_NEAREST)
+def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index of inverted lists that gets its vectors in two batches."""
+    base = table(spark, sf_dir, "embeddings")
+    queries = base.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    made = index.create(base, scratch(spark, "vector-index"), "vec_id")
+    for part in (0, 1):
+        index.add(made, base.where(F.pmod(F.xxhash64("vec_id"), F.lit(2)) == part), f"part{part}", "vec_id")
+    hits, _ = index.search(made, queries)
+    return hits.select("query_id", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"), "rank")
+
+
 @query("""
 WITH c AS (SELECT conv_id, turn, list(text) FILTER (length(text) < 100) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM conversations)
 SELECT conv_id, turn, coalesce(array_to_string(p[-5:], chr(10)), '') AS context, coalesce(len(p[-5:]), 0)::INT AS n_lines FROM c""")
