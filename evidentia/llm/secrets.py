@@ -42,16 +42,21 @@ BASE = (
     Rule("access", "AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", "[0-9a-f]+", 0, 24),
 )
+_KEY = "[A-Z ]{0,24}PRIVATE KEY(?: BLOCK)?-----"
+_HEADERS = "(?:[A-Za-z][A-Za-z-]{1,30}:[^\\r\\n]*\\r?\\n){0,9}"
 #: Further kinds; they add spans.
 MORE = (
     Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}"),
-    # the first part is bounded: without that, every eyJ of a run that holds many would be followed to its end
-    Rule("jwt", "eyJ[A-Za-z0-9_-]{8,1000}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}"),
-    # to the END line, or else the lines of base64 that follow
-    Rule("private_key", "-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[A-Za-z0-9+/=:,.\\x20\\r\\n\\t-]*?-----END [A-Z ]{0,24}PRIVATE KEY-----|(?:\\r?\\n[A-Za-z0-9+/=]{16,}){0,400})"),
+    # group 1 is what follows the first part; a run without it matches too, so that none is searched twice
+    Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}((?:\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,})?)", 1, 1, version=2),
+    # to the END line, which stands before any other dash but those of header lines; without one, to the last long line of base64.
+    # No group is repeated over lines and none looks beyond the next BEGIN, so the time is in proportion to the text.
+    Rule("private_key", f"-----BEGIN {_KEY}(?:(?:\\r?\\n{_HEADERS})?[A-Za-z0-9+/=:,.\\\\\\x20\\r\\n\\t]*-----END {_KEY}|\\r?\\n{_HEADERS}[A-Za-z0-9+/=\\r\\n]*[A-Za-z0-9+/=]{{16,}})?", version=2),
 )
 RULES = BASE + MORE
+#: Spans of a text that are cut out in one go.
+TOGETHER = 256
 #: Patterns that match exactly the passing matches of a rule, where one exists; scanning them is faster.
 _PASSING = {"[0-9a-f]+": "[0-9a-f]{24,}", "AKIA[A-Z0-9]+": "AKIA[A-Z0-9]{16,}"}
 FINDINGS = T.StructType([T.StructField("blob", T.StringType()), T.StructField("rule", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -141,22 +146,36 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, *(count(r.kind).alias(f"n_{r.kind}") for r in BASE), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
 
 
+def cuts(findings: DataFrame) -> DataFrame:
+    """(blob, cuts): the spans of any kind (start, end, before) in order, those that touch or overlap as one; before is the end of the one before, or 0."""
+    order = Window.partitionBy("blob").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = findings.withColumn("opens", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
+    rows = rows.withColumn("part", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    each = rows.groupBy("blob", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    each = each.withColumn("before", F.lag("end", 1, 0).over(Window.partitionBy("blob").orderBy("start")))
+    return each.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "end", "before"))).alias("cuts"))
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with every found span of text_col replaced by `mask`; touching and overlapping spans get one.
 
     A null text stays null; rows without findings stay as they are.
     """
     _, after = update(docs, None, id_col, text_col, rules)
-    found = cut(by_blob(after.findings, rules))
+    found = cut(cuts(after.findings))
     text = F.col("row")[text_col]
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    step = lambda acc, x: F.when(x["end"] <= acc["at"], acc).when((x["start"] <= acc["at"]) & (acc["at"] > 0), F.struct(acc["out"].alias("out"), x["end"].alias("at"))).otherwise(
-        F.struct(F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(mask)).alias("out"), x["end"].alias("at"))
-    )
-    done = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    between = lambda t, start, end: F.substring(t, (start + 1).cast("int"), (end - start).cast("int"))
+    # substring() counts characters from the start, so a text of many spans is cut into parts of some spans first
+    first = lambda g: F.get("cuts", g)["before"]
+    part = lambda g: between(text, first(g), F.get("cuts", F.least(g + TOGETHER, F.size("cuts")) - 1)["end"])
+    pieces = lambda g: F.transform(F.array(part(g)), lambda p: F.transform(F.slice("cuts", g + 1, F.lit(TOGETHER)), lambda x: between(p, x["before"] - first(g), x["start"] - first(g))))[0]
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("cuts") - 1, F.lit(TOGETHER)), pieces))
+    last = F.substring(text, (F.element_at("cuts", -1)["end"] + 1).cast("int"), F.length(text))
+    done = F.array_join(F.concat(kept, F.array(last)), mask)
     # the columns travel as one, so that none can clash
     joined = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), blob_of(text_col).alias("own")).join(found, F.col("own") == F.col("blob"), "left")
-    return joined.select(*(F.when(F.col("spans").isNull(), text).otherwise(done).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
+    return joined.select(*(F.when(F.col("cuts").isNull(), text).otherwise(done).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def save(ledger: Ledger, path: str) -> None:

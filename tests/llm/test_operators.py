@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from bisect import bisect_right
 from collections import Counter, defaultdict
@@ -384,6 +385,27 @@ def test_private_keys_go_to_their_end(spark):
     assert {r["doc_id"]: r["text"] for r in out} == {0: "a [SECRET] b", 1: "a [SECRET]\nand words follow", 2: texts[2]}
 
 
+def test_long_keys_and_tokens_have_no_bound(spark):
+    line, key = "QUJDRA+/" * 8, "-----BEGIN EC PRIVATE KEY-----"
+    long = "\n".join([line] * 5000)
+    jwt = f"eyJ{'a' * 10_000}.{'b' * 5000}.{'c' * 3000}"
+    texts = [
+        f"a {key}\n{long}\n-----END EC PRIVATE KEY----- b", f"a {key}\n{long}\nMII=\nand words", f"x {jwt} y", f"{key}\n" * 100_000, "eyJabcdefgh." + "eyJ" * 200_000, "eyJabcdefgh.short.x eyJabcdefgh",
+        f"{key}\r\nProc-Type: 4,ENCRYPTED\r\nDEK-Info: DES-EDE3-CBC,12\r\n\r\n{line}\r\n-----END EC PRIVATE KEY-----.", f'{{"k": "{key}\\n{line}\\n-----END EC PRIVATE KEY-----\\n"}}', f"{key}\nVersion: 1 of it\n\n{line}\nwords", f"{key} is a header; {key}\nshort\n",
+        "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: x 1.2 (y)\n\n" + line + "\n=abcd\n-----END PGP PRIVATE KEY BLOCK-----", ("Ab:" + key + "\n") * 20_000, (key + "\n" + "A" * 15 + "\n") * 3 + "\n" * 200_000,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    began = time.perf_counter()
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs, rules=secrets.MORE).collect()}
+    assert time.perf_counter() - began < 60
+    private = re.compile(secrets.MORE[3].pattern)
+    want = {i: private.sub("[SECRET]", t) for i, t in enumerate(texts) if i not in (2, 4, 5, 11)}
+    want = {i: re.sub(r"(\[SECRET\])+", "[SECRET]", t) for i, t in want.items()}  # those that touch are one
+    want |= {2: "x [SECRET] y", 4: texts[4], 5: texts[5]}
+    assert {i: t for i, t in out.items() if i != 11} == want and "PRIVATE KEY" not in out[11]
+    assert want[0] == "a [SECRET] b" and want[1] == "a [SECRET]\nMII=\nand words" and want[6] == "[SECRET]." and want[7] == '{"k": "[SECRET]\\n"}' and want[8] == "[SECRET]\nwords" and want[10] == "[SECRET]"
+
+
 def test_redaction_keeps_what_it_is_given(spark):
     names = ("row", "own", "blob", "spans", "__k", "__b", "start")
     df = crowded(documents(spark)).drop("start", "blob").select("*", *(F.lit(n).alias(n) for n in names))
