@@ -2,36 +2,81 @@
 
 Counts of a term become one wide vector indexed by the language's sources; array
 functions turn it into smoothed shares and emit each pair's contribution, which is
-summed where it arises before anything moves.  All shares are integers.
+summed where it arises before anything moves.  All shares are integers.  Terms are
+counted from the bytes of texts in Arrow batches, a few times faster than as arrays
+of strings.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evidentia.llm.common import broadcast_few, cut, stored, words
+from evidentia.llm.common import broadcast_few, cut, partitions, small_batches, stored
 
 #: A term: letters, and all that is not ASCII.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: A share of 1, and what is added to each count.
 UNIT, PRIOR = 1_000_000_000, 5
-#: In front of a term: it is counted once for the document.  No term holds it.
-_ONCE = "\x01"
+#: Terms that a task counts before it hands them on.
+MOST_TERMS = 300_000
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_TERM, _OTHER = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[^a-z\x80-\xff]")
+
+
+def _parts(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The text in parts of about `size` bytes, cut where no term is."""
+    at = 0
+    while at < len(text):
+        cut_at = _OTHER.search(text, at + size)
+        end = cut_at.start() if cut_at else len(text)
+        yield text[at:end]
+        at = end
 
 
 def term_counts(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> DataFrame:
-    """(lang, source, term, n, n_docs): occurrences, and documents that have the term."""
-    own = words(text_col, TERM)
-    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), own.alias("w"))
-    once = F.transform(F.array_distinct("w"), lambda x: F.concat(F.lit(_ONCE), x))
-    each = rows.select("lang", "source", F.explode(F.concat("w", once)).alias("mark"))
-    counted = each.groupBy("lang", "source", "mark").agg(F.count("*").alias("n"))
-    single = F.col("mark").startswith(_ONCE)
-    return counted.select("lang", "source", F.when(single, F.substr("mark", F.lit(2))).otherwise(F.col("mark")).alias("term"), F.when(single, 0).otherwise(F.col("n")).alias("n"), F.when(single, F.col("n")).otherwise(0).alias("n_docs"))
+    """(lang, source, term, n, n_docs): occurrences, and documents that have the term; a few rows of a term for each task.
+
+    Terms are found in the UTF-8 bytes, of which all beyond ASCII belong to terms.
+    """
+    small_batches(docs.sparkSession)
+    schema = "lang string, source string, term string, n long, n_docs long"
+
+    def counted(groups: dict) -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, n_docs) in groups.items():
+            terms = pa.array(list(n), pa.binary()).cast(pa.string())
+            same = [pa.array([x], pa.string()).take(pa.array(np.zeros(len(terms), dtype=np.int32))) for x in (lang, source)]
+            yield pa.RecordBatch.from_arrays([*same, terms, pa.array(n.values(), pa.int64()), pa.array(map(n_docs.__getitem__, n), pa.int64())], ["lang", "source", "term", "n", "n_docs"])
+        groups.clear()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held = 0
+        for batch in batches:
+            texts = batch.column(2).cast(pa.binary())
+            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                n, n_docs = groups.setdefault(key, (Counter(), Counter()))
+                seen, before = set(), len(n)
+                for part in _parts((texts[i].as_py() or b"").translate(_LOWER)):
+                    terms = _TERM.findall(part)
+                    n.update(terms)
+                    seen.update(terms)
+                n_docs.update(seen)
+                held += len(n) - before
+                if held >= MOST_TERMS:
+                    yield from counted(groups)
+                    held = 0
+        yield from counted(groups)
+
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -42,9 +87,10 @@ def share(count: Column, total: Column, kept: Column) -> Column:
 
 def wide_terms(docs: DataFrame, least_docs: int, lang_col: str, source_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(langs, terms): langs (lang, kept, total, sides) has a language's sources in order with their totals; terms (lang, term, counts, shares, share) the kept terms, arrays as sides."""
-    cells = F.filter(F.collect_list(F.when(F.col("n") > 0, F.struct("source", "n"))), lambda x: x.isNotNull())
-    counted = term_counts(docs, lang_col, source_col, text_col)
-    kept = stored(counted.groupBy("lang", "term").agg(F.sum("n_docs").alias("n_docs"), cells.alias("cells")).where(F.col("n_docs") >= least_docs), "kept-terms")
+    # dealt by term alone, so that all that follows has its rows at hand
+    dealt = term_counts(docs, lang_col, source_col, text_col).repartition(partitions(docs.sparkSession), "lang", "term")
+    counted = dealt.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
+    kept = stored(counted.groupBy("lang", "term").agg(F.sum("n_docs").alias("n_docs"), F.collect_list(F.struct("source", "n")).alias("cells")).where(F.col("n_docs") >= least_docs), "kept-terms")
     groups = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")).distinct()
     counts = kept.select("lang", F.inline("cells")).unionByName(groups.withColumn("n", F.lit(0).cast("long")))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
@@ -76,8 +122,8 @@ def audit(docs: DataFrame, least_docs: int = 30, ranks: int = 50, lang_col: str
     share is furthest above the language's, to rank `ranks`.  Equal values go by
     item.  A null text, language or source is the empty one, and every row counts
     as a document, whatever its id; other columns are ignored.  The sources of one
-    language are held as an array; the words of a text are held in memory, with
-    about 100 bytes each.
+    language are held as an array; a text is read in parts, so only its different
+    terms are held.
     """
     langs, terms = wide_terms(docs, least_docs, lang_col, source_col, text_col)
     terms = stored(terms, "wide-terms")
