@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from evidentia.functions import predicates as P
 from evidentia.functions import text as X
+from evidentia.operators import tree
 
 
 def explode_items(documents: DataFrame, items: str = "items") -> DataFrame:
@@ -172,7 +173,9 @@ def build_evidence(items: DataFrame, spec_section_id: str = "document", initial:
 
 
 def catalog(documents: DataFrame, items: str = "items", **options: object) -> DataFrame:
-    return build_evidence(explode_items(documents, items), **options)
+    """Evidence of documents: with an array of items, or as a parser has cached them (schemas.PARSED), in reading order."""
+    read = explode_items(documents, items) if items in documents.columns else tree.reading_order(documents)[0]
+    return build_evidence(read, **options)
 
 
 def resolve(ids: DataFrame, evidence: DataFrame, id_col: str = "evidence_id") -> tuple[DataFrame, DataFrame]:

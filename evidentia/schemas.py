@@ -14,6 +14,15 @@ def _of(**fields: T.DataType) -> T.StructType:
 
 BBOX = _of(l=_D, t=_D, r=_D, b=_D, coord_origin=_S)
 ITEM = _of(document_id=_S, pos=_I, self_ref=_S, label=_S, orig=_S, text=_S, marker=_S, prov=T.ArrayType(_of(page_no=_I, bbox=BBOX)))
+_REF = T.StructType([T.StructField("$ref", _S)])
+_NODE = _of(self_ref=_S, parent=_REF, children=T.ArrayType(_REF), content_layer=_S, label=_S)
+_PLACED = T.StructType([*_NODE.fields, T.StructField("prov", T.ArrayType(_of(page_no=_I, bbox=BBOX)))])
+_TEXT = T.StructType([*_PLACED.fields, *_of(orig=_S, text=_S, marker=_S).fields])
+#: The parsed document that a parser caches: parts in flat arrays, the body and groups with references to them.
+PARSED = _of(
+    name=_S, body=_NODE, groups=T.ArrayType(_NODE), texts=T.ArrayType(_TEXT), pictures=T.ArrayType(_PLACED), tables=T.ArrayType(_PLACED),
+    key_value_items=T.ArrayType(_PLACED), form_items=T.ArrayType(_PLACED),
+)
 EVIDENCE = _of(
     id=_S, document_id=_S, spec_section_id=_S, docling_ref=_S, page_number=_I, bbox=BBOX, raw_text=_S, text_hash=_S,
     heading_path=_IDS, source_clause=_S, evidence_kind=_S, chunk_id=_I, contextualized_text=_S, pos=_I,

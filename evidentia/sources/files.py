@@ -66,6 +66,20 @@ def read_documents(spark: SparkSession, path: str, schema: T.StructType) -> Data
     return found.withColumnRenamed("_name", "filename") if "filename" not in schema.names else found.withColumn("filename", F.coalesce("filename", "_name")).drop("_name")
 
 
+def parsed(texts: DataFrame, json: str = "json") -> tuple[DataFrame, DataFrame]:
+    """(documents, rejects) of (document_id, json): what a parser has cached, as schemas.PARSED; a text that is no such object is a reject."""
+    schema = T.StructType([*schemas.PARSED.fields, T.StructField("_bad", T.StringType())])
+    read = texts.select("document_id", F.col(json).alias("_json"), F.from_json(json, schema, {"columnNameOfCorruptRecord": "_bad"}).alias("x"))
+    good = F.col("x").isNotNull() & F.col("x._bad").isNull() & F.col("x.body").isNotNull()
+    return read.where(good).select("document_id", *(F.col(f"x.{f.name}") for f in schemas.PARSED.fields)), read.where(~good).select("document_id", F.col("_json").alias("json"))
+
+
+def read_parsed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejects) of the cached documents under path, one JSON object per file; document_id is the file's name."""
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    return parsed(spark.read.text(path, wholetext=True).select(F.url_decode(name).alias("document_id"), F.col("value").alias("json")))
+
+
 def downloads(documents: DataFrame, items: str = "items") -> DataFrame:
     """(document_id, json, markdown): what is offered to save of each parsed document.
 

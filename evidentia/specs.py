@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia import schemas
-from evidentia.catalog import query, table
+from evidentia.catalog import _EVENTS, _events, query, table
 from evidentia.functions import predicates as P
 from evidentia.functions import text as X
-from evidentia.operators import candidates, evidence, regions, sections
+from evidentia.operators import candidates, evidence, regions, sections, tree
 from evidentia.plans.lineage import cut
+from evidentia.sources import files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,3 +225,48 @@ def evidence_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evidence that the headings of sections name, once and in catalog order."""
     rows, found = _sections(spark, sf_dir)
     return evidence.flatten_ids(found, rows, "heading_evidence_ids").select("document_id", "id", "pos")
+
+
+_TREE = f"""
+n0 AS (SELECT user_id AS d, idx AS i, CASE WHEN idx % 7 = 3 THEN 'groups' WHEN idx % 11 = 5 THEN 'pictures' WHEN idx % 13 = 6 THEN 'tables' ELSE 'texts' END AS kind,
+  CASE WHEN idx < 3 THEN -1 WHEN idx % 60 = 41 THEN idx + 1 WHEN idx % 60 = 42 THEN idx - 1 WHEN idx % 5 = 4 THEN idx - 1 ELSE idx // 3 END AS p, event_type FROM ({_EVENTS})),
+n1 AS (SELECT d, i, kind, '#/' || kind || '/' || i AS ref, p FROM n0),
+e AS (SELECT c.d, c.p, c.i * 37 % 101 AS a, c.i, c.ref FROM n1 c JOIN n1 q ON q.d = c.d AND q.i = c.p UNION ALL SELECT d, p, i * 37 % 101, i, ref FROM n1 WHERE p = -1),
+k AS (SELECT d, p, i, row_number() OVER (PARTITION BY d, p ORDER BY a, i) - 1 AS place FROM e),
+w AS (SELECT d, i, [place] AS way, FALSE AS hidden FROM k WHERE p = -1 UNION ALL
+  SELECT k.d, k.i, list_append(w.way, k.place), w.hidden OR n1.kind = 'pictures' FROM w JOIN n1 ON n1.d = w.d AND n1.i = w.i JOIN k ON k.d = w.d AND k.p = w.i)"""
+
+
+@query(f"""
+WITH RECURSIVE {_TREE},
+s AS (SELECT 'u' || w.d AS document_id, 'item' AS what, ref, row_number() OVER (PARTITION BY w.d ORDER BY way) - 1 AS pos, len(way) AS level FROM w JOIN n1 ON n1.d = w.d AND n1.i = w.i WHERE NOT hidden AND kind <> 'groups' AND w.i % 17 <> 9)
+SELECT document_id, what, ref, pos::INT AS pos, level::INT AS level FROM s
+UNION ALL SELECT 'u' || d, 'dangling_reference', '#/texts/none', -1, -1 FROM n1 WHERE i % 31 = 8
+UNION ALL SELECT 'u' || d, 'second_reference', ref, -1, -1 FROM n1 WHERE i % 29 = 17
+UNION ALL SELECT 'u' || n1.d, 'cycle', ref, -1, -1 FROM n1 LEFT JOIN w ON w.d = n1.d AND w.i = n1.i WHERE w.i IS NULL AND EXISTS (SELECT 1 FROM n1 q WHERE q.d = n1.d AND q.i = n1.p)""")
+def document_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading order of parsed documents with nested groups, and what leads nowhere; events stand for parts, cached as JSON."""
+    i = F.col("idx")
+    kind = F.when(i % 7 == 3, "groups").when(i % 11 == 5, "pictures").when(i % 13 == 6, "tables").otherwise("texts")
+    parent = F.when(i < 3, -1).when(i % 60 == 41, i + 1).when(i % 60 == 42, i - 1).when(i % 5 == 4, i - 1).otherwise(F.floor(i / 3))
+    rows = _events(spark, sf_dir).select(F.concat(F.lit("u"), "user_id").alias("document_id"), i.cast("long").alias("i"), kind.alias("kind"), parent.cast("long").alias("p"), "event_type")
+    rows = rows.withColumn("ref", F.concat(F.lit("#/"), "kind", F.lit("/"), "i"))
+    none = F.lit(None).cast("string")
+    held = rows.select("document_id", F.col("p").alias("i"), (F.col("i") * 37 % 101).alias("a"), F.col("i").alias("b"), "ref")
+    held = held.unionByName(rows.where("i % 29 = 17").select("document_id", F.lit(-1).cast("long").alias("i"), F.lit(200).cast("long").alias("a"), F.col("i").alias("b"), "ref"))
+    held = held.unionByName(rows.where("i % 31 = 8").select("document_id", "i", F.lit(300).cast("long").alias("a"), F.col("i").alias("b"), F.lit("#/texts/none").alias("ref")))
+    children = held.groupBy("document_id", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("a", "b", "ref"))), lambda x: F.struct(x["ref"].alias("$ref"))).alias("children"))
+    bodies = children.where("i = -1").select("document_id", F.struct(F.lit("#/body").alias("self_ref"), "children").alias("body"))
+    own = rows.select("document_id", "i", F.col("ref").alias("parent_ref"))
+    full = rows.join(children, ["document_id", "i"], "left").join(own.withColumnRenamed("i", "p"), ["document_id", "p"], "left")
+    node = F.struct(
+        F.col("ref").alias("self_ref"), F.struct(F.coalesce("parent_ref", F.lit("#/body")).alias("$ref")).alias("parent"), F.coalesce("children", F.array()).alias("children"), F.when(i % 17 == 9, "furniture").alias("content_layer"),
+        F.lit("text").alias("label"), F.col("event_type").alias("text"), none.alias("orig"), F.array(F.struct(F.lit(1).alias("page_no"))).alias("prov"),
+    )
+    full = full.withColumn("idx", F.col("i"))
+    arrays = [F.collect_list(F.when(F.col("kind") == k, node)).alias(k) for k in ("groups", "pictures", "tables", "texts")]
+    cached = full.groupBy("document_id").agg(*arrays).join(bodies, "document_id").select("document_id", F.to_json(F.struct("body", "groups", "pictures", "tables", "texts")).alias("json"))
+    read, _ = files.parsed(cached)
+    items, rejects = tree.reading_order(read)
+    lost = rejects.select("document_id", F.col("reason").alias("what"), "ref", F.lit(-1).alias("pos"), F.lit(-1).alias("level"))
+    return items.select("document_id", F.lit("item").alias("what"), F.col("self_ref").alias("ref"), "pos", "level").unionByName(lost)
