@@ -9,7 +9,7 @@ from evidentia import schemas
 from evidentia.catalog import query, table
 from evidentia.functions import predicates as P
 from evidentia.functions import text as X
-from evidentia.operators import chunks, evidence, vector
+from evidentia.operators import chunker, chunks, evidence, vector
 from evidentia.sources import files, plugins
 
 
@@ -199,6 +199,28 @@ def chunk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.split_tokens(docs, 100).select("document_id", "pos", F.sha2("raw_text", 256).alias("digest"))
 
 
+_TOKENS = f"regexp_extract_all(t, '{chunker.TOKEN}')"
+_PARTS = f"regexp_extract_all(t, '(?:{chunker.TOKEN})[{chunker.WHITE}]*')"
+
+
+@query(f"""
+WITH RECURSIVE l AS (SELECT doc_id AS d, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS t FROM documents),
+i AS (SELECT d, pos, t, CASE WHEN d % 3 = 0 THEN '' ELSE 'H' || pos // 12 END AS h, CASE WHEN d % 3 = 0 THEN 700 ELSE 699 END AS room, len({_TOKENS}) AS n FROM l),
+p AS (SELECT d, pos, h, room, n, part, CASE WHEN n > room THEN rtrim(array_to_string({_PARTS}[part * room + 1 : part * room + room], ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) ELSE t END AS t, CASE WHEN n > room THEN least(room, n - part * room) ELSE n END AS m
+  FROM (SELECT *, unnest(range(0, (n - 1) // room + 1)) AS part FROM i WHERE n > 0)),
+o AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY pos, part) AS no FROM p),
+f AS (SELECT d, no, pos, h, t, 0 AS number, m AS total, m FROM o WHERE no = 1 UNION ALL
+  SELECT o.d, o.no, o.pos, o.h, o.t, CASE WHEN o.h = f.h AND f.total + o.m <= o.room THEN f.number ELSE f.number + 1 END, CASE WHEN o.h = f.h AND f.total + o.m <= o.room THEN f.total + o.m ELSE o.m END, o.m FROM f JOIN o ON o.d = f.d AND o.no = f.no + 1)
+SELECT d AS document_id, number::INT AS pos, sha256(string_agg(t, chr(10) ORDER BY no)) AS digest, any_value(h) AS headings, (sum(m) + CASE WHEN any_value(h) = '' THEN 0 ELSE 1 END)::BIGINT AS n_tokens, array_to_string(list_sort(list(DISTINCT pos // 40 + 1)), ',') AS pages FROM f GROUP BY d, number""")
+def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents in chunks of 700 tokens under their headings; the twin goes piece by piece."""
+    each = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    heads = F.when(F.col("document_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("H"), F.floor(F.col("pos") / 12))))
+    items = each.select("document_id", "pos", "text", heads.alias("headings"), F.array(F.lit("text")).alias("labels"), (F.floor(F.col("pos") / 40) + 1).cast("int").alias("page"))
+    out = chunker.chunk(items)
+    return out.select("document_id", "pos", F.sha2("raw_text", 256).alias("digest"), F.array_join("headings", ">").alias("headings"), "n_tokens", F.array_join("pages", ",").alias("pages"))
+
+
 _LINE = """
 l AS (SELECT p_partkey AS n, p_name AS nm, CASE p_partkey % 10 WHEN 0 THEN 'SECTION ' || (15000 + p_partkey % 900) || ' - METAL DUCTS' WHEN 1 THEN '23 31 1' || p_partkey % 9 || ' FANS' WHEN 2 THEN 'PART ' || p_partkey % 4 || ' PRODUCTS' WHEN 3 THEN '2.0' || p_partkey % 9 || ' Sealants and submittals' WHEN 4 THEN 'A. ' || p_name
   WHEN 5 THEN 'ACTION SUBMITTALS' WHEN 6 THEN 'list of submittals' WHEN 7 THEN 'see Section 15' || p_partkey % 90 WHEN 8 THEN 'DIVISION 23 - HVAC' ELSE '1' || (5000 + p_partkey % 900) END AS t, p_partkey % 3 <> 0 AS heading FROM part)"""
