@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from evidentia.functions import predicates as P
 from evidentia.functions import text as X
+from evidentia.plans.lineage import cut
 
 _EXACT = r"^\d+\.\d+$"
 
@@ -35,30 +36,46 @@ def candidates(evidence: DataFrame, unicode: bool = True) -> DataFrame:
     numbered heading, if it has no article itself) or PART heading; a SECTION
     heading on the way is a warning.
     """
-    rows = _rows(evidence, unicode)
+    rows = _stops(_rows(evidence, unicode).withColumns({"part": P.part_heading(F.col("heading"), F.col("t")), "boundary": P.section_boundary(F.col("heading"), F.col("t"), "clause")}))
     starts = rows.where(P.submittal_text(F.col("folded"), F.col("t")) & (F.col("heading") | F.col("t").rlike(X.ARTICLE)))
-    starts = starts.select("document_id", F.col("idx").alias("start_index"), F.col("id").alias("start_id"), F.col("t").alias("heading"), F.col("article").alias("own"), priority().alias("priority"))
-    stops = rows.select(
-        F.col("document_id").alias("d"), "idx", "id", "article", P.part_heading(F.col("heading"), F.col("t")).alias("part"),
-        P.section_boundary(F.col("heading"), F.col("t"), "clause").alias("boundary"), F.when(F.col("heading"), X.article_root("t")).alias("numbered"),
-    ).where("article is not null or part or boundary")
-    other = F.col("part") | F.coalesce(F.col("article") != F.col("own"), F.lit(False)) | (F.col("own").isNull() & F.col("numbered").isNotNull())
-    later = starts.join(stops, (F.col("document_id") == F.col("d")) & (F.col("idx") > F.col("start_index")), "left").withColumn("ends", F.coalesce(other, F.lit(False)))
-    keys = ["document_id", "start_index", "start_id", "heading", "own", "priority"]
-    found = later.groupBy(*keys).agg(
-        F.min(F.when(F.col("ends"), F.col("idx"))).alias("stop"), F.collect_list(F.when(F.col("boundary") & ~F.col("ends"), F.struct("idx", "id"))).alias("passed"),
-    )
-    last = rows.groupBy("document_id").agg(F.max("idx").alias("last"))
-    passed = F.filter(F.array_sort("passed"), lambda x: F.col("stop").isNull() | (x["idx"] < F.col("stop")))
-    told = F.transform(passed, lambda x: F.concat(F.lit("ambiguous_section_heading_at_index_"), x["idx"], F.lit(":"), x["id"]))
+    starts = cut(starts.select("document_id", F.col("idx").alias("start_index"), F.col("id").alias("start_id"), F.col("t").alias("heading"), F.col("article").alias("own"), priority().alias("priority"), "stop", "last", "seen", "seen_at_end"))
+    # the passed SECTION headings by their numbers in the document, which are a run
+    sections = rows.where("boundary").select(F.col("document_id").alias("d"), F.col("seen").alias("number"), "idx", "id")
+    asked = starts.where("seen_at_end > seen").select("document_id", "start_index", F.explode(F.sequence(F.col("seen") + 1, F.col("seen_at_end"))).alias("n"))
+    met = asked.join(sections, (F.col("document_id") == F.col("d")) & (F.col("n") == F.col("number")))
+    told = F.transform(F.array_sort(F.collect_list(F.struct("idx", "id"))), lambda x: F.concat(F.lit("ambiguous_section_heading_at_index_"), x["idx"], F.lit(":"), x["id"]))
+    passed = met.groupBy(F.col("document_id").alias("d"), F.col("start_index").alias("s")).agg(told.alias("told"))
     none = F.array().cast("array<string>")
-    told = F.concat(told, F.when(F.col("stop").isNull(), F.array(F.lit("ended_at_catalog_eof"))).otherwise(none), F.when(F.col("priority") < 20, F.array(F.lit("low_priority_candidate_start"))).otherwise(none))
-    return found.join(last, "document_id").select(
+    found = starts.join(passed, (F.col("document_id") == F.col("d")) & (F.col("start_index") == F.col("s")), "left")
+    told = F.concat(F.coalesce("told", none), F.when(F.col("stop").isNull(), F.array(F.lit("ended_at_catalog_eof"))).otherwise(none), F.when(F.col("priority") < 20, F.array(F.lit("low_priority_candidate_start"))).otherwise(none))
+    return found.select(
         "document_id", "start_index", F.coalesce(F.col("stop") - 1, F.col("last")).alias("end_index"), "start_id", "heading", F.col("own").alias("source_clause"), "priority",
         F.when(F.col("own").isNotNull(), "article_clause").otherwise("heading_order_fallback").alias("detection_method"), told.alias("warnings"),
     )
 
 
+def _stops(rows: DataFrame) -> DataFrame:
+    """rows with stop, the row before which a region that starts there ends, and last, the last row of the document.
+
+    seen is the number of SECTION headings up to the row, seen_at_end that up to the
+    row before the stop.  Everything is running values along the document, forwards
+    or backwards.
+    """
+    on = Window.partitionBy("document_id").orderBy("idx")
+    back = Window.partitionBy("document_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
+    before = on.rowsBetween(Window.unboundedPreceding, -1)
+    numbered = F.when(F.col("heading"), X.article_root("t"))
+    # of rows with an article, those of another one than the row with an article before: there a run of one article ends
+    turns = F.col("article").isNotNull() & (F.col("article") != F.last("article", ignorenulls=True).over(before))
+    rows = rows.withColumns({"turns": turns, "numbered": numbered.isNotNull() & (F.col("article").isNotNull() | F.col("part") | F.col("boundary")), "seen": F.count_if("boundary").over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    first = lambda c: F.min(F.when(c, F.col("idx"))).over(back)
+    rows = rows.withColumns({"next_part": first(F.col("part")), "next_turn": first(F.col("turns")), "next_numbered": first(F.col("numbered")), "last": F.max("idx").over(Window.partitionBy("document_id"))})
+    rows = rows.withColumn("stop", F.least("next_part", F.when(F.col("article").isNotNull(), F.col("next_turn")).otherwise(F.col("next_numbered"))))
+    upto = rows.select(F.col("document_id").alias("d"), F.col("idx").alias("i"), F.col("seen").alias("seen_at_end"))
+    met = rows.join(upto, (F.col("document_id") == F.col("d")) & (F.coalesce(F.col("stop") - 1, F.col("last")) == F.col("i")))
+    return met.drop("d", "i", "turns", "numbered", "next_part", "next_turn", "next_numbered")
+
+
 def outermost(spans: DataFrame, key: str) -> DataFrame:
     """Spans that no other of their key contains; of equal ones that of the highest priority.
 
@@ -92,16 +109,27 @@ def greedy_spans(spans: DataFrame, key: str) -> DataFrame:
 def overlaps(spans: DataFrame, key: str, name: str) -> DataFrame:
     """(key, outer, inner, contains): pairs of a key's spans that overlap; contains says that the first holds the second whole.
 
-    Spans meet in the blocks of positions that both reach, and count in the first
-    of those, so that a key with very many spans is split.
+    A span has the level of its length, a power of two, and lies in one or two
+    blocks of that size.  Two spans meet in the blocks of the longer one's level,
+    of which the shorter one reaches two at most too, and count in the block where
+    the overlap begins.  So a span has a few rows for each level that there is,
+    however long it is.  Spans that end before they start, or lack an end, overlap
+    with none.
     """
-    size = spans.agg(F.greatest(F.ceil(F.percentile_approx(F.col("end_index") - F.col("start_index"), F.lit(0.5))), F.lit(1)).cast("long").alias("_size"))
-    block = lambda c: F.floor(F.col(c) / F.col("_size")).cast("long")
-    rows = spans.crossJoin(F.broadcast(size)).select(key, F.col(name).alias("a"), F.col("start_index").alias("s"), F.col("end_index").alias("e"), F.explode(F.sequence(block("start_index"), block("end_index"))).alias("block"), "_size")
-    other = rows.select(F.col(key).alias("_k"), F.col("a").alias("b"), F.col("s").alias("_s"), F.col("e").alias("_e"), F.col("block").alias("_block"))
-    met = rows.join(other, (F.col(key) == F.col("_k")) & (F.col("block") == F.col("_block")) & (F.col("a") != F.col("b")) & (F.col("s") <= F.col("_e")) & (F.col("_s") <= F.col("e")))
-    first = F.floor(F.greatest("s", "_s") / F.col("_size")).cast("long") == F.col("block")
-    return met.where(first).select(key, F.col("a").alias("outer"), F.col("b").alias("inner"), ((F.col("s") <= F.col("_s")) & (F.col("e") >= F.col("_e"))).alias("contains"))
+    size = F.col("e") - F.col("s") + 1
+    level = F.length(F.regexp_replace(F.bin(size - 1), "^0$", ""))  # the least power of two that holds the span
+    rows = spans.select(key, F.col(name).alias("a"), F.col("start_index").cast("long").alias("s"), F.col("end_index").cast("long").alias("e")).where("e >= s").withColumn("level", level)
+    levels = sorted(r["level"] for r in rows.select("level").distinct().collect())  # 64 at most
+    blocks = lambda df: df.select("*", F.explode(F.array_distinct(F.array(F.expr("shiftright(s, at)"), F.expr("shiftright(e, at)")))).alias("block"))
+    long = blocks(rows.withColumn("at", F.col("level")))
+    short = blocks(rows.select("*", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda x: x >= F.col("level"))).alias("at")))
+    other = short.select(F.col(key).alias("_k"), F.col("a").alias("b"), F.col("s").alias("_s"), F.col("e").alias("_e"), F.col("level").alias("_level"), F.col("at").alias("_at"), F.col("block").alias("_block"))
+    once = ((F.col("level") > F.col("_level")) & (F.col("a") != F.col("b"))) | ((F.col("level") == F.col("_level")) & (F.col("a") < F.col("b")))
+    met = long.join(other, (F.col(key) == F.col("_k")) & (F.col("at") == F.col("_at")) & (F.col("block") == F.col("_block")) & once & (F.col("s") <= F.col("_e")) & (F.col("_s") <= F.col("e")))
+    met = met.where(F.expr("shiftright(greatest(s, _s), at)") == F.col("block"))
+    pair = lambda outer, inner, holds: F.struct(F.col(outer).alias("outer"), F.col(inner).alias("inner"), holds.alias("contains"))
+    whole = lambda s, e, s2, e2: (F.col(s) <= F.col(s2)) & (F.col(e) >= F.col(e2))
+    return met.select(key, F.inline(F.array(pair("a", "b", whole("s", "e", "_s", "_e")), pair("b", "a", whole("_s", "_e", "s", "e")))))
 
 
 def locate(evidence: DataFrame, unicode: bool = True) -> DataFrame:
