@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evidentia import schemas
 from evidentia.catalog import query, table
 from evidentia.functions import predicates as P
+from evidentia.functions import search
 from evidentia.functions import text as X
 from evidentia.operators import chunker, chunks, evidence, vector
 from evidentia.sources import files, plugins
@@ -98,28 +99,50 @@ d AS (SELECT q.vec_id AS query_id, b.vec_id AS id, round(list_distance(q.e, b.e)
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) WHERE rank <= 3 AND query_id % 200 <> 50)"""
 
 
-@query(f"""
+_RESULTS = f"""
 WITH {_HITS}, t AS (SELECT query_id, rank, '[Source ' || rank || ': file' || id % 7 || '; chunk ' || id || CASE WHEN id % 3 <> 0 THEN '; page ' || id % 9 ELSE '' END || ']' || CASE WHEN id % 2 = 0 THEN chr(10) || 'Headings: H' || id ELSE '' END || chr(10)
   || CASE WHEN id % 4 = 0 THEN 'Supporting context:' || chr(10) || 'near' || chr(10) || chr(10) || 'Passage:' || chr(10) || 'raw ' || id ELSE 'raw ' || id END AS s FROM hits)
-SELECT q.vec_id AS query_id, coalesce(string_agg(s, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank), 'No relevant information was found in the uploaded documents.') AS text FROM (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0) q LEFT JOIN t ON t.query_id = q.vec_id GROUP BY q.vec_id""")
-def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest chunks of queries as the search shows them; distances left out, as they differ in their last digits.
+SELECT q.vec_id AS query_id, coalesce(string_agg(s, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank), 'No relevant information was found in the uploaded documents.') AS text FROM (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0) q LEFT JOIN t ON t.query_id = q.vec_id GROUP BY q.vec_id"""
 
-    Every fourth query is a vector of another length, and so has no results.
-    """
-    base = table(spark, sf_dir, "embeddings")
+
+def _asked(base: DataFrame) -> DataFrame:
+    """Every fiftieth vector as a query; every fourth of them is a vector of another length, and so has no results."""
     asked = F.when(F.col("vec_id") % 200 == 50, F.slice("embedding", 1, 8)).otherwise(F.col("embedding"))
-    queries = base.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), asked.alias("query"))
-    hits = vector.top_k(base, queries, 3, "vec_id")
+    return base.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), asked.alias("query"))
+
+
+def _shown(base: DataFrame) -> DataFrame:
+    """Vectors as chunks."""
     i = F.col("vec_id")
-    rows = base.select(
+    return base.select(
         i.alias("chunk_id"), F.concat(F.lit("file"), i % 7).alias("filename"), F.lit("s").alias("source"), F.when(i % 3 != 0, i % 9).alias("page"), F.when(i % 2 == 0, F.concat(F.lit("H"), i)).alias("headings"),
         F.concat(F.lit(" raw "), i).alias("raw_text"), F.when(i % 4 == 0, "near ").otherwise(" ").alias("supporting_context"), F.lit("x").alias("page_content"),
     )
-    said = vector.answers(queries, vector.format_results(hits, rows))
+
+
+@query(_RESULTS)
+def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest chunks of queries as the search shows them; distances left out, as they differ in their last digits."""
+    base = table(spark, sf_dir, "embeddings")
+    queries = _asked(base)
+    said = vector.answers(queries, vector.format_results(vector.top_k(base, queries, 3, "vec_id"), _shown(base)))
     return said.withColumn("text", F.regexp_replace("text", "; distance [0-9.]+\\]", "]"))
 
 
+@query(_RESULTS)
+def search_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the table function, called from SQL over more hits than it shows."""
+    base = table(spark, sf_dir, "embeddings")
+    queries = _asked(base)
+    search.register(spark)
+    return spark.sql(
+        """
+        SELECT q.query_id, coalesce(regexp_replace(r.text, '; distance [0-9.]+[]]', ']'), {none}) AS text
+        FROM {queries} q LEFT JOIN search_results(TABLE(SELECT * FROM {hits} h JOIN {chunks} c ON h.id = c.chunk_id), 3) r ON r.query_id = q.query_id""",
+        queries=queries, hits=vector.top_k(base, queries, 5, "vec_id").drop("rank"), chunks=_shown(base), none=vector.NO_RESULTS,
+    )
+
+
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as parsed documents with texts, tables and pictures."""
     n = F.col("p_partkey")

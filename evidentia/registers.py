@@ -15,7 +15,8 @@ from evidentia.catalog import query, table
 from evidentia.functions import predicates as P
 from evidentia.operators import evidence as E
 from evidentia.operators import export, packaging, present, project, validate
-from evidentia.plans.lineage import cut
+from evidentia.plans.lineage import cut, scratch
+from evidentia.sources import store
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -484,3 +485,18 @@ def run_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In which of several runs the items were found."""
     runs = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("run"), F.concat_ws("/", "l_partkey", "l_suppkey").alias("item"))
     return project.stability(runs).withColumn("runs", F.array_join("runs", ","))
+
+
+@query("""
+WITH f AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders),
+u AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT f.o_custkey AS id, coalesce(u.o_orderkey, f.o_orderkey) AS o_orderkey, coalesce(u.o_orderpriority, f.o_orderpriority) AS o_orderpriority FROM f LEFT JOIN u ON u.o_custkey = f.o_custkey AND u.rn = 1 WHERE f.rn = 1""")
+def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyed store after four upserts: first orders of customers in two parts, one of them again, and their last urgent orders in place of those."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey", "o_orderpriority", "o_orderdate", (-F.col("o_orderkey")).alias("last"))
+    path, early = scratch(spark, "store"), F.col("o_orderdate") < "1995-01-01"
+    store.create(spark, path, rows.select("id", "o_orderkey", "o_orderpriority").schema, buckets=8)
+    for number, part in enumerate((rows.where(early), rows, rows.where(early))):
+        store.upsert(part, path, ["o_orderdate", "o_orderkey"], writer="orders", batch=min(number, 1))
+    store.upsert(rows.where("o_orderpriority = '1-URGENT'"), path, ["last"], replace=True)
+    return store.read(spark, path)

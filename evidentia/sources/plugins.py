@@ -11,14 +11,15 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidentia import schemas
 from evidentia.functions.predicates import is_rate_limit
 from evidentia.operators.validate import Extraction
-from evidentia.plans.lineage import cut
+from evidentia.plans.lineage import cut, scratch
 
 #: Texts in a call, tries, and the first pause in seconds, doubled every time.
 BATCH, TRIES, PAUSE = 100, 4, 1.5
@@ -95,27 +96,63 @@ def answer(call: Callable[[], dict | str], retries: int = RETRIES) -> dict:
     raise AssertionError("retries must not be negative")
 
 
-def extract(prompts: DataFrame, extractor: Callable[[str], dict | str]) -> Extraction:
-    """extractor(prompt) for each (project_section_key, prompt): a dict of four lists, or its JSON.
+#: Prompts whose answers are written together: what a stopped run may have to ask again, for each model.
+TOGETHER = 1000
+ANSWERS = "prompt_hash string, model string, answer string"
 
-    The answers are checkpointed before they are taken apart, so that all four
-    tables come from one call for each prompt.  Settings of a model, such as its
-    temperature, are the extractor's own.
-    """
-    from pyspark.sql.pandas.types import to_arrow_schema
 
-    parts = {"requirements": schemas.REQUIREMENT, "product_groups": schemas.PRODUCT_GROUP, "products": schemas.PRODUCT, "links": schemas.LINK}
-    own = {k: T.StructType([f for f in s.fields if f.name not in ("project_section_key", "ord")]) for k, s in parts.items()}
-    schema = T.StructType([T.StructField("project_section_key", T.StringType()), *(T.StructField(k, T.ArrayType(s)) for k, s in own.items())])
-    kinds = to_arrow_schema(schema)
+def _known(spark: SparkSession, path: str, model: str) -> DataFrame:
+    """(prompt_hash, answer) of a model in the table at path, one for each prompt."""
+    try:
+        there = spark.read.schema(ANSWERS).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # the first run makes the table
+            raise
+        there = spark.createDataFrame([], ANSWERS)
+    return there.where(F.col("model") == model).groupBy("prompt_hash").agg(F.min("answer").alias("answer"))
+
+
+def ask(prompts: DataFrame, extractor: Callable[[str], dict | str], answers: str, model: str, together: int = TOGETHER) -> int:
+    """Ask for the prompts whose answers by `model`, a name with its version, are not in the table at `answers`; gives how many.
+
+    Prompts are known by their content, so equal ones are asked once, under
+    whatever key, and in whatever run.  Answers are added to the table about
+    `together` prompts at a time: a run that was stopped goes on where it was.
+    """
+    spark = prompts.sparkSession
+    wanted = prompts.select(F.sha2("prompt", 256).alias("prompt_hash"), "prompt").where("prompt is not null").dropDuplicates(["prompt_hash"])
+    missing = cut(wanted.join(_known(spark, answers, model), "prompt_hash", "left_anti"))
+    count = missing.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
-                made = answer(lambda row=row: with_retries(lambda: extractor(row["prompt"])))
-                yield pa.RecordBatch.from_pylist([{"project_section_key": row["project_section_key"]} | {k: made.get(k) or [] for k in own}], schema=kinds)
+            for key, prompt in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                made = answer(lambda prompt=prompt: with_retries(lambda: extractor(prompt)))
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([model]), pa.array([json.dumps(made)])], ["prompt_hash", "model", "answer"])
 
-    return replay(cut(prompts.select("project_section_key", "prompt").mapInArrow(run, schema)))
+    groups = -(-count // together)
+    for g in range(groups):
+        part = missing.where(F.pmod(F.xxhash64("prompt_hash"), F.lit(groups)) == g)
+        part.mapInArrow(run, ANSWERS).write.mode("append").parquet(answers)
+    return count
+
+
+def extract(prompts: DataFrame, extractor: Callable[[str], dict | str], answers: str | None = None, model: str = "model") -> Extraction:
+    """extractor(prompt) for each (project_section_key, prompt): a dict of four lists, or its JSON.
+
+    The answers are stored before they are taken apart, so that all four tables
+    come from one call for each prompt: in the table at `answers` (see ask()),
+    which later runs use again, or in one of this run's own.  Settings of a model,
+    such as its temperature, are the extractor's own, and belong in its name.
+    """
+    spark = prompts.sparkSession
+    path = answers or scratch(spark, "answers")
+    ask(prompts, extractor, path, model)
+    parts = {"requirements": schemas.REQUIREMENT, "product_groups": schemas.PRODUCT_GROUP, "products": schemas.PRODUCT, "links": schemas.LINK}
+    kind = T.StructType([T.StructField(k, T.ArrayType(T.StructType([f for f in s.fields if f.name not in ("project_section_key", "ord")]))) for k, s in parts.items()])
+    met = prompts.select("project_section_key", F.sha2("prompt", 256).alias("prompt_hash")).join(_known(spark, path, model), "prompt_hash")
+    read = met.select("project_section_key", F.from_json("answer", kind).alias("x"))
+    return replay(read.select("project_section_key", *(F.coalesce(f"x.{k}", F.array()).alias(k) for k in parts)))
 
 
 def prompts(sections: DataFrame, region: DataFrame, candidates: DataFrame, system: str = "") -> DataFrame:

@@ -6,12 +6,12 @@ of the batch operators is kept over micro-batches.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from evidentia.functions import text as X
+from evidentia.sources import store
 
 
 def first_by_id(stream: DataFrame, time_col: str, delay: str = "1 hour", id_col: str = "id") -> DataFrame:
@@ -30,17 +30,13 @@ def status_counts(stream: DataFrame, time_col: str = "ts", window: str = "1 day"
     return stream.withWatermark(time_col, delay).groupBy(F.window(time_col, window), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-def append_new(stream: DataFrame, path: str, checkpoint: str, id_col: str = "id") -> StreamingQuery:
-    """Append rows whose id the table at `path` does not hold yet; a batch that is run again adds nothing."""
+def append_new(stream: DataFrame, path: str, checkpoint: str, writer: str, order: list[str] | None = None) -> StreamingQuery:
+    """Put rows whose key the store at `path` (sources.store) does not hold yet into it; a batch that is run again adds nothing.
+
+    `writer` names the stream: its batches are known to the store by that name.
+    """
 
     def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([id_col])
-        try:
-            fresh = fresh.join(spark.read.parquet(path).select(id_col), id_col, "left_anti")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":  # the first batch makes the table
-                raise
-        fresh.write.mode("append").parquet(path)
+        store.upsert(batch, path, order, writer=writer, batch=number)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -19,7 +19,7 @@ from evidentia import catalog, passages, registers, schemas, specs  # noqa: F401
 from evidentia.operators import chunks, export, grounding, packaging, present, project, validate, vector
 from evidentia.operators.sections import discover
 from evidentia.plans.register import run_sections, section_evidence
-from evidentia.sources import files, plugins
+from evidentia.sources import files, plugins, store
 from evidentia.streaming import drafts as streams
 
 DATA = Path("/root/testdata/sf0.001")
@@ -335,9 +335,11 @@ def test_streams(spark, tmp_path):
     source = tmp_path / "in"
     spark.createDataFrame([(1, "a\nb"), (1, "a\nb"), (2, "c")], "doc_id int, text string").write.parquet(str(source))
     stream = spark.readStream.schema("doc_id int, text string").parquet(str(source)).withColumn("id", F.col("doc_id"))
-    for _ in range(2):
-        streams.append_new(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    out = str(tmp_path / "out")
+    store.create(spark, out, stream.schema, buckets=4)
+    for state in ("state", "state", "other state"):  # once more, and from the start again
+        streams.append_new(stream, out, str(tmp_path / state), "drafts").awaitTermination(60)
+        assert sorted(r["doc_id"] for r in store.read(spark, out).collect()) == [1, 2] and store.current(spark, out).number == 1
     lines = streams.evidence_lines(stream).writeStream.format("memory").queryName("lines").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "l")).start()
     lines.awaitTermination(60)
     assert spark.table("lines").count() == 5
