@@ -3,7 +3,8 @@
 Ids come from the sentencepiece library.  Offsets come from the model's own
 normaliser, applied here: the longest prefix found in the compiled character map
 is replaced, and every normalised byte remembers the source byte it came from, so
-that each piece projects to a span of the original text.
+that each piece projects to a span of the original text.  A model without a map
+changes nothing but spaces: there the spans are a running sum of piece lengths.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import types as T
 from evidentia.llm.common import KEPT, by_size, serve, small_batches, texts_of
 
 SPACE = "▁"
-#: Words kept in a worker's cache.
-MAX_WORDS = 400_000
+#: Words kept in each of the two generations of a worker's cache, and characters from which on a word is not kept.
+MAX_WORDS, LONG_WORD = 300_000, 256
 
 
 class CharMap:
@@ -129,6 +130,7 @@ class Pieces:
         self.by_word = self.by_word and not any(p.type == kinds.USER_DEFINED or re.search(f"[^{SPACE}]{SPACE}", p.piece) for p in proto.pieces)
         self.most = most
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def _units(self, text: str) -> list[str] | None:
         """Parts that are encoded one by one, each without its leading space; None if the text must be encoded whole."""
@@ -136,20 +138,25 @@ class Pieces:
             return None
         return text.split(" ") if "  " not in text and text[0] != " " and text[-1] != " " else [x[1:] for x in re.findall(" +[^ ]*", f" {text}")]
 
+    def _known(self, needed: set[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of units; those of under LONG_WORD characters are kept, in two generations of `most` each."""
+        found = {u: self.cache[u] for u in needed & self.cache.keys()}
+        again = {u: self.older[u] for u in (needed - found.keys()) & self.older.keys()}
+        order, same = list(needed - found.keys() - again.keys()), self.ints.__getitem__
+        for unit, ids in zip(order, self.library.encode(order, num_threads=1) if order else (), strict=True):
+            # an empty unit is one space
+            again[unit] = tuple(map(same, ids)) if unit else (self.library.piece_to_id(SPACE),)
+        for unit, ids in again.items():
+            if len(unit) < LONG_WORD:
+                if len(self.cache) >= self.most:
+                    self.cache, self.older = {}, self.cache
+                self.cache[unit] = ids
+        return found | again
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text as the library's encode() gives them, and the end id."""
         split = [self._units(t) for t in texts]
-        needed = set().union(*(u for u in split if u))
-        missing = needed - self.cache.keys()
-        if len(self.cache) + len(missing) > self.most:
-            self.cache.clear()
-            missing = needed
-        if missing:
-            order, same = list(missing), self.ints.__getitem__
-            for unit, ids in zip(order, self.library.encode(order, num_threads=1), strict=True):
-                # an empty unit is one space
-                self.cache[unit] = tuple(map(same, ids)) if unit else (self.library.piece_to_id(SPACE),)
-        found = self.cache.__getitem__
+        found = self._known(set().union(*(u for u in split if u))).__getitem__
         whole = iter(self.library.encode([t for t, u in zip(texts, split, strict=True) if u is None], num_threads=1))
         return [[*(next(whole) if u is None else chain.from_iterable(map(found, u))), self.end] for u in split]
 

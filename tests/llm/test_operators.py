@@ -132,9 +132,34 @@ def test_wrapped_and_embedded_notices(want, text):
         found = model.closest(whole)
         assert (model.templates[found[1]][0] if found else None) == want
     if want:
-        flat = licenses.words(around)
-        brute = max(c[0] for k in set(model.size) for i in range(len(flat) - k + 1) if (c := model.best(" ".join(flat[i : i + k]))))
-        assert model.closest(around)[0] >= brute - 1e-9
+        assert model.closest(around)[0] >= brute_licence(around, model)[0] - 1e-9
+
+
+@pytest.mark.parametrize(
+    "want, text",
+    [
+        ("CC-BY-NC-SA-4.0", "This text is licensed under CC BY-NC-SA 4.0."), ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), (None, "Licensed under CC BY-NC 3.0."),
+        (None, "This work is licensed under the GNU GPL, version 4."), (None, "This work is licensed under the GNU General Public License, version 4."), (None, "This work is licensed under the GNU General Public License."), ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+        ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS"), ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007"), ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991"),
+        ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"), ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"), ("BSD-2-Clause", "// SPDX-License-Identifier: BSD-2-Clause"), ("MIT OR Apache-2.0", "# SPDX-License-Identifier: MIT OR Apache-2.0"),
+        ("GPL-2.0 AND BSD-3-Clause", "/* SPDX-License-Identifier: (GPL-2.0-only AND BSD-3-Clause) */"), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"), (None, "SPDX-License-Identifier: GPL-4.0"), ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ],
+)
+def test_variants_and_versions_of_licences(want, text):
+    model = licenses.Model({w: 900 for w in ("the", "of", "and", "to")}, 1000)
+    for whole in (text, prose(53, 40) + "\n" + text + "\n" + prose(54, 40)):
+        found = model.closest(whole)
+        assert (model.name(found[1], whole, found[2]) if found else None) == want
+
+
+def test_texts_of_nothing_but_template_words_take_no_longer():
+    model = licenses.Model({w: 900 for w in ("the", "of", "and", "to")}, 1000)
+    vocabulary, r = sorted(licenses.VOCABULARY), np.random.default_rng(1)
+    for between in (" ", "\n"):
+        text = between.join(vocabulary[i] for i in r.integers(0, len(vocabulary), 150_000))
+        began = time.perf_counter()
+        model.closest(text)
+        assert time.perf_counter() - began < 2 * len(text) / 1e6 + 8  # with room for a busy machine
 
 
 def test_made_up_path_knows_every_template(spark):
@@ -144,7 +169,7 @@ def test_made_up_path_knows_every_template(spark):
 
 
 def brute_licence(text, model):
-    """The best cosine over the whole text, its lines, and all runs of words or lines, and the licences that have it."""
+    """The best cosine over the whole text, its lines, and all runs of words that have the template's variant and version, and the licences that have it."""
     def cosine(words, template):
         counts = Counter(words)
         own = {w: n * model.weight.get(w, model.other) for w, n in counts.items()}
@@ -154,16 +179,17 @@ def brute_licence(text, model):
 
     lines = [licenses.words(line) for line in text.split("\n")]
     flat = [w for line in lines for w in line]
+    said = {i: w.removesuffix(".0") for i, w in enumerate(flat) if i and flat[i - 1] in licenses.VERSION_OF and re.fullmatch(r"\d+(\.\d+)*", w)}
     ends = np.cumsum([len(x) for x in lines]).tolist()
     found = []
     for (name, t), size in zip(licenses.TEMPLATES, model.size, strict=True):
         t = licenses.words(t)
-        runs = [flat, *lines, *(flat[i : i + size] for i in range(len(flat) - size + 1))]
-        for b in {0, *ends}:
-            reach = [e for e in ends if e >= b + size]
-            runs += [flat[b : reach[0]]] if reach else []
-            runs += [flat[b : max([e for e in ends if e < b + size], default=b)]]
-        found += [(round(c, 9), name) for c in (cosine(r, t) for r in runs if r) if c >= model.least]
+        named = {w.removesuffix(".0") for before, w in zip(t, t[1:], strict=False) if before in licenses.VERSION_OF and re.fullmatch(r"\d+(\.\d+)*", w)}
+        family = set().union(*(f for w, f in licenses.FAMILIES.items() if w in t))
+        runs = {(0, len(flat)), *zip([0, *ends], ends, strict=False), *((i, i + size) for i in range(len(flat) - size + 1))}
+        for a, b in runs:
+            if a < b and (c := cosine(flat[a:b], t)) >= model.least - 1e-9 and family & set(flat[a:b]) == family & set(t) and (not named or {v for i, v in said.items() if a <= i < b + licenses.AFTER} == named):
+                found.append((round(c, 9), name))
     top = max((c for c, _ in found), default=None)
     return top, {n for c, n in found if c == top}
 
@@ -206,7 +232,7 @@ def test_licence_pruning_is_exact():
     for text in ("the of and to the of and", "Released under the MIT License", "the terms of the", ""):
         full = licenses.Model({w: 900 for w in ("the", "of", "and", "to")}, 1000)
         full.telling = licenses.VOCABULARY
-        assert model.best(text) == (full.best(text) if licenses.words(text) else None)
+        assert model.closest(text) == (full.closest(text) if licenses.words(text) else None)
 
 
 # --- 3
@@ -644,6 +670,19 @@ def test_sentencepiece_spans_are_the_librarys():
                 assert (p.begin, p.end) == (a, b)
 
 
+def test_sentencepiece_cache_is_bounded_and_turns_over():
+    own = spm.Pieces(PIECES, most=40)
+    texts = [prose(s, 60) for s in range(8)] + ["字" * 5000, "a" * 300 + " b " + "日本語" * 90, "a  b ", " ", ""]
+    for part in (texts, texts[::-1], texts[3:] + texts[:3]):
+        for at in range(0, len(part), 3):
+            assert own.encode(part[at : at + 3]) == [[*own.library.encode(t), own.end] for t in part[at : at + 3]]
+            assert len(own.cache) <= 40 and len(own.older) <= 40 and max(map(len, [*own.cache, *own.older])) < spm.LONG_WORD
+    assert own.older  # it has turned over
+    kept = next(iter(own.older))
+    own.encode([kept])
+    assert kept in own.cache  # what is asked for again stays
+
+
 def test_character_map_is_the_librarys():
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2
