@@ -61,7 +61,7 @@ def extraction(spark: SparkSession, sf_dir: str) -> validate.Extraction:
         ),
         of(
             rows, schemas.LINK, id=F.concat(F.lit("l"), "m"), requirement_id=F.when(n % 13 == 0, "r99").otherwise(F.concat(F.lit("r"), n * 4 % 40)), product_id=F.concat(F.lit("p"), n * 3 % 40), mapping_method=pick(n % 3, *map(F.lit, schemas.MAPPING_METHODS)), evidence_ids=F.array("e"),
-            source_phrase=F.when(n % 4 == 1, "of").when(n % 4 == 2, "no such phrase").when(n % 4 == 3, ""), confidence=F.when(n % 5 != 0, 0.75), review_required=F.when(n % 7 != 0, n % 2 == 0),
+            source_phrase=F.when(n % 4 == 1, "of").when(n % 4 == 2, "no such phrase").when(n % 4 == 3, ""), confidence=F.when(n % 7 != 3, 0.75), review_required=F.when(n % 7 != 0, n % 2 == 0),
         ),
     )
 
@@ -116,7 +116,7 @@ g0 AS (SELECT k, n, 'g' || m // 10 AS id, ['e' || n] AS ids, CASE WHEN n % 20 =
 p0 AS (SELECT k, n, 'p' || m AS id, ['e' || n] AS ids, CASE WHEN n % 9 = 0 THEN nm || ' (indoor use)' WHEN n % 9 = 3 THEN nm || ' (nuclear grade)' WHEN n % 9 < 3 THEN 'zzz gadget' ELSE nm END AS name, CASE n % 9 WHEN 1 THEN 'yyy' WHEN 3 THEN 'zzz gadget' WHEN 0 THEN 'zzz gadget' ELSE upper(nm) END AS normal,
   CASE n % 5 WHEN 0 THEN 'g' || m // 10 WHEN 1 THEN 'g9' WHEN 2 THEN '' END AS gid FROM pt WHERE n % 4 <> 0),
 l0 AS (SELECT k, n, 'l' || m AS id, ['e' || n] AS ids, CASE WHEN n % 13 = 0 THEN 'r99' ELSE 'r' || n * 4 % 40 END AS rid, 'p' || n * 3 % 40 AS pid, ['explicit', 'normalized', 'inferred'][n % 3 + 1] AS method, CASE n % 4 WHEN 1 THEN 'of' WHEN 2 THEN 'no such phrase' WHEN 3 THEN '' END AS phrase,
-  CASE WHEN n % 5 <> 0 THEN 0.75 END::DOUBLE AS conf, CASE WHEN n % 7 <> 0 THEN n % 2 = 0 END AS rev FROM pt),
+  CASE WHEN n % 7 <> 3 THEN 0.75 END::DOUBLE AS conf, CASE WHEN n % 7 <> 0 THEN n % 2 = 0 END AS rev FROM pt),
 {_cited("r", "r0")}, {_cited("g", "g0")}, {_cited("p", "p0")}, {_cited("l", "l0")},
 gk AS (SELECT *, {_holds("blob", _key("name"))} AS ok FROM g_k), gs AS (SELECT * FROM gk WHERE ok),
 pk AS (SELECT *, CASE WHEN {_holds("blob", _key("name"))} THEN 'name' WHEN {_holds("blob", _key("normal"))} THEN 'normalized_name' WHEN {_falls("name")} OR {_falls("normal")} THEN 'core_fallback' ELSE 'unsupported' END AS mode FROM p_k),

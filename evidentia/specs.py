@@ -137,6 +137,23 @@ def sections_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "document_id", "section_number", "title", "detection_method", "start_index", "end_index", "start_page", "end_page", "start_evidence_id", "end_evidence_id", joined("evidence_ids", ","), joined("heading_evidence_ids", ","), joined("warnings", "|"))
 
 
+@query("""
+WITH r AS (SELECT c_custkey AS n, c_custkey // 30 AS d, c_custkey % 10 AS m FROM customer),
+v AS (SELECT d, n, (n % 40 + 1)::VARCHAR AS number, CASE n // 10 % 3 WHEN 1 THEN 'WORK OF ' || n WHEN 2 THEN 'Pipes' END AS title FROM r WHERE n % 20 = 10),
+x AS (SELECT r.d, r.n, max(v.n) AS at FROM r LEFT JOIN v ON v.d = r.d AND v.n < r.n WHERE m IN (2, 6) GROUP BY ALL)
+SELECT 'd' || x.d AS document_id, (15000 + x.n % 900)::VARCHAR AS section_number, v.number AS division_number, v.title AS division_title FROM x LEFT JOIN v ON v.d = x.d AND v.n = x.at""")
+def sections_divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The division in force where a section opens; customers stand for lines."""
+    n, m = F.col("c_custkey"), F.col("c_custkey") % 10
+    tail = F.when(F.floor(n / 10) % 3 == 1, F.concat(F.lit(" - WORK OF "), n)).when(F.floor(n / 10) % 3 == 2, ": Pipes").otherwise("")
+    said = F.when(n % 20 == 10, F.concat(F.lit("DIVISION "), n % 40 + 1, tail)).when(m.isin(2, 6), F.concat(F.lit("SECTION "), 15000 + n % 900, F.lit(" - DUCTS"))).when(m.isin(3, 7), "PART 1 GENERAL").otherwise("plain text, of no kind.")
+    rows = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("d"), F.floor(n / 30)).alias("document_id"), F.concat(F.lit("e"), n).alias("id"), n.alias("pos"), said.alias("raw_text"),
+        F.when(said.startswith("plain"), "other").otherwise("heading").alias("evidence_kind"), F.lit(1).alias("page_number"),
+    )
+    return sections.discover(rows).select("document_id", "section_number", "division_number", "division_title")
+
+
 @query(f"""
 WITH {_SECTIONS},
 n AS (SELECT d, id, count(*) AS times FROM (SELECT d, unnest(string_split(ids, ',')) AS id FROM sections) GROUP BY ALL),
