@@ -71,20 +71,27 @@ def _unique(rows: DataFrame, entity: str, log: _Log) -> DataFrame:
     return ranked.where("id is null or _rn = 1").drop("_rn")
 
 
-def _cite(rows: DataFrame, evidence: DataFrame, entity: str, phase: int, log: _Log, unicode: bool) -> DataFrame:
-    """rows with evidence_ids known and unique, blob_key and clauses of what they cite; rows that cite nothing known go."""
-    cited = rows.select(KEY, "ord", "id", F.posexplode("evidence_ids").alias("item", "_eid"))
+def _cite(tables: list[DataFrame], evidence: DataFrame, log: _Log, unicode: bool) -> list[DataFrame]:
+    """The four tables with evidence_ids known and unique, blob_key and clauses of what they cite; rows that cite nothing known go.
+
+    What all of them cite is joined with the evidence in one go.
+    """
+    each = _union([rows.select(KEY, F.lit(entity).alias("entity"), "ord", "id", F.posexplode("evidence_ids").alias("item", "_eid")) for rows, entity in zip(tables, ENTITIES, strict=True)])
     known = evidence.select(F.col(KEY).alias("_k"), F.col("id").alias("_e"), "raw_text", "heading_path", "source_clause")
-    met = cut(cited.join(known, (F.col(KEY) == F.col("_k")) & (F.col("_eid") == F.col("_e")), "left"))
-    log.issue(met.where("_e is null"), "error", entity, "unknown_evidence_id", F.concat(F.lit("Unknown evidence ID '"), F.col("_eid"), F.lit("' stripped.")), phase, 0, F.array("_eid"), F.col("item"))
+    met = cut(each.join(known, (F.col(KEY) == F.col("_k")) & (F.col("_eid") == F.col("_e")), "left"))
     lines = F.array_join(F.concat(F.array(F.coalesce("raw_text", F.lit(""))), F.coalesce("heading_path", F.array().cast("array<string>")), F.when(F.coalesce("source_clause", F.lit("")) != "", F.array("source_clause")).otherwise(F.array().cast("array<string>"))), "\n")
-    first = met.where("_e is not null").groupBy(KEY, "ord", "_eid").agg(F.min("item").alias("item"), F.first(lines).alias("said"), F.first("source_clause").alias("clause"))
-    held = first.groupBy(KEY, "ord").agg(F.array_sort(F.collect_list(F.struct("item", "_eid", "said", "clause"))).alias("x"))
-    got = held.select(KEY, "ord", F.transform("x", lambda c: c["_eid"]).alias("kept"), F.array_join(F.transform("x", lambda c: c["said"]), "\n").alias("blob"), F.filter(F.transform("x", lambda c: c["clause"]), lambda c: c.isNotNull()).alias("clauses"))
-    joined = cut(rows.join(got, [KEY, "ord"], "left").withColumn("blob_key", X.match_key("blob", unicode)))
-    shown = {"requirement": "Requirement", "product_group": "ProductGroup", "product": "Product", "link": "Link"}[entity]
-    log.reject(joined.where("kept is null"), entity, "no_valid_evidence", f"{shown} rejected: no valid evidence IDs remain.", phase, 1)
-    return joined.where("kept is not null").withColumn("evidence_ids", F.col("kept")).drop("kept", "blob")
+    first = met.where("_e is not null").groupBy(KEY, "entity", "ord", "_eid").agg(F.min("item").alias("item"), F.first(lines).alias("said"), F.first("source_clause").alias("clause"))
+    held = first.groupBy(KEY, "entity", "ord").agg(F.array_sort(F.collect_list(F.struct("item", "_eid", "said", "clause"))).alias("x"))
+    got = held.select(KEY, "entity", "ord", F.transform("x", lambda c: c["_eid"]).alias("kept"), F.array_join(F.transform("x", lambda c: c["said"]), "\n").alias("blob"), F.filter(F.transform("x", lambda c: c["clause"]), lambda c: c.isNotNull()).alias("clauses"))
+    got = cut(got.withColumn("blob_key", X.match_key("blob", unicode)).drop("blob"))
+    out = []
+    for rows, entity, phase in zip(tables, ENTITIES, (1, 2, 3, 5), strict=True):
+        log.issue(met.where((F.col("entity") == entity) & F.col("_e").isNull()), "error", entity, "unknown_evidence_id", F.concat(F.lit("Unknown evidence ID '"), F.col("_eid"), F.lit("' stripped.")), phase, 0, F.array("_eid"), F.col("item"))
+        joined = rows.join(got.where(F.col("entity") == entity).drop("entity"), [KEY, "ord"], "left")
+        shown = {"requirement": "Requirement", "product_group": "ProductGroup", "product": "Product", "link": "Link"}[entity]
+        log.reject(joined.where("kept is null"), entity, "no_valid_evidence", f"{shown} rejected: no valid evidence IDs remain.", phase, 1)
+        out.append(joined.where("kept is not null").withColumn("evidence_ids", F.col("kept")).drop("kept"))
+    return out
 
 
 def _quoted(before: str, name: str, after: str) -> Column:
@@ -137,17 +144,12 @@ def _links(rows: DataFrame, requirements: DataFrame, products: DataFrame, log: _
     req = requirements.select(F.col(KEY).alias("_rk"), F.col("id").alias("_r"), F.col("blob_key").alias("req_key"))
     prod = products.select(F.col(KEY).alias("_pk"), F.col("id").alias("_p"), F.col("blob_key").alias("prod_key"), F.col("name").alias("_name"), F.col("normalized_name").alias("_normal"))
     met = rows.join(req, (F.col(KEY) == F.col("_rk")) & (F.col("requirement_id") == F.col("_r")), "left").join(prod, (F.col(KEY) == F.col("_pk")) & (F.col("product_id") == F.col("_p")), "left")
-    met = cut(met)
-    log.reject(met.where("_r is null"), "link", "dangling_requirement_id", _quoted("Link rejected: requirement_id '", "requirement_id", "' does not exist in surviving requirements."), 5, 2)
-    log.reject(met.where("_r is not null and _p is null"), "link", "dangling_product_id", _quoted("Link rejected: product_id '", "product_id", "' does not exist in surviving products."), 5, 3)
-    met = met.where("_r is not null and _p is not null")
     met = met.withColumns({"_phrase": X.match_key("source_phrase", unicode), "_n": X.match_key("_name", unicode), "_nn": X.match_key("_normal", unicode), "_has": F.coalesce("source_phrase", F.lit("")) != ""})
     within = lambda key: P.contains_key(F.col(key), F.col("_phrase")) & F.col("_has")
     any_in = lambda key: within(key) | P.contains_key(F.col(key), F.col("_n")) | P.contains_key(F.col(key), F.col("_nn"))
     # requirements and products have been through their own checks, so a product's name has support
     met = met.withColumns({"p_req": within("req_key"), "p_link": within("blob_key"), "a_req": any_in("req_key"), "a_prod": any_in("prod_key"), "a_link": any_in("blob_key")})
     ids = F.col("evidence_ids")
-    log.issue(met.where("_has and not p_link and not p_req"), "warning", "link", "unsupported_source_phrase", _quoted("source_phrase '", "source_phrase", "' not found in cited link/requirement evidence."), 5, 4, ids)
     method = F.col("mapping_method")
     explicit_ok = F.when(F.col("_has"), F.col("p_req")).otherwise(F.col("a_req"))
     fate = (
@@ -156,6 +158,10 @@ def _links(rows: DataFrame, requirements: DataFrame, products: DataFrame, log: _
         .otherwise("keep")
     )
     met = cut(met.withColumn("fate", fate))
+    log.reject(met.where("_r is null"), "link", "dangling_requirement_id", _quoted("Link rejected: requirement_id '", "requirement_id", "' does not exist in surviving requirements."), 5, 2)
+    log.reject(met.where("_r is not null and _p is null"), "link", "dangling_product_id", _quoted("Link rejected: product_id '", "product_id", "' does not exist in surviving products."), 5, 3)
+    met = met.where("_r is not null and _p is not null")
+    log.issue(met.where("_has and not p_link and not p_req"), "warning", "link", "unsupported_source_phrase", _quoted("source_phrase '", "source_phrase", "' not found in cited link/requirement evidence."), 5, 4, ids)
     explicit = met.where("fate = 'downgrade' and mapping_method = 'explicit'")
     normal = met.where("fate = 'downgrade' and mapping_method = 'normalized'")
     log.issue(explicit, "warning", "link", "mapping_downgraded", "explicit unsupported; downgraded to inferred with review_required=True.", 5, 5, ids)
@@ -182,12 +188,11 @@ def validate(found: Extraction, evidence: DataFrame, unicode: bool = True) -> Va
     """The entities that stand, and the report; evidence has project_section_key and the columns of schemas.EVIDENCE."""
     log = _Log()
     columns = [df.columns for df in found]
-    unique = [_unique(df, name, log) for df, name in zip(found, ENTITIES, strict=True)]
-    requirements = _cite(unique[0], evidence, "requirement", 1, log, unicode)
-    groups = _groups(_cite(unique[1], evidence, "product_group", 2, log, unicode), log, unicode)
-    products = _products(_cite(unique[2], evidence, "product", 3, log, unicode), groups, log, unicode)
-    requirements, refs, conditions = _requirements(requirements, log, unicode)
-    links, downgrades = _links(_cite(unique[3], evidence, "link", 5, log, unicode), requirements, products, log, unicode)
+    requirements, groups, products, links = _cite([_unique(df, name, log) for df, name in zip(found, ENTITIES, strict=True)], evidence, log, unicode)
+    groups = _groups(groups, log, unicode)
+    products = _products(products, groups, log, unicode)
+    requirements, refs, conditions = _requirements(cut(requirements), log, unicode)
+    links, downgrades = _links(links, requirements, products, log, unicode)
     kept = Extraction(*(df.select(*c) for df, c in zip((requirements, groups, products, links), columns, strict=True)))
     kept = Extraction(*map(cut, kept))
     return Validated(kept, cut(_union(log.issues)), cut(_union(log.rejected)), downgrades, refs, conditions)
