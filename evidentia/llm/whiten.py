@@ -1,9 +1,10 @@
 """Whitening of embeddings from column aggregates.
 
-One aggregation sums the centred products of every pair of dimensions; the
-covariance matrix that they make is decomposed by LAPACK on the driver, and the
-vectors are projected by array functions.  Components are integers in fixed point,
-so that sums are the same in any order.
+One aggregation sums the centred products of every pair of dimensions: a column for
+each pair within two blocks of them, a group for each two blocks.  The covariance
+matrix that they make is decomposed by LAPACK on the driver, and the vectors are
+projected by array functions.  Entries are integers in fixed point, so that sums
+are the same in any order.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from evidentia.llm.common import stored
 SCALE, SHIFT = 1024, 100_000
 #: Fixed-point values are held within this, where doubles are exact integers.
 MOST = 1 << 52
-#: Dimensions of which all pairs are summed side by side; wider vectors are cut into blocks.
-BLOCK = 64
+#: Dimensions in a block: the products of two blocks are sums side by side, few enough for Spark to compile them into one loop.
+BLOCK = 8
 LONG = 1 << 63
 EXACT = "decimal(38,0)"
 
@@ -64,10 +65,6 @@ def moments(vectors: DataFrame) -> dict[int, list]:
     return out
 
 
-def _summed(x: list[Column], y: list[Column], pairs: list[tuple[int, int]]) -> list[Column]:
-    return [F.sum(x[i] * y[j]).alias(f"p{k}") for k, (i, j) in enumerate(pairs)]
-
-
 def covariance(vectors: DataFrame, known: list) -> np.ndarray:
     """The covariance matrix, divisor n, of the fixed-point vectors; known: their moments.
 
@@ -82,25 +79,19 @@ def covariance(vectors: DataFrame, known: list) -> np.ndarray:
     exact = spread * spread * n < LONG
     middle = [F.lit(m) for m in near] if exact else [F.lit(s / n) for s in sums]
     centred = [fixed(F.get("v", F.lit(i))) - m for i, m in enumerate(middle)]
+    # a row per vector and pair of blocks on or above the diagonal, summed where it arises; the last block is filled up with zeros
+    starts = range(0, d, BLOCK)
+    zero = F.lit(0).cast("long" if exact else "double")
+    blocks = F.array(*(F.array(*(centred[i] if i < d else zero for i in range(a, a + BLOCK))) for a in starts))
+    upper = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(len(starts)) for b in range(a, len(starts))))
+    each = vectors.select(blocks.alias("b")).select("b", F.explode(upper).alias("at")).select("at", F.get("b", F.col("at.a")).alias("x"), F.get("b", F.col("at.b")).alias("y"))
+    pairs = [(i, j) for i in range(BLOCK) for j in range(BLOCK)]
+    cells = each.select("at", *(F.get(c, F.lit(i)).alias(f"{c}{i}") for c in "xy" for i in range(BLOCK)))
+    sums_of = [F.sum(F.col(f"x{i}") * F.col(f"y{j}")).alias(f"p{k}") for k, (i, j) in enumerate(pairs)]
     made: dict[tuple[int, int], int | float] = {}
-    if d <= BLOCK:
-        pairs = [(i, j) for i in range(d) for j in range(i, d)]
-        columns = [F.col(f"c{i}") for i in range(d)]
-        row = vectors.select(*(c.alias(f"c{i}") for i, c in enumerate(centred))).agg(*_summed(columns, columns, pairs)).first()
-        made = {p: row[k] for k, p in enumerate(pairs)}
-    else:
-        # a row per pair of blocks and vector, summed where it arises; the last block is filled up with zeros
-        width = BLOCK // 2
-        starts = range(0, d, width)
-        block = lambda a: F.array(*(centred[i] if i < d else F.lit(0).cast("long" if exact else "double") for i in range(a, a + width)))
-        cut = vectors.select(F.array(*(block(a) for a in starts)).alias("b")).select("b", F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(len(starts)) for b in range(a, len(starts))))).alias("at"))
-        cut = cut.select("at", F.get("b", F.col("at.a")).alias("x"), F.get("b", F.col("at.b")).alias("y"))
-        pairs = [(i, j) for i in range(width) for j in range(width)]
-        cells = cut.select("at", *(F.get(v, F.lit(i)).alias(f"{v}{i}") for v in "xy" for i in range(width)))
-        x, y = ([F.col(f"{v}{i}") for i in range(width)] for v in "xy")
-        for row in cells.groupBy("at").agg(*_summed(x, y, pairs)).collect():  # d * d numbers in all
-            a, b = (starts[k] for k in row["at"])
-            made |= {(a + i, b + j): row[f"p{k}"] for k, (i, j) in enumerate(pairs) if max(a + i, b + j) < d}
+    for row in cells.groupBy("at").agg(*sums_of).collect():  # d * d numbers in all
+        a, b = (starts[k] for k in row["at"])
+        made |= {(a + i, b + j): row[f"p{k}"] for k, (i, j) in enumerate(pairs) if a + i < d and b + j < d}
     v = np.empty((d, d))
     for (i, j), p in made.items():
         off_i, off_j = (sums[k] - n * near[k] for k in (i, j))
