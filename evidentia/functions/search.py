@@ -72,4 +72,4 @@ class SearchResults:
 
 def register(spark: SparkSession, name: str = "search_results") -> None:
     """Make the table function known to the session's SQL."""
-    spark.udtf.register(name, SearchResults)
+    spark.udtf.register(name, SearchResults.asDeterministic())

@@ -157,12 +157,15 @@ def sections_divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {_SECTIONS},
 n AS (SELECT d, id, count(*) AS times FROM (SELECT d, unnest(string_split(ids, ',')) AS id FROM sections) GROUP BY ALL),
-s AS (SELECT sections.d, min(ev.pos) AS first_pos FROM (SELECT d, arg_min(start_id, start_index) AS id FROM sections GROUP BY d) sections JOIN ev ON ev.d = sections.d AND ev.id = sections.id GROUP BY ALL)
-SELECT ev.d AS document_id, count(*) AS total_evidence, count(DISTINCT CASE WHEN times > 0 THEN ev.id END) AS assigned_evidence, count(CASE WHEN ev.pos < first_pos THEN 1 END) AS evidence_before_first_section, count(CASE WHEN times IS NULL THEN 1 END) AS evidence_unassigned
-FROM ev LEFT JOIN n ON n.d = ev.d AND n.id = ev.id LEFT JOIN s ON s.d = ev.d GROUP BY ev.d""")
+s AS (SELECT sections.d, min(ev.pos) AS first_pos FROM (SELECT d, arg_min(start_id, start_index) AS id FROM sections GROUP BY d) sections JOIN ev ON ev.d = sections.d AND ev.id = sections.id GROUP BY ALL),
+t AS (SELECT d, string_agg(id, ',' ORDER BY pos) AS ids FROM (SELECT n.d, n.id, min(ev.pos) AS pos FROM n JOIN ev ON ev.d = n.d AND ev.id = n.id WHERE times > 1 GROUP BY ALL) GROUP BY d)
+SELECT ev.d AS document_id, count(*) AS total_evidence, count(DISTINCT CASE WHEN times > 0 THEN ev.id END) AS assigned_evidence, count(CASE WHEN ev.pos < first_pos THEN 1 END) AS evidence_before_first_section, count(CASE WHEN times IS NULL THEN 1 END) AS evidence_unassigned,
+  coalesce(string_agg(CASE WHEN times IS NULL THEN ev.id END, ',' ORDER BY ev.pos), '') AS unassigned_evidence_ids, coalesce(any_value(t.ids), '') AS duplicate_assignment_ids
+FROM ev LEFT JOIN n ON n.d = ev.d AND n.id = ev.id LEFT JOIN s ON s.d = ev.d LEFT JOIN t ON t.d = ev.d GROUP BY ev.d""")
 def sections_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of each document its sections cover."""
-    return sections.coverage(*_sections(spark, sf_dir)).drop("unassigned_evidence_ids", "duplicate_assignment_ids")
+    """How much of each document its sections cover, and which evidence none or more than one has."""
+    found = sections.coverage(*_sections(spark, sf_dir))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("unassigned_evidence_ids", "duplicate_assignment_ids")})
 
 
 _REGIONS = f"""{_EV},

@@ -7,6 +7,8 @@ import math
 import numpy as np
 import pytest
 
+from evidentia import schemas
+from evidentia.functions import search
 from evidentia.operators import index, vector
 
 NAN, INF = float("nan"), float("inf")
@@ -121,3 +123,23 @@ def test_index_ignores_a_batch_that_was_not_finished(spark, tmp_path):
         index.add(made, frame(base), "a/b")
     with pytest.raises(ValueError, match="no vectors"):
         index.create(frame([(1, None)]), f"{tmp_path}/j")
+
+
+def test_search_is_a_table_function(spark):
+    base = [(i, [float(i % 5), 1.0, 0.5 * i]) for i in range(20)]
+    shown = [(f"body {i}", None if i % 3 == 0 else f"f{i}.pdf", f"s{i}", "", i, f" raw {i} " if i % 4 else " ", "near" if i % 2 else None, "H" if i % 5 else "", "", False, "", i if i % 7 else None) for i in range(20)]
+    chunk = spark.createDataFrame(shown, schemas.CHUNK)
+    b = spark.createDataFrame(base, "id int, embedding array<double>")
+    queries = spark.createDataFrame([(q, base[q][1]) for q in (3, 7, 11)] + [(99, [1.0])], "query_id int, query array<double>")
+    hits = vector.top_k(b, queries, 6)
+    search.register(spark)
+    joined = hits.drop("rank").join(chunk, hits["id"] == chunk["chunk_id"])
+    got = spark.sql("SELECT * FROM search_results(TABLE({hits}), 4)", hits=joined).collect()
+    want = vector.format_results(hits.where("rank <= 4"), chunk).collect()
+    assert {(r["query_id"], r["n_results"], r["text"]) for r in got} == {(r["query_id"], 4, r["text"]) for r in want} and len(got) == 3
+    assert {r["n_results"] for r in spark.sql("SELECT * FROM search_results(TABLE({hits}))", hits=joined).collect()} == {6}
+    lateral = spark.sql("SELECT q.query_id, r.n_results FROM {q} q, LATERAL (SELECT n_results FROM search_results(TABLE({hits}), 2) s WHERE s.query_id = q.query_id) r", q=queries, hits=joined)
+    assert sorted(map(tuple, lateral.collect())) == [(3, 2), (7, 2), (11, 2)]
+    for call, why in (("TABLE({hits}), 0", "constant of 1"), ("TABLE(SELECT 1 AS query_id)", "lacks columns"), ("5", "takes a table")):
+        with pytest.raises(Exception, match=why):
+            spark.sql(f"SELECT * FROM search_results({call})", **({"hits": joined} if "hits" in call else {})).collect()
