@@ -212,6 +212,16 @@ d AS (SELECT q.vec_id AS query_id, b.vec_id, list_distance(q.e, b.e) ** 2 AS dis
 SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), vec_id)::INT AS rank FROM d) WHERE rank <= 8"""
 
 
+@query("""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v)
+SELECT vec_id, len(e)::INT AS size, round(e[1], 6) AS first, round(e[-1], 6) AS last, round(list_sum(list_transform(e, lambda x: x * x)), 6) AS square, round(list_sum(e), 6) AS total FROM u""")
+def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors scaled to length 1."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", X.l2_normalize("embedding").alias("e"))
+    total = lambda f: F.round(F.aggregate("e", F.lit(0.0), lambda s, x: s + f(x)), 6)
+    return rows.select("vec_id", F.size("e").alias("size"), F.round(F.get("e", F.lit(0)), 6).alias("first"), F.round(F.element_at("e", -1), 6).alias("last"), total(lambda x: x * x).alias("square"), total(lambda x: x).alias("total"))
+
+
 @query(_NEAREST)
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight nearest vectors of every fiftieth one."""

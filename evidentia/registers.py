@@ -318,15 +318,25 @@ def view_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_VALID}, c AS (SELECT k, n, id, unnest(ids) AS eid, generate_subscripts(ids, 1) AS i FROM r0 WHERE k = 'k0'), d AS (SELECT eid, min(n * 10 + i) AS ord FROM c GROUP BY eid)
+WITH {_VALID}, c AS (SELECT k, n, id, unnest(ids) AS eid, generate_subscripts(ids, 1) AS i FROM r0), d AS (SELECT eid, min(n * 10 + i) AS ord FROM c GROUP BY eid)
 SELECT eid AS evidence_id, s.raw_text, s.clause AS source_clause, s.eid IS NULL AS missing FROM (SELECT d.eid, src.eid AS hit FROM d LEFT JOIN src ON src.eid = d.eid) x LEFT JOIN src s ON s.eid = hit""".replace("SELECT eid AS evidence_id, s.raw_text", "SELECT x.eid AS evidence_id, coalesce(s.raw_text, '') AS raw_text"))
 def review_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The evidence that the requirements of a section cite, and the ids without any."""
-    asked = extraction(spark, sf_dir).requirements.where("project_section_key = 'k0'")
+    """The evidence that the requirements of all sections cite, and the ids without any."""
+    asked = extraction(spark, sf_dir).requirements
     ids = asked.select(F.posexplode("evidence_ids").alias("i", "evidence_id"), (F.col("ord") * 10).alias("o")).select("evidence_id", (F.col("o") + F.col("i")).alias("ord"))
     return E.highlights(ids, source(spark, sf_dir)).select("evidence_id", "raw_text", "source_clause", "missing")
 
 
+@query(f"""
+WITH {_VALID}, c AS (SELECT DISTINCT unnest(ids) AS eid FROM r0 WHERE n % 8 = 0) SELECT src.eid AS id, k AS project_section_key, pos::INT AS pos, raw_text FROM src JOIN c ON c.eid = src.eid""")
+def evidence_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence that a scope names: what every other requirement cites and is there."""
+    rows = cut(source(spark, sf_dir))
+    asked = extraction(spark, sf_dir).requirements.where("ord % 8 = 0").select(F.explode("evidence_ids").alias("evidence_id"), "ord")
+    there = asked.join(rows.select(F.col("id").alias("evidence_id")), "evidence_id", "left_semi")
+    return E.scope(rows, there).select("id", "project_section_key", "pos", "raw_text")
+
+
 # --- projects and exports
 
 
