@@ -36,9 +36,19 @@ def candidates(evidence: DataFrame, unicode: bool = True) -> DataFrame:
     numbered heading, if it has no article itself) or PART heading; a SECTION
     heading on the way is a warning.
     """
-    rows = _stops(_rows(evidence, unicode).withColumns({"part": P.part_heading(F.col("heading"), F.col("t")), "boundary": P.section_boundary(F.col("heading"), F.col("t"), "clause")}))
-    starts = rows.where(P.submittal_text(F.col("folded"), F.col("t")) & (F.col("heading") | F.col("t").rlike(X.ARTICLE)))
-    starts = cut(starts.select("document_id", F.col("idx").alias("start_index"), F.col("id").alias("start_id"), F.col("t").alias("heading"), F.col("article").alias("own"), priority().alias("priority"), "stop", "last", "seen", "seen_at_end"))
+    return _candidates(_marked(evidence, unicode))
+
+
+def _marked(evidence: DataFrame, unicode: bool) -> DataFrame:
+    """The rows of evidence by their places, with what the search for regions asks of them; made once for all its steps."""
+    rows = _rows(evidence, unicode).withColumns({"part": P.part_heading(F.col("heading"), F.col("t")), "boundary": P.section_boundary(F.col("heading"), F.col("t"), "clause")})
+    opens = P.submittal_text(F.col("folded"), F.col("t")) & (F.col("heading") | F.col("t").rlike(X.ARTICLE))
+    return cut(rows.select("document_id", "idx", "id", "t", "heading", "article", "part", "boundary", opens.alias("opens"), priority().alias("priority")))
+
+
+def _candidates(marked: DataFrame) -> DataFrame:
+    rows = _stops(marked)
+    starts = cut(rows.where("opens").select("document_id", F.col("idx").alias("start_index"), F.col("id").alias("start_id"), F.col("t").alias("heading"), F.col("article").alias("own"), "priority", "stop", "last", "seen", "seen_at_end"))
     # the passed SECTION headings by their numbers in the document, which are a run
     sections = rows.where("boundary").select(F.col("document_id").alias("d"), F.col("seen").alias("number"), "idx", "id")
     asked = starts.where("seen_at_end > seen").select("document_id", "start_index", F.explode(F.sequence(F.col("seen") + 1, F.col("seen_at_end"))).alias("n"))
@@ -134,8 +144,9 @@ def overlaps(spans: DataFrame, key: str, name: str) -> DataFrame:
 
 def locate(evidence: DataFrame, unicode: bool = True) -> DataFrame:
     """Regions that do not overlap, with their evidence ids in order."""
-    spans = greedy_spans(candidates(evidence, unicode).where("end_index >= start_index"), "document_id")
-    rows = evidence.withColumn("idx", F.row_number().over(Window.partitionBy("document_id").orderBy("pos")) - 1).select(F.col("document_id").alias("d"), "idx", "id")
+    marked = _marked(evidence, unicode)
+    spans = greedy_spans(_candidates(marked).where("end_index >= start_index"), "document_id")
+    rows = marked.select(F.col("document_id").alias("d"), "idx", "id")
     keys = spans.columns
     joined = spans.join(rows, (F.col("document_id") == F.col("d")) & F.col("idx").between(F.col("start_index"), F.col("end_index")))
     ids = F.transform(F.array_sort(F.collect_list(F.struct("idx", "id"))), lambda x: x["id"])
