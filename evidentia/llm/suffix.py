@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidentia.llm.common import by_size, mix, partitions, serve, small_batches, stored, sweep
+from evidentia.llm.common import by_size, give_back, mix, partitions, serve, small_batches, stored, sweep
 
 HEAD = 16
 UNIT_BYTES = 2 << 20
@@ -356,6 +356,8 @@ def units_of(docs: DataFrame, id_col: str, text_col: str, unit_bytes: int = UNIT
                 texts, ids, others, size, made = [], [], [], 0, made + 1
         if ids:
             yield flush()
+            texts, ids, others = [], [], []
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"), *more)
     return stored(rows.mapInArrow(run, "unit long, rows binary, data binary, rest binary"), "suffix-units")
@@ -397,6 +399,8 @@ def _each_unit(units: DataFrame, results: DataFrame | None, work: Callable, sche
                     found.append((kind.as_py(), data.as_py()))
         if now is not None:
             yield from work(now[0], *_unit(*now[1:]), found)
+        now, found = None, []
+        give_back()
 
     return met.mapInArrow(run, schema)
 
@@ -420,6 +424,8 @@ def _per_bucket(rows: DataFrame, work: Callable, schema: str) -> DataFrame:
                 held.append((unit, payload.as_py()))
         if held:
             yield from work(now, held)
+            held = []
+        give_back()
 
     return dealt.mapInArrow(run, schema)
 

@@ -326,6 +326,43 @@ def test_near_copies(spark, monkeypatch, tile):
     assert got(copies.near_copies(empty(spark))) == []
 
 
+def test_simhash_makes_the_candidates_of_near_copies():
+    r = np.random.default_rng(12)
+    tables = copies.tables(50_000)
+    assert all(len(set(t)) == len(t) == 12 for t in tables.tolist()) and len(copies.tables(10**7)[0]) > 12
+    bits = lambda s: np.unpackbits(np.frombuffer(copies.fingerprint(s), dtype=np.uint8), bitorder="little")
+    small = r.integers(0, 1 << 64, 700, dtype=np.uint64)
+    h = [[int(x) for x in copies.mix(small ^ s)] for s in copies._SEEDS]
+    assert bits(small).tolist() == [int(2 * sum(x >> b & 1 for x in word) > 700) for word in h for b in range(64)]
+    met = 0
+    for size in (9, 45, 450):
+        for _ in range(40):
+            common, extra = r.integers(0, 1 << 64, size * 8 // 9, dtype=np.uint64), r.integers(0, 1 << 64, (2, size // 9), dtype=np.uint64)
+            a, b = (np.unique(np.r_[common, e]) for e in extra)  # at 0.8
+            x, y = bits(a), bits(b)
+            met += copies.similar(a, b) and bool((x[tables] == y[tables]).all(axis=1).any()) and int((x != y)[: 64 * copies.JUDGED].sum()) <= copies.RADIUS
+    assert met == 120
+    # buckets 1 and 2: rows with one near row after another, and some that lie apart
+    prints = r.integers(0, 1 << 64, (60, copies.JUDGED), dtype=np.uint64)
+    for k in range(1, 25):
+        prints[k] = prints[k - 1] ^ (np.uint64((1 << 15) - 1) << np.uint64(k))
+    bucket, node, n = np.repeat([1, 2], 60), np.tile(r.permutation(60), 2), np.full(120, 100)
+    n[60:] = np.where(node[60:] % 2, 100, 10)
+    made = copies._candidates(bucket, node, n, [np.tile(p, 2) for p in prints.T], 0.8).to_pylist()
+    far = lambda i, j: min(n[i], n[j]) < 0.8 * max(n[i], n[j]) or sum(int(prints[i % 60][w] ^ prints[j % 60][w]).bit_count() for w in range(copies.JUDGED)) > copies.RADIUS
+    label = closure({i: {j for j in range(120) if bucket[i] == bucket[j] and not far(i, j)} for i in range(120)})
+    groups = defaultdict(set)
+    for i, g in label.items():
+        groups[g].add(int(node[i]))
+    found = defaultdict(set)
+    for row in made:
+        found[row["bucket"]].add(row["node"])
+        assert row["first"] in found[row["bucket"]]
+    assert sorted(map(sorted, found.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
+    at = lambda row, x: next(i for i in range(120) if node[i] == row[x] and n[i] == row["n"])
+    assert all(row["near"] == (not far(at(row, "node"), at(row, "first"))) for row in made if n[at(row, "node")] == 10)
+
+
 def test_bit_sliced_links_find_all_and_only():
     r = np.random.default_rng(2)
     fps = r.integers(0, 1 << 63, 300, dtype=np.uint64)
