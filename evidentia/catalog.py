@@ -331,5 +331,7 @@ def name_support_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the name of a product with a qualifier is supported by its evidence."""
     key = X.match_key("p_name", unicode=False)
     blob = F.when(F.col("p_size") <= 25, F.concat_ws(" ", key, F.lower("p_type"))).when(F.col("p_size") <= 40, key).otherwise(F.lower(F.replace("p_brand", F.lit("#"), F.lit(" "))))
-    rows = table(spark, sf_dir, "part").withColumn("blob", blob).select("p_partkey", _modes().alias("mode"))
+    part = table(spark, sf_dir, "part")
+    spread = part.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")  # a file of few megabytes is one task
+    rows = spread.withColumn("blob", blob).select("p_partkey", _modes().alias("mode"))
     return rows.groupBy("mode").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_part"))

@@ -91,14 +91,18 @@ def title_line(normal: Column, parsed: Column) -> Column:
     return (normal != "") & (F.length(normal) <= 120) & ~normal.rlike(NO_TITLE) & parsed.isNull() & (letters >= 3)
 
 
-def contains_key(hay: Column, needle: Column) -> Column:
+def _glue(x: Column) -> Column:
+    return F.regexp_replace(x, "[^a-z0-9]", "")
+
+
+def contains_key(hay: Column, needle: Column, glued: Column | None = None) -> Column:
     """Containment of match keys in three tiers: as it is, without what is not a-z0-9, and word by word.
 
     hay must be a column, not an expression with nfkc(), as it goes into a lambda.  The third tier needs two words or more of over two characters, each found anywhere.
+    glued is hay without what is not a-z0-9, where it is at hand.
     """
-    glue = lambda x: F.regexp_replace(x, "[^a-z0-9]", "")
     words = F.filter(F.split(needle, " "), lambda w: F.length(w) > 2)
-    tiers = hay.contains(needle) | ((glue(needle) != "") & glue(hay).contains(glue(needle))) | ((F.size(words) >= 2) & F.forall(words, lambda w: hay.contains(w)))
+    tiers = hay.contains(needle) | ((_glue(needle) != "") & (_glue(hay) if glued is None else glued).contains(_glue(needle))) | ((F.size(words) >= 2) & F.forall(words, lambda w: hay.contains(w)))
     return F.coalesce((hay != "") & (needle != "") & tiers, F.lit(False))
 
 
@@ -119,31 +123,43 @@ def core_acceptable(core_key: Column) -> Column:
     return F.exists(words, lambda w: F.length(w) > 2) & ~F.coalesce(generic, F.lit(False))
 
 
-def qualifier_supported(qualifier_key: Column, blob_key: Column) -> Column:
+def qualifier_supported(qualifier_key: Column, blob_key: Column, glued: Column | None = None) -> Column:
     """The blob holds the qualifier, or each of its words is benign or in the blob."""
     words = F.filter(F.split(qualifier_key, " "), lambda w: w != "")
-    each = F.forall(words, lambda w: w.isin(*BENIGN_WORDS) | contains_key(blob_key, w))
-    return F.coalesce(contains_key(blob_key, qualifier_key) | (F.size(words) > 0) & each, F.lit(False))
+    each = F.forall(words, lambda w: w.isin(*BENIGN_WORDS) | contains_key(blob_key, w, glued))
+    return F.coalesce(contains_key(blob_key, qualifier_key, glued) | (F.size(words) > 0) & each, F.lit(False))
 
 
 def name_support(name: ColumnOrName, normalized: ColumnOrName, blob_key: Column, unicode: bool = True) -> Column:
-    """(mode, core, qualifier): name, normalized_name, core_fallback or unsupported, the first that holds."""
+    """(mode, core, qualifier): name, normalized_name, core_fallback or unsupported, the first that holds.
+
+    Keys and parts of the names are made once a row, before the tests that share them.
+    """
     none = F.lit(None).cast("string")
     made = lambda mode, core=none, qualifier=none: F.struct(F.lit(mode).alias("mode"), core.alias("core"), qualifier.alias("qualifier"))
-
-    def fallback(x: ColumnOrName) -> Column:
-        split = X.trailing_parenthetical(x)
-        core, qualifier = X.match_key(split["core"], unicode), X.match_key(split["qualifier"], unicode)
-        ok = split["qualifier"].isNotNull() & core_acceptable(core) & contains_key(blob_key, core) & qualifier_supported(qualifier, blob_key)
-        return F.when(ok, made("core_fallback", split["core"], split["qualifier"]))
-
-    return F.coalesce(
-        F.when(contains_key(blob_key, X.match_key(name, unicode)), made("name")),
-        F.when(contains_key(blob_key, X.match_key(normalized, unicode)), made("normalized_name")),
-        fallback(name),
-        fallback(normalized),
-        made("unsupported"),
-    )
+    names = [X.col(name), X.col(normalized)]
+    split = F.array(*(F.when(x.contains(")"), X.trailing_parenthetical(x)) for x in names))
+
+    def judged(v: Column) -> Column:
+        hay, glued = v["hay"], v["glued"]
+        held = lambda x: contains_key(hay, x, glued)
+
+        def fallback(part: Column, core: Column, qualifier: Column) -> Column:
+            ok = part["qualifier"].isNotNull() & core_acceptable(core) & held(core) & qualifier_supported(qualifier, hay, glued)
+            return F.when(ok, made("core_fallback", part["core"], part["qualifier"]))
+
+        return F.coalesce(
+            F.when(held(v["keys"][0]), made("name")),
+            F.when(held(v["keys"][1]), made("normalized_name")),
+            *(fallback(v["split"][i], v["cores"][i], v["qualifiers"][i]) for i in (0, 1)),
+            made("unsupported"),
+        )
+
+    keys = lambda parts: F.array(*(X.match_key(x, unicode) for x in parts))
+    with_split = lambda s: F.struct(blob_key.alias("hay"), _glue(blob_key).alias("glued"), keys(names).alias("keys"), s.alias("split"), *(keys([s[i][c] for i in (0, 1)]).alias(f"{c}s") for c in ("core", "qualifier")))
+    # nfkc() cannot go into a lambda
+    bound = with_split(split) if unicode else X.let(split, with_split)
+    return X.let(bound, judged)
 
 
 def cross_reference_supported(ref: ColumnOrName, blob_key: Column, unicode: bool = True) -> Column:

@@ -7,6 +7,7 @@ normalisation: the texts that it may change go there in Arrow batches.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -45,6 +46,11 @@ def col(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, made once however often f names it; f must be without nfkc(), as it goes into a lambda."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def blank_to_null(x: Column) -> Column:
     return F.when(x == "", None).otherwise(x)
 
@@ -192,10 +198,15 @@ def context_lines(parts: ColumnOrName) -> Column:
 
 def trailing_parenthetical(x: ColumnOrName) -> Column:
     """(core, qualifier) of 'Core (qualifier)'; else (text, null)."""
-    t = F.coalesce(strip(x), F.lit(""))
-    core, inside = strip(F.regexp_extract(t, PARENTHETICAL, 1)), strip(F.regexp_extract(t, PARENTHETICAL, 2))
-    both = (core != "") & (inside != "")
-    return F.struct(F.when(both, core).otherwise(t).alias("core"), F.when(both, inside).alias("qualifier"))
+
+    def parts(t: Column) -> Column:
+        return F.struct(t.alias("t"), *(strip(F.regexp_extract(t, PARENTHETICAL, i)).alias(c) for i, c in ((1, "core"), (2, "inside"))))
+
+    def split(v: Column) -> Column:
+        both = (v["core"] != "") & (v["inside"] != "")
+        return F.struct(F.when(both, v["core"]).otherwise(v["t"]).alias("core"), F.when(both, v["inside"]).alias("qualifier"))
+
+    return let(let(F.coalesce(strip(x), F.lit("")), parts), split)
 
 
 def type_title(x: ColumnOrName) -> Column:

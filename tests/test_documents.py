@@ -208,6 +208,19 @@ def test_text_functions(spark):
     assert row["c"] == "a\nb\na" and row["w"] and row["v"] == [0.6, 0.8] and row["n"] == "1 product"
 
 
+
+def test_what_supports_a_name_is_made_once_and_by_all_cores(spark, tmp_path):
+    from evidentia import catalog
+
+    for unicode in (False, True):
+        df = spark.createDataFrame([("Core (use)", "core", "core")], "a string, b string, k string").select(P.name_support("a", "b", F.col("k"), unicode).alias("s"))
+        assert df.first()["s"]["mode"] == "normalized_name"
+        assert df._jdf.queryExecution().optimizedPlan().expressions().mkString().count("regexp_replace(") < 100
+    spark.createDataFrame([(i, f"part {i}", "Brand#1", "TYPE", i % 50, 1.0) for i in range(200)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    plan = catalog.name_support_modes(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
 @pytest.mark.parametrize(("name", "blob", "mode"), [
     ("Hangers (Indoor Finishes)", "hangers and supports", "core_fallback"), ("Flexible Duct", "flexible air duct", "name"), ("Duct (Nuclear Grade)", "duct", "unsupported"),
     ("System (Indoor Finishes)", "system", "unsupported"), ("factory-fabricated fan", "factoryfabricatedfan", "name"), ("Duct (Type 316)", "duct type 316", "name"),
