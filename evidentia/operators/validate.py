@@ -195,7 +195,8 @@ def validate(found: Extraction, evidence: DataFrame, unicode: bool = True) -> Va
     links, downgrades = _links(links, requirements, products, log, unicode)
     kept = Extraction(*(df.select(*c) for df, c in zip((requirements, groups, products, links), columns, strict=True)))
     kept = Extraction(*map(cut, kept))
-    return Validated(kept, cut(_union(log.issues)), cut(_union(log.rejected)), downgrades, refs, conditions)
+    # issues and rejects are not made here: a view that asks for what stands does not pay for them
+    return Validated(kept, _union(log.issues), _union(log.rejected), downgrades, refs, conditions)
 
 
 ISSUE_ORDER = ["phase", "ord", "rule", "item"]
