@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidentia.llm.common import by_size, cut, small_batches, stored, texts_of
-from evidentia.llm.tokens import encoder
+from evidentia.llm.tokens import MAX_WORDS, encoder
 
 #: Open sequences of a task.
 OPEN = 64
@@ -67,13 +67,13 @@ class BestFit:
         return [b for found in self.bins for b in found]
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str, text_col: str) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str, text_col: str, words: int = MAX_WORDS) -> DataFrame:
     """(part, id, piece, start, length, crc): the pieces of every row of docs, part by part of the scan."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer), TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer, words), TaskContext.get().partitionId()
         end = np.array([end_id], dtype=np.dtype("<u4"))
         for batch in by_size(batches, "t", 4 << 20):
             rows: list[list] = [[] for _ in range(5)]
@@ -145,13 +145,14 @@ def pack_pieces(rows: DataFrame, capacity: int, most: int = OPEN, fan_in: int =
     return out.withColumnRenamed("seq", "sequence_id")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", most: int = OPEN) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", most: int = OPEN, words: int = MAX_WORDS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): one row per piece.
 
     A document is its ids and the end id; only one longer than `capacity` is cut.
     A null or empty text is the end id alone.  Rows with equal or null ids are
-    separate documents.  Other columns are ignored.
+    separate documents.  Other columns are ignored.  A worker's cache keeps up to
+    twice `words` words, which is a matter of memory and time only.
     """
-    made = stored(pieces(docs, tokenizer, end_id, capacity, id_col, text_col), "pieces")
+    made = stored(pieces(docs, tokenizer, end_id, capacity, id_col, text_col, words), "pieces")
     out = pack_pieces(made, capacity, most)
     return out.select(F.col("id").alias(id_col), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")

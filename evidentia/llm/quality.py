@@ -107,6 +107,7 @@ def fit(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str, bits: in
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).join(good, F.col("id") == F.col("l_id"), "left").select("t", F.coalesce("target", F.lit(False)).alias("target"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("quality")
         total = np.zeros((2, 1 << bits), dtype=np.int64)
         for batch in by_size(batches, "t", 4 << 20):
             for data, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

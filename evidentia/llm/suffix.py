@@ -48,6 +48,8 @@ from evidentia.llm.common import by_size, give_back, mix, partitions, serve, sma
 
 HEAD = 16
 UNIT_BYTES = 2 << 20
+#: Windows of a unit of which the heads are hashed at a time.
+SLICE = 1 << 17
 #: Entries of a head from which on its windows are dealt by their own hash.
 MANY = 4096
 #: Order of a null id: after every other; and of what an earlier batch holds: before every other.
@@ -76,15 +78,8 @@ class Anchors(NamedTuple):
 
 
 def words8(buf: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position on as one number; zeros follow the end."""
-    n = len(buf)
-    padded = np.zeros(n + 16, dtype=np.uint8)
-    padded[:n] = buf
-    out = np.empty(n + 8, dtype="<u8")
-    for k in range(8):
-        part = out[k::8]
-        part[:] = padded[k : k + 8 * len(part)].view("<u8") if k + 8 * len(part) <= n + 16 else np.frombuffer(padded[k:].tobytes() + bytes(8), dtype="<u8", count=len(part))
-    return out[:n]
+    """The eight bytes from each position on as one number; zeros follow the end.  It is a view, one byte apart, so it takes no more room than buf."""
+    return np.ndarray(len(buf), "<u8", np.r_[buf, np.zeros(8, dtype=np.uint8)], 0, (1,))
 
 
 def head_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -128,25 +123,35 @@ def firsts(buf: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray
     return out
 
 
+def _chosen(w: np.ndarray, count: int, span: int) -> np.ndarray:
+    """For each of `count` windows the position of its head with the smallest hash; w is words8 of the text."""
+    out = np.empty(count, dtype=np.int32)
+    for start in range(0, count, SLICE):
+        many = min(SLICE, count - start) + span - 1
+        best = head_hash(w[start : start + many], w[start + 8 : start + 8 + many])
+        best &= np.uint64(0xFFFFFFFF00000000)
+        best |= np.arange(many, dtype=np.uint64)
+        wide = 1
+        while wide * 2 <= span:
+            best = np.minimum(best[:-wide], best[wide:])
+            wide *= 2
+        if wide < span:
+            best = np.minimum(best[: len(best) - (span - wide)], best[span - wide :])
+        out[start : start + len(best)] = (best & np.uint64(0xFFFFFFFF)).astype(np.int32) + start
+    return out
+
+
 def anchors(unit: Unit, least: int) -> Anchors:
     """All anchors of a unit's documents, in order of position."""
     span = least - HEAD + 1
     n = len(unit.buf)
-    w = words8(unit.buf)
-    head = head_hash(w[: max(0, n - 8)], w[8:])  # of the 16 bytes from each position on
-    count = len(head) - span + 1
+    count = n - 8 - span + 1
     starts = np.r_[0, unit.ends[:-1]] if len(unit.ends) else np.zeros(0, dtype=np.int64)
     if count <= 0:
         none = np.zeros(0, dtype=np.int64)
         return Anchors(none, none, none, none, none.astype(np.uint64), none.astype(np.uint64), none)
-    best = head & np.uint64(0xFFFFFFFF00000000) | np.arange(len(head), dtype=np.uint64)
-    wide = 1
-    while wide * 2 <= span:
-        best = np.minimum(best[:-wide], best[wide:])
-        wide *= 2
-    if wide < span:
-        best = np.minimum(best[: len(best) - (span - wide)], best[span - wide :])
-    at = (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    w = words8(unit.buf)
+    at = _chosen(w, count, span)
     ok = np.zeros(n + 1, dtype=np.int8)  # windows inside one document
     long = unit.ends - starts >= least
     ok[starts[long]] += 1
@@ -158,13 +163,13 @@ def anchors(unit: Unit, least: int) -> Anchors:
     last = ok.copy()
     last[:-1] &= ~ok[1:] | first[1:]
     lo, hi = np.flatnonzero(first), np.flatnonzero(last)
-    at = at[lo]
+    at = at[lo].astype(np.int64)
     end = hi + least
     cover = range_hash(w, lo, end, 2 * least) ^ mix((at - lo).astype(np.uint64))
     doc = unit.docs[np.searchsorted(unit.ends, lo, "right")]
     same = firsts(unit.buf, lo, end - lo, cover, doc, 2 * least)
     same = np.where(at - lo == (at - lo)[same], same, np.arange(len(at)))
-    return Anchors(at, lo, hi, doc, head[at], cover, same)
+    return Anchors(at, lo, hi, doc, head_hash(w[at], w[at + 8]), cover, same)
 
 
 def own_windows(unit: Unit, a: Anchors, index: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
@@ -596,8 +601,11 @@ def removed(unit: Unit, least: int, bits: int, found: list[tuple[int, bytes]], a
         repeated = at[out[one] | (doc > doc[one])]
         starts.append(repeated)
         ends.append(repeated + least)
-    edge = np.bincount(np.concatenate(starts), minlength=len(unit.buf) + 1) - np.bincount(np.concatenate(ends), minlength=len(unit.buf) + 1)
-    return np.cumsum(edge[:-1]) > 0
+    edge = np.zeros(len(unit.buf) + 1, dtype=np.int32)
+    for step, places in ((1, starts), (-1, ends)):
+        for x in places:
+            np.add.at(edge, x, np.int32(step))
+    return np.cumsum(edge[:-1], dtype=np.int32, out=edge[:-1]) > 0
 
 
 def _bits(units: DataFrame) -> int:

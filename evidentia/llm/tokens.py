@@ -130,13 +130,13 @@ class Encoder:
         return [np.frombuffer(self.ids(t), dtype=self.dtype) for t in texts]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 KEPT["tokens"] = _ENCODERS.clear
 
 
-def encoder(path: str) -> Encoder:
-    """This process's encoder for the file."""
+def encoder(path: str, most: int = MAX_WORDS) -> Encoder:
+    """This process's encoder for the file, which keeps up to `most` words in each generation."""
     serve("tokens")
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, most) not in _ENCODERS:
+        _ENCODERS[path, most] = Encoder(path, most)
+    return _ENCODERS[path, most]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import time
+import tracemalloc
 import zlib
 from bisect import bisect_right
 from collections import Counter, defaultdict
@@ -13,12 +14,14 @@ from math import comb
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from evidentia.llm import components, copies, embed, licenses, packing, quality, secrets, simhash, spm, suffix, tokenbin, tokencount, tokens
+from evidentia.llm.common import small_batches
 from tests.llm.fixtures import crowded, documents, empty, prose, rows
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -662,6 +665,38 @@ def test_suffix_arrays_are_in_suffix_order():
     assert suffix.common(rows).tolist() == want
 
 
+def test_packing_with_a_small_cache_is_the_same(spark):
+    docs = documents(spark).coalesce(1)
+    few = Counter(got(packing.pack(docs, WORDS, words=3).drop("sequence_id")))
+    assert few == Counter(got(packing.pack(docs, WORDS).drop("sequence_id")))
+
+
+def test_suffix_anchors_are_made_in_slices(monkeypatch):
+    r = np.random.default_rng(6)
+    n = 1 << 19
+    unit = suffix.Unit(r.integers(97, 101, n, dtype=np.uint8), np.array([100, 130, n // 2, n]), np.array([4, 1, 3, 2]))
+    tracemalloc.start()
+    whole = suffix.anchors(unit, 50)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 32 * n
+    for size in (100, 4096):
+        part = suffix.Unit(unit.buf[:20000], np.array([100, 130, 9000, 20000]), unit.docs)
+        monkeypatch.setattr(suffix, "SLICE", 1 << 30)
+        one = suffix.anchors(part, 50)
+        monkeypatch.setattr(suffix, "SLICE", size)
+        assert all((x == y).all() and x.dtype == y.dtype for x, y in zip(one, suffix.anchors(part, 50), strict=True))
+    assert len(whole.at)
+
+
+def test_batches_of_large_rows_are_small(spark):
+    small_batches(spark)
+    rows = spark.range(0, 12, 1, 1).selectExpr("id", "repeat('x', 1 << 20) as t")
+    sizes = [r["n"] for r in rows.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in bs), "n long").collect()]
+    assert sum(sizes) == 12
+    assert max(sizes) <= 5
+
+
 def test_suffix_trim(spark):
     out = suffix.trim(documents(spark))
     assert out.columns == documents(spark).columns
